@@ -28,30 +28,23 @@ def _empty_to_null(c: Column) -> Column:
 
 
 def canonical_line_ah(c: Column | str) -> Column:
-    """Letter A-H: a single letter; ``Linea X``/``LíneaX``; else the last A-H
-    letter anywhere; else the stripped text. Null stays null."""
+    """Letter A-H: a single letter, ``Linea X`` / ``LíneaX``, else the last
+    A-H letter anywhere (case-insensitive), upper-cased; else the stripped
+    text. Null stays null.
+
+    The first two rules always end in the last A-H letter of the text, so
+    one greedy extraction covers all three (the oracle keeps the rules apart
+    and so checks this)."""
     text = py_strip(_col(c).cast("string"))
-    named = _empty_to_null(F.regexp_extract(text, r"(?iu)^l[ií]nea\s*([a-h])$", 1))
-    last = _empty_to_null(F.regexp_extract(text, r"(?is)^.*([a-h])", 1))
-    return (
-        F.when(text.rlike(r"^(?i)[a-h]$"), F.upper(text))
-        .when(named.isNotNull(), F.upper(named))
-        .when(last.isNotNull(), F.upper(last))
-        .otherwise(text)
-    )
+    last = F.regexp_extract(text, r"(?ius)^.*([a-h])", 1)
+    return F.when(last != "", F.upper(last)).otherwise(text)
 
 
 def canonical_line_az(c: Column | str) -> Column:
     """As :func:`canonical_line_ah` with any ASCII letter."""
     text = py_strip(_col(c).cast("string"))
-    named = _empty_to_null(F.regexp_extract(text, r"(?iu)^l[ií]nea\s*([a-z])$", 1))
-    last = _empty_to_null(F.regexp_extract(text, r"(?s)^.*([A-Za-z])", 1))
-    return (
-        F.when(text.rlike(r"^[A-Za-z]$"), F.upper(text))
-        .when(named.isNotNull(), F.upper(named))
-        .when(last.isNotNull(), F.upper(last))
-        .otherwise(text)
-    )
+    last = F.regexp_extract(text, r"(?s)^.*([A-Za-z])", 1)
+    return F.when(last != "", F.upper(last)).otherwise(text)
 
 
 def normalize_line(c: Column | str) -> Column:
@@ -64,7 +57,7 @@ def normalize_line(c: Column | str) -> Column:
     named = _empty_to_null(F.regexp_extract(text, r"[Ll][ií]ne?a\s*([A-Za-z])", 1))
     first = F.upper(F.regexp_extract(text, r"([A-Za-z])", 1))
     return (
-        F.when(text.rlike(r"(?i)premetro"), F.lit("P"))
+        F.when(text.rlike(r"(?iu)premetro"), F.lit("P"))
         .when(named.isNotNull(), F.upper(named))
         .when((F.length(text) == 1) & F.array_contains(known, F.upper(text)), F.upper(text))
         .when(F.array_contains(known, first), first)

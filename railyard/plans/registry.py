@@ -63,3 +63,11 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
             for f in df.schema.fields
         ]
     )
+
+
+def sql(views: list[str], ctes: list[tuple[str, str]], final: str) -> str:
+    """DuckDB SQL from logical views, further named CTEs and a final SELECT."""
+    parts = [duck_cte(v) for v in views] + [f'"{n}" AS ({body})' for n, body in ctes]
+    if not parts:
+        return final
+    return "WITH " + ",\n".join(parts) + "\n" + final

@@ -168,8 +168,8 @@ def numeric_anomalies(df: DataFrame, numeric_columns: list[str] | None = None,
         valid = sd.isNotNull() & (sd != 0) & ~F.isnan(sd)
         flagged.append(F.when(valid & F.coalesce(F.abs(z) >= z_threshold, F.lit(False)),
                               F.struct(F.lit(c).alias("column_name"), z.alias("z_score"))))
-    hits = F.filter(F.array(*flagged), lambda e: e.isNotNull())
-    return df.select(F.explode(hits).alias("_hit"), *[_col(x) for x in df.columns]).select(
+    exploded = df.select(F.explode(F.array(*flagged)).alias("_hit"), *[_col(x) for x in df.columns])
+    return exploded.where(F.col("_hit").isNotNull()).select(
         "_hit.column_name", "_hit.z_score", *[_col(x) for x in df.columns]
     )
 

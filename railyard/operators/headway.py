@@ -84,8 +84,9 @@ def calibrate(df: DataFrame, auto: bool = True, factor: float = 1.0,
     x lines, so the exact percentile buffer stays small."""
     hw = F.col("avg_headway_min")
     if auto:
-        med = df.select(F.median("avg_headway_min")).scalar()
-        scaled = F.when(med > 0, hw * (F.lit(target) / med)).otherwise(hw)
+        med = F.median("avg_headway_min")
+        scale = df.select(F.when(med > 0, F.lit(target) / med)).scalar()
+        scaled = hw * F.coalesce(scale, F.lit(1.0))
     elif factor != 1.0:
         scaled = hw * F.lit(factor)
     else:

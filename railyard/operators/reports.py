@@ -21,6 +21,25 @@ DRAFT_SUMMARY = (
 )
 PLAIN_SUMMARY = "- Stable week. Consider weather correlation.\n- Headway proxy consistent with dispatch volumes."
 
+# The narrative prompt, with the dataset summary at the marker.
+SUMMARY_MARKER = "{{DATA_SUMMARY}}"
+INSIGHTS_PROMPT = (
+    "You are an expert in urban mobility analytics. \n"
+    "Generate a clear, concise narrative based on the following summary derived from Buenos Aires Subte "
+    "turnstile data.\n"
+    "\n"
+    "The tone should be analytical, professional, and accessible to non-technical readers.\n"
+    "\n"
+    "Use ~4–6 short paragraphs. \n"
+    "Highlight patterns, anomalies, peaks, and the general behavior of passengers.\n"
+    "\n"
+    "Dataset Summary:\n"
+    "{{DATA_SUMMARY}}\n"
+    "\n"
+    "Write the insights below:\n"
+)
+SECTION_ORDER = ("top_stations", "top_lines", "hour_peaks")
+
 
 def _ordered_lines(df: DataFrame, key: Column, text: Column) -> DataFrame:
     """One row with the texts joined by newlines in ``key`` order (null when
@@ -109,3 +128,34 @@ def weekly_payload(kpis: DataFrame, lines: DataFrame, period: Column, generated_
         F.lit(forecast_preview).alias("forecast_preview"), F.lit(report_file).alias("report_file"),
         F.lit(summary_md).alias("summary_md"), F.lit(generated_at).alias("generated_at"),
     )).alias("payload"))
+
+
+def _json_string(c: Column) -> Column:
+    """A JSON string literal of the text (quotes and escapes included): the
+    one element of a JSON array, without its brackets."""
+    j = F.to_json(F.array(c))
+    return j.substr(F.lit(2), F.length(j) - F.lit(2))
+
+
+def summary_json(summary: DataFrame) -> Column:
+    """The long dataset summary (section, key, n, rank) as indented JSON with
+    sections in their fixed order and entries by rank (a scalar subquery over
+    at most a few dozen rows)."""
+    entry = F.concat(F.lit("    "), _json_string(F.col("key")), F.lit(": "), F.col("n").cast("string"))
+    per_section = summary.groupBy("section").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", entry.alias("e")))),
+                                 lambda s: s.getField("e")), ",\n").alias("body"))
+    order = F.array_position(F.array(*[F.lit(x) for x in SECTION_ORDER]), F.col("section"))
+    block = F.concat(F.lit("  "), _json_string(F.col("section")), F.lit(": {\n"), F.col("body"), F.lit("\n  }"))
+    whole = per_section.agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct(order.alias("o"), block.alias("b")))), lambda s: s.getField("b")),
+        ",\n").alias("j"), F.count(F.lit(1)).alias("k"))
+    return whole.select(F.when(F.col("k") > 0, F.concat(F.lit("{\n"), F.col("j"), F.lit("\n}")))
+                        .otherwise(F.lit("{}"))).scalar()
+
+
+def insights_prompt(summary: DataFrame) -> DataFrame:
+    """The narrative prompt with the dataset summary as indented JSON."""
+    spark = summary.sparkSession
+    return spark.range(1).select(
+        F.replace(F.lit(INSIGHTS_PROMPT), F.lit(SUMMARY_MARKER), summary_json(summary)).alias("prompt"))

@@ -205,7 +205,8 @@ def find_role_column(columns, role: str) -> str | None:
 
 def dataset_summary(df: DataFrame, n_top: int = 5, n_hours: int = 10) -> DataFrame:
     """Top stations, top lines and busiest hours by row count, in long form
-    (section, key, n, rank). Columns are found by name."""
+    (section, key, n, rank). Columns are found by name (first name containing
+    a station, line or time word)."""
     parts = []
 
     def first_containing(*words: str) -> str | None:
@@ -218,9 +219,11 @@ def dataset_summary(df: DataFrame, n_top: int = 5, n_hours: int = 10) -> DataFra
     def top(col: F.Column, section: str, k: int) -> DataFrame:
         g = df.where(col.isNotNull()).groupBy(col.alias("key")).count()
         ranked = g.orderBy(F.desc("count"), F.asc("key")).limit(k)
+        # the window runs over the k rows left by the top-k, not over the groups
+        rank = F.row_number().over(Window.orderBy(F.desc("count"), F.asc("key")))
         return ranked.select(
             F.lit(section).alias("section"), F.col("key").cast("string").alias("key"),
-            F.col("count").alias("n"),
+            F.col("count").alias("n"), rank.alias("rank"),
         )
 
     if station:

@@ -10,6 +10,7 @@ from ..operators import reports as rep
 from ..operators import ridership as r
 from ..sources.testviews import view
 from .common_sql import HEADWAY, HW_PAGE, PAX
+from .q_incidents import _PARSE as INCIDENT_PARSE
 from .registry import query, sql
 
 GENERATED_AT = "2024-02-01T00:00:00+00:00"
@@ -89,3 +90,38 @@ def latest_runs(spark, sf_dir):
 @query("sample_n")
 def sample_n(spark, sf_dir):
     return ing.sample_rows(view(spark, sf_dir, "turnstiles"), 5000, seed=42)
+
+
+def _prompt_sql() -> str:
+    from .q_ridership import _HOUR, _top_sql
+    summary = " UNION ALL ".join([_top_sql("top_stations", "estacion", 5), _top_sql("top_lines", "linea", 5),
+                                  _top_sql("hour_peaks", _HOUR, 10)])
+    tmpl = rep.INSIGHTS_PROMPT.replace("'", "''")
+    return sql(["turnstiles_timed"], [
+        ("s", summary),
+        ("sec", "SELECT section, '  ' || to_json(section) || ': {' || chr(10) || "
+                "string_agg('    ' || to_json(key) || ': ' || CAST(n AS VARCHAR), ',' || chr(10) ORDER BY rank) "
+                "|| chr(10) || '  }' AS b, CASE section WHEN 'top_stations' THEN 1 WHEN 'top_lines' THEN 2 "
+                "ELSE 3 END AS o FROM s GROUP BY section"),
+        ("js", "SELECT coalesce('{' || chr(10) || string_agg(b, ',' || chr(10) ORDER BY o) || chr(10) || '}', "
+               "'{}') AS j FROM sec"),
+    ], f"SELECT replace('{tmpl}', '{rep.SUMMARY_MARKER}', j) AS prompt FROM js")
+
+
+@query("insights_prompt", _prompt_sql())
+def insights_prompt(spark, sf_dir):
+    return rep.insights_prompt(r.dataset_summary(view(spark, sf_dir, "turnstiles_timed")))
+
+
+@query("incident_log", sql(["model_outputs"], INCIDENT_PARSE,
+       "SELECT category, severity, line, station, target_team, fallback_output, incident_text, "
+       "TIMESTAMP '2024-02-01 00:00:00' AS timestamp FROM c"))
+def incident_log(spark, sf_dir):
+    from ..operators import incidents as inc
+    return inc.incident_log(inc.classify(view(spark, sf_dir, "model_outputs")), "2024-02-01 00:00:00")
+
+
+@query("dataset_profile")
+def dataset_profile(spark, sf_dir):
+    from ..sources.files import profile
+    return profile(view(spark, sf_dir, "turnstiles"), "turnstiles")

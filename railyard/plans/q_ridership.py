@@ -145,7 +145,8 @@ def top_stations(spark, sf_dir):
 
 
 def _top_sql(section: str, expr: str, k: int) -> str:
-    return (f"(SELECT '{section}' AS section, CAST(key AS VARCHAR) AS key, n FROM "
+    return (f"(SELECT '{section}' AS section, CAST(key AS VARCHAR) AS key, n, "
+            f"row_number() OVER (ORDER BY n DESC, key) AS rank FROM "
             f"(SELECT {expr} AS key, count(*) AS n FROM turnstiles_timed WHERE {expr} IS NOT NULL "
             f"GROUP BY 1 ORDER BY n DESC, key LIMIT {k}))")
 
@@ -233,3 +234,15 @@ _text_label("normalize_line", normalize_line, duck.normalize)
 def coerce_dates(spark, sf_dir):
     df = view(spark, sf_dir, "dated_text")
     return df.select("event_id", "raw_date", parse_day_first(df, "raw_date").cast("date").alias("parsed"))
+
+
+@query("turnstiles_to_ridership", sql(["turnstiles_timed"], [], f"""
+    SELECT CAST(fecha AS DATE) AS date, {duck.normalize('linea')} AS line,
+           CAST(sum(pax_total) AS DOUBLE) AS passengers
+    FROM turnstiles_timed
+    WHERE fecha IS NOT NULL AND {duck.normalize('linea')} IN {duck.ALL_LINES_SQL}
+    GROUP BY 1, 2"""))
+def turnstiles_to_ridership(spark, sf_dir):
+    from ..operators.jobs import ridership_from_turnstiles
+    out = ridership_from_turnstiles(view(spark, sf_dir, "turnstiles_timed"))
+    return out.withColumn("passengers", F.col("passengers").cast("double"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.coerce import light_names, parse_day_first, to_number
 from ..functions.lines import ALL_LINES, SUBTE_LINES, normalize_line
+from ..session import cut_lineage
 from ..sources import files, sinks
 from . import forecast as fc
 from . import headway as hw
@@ -107,11 +108,18 @@ class InsightsPage:
 
 
 def insights_page(ridership: DataFrame, headway: DataFrame | None, lines=None, date_from=None,
-                  date_to=None, include_premetro: bool = True, generated_at: str = "") -> InsightsPage:
+                  date_to=None, include_premetro: bool = True, generated_at: str = "",
+                  materialize: bool = True) -> InsightsPage:
     """Data of the insights page: filters, sums, KPIs, changes, report and
     payload, as named DataFrames (nothing is collected)."""
     allowed = SUBTE_LINES + (("P",) if include_premetro else ())
     pax = r.prepare_ridership(ridership, lines=lines, date_from=date_from, date_to=date_to, allowed=allowed)
+    # one pass over the fact table: daily sums by line (additive, so week,
+    # month and line totals all derive from it), cut from the lineage once
+    pax = pax.groupBy(F.col("date").cast("date").alias("date"), "line").agg(
+        F.sum("passengers").alias("passengers"))
+    if materialize:
+        pax = cut_lineage(pax)
     hwp = (r.prepare_headway(headway, lines=lines, date_from=date_from, date_to=date_to, allowed=allowed)
            if headway is not None else None)
     pbl = r.sum_by_line(pax)

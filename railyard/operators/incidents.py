@@ -148,7 +148,7 @@ def tickets(classified: DataFrame, run_ts: str, description_col: str = "incident
             key_col: str = "incident_id", raw_col: str = "raw_output", source: str = "llm_router") -> DataFrame:
     """Ticket records. The id is the run time (passed in, so reruns repeat)
     plus the row key, so ids stay unique within a batch."""
-    ts = F.lit(run_ts).cast("timestamp")
+    ts = F.lit(run_ts).cast("timestamp_ntz")
     r = route(classified)
     return r.select(
         F.concat(F.lit("TCK-"), F.date_format(ts, "yyyyMMddHHmmss"), F.lit("-"), F.col(key_col)).alias("ticket_id"),
@@ -168,5 +168,5 @@ def incident_log(classified: DataFrame, run_ts: str, text_col: str = "incident_t
     """Classification log rows: result fields, the incident text, the time."""
     return classified.select(
         "category", "severity", "line", "station", "target_team", "fallback_output",
-        F.col(text_col).alias("incident_text"), F.lit(run_ts).cast("timestamp").alias("timestamp"),
+        F.col(text_col).alias("incident_text"), F.lit(run_ts).cast("timestamp_ntz").alias("timestamp"),
     )

@@ -22,13 +22,13 @@ INGESTION_SCHEMA = T.StructType([
     T.StructField("run_date", T.DateType()),
     T.StructField("source_file", T.StringType()),
     T.StructField("rows_loaded", T.LongType()),
-    T.StructField("created_at", T.TimestampType()),
+    T.StructField("created_at", T.TimestampNTZType()),
     T.StructField("model_tag", T.StringType()),
 ])
 
 INCIDENT_SCHEMA = T.StructType([
     T.StructField("incident_id", T.StringType()),
-    T.StructField("reported_at", T.TimestampType()),
+    T.StructField("reported_at", T.TimestampNTZType()),
     T.StructField("source", T.StringType()),
     T.StructField("description", T.StringType()),
     T.StructField("category", T.StringType()),

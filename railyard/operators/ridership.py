@@ -223,7 +223,7 @@ def dataset_summary(df: DataFrame, n_top: int = 5, n_hours: int = 10) -> DataFra
         rank = F.row_number().over(Window.orderBy(F.desc("count"), F.asc("key")))
         return ranked.select(
             F.lit(section).alias("section"), F.col("key").cast("string").alias("key"),
-            F.col("count").alias("n"), rank.alias("rank"),
+            F.col("count").alias("n"), rank.cast("long").alias("rank"),
         )
 
     if station:

@@ -78,7 +78,7 @@ def pax_per_train(spark, sf_dir):
 def month_weeks(spark, sf_dir):
     months = view(spark, sf_dir, "dispatch_monthly").select(F.col("year_month").alias("ym")).distinct()
     w = months.select("ym", fc.month_weeks(F.col("ym")).alias("ws"))
-    return w.select("ym", F.explode("ws").alias("week"), F.size("ws").alias("n_weeks"))
+    return w.select("ym", F.explode("ws").alias("week"), F.size("ws").cast("long").alias("n_weeks"))
 
 
 @query("estimate_p", sql(["ridership", "dispatch_monthly"], FC_BASE,

@@ -25,7 +25,7 @@ def main() -> None:
     spark = build_session(
         f"local[{cpus}]",
         app_name="railyard-bench",
-        shuffle_partitions=cpus * 2,
+        shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus * 2)),
         extra={"spark.driver.memory": "16g", "spark.sql.files.maxPartitionBytes": "64m"},
     )
     names = only or sorted(QUERIES)

@@ -123,7 +123,13 @@ def forecast_all(ridership: DataFrame, dispatch: DataFrame | None, horizon: int
     """End to end: metro lines from turnstiles, P estimated from dispatch (its
     own turnstile rows are left out), then the per-line forecast."""
     fc_in = forecast_input(ridership)
-    metro = fc_in.where(in_lines("line", SUBTE_LINES))
+    # one pass over the fact table: daily sums by line; weekly and monthly
+    # sums (additive) both come from it, so the scan and its shuffle are shared
+    metro = (
+        fc_in.where(in_lines("line", SUBTE_LINES))
+        .groupBy(F.col("date").cast("date").alias("date"), "line")
+        .agg(F.sum("passengers").alias("passengers"))
+    )
     weekly = weekly_sum(metro)
     if dispatch is not None:
         p = estimate_p(monthly_sum(metro), dispatch_by_month(dispatch))

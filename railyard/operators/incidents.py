@@ -161,7 +161,10 @@ def tickets(classified: DataFrame, run_ts: str, description_col: str = "incident
 
 
 def team_counts(df: DataFrame) -> DataFrame:
-    return df.groupBy("target_team").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "target_team")
+    """Rows per team, largest first (the team vocabulary is small, so the
+    ordering is a single-partition sort)."""
+    g = df.groupBy("target_team").agg(F.count(F.lit(1)).alias("n"))
+    return g.coalesce(1).sortWithinPartitions(F.desc("n"), "target_team")
 
 
 def incident_log(classified: DataFrame, run_ts: str, text_col: str = "incident_text") -> DataFrame:

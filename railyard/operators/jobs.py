@@ -120,17 +120,18 @@ def insights_page(ridership: DataFrame, headway: DataFrame | None, lines=None, d
         F.sum("passengers").alias("passengers"))
     if materialize:
         pax = cut_lineage(pax)
-    hwp = (r.prepare_headway(headway, lines=lines, date_from=date_from, date_to=date_to, allowed=allowed)
+    # the page's date range defaults to the ridership range and filters headway too
+    lo, hi = r.date_range(pax)
+    hwp = (r.prepare_headway(headway, lines=lines, date_from=date_from if date_from else lo,
+                             date_to=date_to if date_to else hi, allowed=allowed)
            if headway is not None else None)
     pbl = r.sum_by_line(pax)
     hbl = r.mean_by_line(hwp) if hwp is not None else None
     k = r.kpis(pbl, hbl)
     weekly = r.with_change(r.weekly(pax), "week", "wow")
     monthly = r.with_change(r.monthly(pax), "month", "mom")
-    d = F.col("date").cast("date")
-    lo = F.lit(date_from).cast("string") if date_from else pax.select(F.min(d).cast("string")).scalar()
-    hi = F.lit(date_to).cast("string") if date_to else pax.select(F.max(d).cast("string")).scalar()
-    period = F.concat(lo, F.lit(" to "), hi)
+    period = F.concat(F.lit(date_from).cast("string") if date_from else lo.cast("string"), F.lit(" to "),
+                      F.lit(date_to).cast("string") if date_to else hi.cast("string"))
     line_df = r.lines_union(pax, hwp) if hwp is not None else r.lines_union(pax)
     return InsightsPage(
         pax_by_line=pbl, hw_by_line=hbl, kpis=k, weekly=weekly, monthly=monthly,
@@ -157,7 +158,7 @@ def load_passengers_summary(spark: SparkSession, path: str) -> tuple[DataFrame,
     """Passengers by line from the ridership Parquet, else the demo figures."""
     df = files.read_optional(spark, path, "parquet")
     if df is not None and {"line", "passengers"}.issubset(df.columns) and not df.isEmpty():
-        return r.sum_by_line(df).orderBy("line"), path
+        return r.sort_small(r.sum_by_line(df), "line"), path
     return files.demo_frames(spark)[0], "DEMO"
 
 
@@ -177,7 +178,7 @@ def load_other_metric(spark: SparkSession, headway_path: str, monthly_path: str,
     if name == "headway":
         if "year_month" in df.columns:
             df = r.mean_by_line(df.withColumn("avg_headway_min", F.col("avg_headway_min").cast("double")))
-        return df.select("line", "avg_headway_min").orderBy("line"), "headway", headway_path
+        return r.sort_small(df.select("line", "avg_headway_min"), "line"), "headway", headway_path
     col = "dispatched_trains" if name == "monthly" else "trains"
-    out = df.groupBy("line").agg(F.avg(F.col(col).cast("double")).alias("service_level")).orderBy("line")
+    out = r.sort_small(df.groupBy("line").agg(F.avg(F.col(col).cast("double")).alias("service_level")), "line")
     return out, "service", monthly_path if name == "monthly" else daily_path

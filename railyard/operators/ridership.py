@@ -9,13 +9,20 @@ statistics (latest period, last date) are lazy scalar subqueries.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coerce import hour_of, month_start, to_number
 from ..functions.lines import ALL_LINES, canonical_line_az, in_lines
 
 
+def sort_small(df: DataFrame, *cols) -> DataFrame:
+    """Order a result whose size is bounded by the line set (or a top-k):
+    one partition sorted in place, without the sampling job and range
+    shuffle of a global sort. Never use it on data that grows with input."""
+    return df.coalesce(1).sortWithinPartitions(*cols)
+
+
 def prepare_ridership(
     df: DataFrame,
     lines: tuple[str, ...] | list[str] | None = None,
@@ -33,12 +40,21 @@ def prepare_ridership(
         out = out.where(in_lines(line_col, lines))
     day = F.col(date_col).cast("date")
     if date_from is not None:
-        out = out.where(day >= F.lit(date_from).cast("date"))
+        lo = date_from if isinstance(date_from, Column) else F.lit(date_from)
+        out = out.where(day >= lo.cast("date"))
     if date_to is not None:
-        out = out.where(day <= F.lit(date_to).cast("date"))
+        hi = date_to if isinstance(date_to, Column) else F.lit(date_to)
+        out = out.where(day <= hi.cast("date"))
     return out
 
 
+def date_range(df: DataFrame, date_col: str = "date") -> tuple[Column, Column]:
+    """First and last day of a frame as scalar subqueries (the page's default
+    date range)."""
+    d = F.col(date_col).cast("date")
+    return df.select(F.min(d)).scalar(), df.select(F.max(d)).scalar()
+
+
 def prepare_headway(df: DataFrame, **filters) -> DataFrame:
     """Headway table for the page: a ``date`` at the month start, then the same
     filters as ridership."""
@@ -110,11 +126,8 @@ def with_change(df: DataFrame, period: str, out: str, value: str = "passengers")
 def latest(df: DataFrame, period: str, change: str, value: str = "passengers") -> DataFrame:
     """Rows of the latest period overall, largest change first (nulls last)."""
     last = df.select(F.max(period)).scalar()
-    return (
-        df.where(F.col(period) == last)
-        .select("line", value, change)
-        .orderBy(F.desc_nulls_last(change), "line")
-    )
+    return sort_small(df.where(F.col(period) == last).select("line", value, change),
+                      F.desc_nulls_last(change), "line")
 
 
 def trailing_days(df: DataFrame, days: int = 7, value: str = "passengers") -> DataFrame:
@@ -259,7 +272,7 @@ def lines_union(*frames: DataFrame, line: str = "line") -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return out.where(F.col("line").isNotNull()).distinct().orderBy("line")
+    return sort_small(out.where(F.col("line").isNotNull()).distinct(), "line")
 
 
 def densify_monthly(monthly_df: DataFrame, value: str = "passengers") -> DataFrame:

@@ -53,3 +53,9 @@ HW_PAGE = HEADWAY + [
            f"CAST(try_cast(concat(year_month, '-01') AS TIMESTAMP) AS DATE) AS date FROM headway "
            f"WHERE {duck.canonical_az('line')} IN {duck.ALL_LINES_SQL}"),
 ]
+
+# The page's headway: also limited to the ridership date range (its default).
+HW_PAGE_RANGED = HW_PAGE + [
+    ("hw_r", "SELECT hw.* FROM hw, (SELECT min(date) AS lo, max(date) AS hi FROM pax) b "
+             "WHERE hw.date >= b.lo AND hw.date <= b.hi"),
+]

@@ -9,7 +9,7 @@ from ..operators import ingest as ing
 from ..operators import reports as rep
 from ..operators import ridership as r
 from ..sources.testviews import view
-from .common_sql import HEADWAY, HW_PAGE, PAX
+from .common_sql import HEADWAY, HW_PAGE_RANGED, PAX
 from .q_incidents import _PARSE as INCIDENT_PARSE
 from .registry import query, sql
 
@@ -37,18 +37,19 @@ _HT = ("ht", "SELECT string_agg('- ' || line || ': ' || printf('%.2f', h) || ' m
              "AS body FROM hbl")
 
 
-@query("report_text", sql(["ridership", "dispatch_monthly"], PAX + HW_PAGE + [
+@query("report_text", sql(["ridership", "dispatch_monthly"], PAX + HW_PAGE_RANGED + [
     ("pbl", "SELECT line, sum(passengers) AS passengers FROM pax GROUP BY line"),
-    ("hbl", "SELECT line, avg(avg_headway_min) AS h FROM hw GROUP BY line"),
+    ("hbl", "SELECT line, avg(avg_headway_min) AS h FROM hw_r GROUP BY line"),
     _PT, _HT,
     ("pr", "SELECT CAST(min(date) AS VARCHAR) || ' to ' || CAST(max(date) AS VARCHAR) AS period FROM pax"),
 ], _report_sql("# AI Weekly Insights\n\n_Period:_ ", "\n\n", "**Passengers (sum by line):**",
                "**Avg. Headway (min by line):**", rep.DRAFT_SUMMARY)))
 def report_text(spark, sf_dir):
     pax = r.prepare_ridership(view(spark, sf_dir, "ridership"))
-    hw = r.prepare_headway(hw_ops.headway_etl(view(spark, sf_dir, "dispatch_monthly"), None))
-    d = F.col("date").cast("date")
-    period = pax.select(F.concat(F.min(d).cast("string"), F.lit(" to "), F.max(d).cast("string"))).scalar()
+    lo, hi = r.date_range(pax)
+    hw = r.prepare_headway(hw_ops.headway_etl(view(spark, sf_dir, "dispatch_monthly"), None),
+                           date_from=lo, date_to=hi)
+    period = F.concat(lo.cast("string"), F.lit(" to "), hi.cast("string"))
     return rep.insights_report(r.sum_by_line(pax), r.mean_by_line(hw), period)
 
 
@@ -73,12 +74,11 @@ def weekly_summary_text(spark, sf_dir):
 
 @query("weekly_payload")
 def weekly_payload(spark, sf_dir):
-    pax = r.prepare_ridership(view(spark, sf_dir, "ridership"))
-    hw = r.prepare_headway(hw_ops.headway_etl(view(spark, sf_dir, "dispatch_monthly"), None))
-    k = r.kpis(r.sum_by_line(pax), r.mean_by_line(hw))
-    d = F.col("date").cast("date")
-    period = pax.select(F.concat(F.min(d).cast("string"), F.lit(" to "), F.max(d).cast("string"))).scalar()
-    return rep.weekly_payload(k, r.lines_union(pax, hw), period, GENERATED_AT)
+    from ..operators.jobs import insights_page
+    page = insights_page(view(spark, sf_dir, "ridership"),
+                         hw_ops.headway_etl(view(spark, sf_dir, "dispatch_monthly"), None),
+                         generated_at=GENERATED_AT, materialize=False)
+    return page.payload
 
 
 @query("latest_runs", sql(["ingestion_runs"], [],

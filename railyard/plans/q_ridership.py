@@ -10,7 +10,7 @@ from ..operators import headway as hw_ops
 from ..operators import ridership as r
 from ..sources.testviews import view
 from . import duck
-from .common_sql import HW_PAGE, PAX
+from .common_sql import HW_PAGE, HW_PAGE_RANGED, PAX
 from .registry import query, rounded, sql
 
 
@@ -26,6 +26,11 @@ def _hw_page(spark, sf_dir):
     return r.prepare_headway(_headway(spark, sf_dir))
 
 
+def _hw_page_ranged(spark, sf_dir, pax):
+    lo, hi = r.date_range(pax)
+    return r.prepare_headway(_headway(spark, sf_dir), date_from=lo, date_to=hi)
+
+
 def _dbl(df, *cols):
     for c in cols:
         df = df.withColumn(c, F.col(c).cast("double"))
@@ -35,25 +40,26 @@ def _dbl(df, *cols):
 @query("sum_by_line", sql(["ridership"], PAX,
        "SELECT line, CAST(sum(passengers) AS DOUBLE) AS passengers FROM pax GROUP BY line"))
 def sum_by_line(spark, sf_dir):
-    return _dbl(r.sum_by_line(_pax(spark, sf_dir)), "passengers").orderBy(F.desc("passengers"))
+    return r.sort_small(_dbl(r.sum_by_line(_pax(spark, sf_dir)), "passengers"), F.desc("passengers"), "line")
 
 
 @query("mean_by_line", sql(["dispatch_monthly"], HW_PAGE,
        "SELECT line, round(avg(avg_headway_min), 4) AS avg_headway_min FROM hw GROUP BY line"))
 def mean_by_line(spark, sf_dir):
-    return rounded(r.mean_by_line(_hw_page(spark, sf_dir))).orderBy("avg_headway_min")
+    return r.sort_small(rounded(r.mean_by_line(_hw_page(spark, sf_dir))), "avg_headway_min", "line")
 
 
-@query("kpis", sql(["ridership", "dispatch_monthly"], PAX + HW_PAGE + [
+@query("kpis", sql(["ridership", "dispatch_monthly"], PAX + HW_PAGE_RANGED + [
     ("pbl", "SELECT line, sum(passengers) AS passengers FROM pax GROUP BY line"),
-    ("hbl", "SELECT line, avg(avg_headway_min) AS m FROM hw GROUP BY line"),
+    ("hbl", "SELECT line, avg(avg_headway_min) AS m FROM hw_r GROUP BY line"),
 ], """SELECT coalesce(CAST(trunc(sum(passengers)) AS BIGINT), 0) AS total_passengers,
           coalesce((SELECT line FROM pbl ORDER BY passengers DESC, line LIMIT 1), '—') AS top_line,
           coalesce(CAST(trunc(max(passengers)) AS BIGINT), 0) AS top_passengers,
           round((SELECT avg(m) FROM hbl), 2) AS avg_headway_min
    FROM pbl"""))
 def kpis(spark, sf_dir):
-    return r.kpis(r.sum_by_line(_pax(spark, sf_dir)), r.mean_by_line(_hw_page(spark, sf_dir)))
+    pax = _pax(spark, sf_dir)
+    return r.kpis(r.sum_by_line(pax), r.mean_by_line(_hw_page_ranged(spark, sf_dir, pax)))
 
 
 _WK = ("wk", f"SELECT line, {duck.week('date')} AS week, CAST(sum(passengers) AS DOUBLE) AS passengers "
@@ -168,10 +174,11 @@ def hour_profile(spark, sf_dir):
     return r.hour_profile(view(spark, sf_dir, "turnstiles_timed"), "hora")
 
 
-@query("lines_union", sql(["ridership", "dispatch_monthly"], PAX + HW_PAGE,
-       "SELECT line FROM pax UNION SELECT line FROM hw"))
+@query("lines_union", sql(["ridership", "dispatch_monthly"], PAX + HW_PAGE_RANGED,
+       "SELECT line FROM pax UNION SELECT line FROM hw_r"))
 def lines_union(spark, sf_dir):
-    return r.lines_union(_pax(spark, sf_dir), _hw_page(spark, sf_dir))
+    pax = _pax(spark, sf_dir)
+    return r.lines_union(pax, _hw_page_ranged(spark, sf_dir, pax))
 
 
 @query("densified_monthly", sql(["ridership"], PAX + [

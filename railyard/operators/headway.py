@@ -52,9 +52,11 @@ def headway_from_daily(df: DataFrame) -> DataFrame:
     """Daily trains summed per month and canonical line, then the same formula."""
     _require(df, {"date", "line", "trains"}, "daily dispatch")
     day = parse_iso_date(F.col("date"))
+    line = canonical_line_ah("line")
+    # a grouped sum leaves out rows whose key is null
     g = (
-        df.where(day.isNotNull())
-        .groupBy(F.date_format(day, "yyyy-MM").alias("year_month"), canonical_line_ah("line").alias("line"))
+        df.where(day.isNotNull() & line.isNotNull())
+        .groupBy(F.date_format(day, "yyyy-MM").alias("year_month"), line.alias("line"))
         .agg(F.sum(_trains("trains")).alias("dispatched_trains"))
     )
     ym = F.col("year_month")

@@ -96,12 +96,12 @@ def weekly_summary(pax: DataFrame, headway: DataFrame | None, days: int = 7,
     end = pax.select(F.max(F.col("date").cast("date"))).scalar()
     start = F.date_sub(end, days - 1)
     day = F.col("date").cast("date")
-    window = pax.where((day >= start) & (day <= end))
+    window = pax.where((day >= start) & (day <= end) & F.col("line").isNotNull())
     pax_by_line = window.groupBy("line").agg(F.sum("passengers").alias("passengers"))
     hw_body = F.lit(None).cast("string")
     if headway is not None:
         hd = F.col("date").cast("date")
-        hw_by_line = headway.where((hd >= start) & (hd <= end)).groupBy("line").agg(
+        hw_by_line = headway.where((hd >= start) & (hd <= end) & F.col("line").isNotNull()).groupBy("line").agg(
             F.avg("avg_headway_min").alias("avg_headway_min"))
         hw_body = headway_lines(hw_by_line)
     period = F.concat(start.cast("string"), F.lit(" to "), end.cast("string"))

@@ -66,11 +66,13 @@ def prepare_headway(df: DataFrame, **filters) -> DataFrame:
 
 
 def sum_by_line(df: DataFrame, value: str = "passengers", line: str = "line") -> DataFrame:
-    return df.groupBy(F.col(line).alias("line")).agg(F.sum(value).alias(value))
+    """Sum per line; rows with a null line are left out, as in a grouped sum."""
+    return df.where(F.col(line).isNotNull()).groupBy(F.col(line).alias("line")).agg(F.sum(value).alias(value))
 
 
 def mean_by_line(df: DataFrame, value: str = "avg_headway_min", line: str = "line") -> DataFrame:
-    return df.groupBy(F.col(line).alias("line")).agg(F.avg(value).alias(value))
+    """Mean per line; rows with a null line are left out."""
+    return df.where(F.col(line).isNotNull()).groupBy(F.col(line).alias("line")).agg(F.avg(value).alias(value))
 
 
 def kpis(pax_by_line: DataFrame, hw_by_line: DataFrame | None = None) -> DataFrame:
@@ -135,7 +137,7 @@ def trailing_days(df: DataFrame, days: int = 7, value: str = "passengers") -> Da
     end = df.select(F.max(F.col("date").cast("date"))).scalar()
     day = F.col("date").cast("date")
     return (
-        df.where((day >= F.date_sub(end, days - 1)) & (day <= end))
+        df.where((day >= F.date_sub(end, days - 1)) & (day <= end) & F.col("line").isNotNull())
         .groupBy("line")
         .agg(F.sum(value).alias(value))
         .withColumn("period_start", F.date_sub(end, days - 1))

@@ -20,7 +20,8 @@ _HM = (
 _HD_SUM = (
     "SELECT strftime(CAST(try_cast(CAST(date AS VARCHAR) AS TIMESTAMP) AS DATE), '%Y-%m') AS year_month, "
     "{line} AS line, sum(coalesce(try_cast(CAST(trains AS VARCHAR) AS DOUBLE), 0)) AS dispatched_trains "
-    "FROM dispatch_daily WHERE try_cast(CAST(date AS VARCHAR) AS TIMESTAMP) IS NOT NULL GROUP BY 1, 2"
+    "FROM dispatch_daily WHERE try_cast(CAST(date AS VARCHAR) AS TIMESTAMP) IS NOT NULL "
+    "AND {line} IS NOT NULL GROUP BY 1, 2"
 ).format(line=duck.canonical_ah("line"))
 
 _HD = (

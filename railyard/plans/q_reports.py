@@ -56,10 +56,10 @@ def report_text(spark, sf_dir):
 @query("weekly_summary_text", sql(["ridership", "dispatch_monthly"], HEADWAY + [
     ("b", "SELECT max(date) AS e FROM ridership"),
     ("pbl", "SELECT line, sum(passengers) AS passengers FROM ridership, b "
-            "WHERE date >= e - INTERVAL 6 DAY AND date <= e GROUP BY line"),
+            "WHERE date >= e - INTERVAL 6 DAY AND date <= e AND line IS NOT NULL GROUP BY line"),
     ("hbl", "SELECT line, avg(avg_headway_min) AS h FROM headway, b "
             "WHERE CAST(year_month || '-01' AS DATE) >= e - INTERVAL 6 DAY "
-            "AND CAST(year_month || '-01' AS DATE) <= e GROUP BY line"),
+            "AND CAST(year_month || '-01' AS DATE) <= e AND line IS NOT NULL GROUP BY line"),
     _PT, _HT,
     ("pr", "SELECT CAST(CAST(e - INTERVAL 6 DAY AS DATE) AS VARCHAR) || ' to ' || CAST(e AS VARCHAR) AS period "
            "FROM b"),

@@ -115,7 +115,8 @@ def latest_wow(spark, sf_dir):
 @query("trailing_week", sql(["ridership"], [("b", "SELECT max(date) AS e FROM ridership")],
        """SELECT line, CAST(sum(passengers) AS DOUBLE) AS passengers,
                  CAST(e - INTERVAL 6 DAY AS DATE) AS period_start, e AS period_end
-          FROM ridership, b WHERE date >= e - INTERVAL 6 DAY AND date <= e GROUP BY line, e"""))
+          FROM ridership, b WHERE date >= e - INTERVAL 6 DAY AND date <= e AND line IS NOT NULL
+          GROUP BY line, e"""))
 def trailing_week(spark, sf_dir):
     return _dbl(r.trailing_days(view(spark, sf_dir, "ridership"), 7), "passengers")
 

@@ -42,3 +42,9 @@ def test_calibrated_median_is_target(spark):
 def test_out_of_range(spark):
     df = spark.createDataFrame([(0.5,), (1.0,), (20.0,), (20.5,)], "avg_headway_min double")
     assert sorted(r[0] for r in h.out_of_range(df).collect()) == [0.5, 20.5]
+
+
+def test_daily_leaves_out_null_lines(spark):
+    df = spark.createDataFrame([("2024-03-01", None, 100), ("2024-03-01", "B", 10)],
+                               "date string, line string, trains long")
+    assert [(r.line) for r in h.headway_from_daily(df).collect()] == ["B"]

@@ -77,3 +77,13 @@ def test_change_with_gap_and_zero(spark):
     assert got[("A", dt.date(2024, 1, 22))] == 50.0          # missing week: last seen is previous
     latest = r.latest(r.with_change(df, "week", "wow"), "week", "wow").collect()
     assert [x.line for x in latest] == ["A"]                 # line B absent in the latest week
+
+
+def test_trailing_week_leaves_out_null_lines(spark):
+    import datetime as dt
+    rows = [(dt.date(2024, 1, 10), "A", 5.0), (dt.date(2024, 1, 10), None, 7.0), (dt.date(2024, 1, 1), "A", 9.0)]
+    df = spark.createDataFrame(rows, "date date, line string, passengers double")
+    got = [(x.line, x.passengers) for x in r.trailing_days(df, 7).collect()]
+    assert got == [("A", 5.0)]
+    text = rep.weekly_summary(df, None).first().report
+    assert text.startswith("# Weekly Summary (2024-01-04 to 2024-01-10)\n\n**Passengers (sum, last 7 days):**\n- A: 5")

@@ -85,8 +85,13 @@ def fill_template(text: Column, template: str = INCIDENT_PROMPT, marker: str = I
 
 
 def extract_braced(raw: Column) -> Column:
-    """Text from the first ``{`` to the last ``}``; null when there is none."""
-    return F.nullif(F.regexp_extract(raw, r"(?s)(\{.*\})", 1), F.lit(""))
+    """Text from the first ``{`` to the last ``}``; null when there is none or
+    the last ``}`` comes first. Index arithmetic (``instr`` on the text and on
+    its reverse), linear in the text length."""
+    start = F.instr(raw, "{")
+    last = F.length(raw) - F.instr(F.reverse(raw), "}") + 1
+    ok = (start > 0) & (F.instr(raw, "}") > 0) & (last > start)
+    return F.when(ok, raw.substr(start, last - start + 1))
 
 
 def parse_object(raw: Column) -> Column:

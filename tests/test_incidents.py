@@ -88,3 +88,16 @@ def test_ticket_and_prompt(spark):
 def test_team_counts(spark):
     df = spark.createDataFrame([("a",), ("b",), ("a",)], "target_team string")
     assert [(r.target_team, r.n) for r in inc.team_counts(df).collect()] == [("a", 2), ("b", 1)]
+
+
+def test_linear_time_on_pathological_texts(spark):
+    import time
+    from railyard.functions.coerce import py_strip
+    braces = "{" * 200_000 + " tail"
+    spaces = "a" + " " * 200_000 + "b "
+    df = spark.createDataFrame([(braces,), (spaces,)], "raw_output string")
+    t = time.time()
+    rows = inc.classify(df).select("parsed_ok", py_strip(F.col("raw_output")).alias("s")).collect()
+    assert time.time() - t < 20
+    assert [r.parsed_ok for r in rows] == [False, False]
+    assert rows[1].s == "a" + " " * 200_000 + "b"

@@ -31,7 +31,8 @@ def run_quality_pipeline(spark: SparkSession, raw_path: str, processed_dir: str,
 
     The checks read the saved Parquet, not the CSV plan: the clean data is
     materialised once and every later action starts from it."""
-    raw = files.load_csv(spark, raw_path)
+    # numbers become numeric columns, as a CSV reader with type inference gives
+    raw = files.infer_types(files.load_csv(spark, raw_path))
     clean = q.basic_cleaning(raw)
     out = sinks.save_dataset(clean, processed_dir, cfg.name)
     saved = spark.read.parquet(out["parquet"])

@@ -247,7 +247,7 @@ def quality_result(raw: DataFrame, clean: DataFrame, cfg: DataQualityConfig,
     iss = issues(clean, cfg)
     iss_list = iss.select(F.transform(F.array_sort(F.collect_list(F.struct("seq", "issue"))),
                                       lambda s: s.getField("issue")).alias("issues"))
-    anom = numeric_anomalies(clean, cfg.numeric_columns or None, z_threshold)
+    anom = numeric_anomalies(clean, cfg.numeric_columns, z_threshold)
     anom_cols = anom.select(F.array_sort(F.collect_set("column_name")).alias("anomaly_columns"))
     return raw.agg(F.count(F.lit(1)).alias("n_rows_before")).select(
         F.lit(cfg.name).alias("dataset_name"),

@@ -114,6 +114,7 @@ def dq_issues(spark, sf_dir):
 
 @query("dq_result")
 def dq_result(spark, sf_dir):
-    raw = view(spark, sf_dir, "turnstiles_raw")
+    from ..sources.files import infer_types
+    raw = infer_types(view(spark, sf_dir, "turnstiles_raw"))
     clean = q.basic_cleaning(raw)
     return q.quality_result(raw, clean, q.guess_rules(clean, "turnstiles_raw"))

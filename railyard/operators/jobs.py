@@ -159,8 +159,8 @@ def load_passengers_summary(spark: SparkSession, path: str) -> tuple[DataFrame,
     """Passengers by line from the ridership Parquet, else the demo figures."""
     df = files.read_optional(spark, path, "parquet")
     if df is not None and {"line", "passengers"}.issubset(df.columns) and not df.isEmpty():
-        return r.sort_small(r.sum_by_line(df), "line"), path
-    return files.demo_frames(spark)[0], "DEMO"
+        return _tag(r.sort_small(r.sum_by_line(df), "line"), "passengers", path), path
+    return _tag(files.demo_frames(spark)[0], "passengers", "DEMO"), "DEMO"
 
 
 def load_other_metric(spark: SparkSession, headway_path: str, monthly_path: str, daily_path: str
@@ -174,12 +174,19 @@ def load_other_metric(spark: SparkSession, headway_path: str, monthly_path: str,
         ("daily", lambda: files.read_optional(spark, daily_path, "parquet"), {"line", "trains"}),
     ])
     if found is None:
-        return files.demo_frames(spark)[1], "headway", "DEMO"
+        return _tag(files.demo_frames(spark)[1], "headway", "DEMO"), "headway", "DEMO"
     name, df = found
     if name == "headway":
         if "year_month" in df.columns:
             df = r.mean_by_line(df.withColumn("avg_headway_min", F.col("avg_headway_min").cast("double")))
-        return r.sort_small(df.select("line", "avg_headway_min"), "line"), "headway", headway_path
+        out = r.sort_small(df.select("line", "avg_headway_min"), "line")
+        return _tag(out, "headway", headway_path), "headway", headway_path
     col = "dispatched_trains" if name == "monthly" else "trains"
+    src = monthly_path if name == "monthly" else daily_path
     out = r.sort_small(df.groupBy("line").agg(F.avg(F.col(col).cast("double")).alias("service_level")), "line")
-    return out, "service", monthly_path if name == "monthly" else daily_path
+    return _tag(out, "service", src), "service", src
+
+
+def _tag(df: DataFrame, kind: str, source: str) -> DataFrame:
+    """Constant columns naming the chosen source and its kind."""
+    return df.withColumn("kind", F.lit(kind)).withColumn("source", F.lit(source))

@@ -86,3 +86,9 @@ def test_estimate_p_without_ratio_is_empty(spark):
     pax = spark.createDataFrame([], "line string, ym string, passengers double")
     disp = spark.createDataFrame([("2024-01", "P", 4)], "ym string, line string, dispatched_trains long")
     assert fc.estimate_p(pax, disp).count() == 0
+
+
+def test_estimate_p_without_p_rows_is_empty(spark):
+    pax = spark.createDataFrame([("A", "2024-01", 1000.0)], "line string, ym string, passengers double")
+    disp = spark.createDataFrame([("2024-01", "A", 10)], "ym string, line string, dispatched_trains long")
+    assert fc.estimate_p(pax, disp).count() == 0

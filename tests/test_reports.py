@@ -87,3 +87,26 @@ def test_trailing_week_leaves_out_null_lines(spark):
     assert got == [("A", 5.0)]
     text = rep.weekly_summary(df, None).first().report
     assert text.startswith("# Weekly Summary (2024-01-04 to 2024-01-10)\n\n**Passengers (sum, last 7 days):**\n- A: 5")
+
+
+def test_saved_change_table_golden(spark, tmpdir_path):
+    """Rows of the saved month-over-month table, written through the result
+    sink, give the saved file: order (change descending) and number text."""
+    import glob
+    from railyard.sources import sinks
+    rows = [("B", 3767936.0, -0.5920519251778944), ("E", 1334195.0, -11.58685686188493),
+            ("A", 3045587.0, 0.9160884576896899), ("H", 1544000.0, -5.603623255745704),
+            ("C", 2260538.0, -4.59868394398153), ("D", 2849870.0, -10.83459187443937)]
+    df = spark.createDataFrame([(x[0], "2024-12", x[1], x[2]) for x in rows],
+                               "line string, month string, passengers double, mom double")
+    out = sinks.write_table(r.latest(df, "month", "mom"), f"{tmpdir_path}/changes", "csv")
+    text = "".join(open(f, encoding="utf-8").read() for f in sorted(glob.glob(f"{out}/part-*.csv")))
+    assert text == (
+        "line,passengers,mom\n"
+        "A,3045587.0,0.9160884576896899\n"
+        "B,3767936.0,-0.5920519251778944\n"
+        "C,2260538.0,-4.59868394398153\n"
+        "H,1544000.0,-5.603623255745704\n"
+        "D,2849870.0,-10.83459187443937\n"
+        "E,1334195.0,-11.58685686188493\n"
+    )

@@ -52,7 +52,8 @@ def date_range(df: DataFrame, date_col: str = "date") -> tuple[Column, Column]:
     """First and last day of a frame as scalar subqueries (the page's default
     date range)."""
     d = F.col(date_col).cast("date")
-    return df.select(F.min(d)).scalar(), df.select(F.max(d)).scalar()
+    both = df.select(F.struct(F.min(d).alias("lo"), F.max(d).alias("hi"))).scalar()
+    return both.getField("lo"), both.getField("hi")
 
 
 def prepare_headway(df: DataFrame, **filters) -> DataFrame:

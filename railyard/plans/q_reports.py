@@ -45,12 +45,8 @@ _HT = ("ht", "SELECT string_agg('- ' || line || ': ' || printf('%.2f', h) || ' m
 ], _report_sql("# AI Weekly Insights\n\n_Period:_ ", "\n\n", "**Passengers (sum by line):**",
                "**Avg. Headway (min by line):**", rep.DRAFT_SUMMARY)))
 def report_text(spark, sf_dir):
-    pax = r.prepare_ridership(view(spark, sf_dir, "ridership"))
-    lo, hi = r.date_range(pax)
-    hw = r.prepare_headway(hw_ops.headway_etl(view(spark, sf_dir, "dispatch_monthly"), None),
-                           date_from=lo, date_to=hi)
-    period = F.concat(lo.cast("string"), F.lit(" to "), hi.cast("string"))
-    return rep.insights_report(r.sum_by_line(pax), r.mean_by_line(hw), period)
+    from .q_ridership import _page
+    return _page(spark, sf_dir).report
 
 
 @query("weekly_summary_text", sql(["ridership", "dispatch_monthly"], HEADWAY + [

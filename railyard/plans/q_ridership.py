@@ -26,9 +26,11 @@ def _hw_page(spark, sf_dir):
     return r.prepare_headway(_headway(spark, sf_dir))
 
 
-def _hw_page_ranged(spark, sf_dir, pax):
-    lo, hi = r.date_range(pax)
-    return r.prepare_headway(_headway(spark, sf_dir), date_from=lo, date_to=hi)
+def _page(spark, sf_dir):
+    """The insights page over the test tables (one daily-by-line aggregate
+    of ridership feeds every output; not materialised, one query each)."""
+    from ..operators.jobs import insights_page
+    return insights_page(view(spark, sf_dir, "ridership"), _headway(spark, sf_dir), materialize=False)
 
 
 def _dbl(df, *cols):
@@ -58,8 +60,7 @@ def mean_by_line(spark, sf_dir):
           round((SELECT avg(m) FROM hbl), 2) AS avg_headway_min
    FROM pbl"""))
 def kpis(spark, sf_dir):
-    pax = _pax(spark, sf_dir)
-    return r.kpis(r.sum_by_line(pax), r.mean_by_line(_hw_page_ranged(spark, sf_dir, pax)))
+    return _page(spark, sf_dir).kpis
 
 
 _WK = ("wk", f"SELECT line, {duck.week('date')} AS week, CAST(sum(passengers) AS DOUBLE) AS passengers "
@@ -178,8 +179,7 @@ def hour_profile(spark, sf_dir):
 @query("lines_union", sql(["ridership", "dispatch_monthly"], PAX + HW_PAGE_RANGED,
        "SELECT line FROM pax UNION SELECT line FROM hw_r"))
 def lines_union(spark, sf_dir):
-    pax = _pax(spark, sf_dir)
-    return r.lines_union(pax, _hw_page_ranged(spark, sf_dir, pax))
+    return _page(spark, sf_dir).lines
 
 
 @query("densified_monthly", sql(["ridership"], PAX + [

@@ -79,22 +79,27 @@ def mean_by_line(df: DataFrame, value: str = "avg_headway_min", line: str = "lin
 def kpis(pax_by_line: DataFrame, hw_by_line: DataFrame | None = None) -> DataFrame:
     """One-row KPI record: total (truncated to whole passengers), top line by
     passengers (ties to the first label) with its value, and the unweighted
-    mean of line headways rounded to 2. Empty input gives 0, '—' and 0."""
-    p = F.col("passengers")
-    pax = pax_by_line.agg(
-        F.sum(p).cast("long").alias("total_passengers"),
+    mean of line headways rounded to 2. Empty input gives 0, '—' and 0.
+
+    The passenger and headway parts are one-row aggregates combined by a
+    union and a global aggregate (each column is set by one part only)."""
+    p = F.col("passengers").cast("double")
+    null_l, null_s = F.lit(None).cast("long"), F.lit(None).cast("string")
+    parts = pax_by_line.agg(
+        F.sum("passengers").cast("long").alias("total"),
         F.min_by("line", F.struct((-p).alias("neg"), F.col("line"))).alias("top_line"),
-        F.max(p).cast("long").alias("top_passengers"),
+        F.max("passengers").cast("long").alias("top"),
+        F.lit(None).cast("double").alias("hw"),
     )
-    if hw_by_line is None:
-        hw = F.lit(None).cast("double")
-    else:
-        hw = F.round(hw_by_line.select(F.avg("avg_headway_min")).scalar(), 2)
-    return pax.select(
-        F.coalesce("total_passengers", F.lit(0).cast("long")).alias("total_passengers"),
-        F.coalesce("top_line", F.lit("—")).alias("top_line"),
-        F.coalesce("top_passengers", F.lit(0).cast("long")).alias("top_passengers"),
-        hw.alias("avg_headway_min"),
+    if hw_by_line is not None:
+        parts = parts.unionByName(hw_by_line.agg(
+            null_l.alias("total"), null_s.alias("top_line"), null_l.alias("top"),
+            F.avg("avg_headway_min").alias("hw")))
+    return parts.agg(
+        F.coalesce(F.max("total"), F.lit(0).cast("long")).alias("total_passengers"),
+        F.coalesce(F.max("top_line"), F.lit("—")).alias("top_line"),
+        F.coalesce(F.max("top"), F.lit(0).cast("long")).alias("top_passengers"),
+        F.round(F.max("hw"), 2).alias("avg_headway_min"),
     )
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.coerce import hour_of, month_start, to_number
+from ..functions.coerce import hour_of, month_start, parse_day_first, to_number
 from ..functions.lines import ALL_LINES, canonical_line_az, in_lines
 
 
@@ -152,13 +152,15 @@ def trailing_days(df: DataFrame, days: int = 7, value: str = "passengers") -> Da
 
 
 def system_summary(df: DataFrame, station: str = "estacion", date_col: str = "fecha") -> DataFrame:
-    """Rows, distinct stations (exact) and first / last day."""
+    """Rows, distinct stations (exact) and first / last day (dates parsed
+    day-first, so text dates compare as dates)."""
     n_st = F.count_distinct(station) if station in df.columns else F.lit(None).cast("long")
+    day = parse_day_first(df, date_col)
     return df.agg(
         F.count(F.lit(1)).alias("total_records"),
         n_st.alias("n_stations"),
-        F.min(F.col(date_col)).cast("date").alias("first_date"),
-        F.max(F.col(date_col)).cast("date").alias("last_date"),
+        F.min(day).cast("date").alias("first_date"),
+        F.max(day).cast("date").alias("last_date"),
     )
 
 
@@ -169,7 +171,7 @@ def global_totals(df: DataFrame, columns=("pax_pagos", "pax_pases_pagos", "pax_t
     aggs = []
     for c, n in zip(columns, names):
         if c in df.columns:
-            aggs.append(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n))
+            aggs.append(F.coalesce(F.sum(to_number(df, c)), F.lit(0)).cast("long").alias(n))
         else:
             aggs.append(F.lit(None).cast("long").alias(n))
     return df.agg(*aggs)
@@ -185,7 +187,8 @@ def top_stations(df: DataFrame, station: str, pax: str | None, k: int = 10) -> D
     if pax is not None and pax in df.columns:
         num = to_number(base, pax).cast("double")
         g = base.groupBy(F.col(station).alias("station")).agg(
-            F.sum(num).alias("s"), F.count(num).alias("nn"), F.count(F.lit(1)).alias("n")
+            F.coalesce(F.sum(num), F.lit(0.0)).alias("s"), F.count(num).alias("nn"),
+            F.count(F.lit(1)).alias("n"),
         )
         use = g.select((F.sum("nn") > 0) & (F.sum("s") > 0)).scalar()
     else:

@@ -140,7 +140,7 @@ def global_totals(spark, sf_dir):
 
 
 @query("top_stations", sql(["turnstiles"], [
-    ("g", "SELECT estacion AS station, sum(CAST(pax_total AS DOUBLE)) AS s, count(pax_total) AS nn, "
+    ("g", "SELECT estacion AS station, coalesce(sum(CAST(pax_total AS DOUBLE)), 0) AS s, count(pax_total) AS nn, "
           "count(*) AS n FROM turnstiles WHERE estacion IS NOT NULL GROUP BY 1"),
     ("u", "SELECT coalesce(sum(nn) > 0 AND sum(s) > 0, false) AS use FROM g"),
 ], """SELECT station, CASE WHEN use THEN s ELSE CAST(n AS DOUBLE) END AS value,

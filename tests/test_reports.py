@@ -110,3 +110,18 @@ def test_saved_change_table_golden(spark, tmpdir_path):
         "D,2849870.0,-10.83459187443937\n"
         "E,1334195.0,-11.58685686188493\n"
     )
+
+
+def test_station_and_summary_rules(spark):
+    df = spark.createDataFrame(
+        [("S1", "13/2/2024", "5"), ("S1", "2/1/2024", "x"), ("S2", "9/3/2024", "y"), (None, "1/1/2020", "9")],
+        "estacion string, fecha string, pax_total string")
+    top = {x.station: (x.value, x.metric) for x in r.top_stations(df, "estacion", "pax_total").collect()}
+    assert top == {"S1": (5.0, "passengers"), "S2": (0.0, "passengers")}
+    by_count = {x.station: x.value for x in r.top_stations(df, "estacion", None).collect()}
+    assert by_count == {"S1": 2.0, "S2": 1.0}
+    summ = r.system_summary(df).first()
+    assert (summ.total_records, summ.n_stations, str(summ.first_date), str(summ.last_date)) == (
+        4, 2, "2020-01-01", "2024-03-09")
+    tot = r.global_totals(df).first()
+    assert (tot.total_entries, tot.total_passes, tot.total_traffic) == (None, None, 14)

@@ -209,20 +209,23 @@ def issues(df: DataFrame, cfg: DataQualityConfig) -> DataFrame:
         seq = seq.when(chk == "below_min", F.lit(400) + pos_rng[col] * 2)
         seq = seq.when(chk == "above_max", F.lit(401) + pos_rng[col] * 2)
     parts.append(counts.select(seq.cast("int").alias("seq"), msg.alias("issue")).where(F.col("issue").isNotNull()))
-    # allowed sets: the sorted distinct bad values, capped in the text only
+    # allowed sets: the first sorted distinct bad values of each column. Each
+    # column is a top-k (k = shown + 1, to know whether more exist), so the
+    # text never gathers more than k values whatever the number of bad values.
     bad = allowed_violations(df, cfg)
-    pos_allowed = {c: i for i, c in enumerate(cfg.allowed_values)}
-    if pos_allowed:
-        pm = F.create_map(*[x for c, i in pos_allowed.items() for x in (F.lit(c), F.lit(i))])
+    for pos, col_name in enumerate(cfg.allowed_values):
+        if col_name not in df.columns:
+            continue
         quoted = F.coalesce(F.concat(F.lit("'"), F.col("bad_value"), F.lit("'")), F.lit("None"))
-        shown = F.slice(F.sort_array(F.collect_list(quoted)), 1, ISSUE_VALUES_SHOWN)
-        g = bad.groupBy("column_name").agg(shown.alias("vals"), F.count(F.lit(1)).alias("k"))
+        first = (bad.where(F.col("column_name") == col_name).select(quoted.alias("v"))
+                 .orderBy("v").limit(ISSUE_VALUES_SHOWN + 1))
+        g = first.agg(F.sort_array(F.collect_list("v")).alias("vals"))
+        vals = F.slice(F.col("vals"), 1, ISSUE_VALUES_SHOWN)
         text = F.concat(
-            F.lit("Column '"), F.col("column_name"), F.lit("' contains values outside allowed set: ["),
-            F.array_join("vals", " "),
-            F.when(F.col("k") > ISSUE_VALUES_SHOWN, F.lit(" ...")).otherwise(F.lit("")), F.lit("]"),
+            F.lit(f"Column '{col_name}' contains values outside allowed set: ["), F.array_join(vals, " "),
+            F.when(F.size("vals") > ISSUE_VALUES_SHOWN, F.lit(" ...")).otherwise(F.lit("")), F.lit("]"),
         )
-        parts.append(g.select((F.lit(300) + pm[F.col("column_name")]).cast("int").alias("seq"), text.alias("issue")))
+        parts.append(g.where(F.size("vals") > 0).select(F.lit(300 + pos).alias("seq"), text.alias("issue")))
     dups = duplicate_keys(df, cfg)
     key_text = {",".join(k): _py_list(k) for k in cfg.unique_keys}
     key_pos = {",".join(k): i for i, k in enumerate(cfg.unique_keys)}

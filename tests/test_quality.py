@@ -68,3 +68,11 @@ def test_guess_rules(spark):
     cfg = q.guess_rules(df, "x")
     assert cfg.date_columns == ["fecha"] and cfg.numeric_columns == ["pax_total"]
     assert cfg.non_null_columns == ["fecha", "linea"]
+
+
+def test_allowed_issue_lists_at_most_twenty(spark):
+    df = spark.range(0, 500).selectExpr("CAST(id AS STRING) AS code")
+    cfg = q.DataQualityConfig(name="t", expected_columns=["code"], allowed_values={"code": ["1"]})
+    got = [r.issue for r in q.issues(df, cfg).collect()]
+    assert len(got) == 1 and got[0].endswith(" ...]")
+    assert got[0].count("'") == 2 + 2 * 20  # the column name, then twenty values

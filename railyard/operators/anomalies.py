@@ -71,20 +71,24 @@ def detect_anomalies(series: DataFrame, cfg: AnomalyConfig = AnomalyConfig()) ->
     else:
         w = Window.orderBy("date")
     w = w.rowsBetween(-(cfg.window - 1), Window.currentRow)
-    enough = F.count(v).over(w) >= cfg.min_periods
-    mean = F.when(enough, F.avg(v).over(w))
-    std = F.when(enough, F.nullif(F.stddev_pop(v).over(w), F.lit(0.0)))
-    out = (
-        series.withColumn(cfg.value_col, v)
-        .withColumn("rolling_mean", mean)
-        .withColumn("rolling_std", std)
-        .withColumn("z_score", (F.col(cfg.value_col) - F.col("rolling_mean")) / F.col("rolling_std"))
+    # the three frame aggregates in one select: one Window operator, one pass
+    stats = series.select(
+        *[F.col(c) for c in series.columns if c != cfg.value_col], v.alias(cfg.value_col),
+        F.count(v).over(w).alias("_n"), F.avg(v).over(w).alias("_m"), F.stddev_pop(v).over(w).alias("_s"),
     )
-    z = F.col("z_score")
+    enough = F.col("_n") >= cfg.min_periods
+    mean = F.when(enough, F.col("_m"))
+    std = F.when(enough, F.nullif(F.col("_s"), F.lit(0.0)))
+    z = (F.col(cfg.value_col) - mean) / std
     thr = cfg.z_threshold
-    return out.withColumn("is_anomaly", F.coalesce(F.abs(z) >= thr, F.lit(False))).withColumn(
+    out = stats.select(
+        *[F.col(c) for c in series.columns], mean.alias("rolling_mean"), std.alias("rolling_std"),
+        z.alias("z_score"),
+    )
+    zc = F.col("z_score")
+    return out.withColumn("is_anomaly", F.coalesce(F.abs(zc) >= thr, F.lit(False))).withColumn(
         "anomaly_type",
-        F.when(z >= thr, "spike").when(z <= -thr, "drop").otherwise("normal"),
+        F.when(zc >= thr, "spike").when(zc <= -thr, "drop").otherwise("normal"),
     )
 
 

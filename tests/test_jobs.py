@@ -23,12 +23,12 @@ def test_quality_pipeline(spark, tmpdir_path):
     raw = os.path.join(tmpdir_path, "raw.csv")
     with open(raw, "w", encoding="latin-1") as f:
         f.write("Fecha,Linea,Estacion ,Pax-Total\n1/2/2024,A,Peña,5\n1/2/2024,A,Peña,5\n2/2/2024, B ,X,7\n")
-    cfg = q.DataQualityConfig(name="molinetes", expected_columns=["fecha", "linea", "estacion", "pax_total"],
+    cfg = q.DataQualityConfig(name="turnstile_export", expected_columns=["fecha", "linea", "estacion", "pax_total"],
                               non_null_columns=["fecha"], allowed_values={"linea": ["A", "B"]})
     res = jobs.run_quality_pipeline(spark, raw, os.path.join(tmpdir_path, "out"), cfg).first()
     assert (res.n_rows_before, res.n_rows_after, res.n_columns) == (3, 2, 4)
     assert res.issues == [] and res.is_acceptable
-    saved = spark.read.parquet(os.path.join(tmpdir_path, "out", "molinetes_clean.parquet"))
+    saved = spark.read.parquet(os.path.join(tmpdir_path, "out", "turnstile_export_clean.parquet"))
     assert sorted(x.estacion for x in saved.collect()) == ["Peña", "X"]
 
 

@@ -26,17 +26,40 @@ SESSION_DEFAULTS = {
 }
 
 
+# Settings for a large cluster (order of 1,000 executors, 100 TB of input).
+# Sizing: 100 TB / 512 MB splits = about 200,000 scan tasks, each well inside
+# executor memory; every aggregate combines map-side first, so shuffles carry
+# partial aggregates, not rows. AQE starts from 16,000 shuffle partitions and
+# coalesces them to about 256 MB each; a partition five times the median and
+# over 1 GB is split (skew join). Broadcasts are capped at 64 MB: only
+# month- or line-level aggregates are ever joined.
+CLUSTER_PROFILE = {
+    "spark.sql.files.maxPartitionBytes": "512m",
+    "spark.sql.shuffle.partitions": "16000",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "16000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1g",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+}
+
+
 def build_session(
     master: str | None = None,
     app_name: str = "railyard",
     shuffle_partitions: int | None = None,
     extra: dict[str, str] | None = None,
+    cluster: bool = False,
 ) -> SparkSession:
-    """Create (or reuse) a session with the engine's defaults."""
+    """Create (or reuse) a session with the engine's defaults (and the
+    cluster profile when ``cluster`` is set)."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(SESSION_DEFAULTS)
+    if cluster:
+        conf.update(CLUSTER_PROFILE)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.coerce import to_number
 from ..functions.lines import ALL_LINES, SUBTE_LINES, in_lines, normalize_line
 from .ridership import week_start
 
@@ -42,7 +43,7 @@ def dispatch_by_month(disp: DataFrame) -> DataFrame:
     return disp.select(
         F.col("year_month").cast("string").alias("ym"),
         normalize_line("line").alias("line"),
-        F.col("dispatched_trains"),
+        to_number(disp, "dispatched_trains").alias("dispatched_trains"),
     ).where(in_lines("line", ALL_LINES))
 
 

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..session import shared_path
 from ..sources.files import load_folder
 from ..sources.testviews import view
-from .registry import query, sql
+from .common_sql import HEADWAY
+from .q_forecast import _FC_OUT, _FIT, _forecast_sql
+from .registry import query, rounded, sql
 
 _RAW_COLS = [" Fecha", "Hora", "LINEA", "Estacion ", "Pax-Total"]
 
@@ -35,3 +37,54 @@ def csv_folder_roundtrip(spark, sf_dir):
                   "ISO-8859-1")
     back = load_folder(spark, f"{base}/*/part-*.csv", sep=";")
     return back.select(*[F.col(f"`{c}`") for c in _RAW_COLS])
+
+
+def _export_dir(spark, sf_dir: str, name: str) -> str:
+    return shared_path(spark, "exports", hashlib.sha1(sf_dir.encode()).hexdigest()[:12], name)
+
+
+def _export_csv(spark, sf_dir: str, name: str, sep: str = ",") -> str:
+    path = _export_dir(spark, sf_dir, f"{name}.csv")
+    (view(spark, sf_dir, name).write.mode("overwrite").option("header", "true").option("sep", sep).csv(path))
+    return path
+
+
+_HW_COLS = "year_month, line, round(avg_headway_min, 4) AS avg_headway_min, source"
+
+
+@query("headway_from_csv", sql(["dispatch_monthly"], HEADWAY, f"SELECT {_HW_COLS} FROM headway"))
+def headway_from_csv(spark, sf_dir):
+    """Headway ETL from files: the monthly dispatch exported as CSV (text
+    columns), the daily source as a fallback that is not needed."""
+    from ..operators.jobs import headway_from_files
+    monthly = _export_csv(spark, sf_dir, "dispatch_monthly")
+    return rounded(headway_from_files(spark, monthly, _export_dir(spark, sf_dir, "missing.parquet")))
+
+
+@query("forecast_from_files", sql(["ridership", "dispatch_monthly"],
+                                  _FIT + _forecast_sql("wk_all"), _FC_OUT))
+def forecast_from_files(spark, sf_dir):
+    """Forecast end to end from a ridership Parquet export and a monthly
+    dispatch CSV export."""
+    from ..operators.jobs import forecast_from_files as run
+    pax = _export_dir(spark, sf_dir, "ridership.parquet")
+    view(spark, sf_dir, "ridership").write.mode("overwrite").parquet(pax)
+    return rounded(run(spark, pax, _export_csv(spark, sf_dir, "dispatch_monthly")))
+
+
+@query("dq_from_csv")
+def dq_from_csv(spark, sf_dir):
+    """The quality job on a ';'-free CSV export of the raw turnstile table:
+    load with type inference, clean, save, check, summarise."""
+    from ..operators.jobs import run_quality_pipeline
+    from ..operators.quality import DataQualityConfig
+    src = _export_dir(spark, sf_dir, "turnstiles_raw.csv")
+    (view(spark, sf_dir, "turnstiles_raw").write.mode("overwrite").option("header", "true")
+     .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(src))
+    cfg = DataQualityConfig(
+        name="turnstiles_raw", expected_columns=["fecha", "hora", "linea", "estacion", "pax_total"],
+        non_null_columns=["fecha", "linea", "estacion"], numeric_columns=["pax_total"],
+        allowed_values={"linea": ["Linea A", "LíneaB", "C", "D", "Premetro"]},
+        value_ranges={"pax_total": (0, 4)}, unique_keys=[["fecha", "hora", "linea", "estacion", "pax_total"]],
+        min_rows=1)
+    return run_quality_pipeline(spark, src, _export_dir(spark, sf_dir, "processed"), cfg)

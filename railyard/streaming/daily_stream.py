@@ -67,7 +67,10 @@ def start_daily_ingest(spark: SparkSession, source_dir: str, out_dir: str, log_d
             s.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
         if log_dir:
             now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-            n = out.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+            # counted from the partition just written, not by running the
+            # stateful batch plan a second time
+            written = s.read.parquet(out_dir).where(F.col("batch_id") == batch_id)
+            n = written.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
             rec = s.createDataFrame(
                 [(f"stream_{batch_id}", now.date(), source_dir, int(n), now, model_tag)], INGESTION_SCHEMA)
             append_log(rec, log_dir, "ingestion_runs")

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,8 +70,11 @@ def start_daily_ingest(spark: SparkSession, source_dir: str, out_dir: str, log_d
             now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
             # counted from the partition just written, not by running the
             # stateful batch plan a second time
-            written = s.read.parquet(out_dir).where(F.col("batch_id") == batch_id)
-            n = written.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+            try:
+                written = s.read.parquet(out_dir).where(F.col("batch_id") == batch_id)
+                n = written.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+            except AnalysisException:  # nothing written yet (no window final)
+                n = 0
             rec = s.createDataFrame(
                 [(f"stream_{batch_id}", now.date(), source_dir, int(n), now, model_tag)], INGESTION_SCHEMA)
             append_log(rec, log_dir, "ingestion_runs")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.coerce import to_number
 from ..functions.lines import ALL_LINES, SUBTE_LINES, in_lines, normalize_line
-from .ridership import week_start
+from .ridership import daily_by_line, week_start
 
 # Horizon, minimum points for a fit, band width in deviations.
 HORIZON = 4
@@ -123,14 +123,10 @@ def trend_forecast(weekly: DataFrame, horizon: int = HORIZON, min_points: int =
 def forecast_all(ridership: DataFrame, dispatch: DataFrame | None, horizon: int = HORIZON) -> DataFrame:
     """End to end: metro lines from turnstiles, P estimated from dispatch (its
     own turnstile rows are left out), then the per-line forecast."""
-    fc_in = forecast_input(ridership)
-    # one pass over the fact table: daily sums by line; weekly and monthly
-    # sums (additive) both come from it, so the scan and its shuffle are shared
-    metro = (
-        fc_in.where(in_lines("line", SUBTE_LINES))
-        .groupBy(F.col("date").cast("date").alias("date"), "line")
-        .agg(F.sum("passengers").alias("passengers"))
-    )
+    # one pass over the fact table: daily sums by line, forecast labels
+    # applied after the first aggregation; weekly and monthly sums (additive)
+    # both come from it, so the scan and its shuffle are shared
+    metro = daily_by_line(ridership, label=normalize_line, allowed=SUBTE_LINES)
     weekly = weekly_sum(metro)
     if dispatch is not None:
         p = estimate_p(monthly_sum(metro), dispatch_by_month(dispatch))

@@ -46,13 +46,9 @@ def ridership_from_turnstiles(df: DataFrame, date_col: str = "fecha", line_col:
     and line. Unparseable dates and unknown lines are left out."""
     dfx = light_names(df)
     day = parse_day_first(dfx, date_col).cast("date")
-    line = normalize_line(F.col(line_col))
     value = to_number(dfx, value_col, fill_zero=True)
-    return (
-        dfx.select(day.alias("date"), line.alias("line"), value.alias("passengers"))
-        .where(F.col("date").isNotNull() & F.col("line").isin(list(ALL_LINES)))
-        .groupBy("date", "line").agg(F.sum("passengers").alias("passengers"))
-    )
+    rows = dfx.select(day.alias("date"), F.col(line_col).alias("line"), value.alias("passengers"))
+    return r.daily_by_line(rows, label=normalize_line, allowed=ALL_LINES)
 
 
 def headway_from_files(spark: SparkSession, monthly_path: str | None, daily_path: str | None,
@@ -114,11 +110,10 @@ def insights_page(ridership: DataFrame, headway: DataFrame | None, lines=None, d
     """Data of the insights page: filters, sums, KPIs, changes, report and
     payload, as named DataFrames (nothing is collected)."""
     allowed = SUBTE_LINES + (("P",) if include_premetro else ())
-    pax = r.prepare_ridership(ridership, lines=lines, date_from=date_from, date_to=date_to, allowed=allowed)
     # one pass over the fact table: daily sums by line (additive, so week,
-    # month and line totals all derive from it), cut from the lineage once
-    pax = pax.groupBy(F.col("date").cast("date").alias("date"), "line").agg(
-        F.sum("passengers").alias("passengers"))
+    # month and line totals all derive from it), labels applied after the
+    # first aggregation; cut from the lineage once
+    pax = r.daily_by_line(ridership, allowed=allowed, lines=lines, date_from=date_from, date_to=date_to)
     if materialize:
         pax = cut_lineage(pax)
     # the page's date range defaults to the ridership range and filters headway too

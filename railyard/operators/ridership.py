@@ -56,6 +56,33 @@ def date_range(df: DataFrame, date_col: str = "date") -> tuple[Column, Column]:
     return both.getField("lo"), both.getField("hi")
 
 
+def daily_by_line(df: DataFrame, label=canonical_line_az, allowed=ALL_LINES, lines=None, date_from=None,
+                  date_to=None, value: str = "passengers", line_col: str = "line",
+                  date_col: str = "date") -> DataFrame:
+    """Sums by day and canonical line, labels applied after aggregation.
+
+    The date range filters raw rows (and reaches the scan); rows are first
+    summed by day and *raw* label (map-side combined), the label rules run on
+    those few rows, then the sums are combined again by canonical line. Sums
+    are additive, so the result equals labelling every row first, while the
+    regular expressions run once per (day, raw label) instead of once per row.
+    Rows with a null day are left out, as a grouped sum would."""
+    day = F.col(date_col).cast("date")
+    base = df.where(day.isNotNull())
+    if date_from is not None:
+        lo = date_from if isinstance(date_from, Column) else F.lit(date_from)
+        base = base.where(day >= lo.cast("date"))
+    if date_to is not None:
+        hi = date_to if isinstance(date_to, Column) else F.lit(date_to)
+        base = base.where(day <= hi.cast("date"))
+    raw = base.groupBy(day.alias("date"), F.col(line_col).alias("raw")).agg(F.sum(value).alias(value))
+    keep = in_lines(F.col("line"), allowed)
+    if lines is not None:
+        keep = keep & in_lines(F.col("line"), lines)
+    labelled = raw.withColumn("line", label(F.col("raw"))).where(keep)
+    return labelled.groupBy("date", "line").agg(F.sum(value).alias(value))
+
+
 def prepare_headway(df: DataFrame, **filters) -> DataFrame:
     """Headway table for the page: a ``date`` at the month start, then the same
     filters as ridership."""

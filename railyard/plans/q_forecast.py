@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.lines import SUBTE_LINES, in_lines
+from ..functions.lines import SUBTE_LINES, normalize_line
+from ..operators.ridership import daily_by_line
 from ..operators import forecast as fc
 from ..sources.testviews import view
 from . import duck
@@ -56,14 +57,15 @@ _FC_OUT = ("SELECT line, week, round(yhat, 4) AS yhat, round(yhat - band, 4) AS
            "round(yhat + band, 4) AS yhat_high FROM fc")
 
 
-def _fc_in(spark, sf_dir):
-    return fc.forecast_input(view(spark, sf_dir, "ridership"))
+def _metro(spark, sf_dir):
+    """Metro-line ridership by day, forecast labels applied after the first sum."""
+    return daily_by_line(view(spark, sf_dir, "ridership"), label=normalize_line, allowed=SUBTE_LINES)
 
 
 @query("pax_per_train", sql(["ridership", "dispatch_monthly"], FC_BASE,
        "SELECT ym, round(ratio, 4) AS ratio FROM ratio"))
 def pax_per_train(spark, sf_dir):
-    metro = _fc_in(spark, sf_dir).where(in_lines("line", SUBTE_LINES))
+    metro = _metro(spark, sf_dir)
     disp = fc.dispatch_by_month(view(spark, sf_dir, "dispatch_monthly"))
     return rounded(fc.pax_per_train(fc.monthly_sum(metro), disp))
 
@@ -84,7 +86,7 @@ def month_weeks(spark, sf_dir):
 @query("estimate_p", sql(["ridership", "dispatch_monthly"], FC_BASE,
        "SELECT line, week, round(passengers, 4) AS passengers FROM wkp"))
 def estimate_p(spark, sf_dir):
-    metro = _fc_in(spark, sf_dir).where(in_lines("line", SUBTE_LINES))
+    metro = _metro(spark, sf_dir)
     disp = fc.dispatch_by_month(view(spark, sf_dir, "dispatch_monthly"))
     return rounded(fc.estimate_p(fc.monthly_sum(metro), disp))
 
@@ -108,7 +110,7 @@ _SHORT = [
 
 @query("forecast_short", sql(["ridership_recent"], _SHORT + _forecast_sql("wk"), _FC_OUT))
 def forecast_short(spark, sf_dir):
-    weekly = fc.weekly_sum(fc.forecast_input(view(spark, sf_dir, "ridership_recent")))
+    weekly = fc.weekly_sum(daily_by_line(view(spark, sf_dir, "ridership_recent"), label=normalize_line))
     return rounded(fc.trend_forecast(weekly))
 
 

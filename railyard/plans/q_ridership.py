@@ -15,7 +15,8 @@ from .registry import query, rounded, sql
 
 
 def _pax(spark, sf_dir):
-    return r.prepare_ridership(view(spark, sf_dir, "ridership"))
+    """Ridership by day and canonical line (labels after the first sum)."""
+    return r.daily_by_line(view(spark, sf_dir, "ridership"))
 
 
 def _headway(spark, sf_dir):

@@ -52,12 +52,16 @@ def headway_from_daily(df: DataFrame) -> DataFrame:
     """Daily trains summed per month and canonical line, then the same formula."""
     _require(df, {"date", "line", "trains"}, "daily dispatch")
     day = parse_iso_date(F.col("date"))
-    line = canonical_line_ah("line")
-    # a grouped sum leaves out rows whose key is null
+    # summed by month and raw label first, labelled, then summed by canonical
+    # line (additive); a grouped sum leaves out rows whose key is null
+    raw = (
+        df.where(day.isNotNull() & F.col("line").isNotNull())
+        .groupBy(F.date_format(day, "yyyy-MM").alias("year_month"), F.col("line").alias("raw"))
+        .agg(F.sum(_trains("trains")).alias("trains"))
+    )
     g = (
-        df.where(day.isNotNull() & line.isNotNull())
-        .groupBy(F.date_format(day, "yyyy-MM").alias("year_month"), line.alias("line"))
-        .agg(F.sum(_trains("trains")).alias("dispatched_trains"))
+        raw.withColumn("line", canonical_line_ah("raw")).where(F.col("line").isNotNull())
+        .groupBy("year_month", "line").agg(F.sum("trains").alias("dispatched_trains"))
     )
     ym = F.col("year_month")
     return g.where((F.col("dispatched_trains") > 0) & days_in_month(ym).isNotNull()).select(

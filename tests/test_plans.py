@@ -44,3 +44,45 @@ def test_plan_shape(spark, name):
         n_cols = len([c for c in schema.group(1).split(",") if c])
         if loc.group(1) in ("lineitem", "orders"):
             assert n_cols < WIDTHS[loc.group(1)], (name, loc.group(1), schema.group(1))
+
+
+STOPS = ("HashAggregate", "ObjectHashAggregate", "SortAggregate", "TakeOrderedAndProject")
+
+
+def _tree(plan: str):
+    """Parse the tree part of a formatted plan into (name, children) nodes."""
+    lines = plan.split("== Physical Plan ==")[1].strip("\n").split("\n\n")[0].split("\n")
+    nodes, stack = [], []
+    for line in lines:
+        m = re.search(r"[A-Za-z]", line)
+        if not m:
+            continue
+        depth = m.start()
+        name = line[m.start():].split(" (")[0].strip()
+        node = (name, [])
+        while stack and stack[-1][0] >= depth:
+            stack.pop()
+        if stack:
+            stack[-1][1][1].append(node)
+        nodes.append(node)
+        stack.append((depth, node))
+    return nodes
+
+
+def _reaches_scan_unaggregated(node) -> bool:
+    name, children = node
+    if name.startswith("Scan"):
+        return True
+    if any(name.startswith(s) for s in STOPS) or name.startswith("BroadcastExchange"):
+        return False
+    return any(_reaches_scan_unaggregated(c) for c in children)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_no_raw_row_shuffle(spark, name):
+    """Every shuffle carries (partial) aggregates: no Exchange reaches a scan
+    without an aggregate in between."""
+    plan = _plan(QUERIES[name](spark, SF_SMOKE))
+    for node in _tree(plan):
+        if node[0] == "Exchange":
+            assert not any(_reaches_scan_unaggregated(c) for c in node[1]), (name, plan.split("\n\n")[0])

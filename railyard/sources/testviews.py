@@ -186,7 +186,7 @@ _register(View("ingestion_runs", "events", {
 }, group_by=("run_date",)))
 
 
-_READERS: dict[tuple[int, str], DataFrame] = {}
+_READERS: dict[tuple[int, str, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -194,7 +194,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     listing and footers are read once, not once per query (the test tables
     are read-only)."""
     path = f"{sf_dir}/{name}.parquet"
-    key = (id(spark), path)
+    key = (id(spark), spark.sparkContext.applicationId, path)
     df = _READERS.get(key)
     if df is None:
         df = _READERS[key] = spark.read.parquet(path)

@@ -88,3 +88,32 @@ def dq_from_csv(spark, sf_dir):
         value_ranges={"pax_total": (0, 4)}, unique_keys=[["fecha", "hora", "linea", "estacion", "pax_total"]],
         min_rows=1)
     return run_quality_pipeline(spark, src, _export_dir(spark, sf_dir, "processed"), cfg)
+
+
+_STREAM_DAY = "CAST(strptime(trim(\" Fecha\"), '%d/%m/%Y') AS DATE)"
+
+
+@query("stream_daily_sums", sql(["turnstiles_raw"], [
+    ("rows", f"SELECT {_STREAM_DAY} AS date, "
+             "regexp_replace(\"LINEA\", '^[\\t\\n\\x0B\\f\\r ]+|[\\t\\n\\x0B\\f\\r ]+$', '', 'g') AS linea, "
+             "coalesce(try_cast(trim(\"Pax-Total\") AS DOUBLE), 0) AS pax_total FROM turnstiles_raw"),
+    ("last", "SELECT max(date) AS d FROM rows"),
+], """SELECT date, linea, sum(pax_total) AS pax_total, count(*) AS rows
+      FROM rows, last WHERE date + INTERVAL 2 DAY <= last.d GROUP BY date, linea"""))
+def stream_daily_sums(spark, sf_dir):
+    """The raw export written as a folder of ';' CSV files and ingested by the
+    streaming job (availableNow): daily sums by line for the days the
+    watermark (one day late allowed) has closed. Each call runs in a fresh
+    folder under the shared checkpoint location, so a rerun never re-reads
+    files another run has seen."""
+    import uuid
+    from ..streaming.daily_stream import start_daily_ingest
+    run = shared_path(spark, "streams", f"daily_{uuid.uuid4().hex[:12]}")
+    src = view(spark, sf_dir, "turnstiles_raw").select(
+        F.col("` Fecha`").alias("fecha"), F.col("LINEA").alias("linea"),
+        F.col("`Estacion `").alias("estacion"), F.col("`Pax-Total`").alias("pax_total"))
+    (src.write.mode("overwrite").option("header", "true").option("sep", ";")
+     .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(f"{run}/in"))
+    q = start_daily_ingest(spark, f"{run}/in", f"{run}/out", checkpoint=f"{run}/checkpoint")
+    q.awaitTermination()
+    return spark.read.parquet(f"{run}/out").select("date", "linea", "pax_total", "rows")

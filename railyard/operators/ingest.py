@@ -131,6 +131,20 @@ def ingest_daily_batch(source: DataFrame, cfg: PipelineConfig, log_dir: str, sou
     return record
 
 
+def example_incidents(spark: SparkSession, run_date: str, reported_at: dt.datetime) -> DataFrame:
+    """The two example incidents used to check the incident log."""
+    # The example incident records.
+    rows = [
+        (f"INC-{run_date}-0001", reported_at, "example",
+         "15-minute delay on Line B at Carlos Pellegrini due to a mechanical issue.",
+         "infrastructure", "medium", "B", "Carlos Pellegrini", "infrastructure_maintenance", None),
+        (f"INC-{run_date}-0002", reported_at, "example",
+         "Overcrowding reported on Line D at 9 de Julio during peak hour.",
+         "overcrowding", "medium", "D", "9 de Julio", "operations_control", None),
+    ]
+    return spark.createDataFrame(rows, INCIDENT_SCHEMA)
+
+
 def latest_runs(runs: DataFrame, k: int = 5) -> DataFrame:
     """The k most recent runs (a top-k, not a sort of the whole log)."""
     return runs.orderBy(F.desc("created_at"), F.desc("run_id")).limit(k)

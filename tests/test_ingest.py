@@ -41,3 +41,14 @@ def test_incident_log_append(spark, tmpdir_path):
     ing.append_log(rows, tmpdir_path, "incidents")
     ing.append_log(rows, tmpdir_path, "incidents")
     assert ing.read_log(spark, tmpdir_path, "incidents").count() == 1
+
+
+def test_example_incidents_append_and_count(spark, tmpdir_path):
+    from railyard.operators.incidents import team_counts
+    rows = ing.example_incidents(spark, "2025-11-22", dt.datetime(2025, 11, 22, 8, 0))
+    ing.append_log(rows, tmpdir_path, "incidents")
+    ing.append_log(rows, tmpdir_path, "incidents")  # retried
+    log = ing.read_log(spark, tmpdir_path, "incidents")
+    assert log.count() == 2
+    assert [(r.target_team, r.n) for r in team_counts(log).collect()] == [
+        ("infrastructure_maintenance", 1), ("operations_control", 1)]

@@ -72,3 +72,11 @@ def test_incident_pipeline(spark):
     t = jobs.tickets_as_incidents(jobs.incident_pipeline(out, "2024-01-01 00:00:00"))
     assert t.count() == out.count() and "incident_id" in t.columns
     assert t.where(F.col("target_team").isNull()).count() == 0
+
+
+def test_checkpoint_dir_rules(spark):
+    from railyard.session import ensure_checkpoint_dir, shared_path
+    d = ensure_checkpoint_dir(spark)
+    assert d and shared_path(spark, "x").startswith(d.rstrip("/"))
+    page = jobs.insights_page(view(spark, SF, "ridership"), None)  # checkpoints its daily table
+    assert page.pax_by_line.count() > 0

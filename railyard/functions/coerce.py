@@ -61,8 +61,12 @@ def trim_strings(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+# Day-first text, with an optional clock time.
+DAY_FIRST_PATTERN = "d/M/yyyy[ H:mm[:ss]]"
+
+
 def parse_day_first(df: DataFrame, name: str) -> Column:
-    """Timestamp from a column that may be text in ISO or ``d/M/yyyy`` form.
+    """Timestamp from a column that may be text in ISO or ``d/M/yyyy[ H:mm[:ss]]`` form.
 
     Date and timestamp columns are cast directly; text is tried as ISO first,
     then day-first, per row. Unparseable text gives null.
@@ -72,7 +76,7 @@ def parse_day_first(df: DataFrame, name: str) -> Column:
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return c.cast("timestamp")
     text = py_strip(c.cast("string"))
-    return F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(text, F.lit("d/M/yyyy")))
+    return F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(text, F.lit(DAY_FIRST_PATTERN)))
 
 
 def parse_iso_date(c: Column) -> Column:

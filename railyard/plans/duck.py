@@ -56,7 +56,8 @@ def normalize(e: str) -> str:
 
 def day_first(e: str) -> str:
     t = strip(e)
-    return f"coalesce(try_cast({t} AS TIMESTAMP), try_strptime({t}, '%d/%m/%Y'))"
+    return (f"coalesce(try_cast({t} AS TIMESTAMP), "
+            f"try_strptime({t}, ['%d/%m/%Y', '%d/%m/%Y %H:%M:%S', '%d/%m/%Y %H:%M']))")
 
 
 def week(e: str) -> str:

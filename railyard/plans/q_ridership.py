@@ -239,10 +239,13 @@ _text_label("normalize_line", normalize_line, duck.normalize)
 
 
 @query("coerce_dates", sql(["dated_text"], [],
-       f"SELECT event_id, raw_date, CAST({duck.day_first('raw_date')} AS DATE) AS parsed FROM dated_text"))
+       f"SELECT event_id, raw_date, CAST({duck.day_first('raw_date')} AS TIMESTAMP) AS parsed_at, "
+       f"CAST({duck.day_first('raw_date')} AS DATE) AS parsed FROM dated_text"))
 def coerce_dates(spark, sf_dir):
     df = view(spark, sf_dir, "dated_text")
-    return df.select("event_id", "raw_date", parse_day_first(df, "raw_date").cast("date").alias("parsed"))
+    ts = parse_day_first(df, "raw_date")
+    return df.select("event_id", "raw_date", ts.cast("timestamp_ntz").alias("parsed_at"),
+                     ts.cast("date").alias("parsed"))
 
 
 @query("turnstiles_to_ridership", sql(["turnstiles_timed"], [], f"""

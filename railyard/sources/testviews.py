@@ -104,11 +104,15 @@ _register(View("dated_text", "events", {
         "CASE event_type WHEN 'click' THEN date_format(ts, 'd/M/yyyy') "
         "WHEN 'view' THEN date_format(ts, 'dd/MM/yyyy') "
         "WHEN 'error' THEN date_format(ts, 'yyyy-MM-dd') "
-        "WHEN 'purchase' THEN date_format(ts, 'M/d/yyyy') ELSE 'xx' END",
+        "WHEN 'purchase' THEN date_format(ts, 'M/d/yyyy') "
+        "WHEN 'signup' THEN CASE WHEN value < 200 THEN date_format(ts, 'd/M/yyyy H:mm:ss') ELSE 'xx' END "
+        "ELSE 'xx' END",
         "CASE event_type WHEN 'click' THEN strftime(ts, '%-d/%-m/%Y') "
         "WHEN 'view' THEN strftime(ts, '%d/%m/%Y') "
         "WHEN 'error' THEN strftime(ts, '%Y-%m-%d') "
-        "WHEN 'purchase' THEN strftime(ts, '%-m/%-d/%Y') ELSE 'xx' END",
+        "WHEN 'purchase' THEN strftime(ts, '%-m/%-d/%Y') "
+        "WHEN 'signup' THEN CASE WHEN value < 200 THEN strftime(ts, '%-d/%-m/%Y %-H:%M:%S') ELSE 'xx' END "
+        "ELSE 'xx' END",
     ),
 }))
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.coerce import py_strip
+from ..functions.coerce import DAY_FIRST_PATTERN, py_strip
 from ..operators.ingest import INGESTION_SCHEMA, append_log
 from ..session import shared_path
 
@@ -34,7 +34,7 @@ TURNSTILE_STREAM_SCHEMA = T.StructType([
 def daily_sums(stream: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Streaming daily sums by line with a watermark on the event day."""
     text = py_strip(F.col("fecha"))
-    ts = F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(text, F.lit("d/M/yyyy")))
+    ts = F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(text, F.lit(DAY_FIRST_PATTERN)))
     value = F.coalesce(py_strip(F.col("pax_total")).try_cast("double"), F.lit(0.0))
     rows = stream.select(ts.alias("ts"), py_strip(F.col("linea")).alias("linea"), value.alias("pax_total"))
     return (

@@ -31,3 +31,10 @@ def test_python_strip(spark):
 def test_hour(spark):
     df = spark.createDataFrame([("07:15:00",), ("23:59",), ("x:1",), (None,)], "t string")
     assert [r[0] for r in df.select(hour_of(df.t)).collect()] == [7, 23, None, None]
+
+
+def test_day_first_with_time(spark):
+    rows = [("13/2/2024 07:05:09",), ("3/2/2024 7:05",), ("13/2/2024 25:00",)]
+    df = spark.createDataFrame(rows, "d string")
+    got = [r[0] for r in df.select(parse_day_first(df, "d")).collect()]
+    assert got == [dt.datetime(2024, 2, 13, 7, 5, 9), dt.datetime(2024, 2, 3, 7, 5), None]

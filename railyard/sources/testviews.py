@@ -205,8 +205,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+_BUILT: dict[tuple[int, str, str, str], DataFrame] = {}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Build a logical table from the driver test tables."""
+    """A logical table from the driver test tables (built once per session:
+    DataFrames are immutable plans, so reuse is safe)."""
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir, name)
+    df = _BUILT.get(key)
+    if df is None:
+        df = _BUILT[key] = _build_view(spark, sf_dir, name)
+    return df
+
+
+def _build_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     v = VIEWS[name]
     df = table(spark, sf_dir, v.source)
     if v.where:

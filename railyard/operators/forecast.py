@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.coerce import to_number
 from ..functions.lines import ALL_LINES, SUBTE_LINES, in_lines, normalize_line
+from ..session import cut_lineage
 from .ridership import daily_by_line, week_start
 
 # Horizon, minimum points for a fit, band width in deviations.
@@ -120,13 +121,21 @@ def trend_forecast(weekly: DataFrame, horizon: int = HORIZON, min_points: int =
     )
 
 
-def forecast_all(ridership: DataFrame, dispatch: DataFrame | None, horizon: int = HORIZON) -> DataFrame:
+def forecast_all(ridership: DataFrame, dispatch: DataFrame | None, horizon: int = HORIZON,
+                 materialize: bool = False) -> DataFrame:
     """End to end: metro lines from turnstiles, P estimated from dispatch (its
-    own turnstile rows are left out), then the per-line forecast."""
+    own turnstile rows are left out), then the per-line forecast.
+
+    With ``materialize`` the daily metro sums (one row per day and line) are
+    checkpointed into the shared checkpoint folder, so the weekly branch, the
+    monthly branch and the fallback-median subquery all read that small table
+    instead of the fact table."""
     # one pass over the fact table: daily sums by line, forecast labels
     # applied after the first aggregation; weekly and monthly sums (additive)
     # both come from it, so the scan and its shuffle are shared
     metro = daily_by_line(ridership, label=normalize_line, allowed=SUBTE_LINES)
+    if materialize:
+        metro = cut_lineage(metro)
     weekly = weekly_sum(metro)
     if dispatch is not None:
         p = estimate_p(monthly_sum(metro), dispatch_by_month(dispatch))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.coerce import days_in_month, parse_iso_date
 from ..functions.lines import canonical_line_ah
+from ..session import cut_lineage
 
 # Operating minutes per day (05:30-23:30), the median the
 # calibration aims for, and the source tags.
@@ -100,15 +101,22 @@ def calibrate(df: DataFrame, auto: bool = True, factor: float = 1.0,
     return df.withColumn("avg_headway_min", scaled)
 
 
-def headway_etl(monthly: DataFrame | None, daily: DataFrame | None) -> DataFrame:
-    """The ETL: monthly source when given, else daily; dedup; calibrate."""
+def headway_etl(monthly: DataFrame | None, daily: DataFrame | None, materialize: bool = False) -> DataFrame:
+    """The ETL: monthly source when given, else daily; dedup; calibrate.
+
+    With ``materialize`` the deduplicated headways (months x lines rows) are
+    checkpointed into the shared folder before calibration, so the median
+    subquery and the scaling read them instead of the dispatch source."""
     if monthly is not None:
         out = headway_from_monthly(monthly)
     elif daily is not None:
         out = headway_from_daily(daily)
     else:
         raise ValueError("a monthly or a daily dispatch source is needed")
-    return calibrate(dedup_by_key(out))
+    deduped = dedup_by_key(out)
+    if materialize:
+        deduped = cut_lineage(deduped)
+    return calibrate(deduped)
 
 
 def out_of_range(df: DataFrame, low: float = 1.0, high: float = 20.0) -> DataFrame:

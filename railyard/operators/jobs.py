@@ -70,7 +70,9 @@ def headway_from_files(spark: SparkSession, monthly_path: str | None, daily_path
             out = None
     if out is None:
         return None
-    result = hw.calibrate(hw.dedup_by_key(out))
+    # the deduplicated headways (months x lines) feed the median and the
+    # scaling: written once to the shared checkpoint folder
+    result = hw.calibrate(cut_lineage(hw.dedup_by_key(out)))
     if out_path:
         sinks.write_table(result, out_path, "csv")
     return result
@@ -84,7 +86,7 @@ def forecast_from_files(spark: SparkSession, ridership_path: str, dispatch_path:
     disp = files.read_optional(spark, dispatch_path, "csv") if dispatch_path else None
     if disp is not None and not {"year_month", "line", "dispatched_trains"}.issubset(disp.columns):
         disp = None
-    out = fc.forecast_all(pax, disp, horizon)
+    out = fc.forecast_all(pax, disp, horizon, materialize=True)
     if out_path:
         sinks.write_table(out, out_path, "csv")
     return out

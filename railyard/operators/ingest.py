@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
 from ..functions.coerce import light_names
+from ..session import cut_lineage
 
 INGESTION_SCHEMA = T.StructType([
     T.StructField("run_id", T.StringType()),
@@ -40,6 +41,8 @@ INCIDENT_SCHEMA = T.StructType([
 ])
 
 LOG_TABLES = {"ingestion_runs": (INGESTION_SCHEMA, "run_id"), "incidents": (INCIDENT_SCHEMA, "incident_id")}
+# Incidents are many: their table is partitioned by day, not by id.
+DAY_PARTITIONED = {"incidents": ("reported_date", "reported_at")}
 
 
 @dataclass(frozen=True)
@@ -89,20 +92,47 @@ def init_log_tables(spark: SparkSession, log_dir: str) -> None:
             spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
 
 
-def append_log(df: DataFrame, log_dir: str, table: str) -> None:
-    """Append rows to a log table, idempotent per run key."""
-    schema, key = LOG_TABLES[table]
-    out = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+def _overwrite_partitions(df: DataFrame, path: str, column: str) -> None:
     spark = df.sparkSession
     prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        out.withColumn("_key", F.col(key)).write.mode("overwrite").partitionBy("_key").parquet(
-            f"{log_dir}/{table}")
+        df.write.mode("overwrite").partitionBy(column).parquet(path)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
 
 
+def append_log(df: DataFrame, log_dir: str, table: str) -> None:
+    """Append rows to a log table; a retried append leaves one copy.
+
+    Run logs (few rows) are partitioned by their run key, so a retry rewrites
+    its own partition. Incidents (many rows) are partitioned by day: the days
+    in the batch are read back (partition-pruned), merged with the new rows
+    keeping one row per incident id (new rows win), cut from the lineage into
+    the shared checkpoint folder, and only those day partitions are
+    overwritten."""
+    schema, key = LOG_TABLES[table]
+    out = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+    path = f"{log_dir}/{table}"
+    if table not in DAY_PARTITIONED:
+        _overwrite_partitions(out.withColumn("_key", F.col(key)), path, "_key")
+        return
+    part, ts_col = DAY_PARTITIONED[table]
+    spark = df.sparkSession
+    new = out.withColumn(part, F.to_date(ts_col)).withColumn("_new", F.lit(1))
+    days = [r[0] for r in new.select(part).distinct().collect()]  # the batch's days: a handful
+    try:
+        old = spark.read.schema(schema).parquet(path).where(F.col(part).isin(days))
+        old = old.select(*schema.fieldNames(), part).withColumn("_new", F.lit(0))
+        both = old.unionByName(new)
+    except AnalysisException:
+        both = new
+    # one row per incident id, the newest copy winning: a partial aggregate
+    best = F.max_by(F.struct(*schema.fieldNames(), part), F.col("_new")).alias("r")
+    merged = both.groupBy(key).agg(best).select("r.*")
+    _overwrite_partitions(cut_lineage(merged), path, part)
+
+
 def read_log(spark: SparkSession, log_dir: str, table: str) -> DataFrame:
     schema, _ = LOG_TABLES[table]
     try:

@@ -52,3 +52,20 @@ def test_example_incidents_append_and_count(spark, tmpdir_path):
     assert log.count() == 2
     assert [(r.target_team, r.n) for r in team_counts(log).collect()] == [
         ("infrastructure_maintenance", 1), ("operations_control", 1)]
+
+
+def test_incident_log_keeps_earlier_rows_of_the_day(spark, tmpdir_path):
+    t = dt.datetime(2025, 11, 22, 8, 0)
+    first = ing.example_incidents(spark, "2025-11-22", t)
+    ing.append_log(first, tmpdir_path, "incidents")
+    later = spark.createDataFrame(
+        [("INC-2025-11-22-0003", t + dt.timedelta(hours=2), "example", "d", "safety", "high", "C", "S",
+          "operations_control", None),
+         ("INC-2025-11-22-0001", t, "example", "updated", "infrastructure", "medium", "B", "S",
+          "infrastructure_maintenance", None)],
+        ing.INCIDENT_SCHEMA)
+    ing.append_log(later, tmpdir_path, "incidents")
+    ing.append_log(later, tmpdir_path, "incidents")  # retried
+    log = {r.incident_id: r for r in ing.read_log(spark, tmpdir_path, "incidents").collect()}
+    assert sorted(log) == ["INC-2025-11-22-0001", "INC-2025-11-22-0002", "INC-2025-11-22-0003"]
+    assert log["INC-2025-11-22-0001"].description == "updated"

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.coerce import snake_case_names, trim_strings
+from ..functions.coerce import snake_case_names, to_number, trim_strings
 
 ISSUE_VALUES_SHOWN = 20
 
@@ -79,11 +79,12 @@ def scan_counts(df: DataFrame, cfg: DataQualityConfig) -> DataFrame:
     for i, (col, (lo, hi)) in enumerate(cfg.value_ranges.items()):
         if col not in df.columns:
             continue
+        num = to_number(df, col)  # text that is not a number compares as null, never out of range
         if lo is not None:
-            aggs.append(F.count_if(F.coalesce(_col(col) < F.lit(lo), F.lit(False))).alias(f"lo{i}"))
+            aggs.append(F.count_if(F.coalesce(num < F.lit(lo), F.lit(False))).alias(f"lo{i}"))
             rows.append(("below_min", col, f"lo{i}"))
         if hi is not None:
-            aggs.append(F.count_if(F.coalesce(_col(col) > F.lit(hi), F.lit(False))).alias(f"hi{i}"))
+            aggs.append(F.count_if(F.coalesce(num > F.lit(hi), F.lit(False))).alias(f"hi{i}"))
             rows.append(("above_max", col, f"hi{i}"))
     one = df.agg(*aggs)
     entries = [
@@ -152,9 +153,11 @@ def numeric_anomalies(df: DataFrame, numeric_columns: list[str] | None = None,
     )
     if not cols:
         return df.sparkSession.createDataFrame([], schema)
+    def num(c: str) -> F.Column:
+        return to_number(df, c).cast("double")
+
     stats = df.agg(*[
-        F.struct(F.avg(_col(c).cast("double")).alias("m"), F.stddev_samp(_col(c).cast("double")).alias("s"))
-        .alias(f"s{i}")
+        F.struct(F.avg(num(c)).alias("m"), F.stddev_samp(num(c)).alias("s")).alias(f"s{i}")
         for i, c in enumerate(cols)
     ])
     # one scalar subquery for all columns, one scan of the rows: each row
@@ -164,7 +167,7 @@ def numeric_anomalies(df: DataFrame, numeric_columns: list[str] | None = None,
     for i, c in enumerate(cols):
         st = all_stats.getField(f"s{i}")
         sd = st.getField("s")
-        z = (_col(c).cast("double") - st.getField("m")) / sd
+        z = (num(c) - st.getField("m")) / sd
         valid = sd.isNotNull() & (sd != 0) & ~F.isnan(sd)
         flagged.append(F.when(valid & F.coalesce(F.abs(z) >= z_threshold, F.lit(False)),
                               F.struct(F.lit(c).alias("column_name"), z.alias("z_score"))))

@@ -76,3 +76,12 @@ def test_allowed_issue_lists_at_most_twenty(spark):
     got = [r.issue for r in q.issues(df, cfg).collect()]
     assert len(got) == 1 and got[0].endswith(" ...]")
     assert got[0].count("'") == 2 + 2 * 20  # the column name, then twenty values
+
+
+def test_text_columns_in_numeric_rules(spark):
+    df = spark.createDataFrame([("5",), ("x",), ("-1",), (None,)] + [("1",)] * 30 + [("900",)], "v string")
+    cfg = q.DataQualityConfig(name="t", expected_columns=["v"], value_ranges={"v": (0, 100)})
+    rows = {(r.check, r.column_name): r.n for r in q.scan_counts(df, cfg).collect()}
+    assert rows[("below_min", "v")] == 1 and rows[("above_max", "v")] == 1
+    out = q.numeric_anomalies(df, ["v"], 4.0).collect()
+    assert [r.v for r in out] == ["900"]

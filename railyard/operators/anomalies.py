@@ -65,7 +65,7 @@ def detect_anomalies(series: DataFrame, cfg: AnomalyConfig = AnomalyConfig()) ->
     has no partition key and runs in one task; its input is one row per
     bucket, so its size is bounded by the calendar, not the data volume.
     """
-    v = F.col(cfg.value_col).cast("double")
+    v = to_number(series, cfg.value_col).cast("double")
     if _has_station(series, cfg):
         w = Window.partitionBy(cfg.station_col).orderBy("date")
     else:

@@ -175,12 +175,13 @@ def load_other_metric(spark: SparkSession, headway_path: str, monthly_path: str,
     name, df = found
     if name == "headway":
         if "year_month" in df.columns:
-            df = r.mean_by_line(df.withColumn("avg_headway_min", F.col("avg_headway_min").cast("double")))
+            df = r.mean_by_line(df.withColumn("avg_headway_min", to_number(df, "avg_headway_min").cast("double")))
         out = r.sort_small(df.select("line", "avg_headway_min"), "line")
         return _tag(out, "headway", headway_path), "headway", headway_path
     col = "dispatched_trains" if name == "monthly" else "trains"
     src = monthly_path if name == "monthly" else daily_path
-    out = r.sort_small(df.groupBy("line").agg(F.avg(F.col(col).cast("double")).alias("service_level")), "line")
+    level = F.avg(to_number(df, col).cast("double")).alias("service_level")
+    out = r.sort_small(df.groupBy("line").agg(level), "line")
     return _tag(out, "service", src), "service", src
 
 

@@ -258,3 +258,13 @@ def turnstiles_to_ridership(spark, sf_dir):
     from ..operators.jobs import ridership_from_turnstiles
     out = ridership_from_turnstiles(view(spark, sf_dir, "turnstiles_timed"))
     return out.withColumn("passengers", F.col("passengers").cast("double"))
+
+
+@query("top_stations_by_count", sql(["turnstiles_timed"], [],
+       """SELECT estacion AS station, CAST(count(*) AS DOUBLE) AS value, 'count' AS metric
+          FROM turnstiles_timed WHERE estacion IS NOT NULL GROUP BY estacion
+          ORDER BY value DESC, station LIMIT 10"""))
+def top_stations_by_count(spark, sf_dir):
+    """Station ranking when no passenger column is usable: by row count."""
+    df = view(spark, sf_dir, "turnstiles_timed").drop("pax_total")
+    return r.top_stations(df, "estacion", r.find_role_column(df.columns, "passengers"), k=10)

@@ -17,6 +17,7 @@ from pyspark.errors import AnalysisException
 
 from ..functions.coerce import light_names
 from ..session import cut_lineage
+from ..sources.files import path_exists
 
 INGESTION_SCHEMA = T.StructType([
     T.StructField("run_id", T.StringType()),
@@ -77,18 +78,11 @@ def run_id(run_date: str, run_ts: dt.datetime) -> str:
     return f"run_{run_date}_{run_ts.strftime('%Y%m%dT%H%M%SZ')}"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)
-
-
 def init_log_tables(spark: SparkSession, log_dir: str) -> None:
     """Create the empty log tables when absent."""
     for name, (schema, _) in LOG_TABLES.items():
         path = f"{log_dir}/{name}"
-        if not _exists(spark, path):
+        if not path_exists(spark, path):
             spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
 
 

@@ -66,7 +66,10 @@ def build_session(
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    try:
+        spark.sparkContext.setLogLevel("ERROR")
+    except Exception:  # remote session
+        pass
     for k, v in conf.items():
         if k.startswith("spark.sql."):
             spark.conf.set(k, v)
@@ -78,7 +81,13 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     """Use the shared checkpoint folder the cluster names in
     ``spark.checkpoint.dir``. Only when it is unset (local tests) a scratch
     folder is created."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a remote (Connect) session: the server owns the setting
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder") from None
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current

@@ -25,35 +25,48 @@ NA_VALUES = (
 REPLACEMENT_CHAR = "\ufffd"
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def file_path_col() -> F.Column:
+    """The row's source file as a plain path. ``_metadata.file_path`` is a URI
+    (a space reads ``%20``); decoding it gives the path the readers and the
+    file listing use. ``+`` is protected first, as form decoding would turn it
+    into a space."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    p, fs = _fs(spark, path)
-    return bool(fs.exists(p))
+    """Whether a file, folder or glob resolves (a listing, no data read)."""
+    try:
+        spark.read.format("binaryFile").load(path)
+        return True
+    except AnalysisException:
+        return False
 
 
 def list_files(spark: SparkSession, pattern: str) -> list[str]:
-    """Files matching a glob, sorted (metadata only)."""
-    p, fs = _fs(spark, pattern)
-    found = fs.globStatus(p) or []
-    return sorted(str(s.getPath().toString()) for s in found if s.isFile())
+    """Files matching a path or glob, sorted. The binary-file source lists
+    paths without reading contents when only ``path`` is selected; the list
+    (metadata, bounded by the file count) comes back to the driver."""
+    if not path_exists(spark, pattern):
+        return []
+    rows = spark.read.format("binaryFile").load(pattern).select("path").collect()
+    return sorted(r[0] for r in rows)
 
 
-def first_line(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
-    """The header line of one file, read through the Hadoop file system."""
-    jvm = spark.sparkContext._jvm
-    p, fs = _fs(spark, path)
-    stream = fs.open(p)
-    try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, encoding))
-        line = reader.readLine()
-        return line if line is not None else ""
-    finally:
-        stream.close()
+def first_lines(spark: SparkSession, files: list[str]) -> dict[str, str]:
+    """The first line of every file, in one distributed job: the first row of
+    the split that starts at offset 0 of each file (rows keep file order
+    inside a split, and the id below increases with it)."""
+    lines = spark.read.text(files).select(
+        file_path_col().alias("f"), F.col("_metadata.file_block_start").alias("b"),
+        F.monotonically_increasing_id().alias("i"), "value")
+    heads = lines.where(F.col("b") == 0).groupBy("f").agg(F.min_by("value", "i").alias("h"))
+    return {r.f: r.h for r in heads.collect()}
+
+
+def first_line(spark: SparkSession, path: str) -> str:
+    """The header line of one file."""
+    got = first_lines(spark, [path])
+    return next(iter(got.values()), "")
 
 
 def null_na_texts(df: DataFrame) -> DataFrame:
@@ -106,23 +119,25 @@ def load_csv(spark: SparkSession, path: str | list[str], sep: str = ",", header:
     utf8 = spark.read.options(encoding="UTF-8", **opts).csv(paths)
     cells = [F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in utf8.columns]
     marker = F.concat_ws("", *cells).contains(REPLACEMENT_CHAR) if cells else F.lit(False)
-    bad_files = [r[0] for r in utf8.where(marker).select(F.col("_metadata.file_path")).distinct().collect()]
+    bad_files = [r[0] for r in utf8.where(marker).select(file_path_col()).distinct().collect()]
     if not bad_files:
         return null_na_texts(utf8)
-    good = utf8.where(~F.col("_metadata.file_path").isin(bad_files))
+    good = utf8.where(~file_path_col().isin(bad_files))
     latin = spark.read.options(encoding="ISO-8859-1", **opts).csv(bad_files)
     return null_na_texts(good.unionByName(latin, allowMissingColumns=True))
 
 
 def load_folder(spark: SparkSession, pattern: str, sep: str = ";") -> DataFrame:
-    """All CSV files of a folder, concatenated by column name. Files are
-    grouped by header line, so each distinct header is one Spark read."""
+    """All CSV files of a folder, concatenated by column name. Header lines
+    come from one distributed job; files are grouped by header, so each
+    distinct header is one Spark read."""
     files = list_files(spark, pattern)
     if not files:
         raise FileNotFoundError(f"no files match {pattern}")
+    heads = first_lines(spark, files)
     groups: dict[str, list[str]] = {}
     for f in files:
-        groups.setdefault(first_line(spark, f), []).append(f)
+        groups.setdefault(heads.get(f, ""), []).append(f)
     parts = [load_csv(spark, fs, sep=sep) for fs in groups.values()]
     out = parts[0]
     for p in parts[1:]:

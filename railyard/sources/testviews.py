@@ -193,12 +193,17 @@ _register(View("ingestion_runs", "events", {
 _READERS: dict[tuple[int, str, str], DataFrame] = {}
 
 
+def _app_id(spark: SparkSession) -> str:
+    """The application id (a restarted session gets a new one)."""
+    return spark.conf.get("spark.app.id", "")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver test table. The reader is kept per session, so the file
     listing and footers are read once, not once per query (the test tables
     are read-only)."""
     path = f"{sf_dir}/{name}.parquet"
-    key = (id(spark), spark.sparkContext.applicationId, path)
+    key = (id(spark), _app_id(spark), path)
     df = _READERS.get(key)
     if df is None:
         df = _READERS[key] = spark.read.parquet(path)
@@ -211,7 +216,7 @@ _BUILT: dict[tuple[int, str, str, str], DataFrame] = {}
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A logical table from the driver test tables (built once per session:
     DataFrames are immutable plans, so reuse is safe)."""
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir, name)
+    key = (id(spark), _app_id(spark), sf_dir, name)
     df = _BUILT.get(key)
     if df is None:
         df = _BUILT[key] = _build_view(spark, sf_dir, name)

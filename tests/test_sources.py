@@ -52,3 +52,14 @@ def test_profile_and_save(spark, tmpdir_path):
     out = sinks.save_dataset(df, tmpdir_path, "demo")
     assert spark.read.parquet(out["parquet"]).count() == 1
     assert spark.read.option("header", "true").csv(out["csv"]).columns == ["linea", "avg_headway_min", "trains"]
+
+
+def test_odd_file_names(spark, tmpdir_path):
+    _write(os.path.join(tmpdir_path, "a b+c.csv"), "x;y\n1;2\n")
+    _write(os.path.join(tmpdir_path, "d%e.csv"), "y;x\n3;4\n")
+    with open(os.path.join(tmpdir_path, "f g.csv"), "w", encoding="latin-1") as f:
+        f.write("x;y\nPeña;5\n")
+    heads = files.first_lines(spark, files.list_files(spark, os.path.join(tmpdir_path, "*.csv")))
+    assert sorted(heads.values()) == ["x;y", "x;y", "y;x"]
+    df = files.load_folder(spark, os.path.join(tmpdir_path, "*.csv"))
+    assert sorted((r.x, r.y) for r in df.collect()) == [("1", "2"), ("4", "3"), ("Peña", "5")]

@@ -52,10 +52,34 @@ def list_files(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(r[0] for r in rows)
 
 
-def first_lines(spark: SparkSession, files: list[str]) -> dict[str, str]:
-    """The first line of every file, in one distributed job: the first row of
-    the split that starts at offset 0 of each file (rows keep file order
-    inside a split, and the id below increases with it)."""
+def first_lines(spark: SparkSession, files: list[str], threads: int = 16) -> dict[str, str]:
+    """The first line of every file. Only the first bytes of each file are
+    read, through the Hadoop file system of the session (any store Spark can
+    read), a few files at a time. Remote sessions without a JVM gateway fall
+    back to one Spark job over the files (which reads them whole)."""
+    try:
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+    except Exception:
+        return _first_lines_job(spark, files)
+
+    def head(path: str) -> str:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        stream = p.getFileSystem(conf).open(p)
+        try:
+            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+            line = reader.readLine()
+            return line if line is not None else ""
+        finally:
+            stream.close()
+
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=max(1, min(threads, len(files)))) as pool:
+        return dict(zip(files, pool.map(head, files)))
+
+
+def _first_lines_job(spark: SparkSession, files: list[str]) -> dict[str, str]:
     lines = spark.read.text(files).select(
         file_path_col().alias("f"), F.col("_metadata.file_block_start").alias("b"),
         F.monotonically_increasing_id().alias("i"), "value")
@@ -128,9 +152,9 @@ def load_csv(spark: SparkSession, path: str | list[str], sep: str = ",", header:
 
 
 def load_folder(spark: SparkSession, pattern: str, sep: str = ";") -> DataFrame:
-    """All CSV files of a folder, concatenated by column name. Header lines
-    come from one distributed job; files are grouped by header, so each
-    distinct header is one Spark read."""
+    """All CSV files of a folder, concatenated by column name. Files are
+    grouped by their header line (read from the first bytes of each file), so
+    each distinct header is one Spark read."""
     files = list_files(spark, pattern)
     if not files:
         raise FileNotFoundError(f"no files match {pattern}")

@@ -135,10 +135,13 @@ def load_csv(spark: SparkSession, path: str | list[str], sep: str = ",", header:
     """CSV as text columns, UTF-8 first; files whose text holds replacement
     characters (bytes that are not UTF-8) are read again as Latin-1. The
     missing-value texts become null."""
-    paths = [path] if isinstance(path, str) else list(path)
-    for p in paths:
-        if not list_files(spark, p) and not path_exists(spark, p):
-            raise FileNotFoundError(f"File does not exist: {p}")
+    # a path or glob from the caller is checked; a list comes from a listing
+    if isinstance(path, str):
+        if not path_exists(spark, path):
+            raise FileNotFoundError(f"File does not exist: {path}")
+        paths = [path]
+    else:
+        paths = list(path)
     opts = {"header": str(header).lower(), "sep": sep, "inferSchema": "false", "mode": "PERMISSIVE"}
     utf8 = spark.read.options(encoding="UTF-8", **opts).csv(paths)
     cells = [F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in utf8.columns]

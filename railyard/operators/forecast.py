@@ -22,11 +22,6 @@ MIN_POINTS = 6
 BAND_Z = 1.64
 
 
-def forecast_input(ridership: DataFrame) -> DataFrame:
-    """Forecast label rules (Premetro aware), known lines only."""
-    return ridership.withColumn("line", normalize_line("line")).where(in_lines("line", ALL_LINES))
-
-
 def weekly_sum(df: DataFrame, value: str = "passengers") -> DataFrame:
     return df.groupBy("line", week_start(F.col("date")).alias("week")).agg(
         F.sum(value).cast("double").alias(value)

@@ -87,12 +87,6 @@ def _first_lines_job(spark: SparkSession, files: list[str]) -> dict[str, str]:
     return {r.f: r.h for r in heads.collect()}
 
 
-def first_line(spark: SparkSession, path: str) -> str:
-    """The header line of one file."""
-    got = first_lines(spark, [path])
-    return next(iter(got.values()), "")
-
-
 def null_na_texts(df: DataFrame) -> DataFrame:
     """Text cells that read as missing by default become null."""
     return df.select(*[

@@ -125,3 +125,12 @@ def test_station_and_summary_rules(spark):
         4, 2, "2020-01-01", "2024-03-09")
     tot = r.global_totals(df).first()
     assert (tot.total_entries, tot.total_passes, tot.total_traffic) == (None, None, 14)
+
+
+def test_summary_maps(spark):
+    from railyard.sources.testviews import view
+    summary = r.dataset_summary(view(spark, "/root/testdata/sf0.001", "turnstiles_timed"))
+    maps = {x.section: x.counts for x in r.summary_maps(summary).collect()}
+    assert set(maps) == {"top_stations", "top_lines", "hour_peaks"}
+    assert len(maps["top_stations"]) == 5 and len(maps["hour_peaks"]) == 10
+    assert all(isinstance(v, int) for v in maps["top_lines"].values())

@@ -149,11 +149,18 @@ def route(df: DataFrame) -> DataFrame:
     return df.withColumn("target_team", routed_team(F.col("category"), F.col("severity"), F.col("target_team")))
 
 
-def tickets(classified: DataFrame, run_ts: str, description_col: str = "incident_text",
+def _run_time(run_ts: str | None) -> Column:
+    """The run time: the given one (reruns repeat), else the current UTC time."""
+    if run_ts is None:
+        return F.current_timestamp().cast("timestamp_ntz")
+    return F.lit(run_ts).cast("timestamp_ntz")
+
+
+def tickets(classified: DataFrame, run_ts: str | None = None, description_col: str = "incident_text",
             key_col: str = "incident_id", raw_col: str = "raw_output", source: str = "llm_router") -> DataFrame:
-    """Ticket records. The id is the run time (passed in, so reruns repeat)
-    plus the row key, so ids stay unique within a batch."""
-    ts = F.lit(run_ts).cast("timestamp_ntz")
+    """Ticket records. The id is the run time plus the row key, so ids stay
+    unique within a batch; pass ``run_ts`` to make reruns repeat."""
+    ts = _run_time(run_ts)
     r = route(classified)
     return r.select(
         F.concat(F.lit("TCK-"), F.date_format(ts, "yyyyMMddHHmmss"), F.lit("-"), F.col(key_col)).alias("ticket_id"),
@@ -172,9 +179,9 @@ def team_counts(df: DataFrame) -> DataFrame:
     return g.coalesce(1).sortWithinPartitions(F.desc("n"), "target_team")
 
 
-def incident_log(classified: DataFrame, run_ts: str, text_col: str = "incident_text") -> DataFrame:
+def incident_log(classified: DataFrame, run_ts: str | None = None, text_col: str = "incident_text") -> DataFrame:
     """Classification log rows: result fields, the incident text, the time."""
     return classified.select(
         "category", "severity", "line", "station", "target_team", "fallback_output",
-        F.col(text_col).alias("incident_text"), F.lit(run_ts).cast("timestamp_ntz").alias("timestamp"),
+        F.col(text_col).alias("incident_text"), _run_time(run_ts).alias("timestamp"),
     )

@@ -108,7 +108,7 @@ class InsightsPage:
 
 def insights_page(ridership: DataFrame, headway: DataFrame | None, lines=None, date_from=None,
                   date_to=None, include_premetro: bool = True, generated_at: str = "",
-                  materialize: bool = True) -> InsightsPage:
+                  materialize: bool = True, densify: bool = False) -> InsightsPage:
     """Data of the insights page: filters, sums, KPIs, changes, report and
     payload, as named DataFrames (nothing is collected)."""
     allowed = SUBTE_LINES + (("P",) if include_premetro else ())
@@ -127,7 +127,10 @@ def insights_page(ridership: DataFrame, headway: DataFrame | None, lines=None, d
     hbl = r.mean_by_line(hwp) if hwp is not None else None
     k = r.kpis(pbl, hbl)
     weekly = r.with_change(r.weekly(pax), "week", "wow")
-    monthly = r.with_change(r.monthly(pax), "month", "mom")
+    monthly_sums = r.monthly(pax)
+    if densify:  # every line x month of the range, 0 where a line has no rows
+        monthly_sums = r.densify_monthly(monthly_sums)
+    monthly = r.with_change(monthly_sums, "month", "mom")
     period = F.concat(F.lit(date_from).cast("string") if date_from else lo.cast("string"), F.lit(" to "),
                       F.lit(date_to).cast("string") if date_to else hi.cast("string"))
     line_df = r.lines_union(pax, hwp) if hwp is not None else r.lines_union(pax)

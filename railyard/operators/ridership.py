@@ -178,10 +178,16 @@ def trailing_days(df: DataFrame, days: int = 7, value: str = "passengers") -> Da
     )
 
 
-def system_summary(df: DataFrame, station: str = "estacion", date_col: str = "fecha") -> DataFrame:
-    """Rows, distinct stations (exact) and first / last day (dates parsed
-    day-first, so text dates compare as dates)."""
-    n_st = F.count_distinct(station) if station in df.columns else F.lit(None).cast("long")
+def system_summary(df: DataFrame, station: str = "estacion", date_col: str = "fecha",
+                   approx: bool = False) -> DataFrame:
+    """Rows, distinct stations (exact, or HyperLogLog++ with ``approx``) and
+    first / last day (dates parsed day-first, so text dates compare as dates)."""
+    if station not in df.columns:
+        n_st = F.lit(None).cast("long")
+    elif approx:
+        n_st = F.approx_count_distinct(station)
+    else:
+        n_st = F.count_distinct(station)
     day = parse_day_first(df, date_col)
     return df.agg(
         F.count(F.lit(1)).alias("total_records"),

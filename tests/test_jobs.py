@@ -80,3 +80,15 @@ def test_checkpoint_dir_rules(spark):
     assert d and shared_path(spark, "x").startswith(d.rstrip("/"))
     page = jobs.insights_page(view(spark, SF, "ridership"), None)  # checkpoints its daily table
     assert page.pax_by_line.count() > 0
+
+
+def test_summary_approx_densify_and_now(spark):
+    t = view(spark, SF, "turnstiles")
+    exact, approx = r.system_summary(t).first(), r.system_summary(t, approx=True).first()
+    assert abs(approx.n_stations - exact.n_stations) <= max(2, exact.n_stations // 20)
+    page = jobs.insights_page(view(spark, SF, "ridership"), None, densify=True, materialize=False)
+    months = page.monthly.groupBy("line").count().collect()
+    assert len({c["count"] for c in months}) == 1  # every line has every month
+    from railyard.operators import incidents as inc
+    tk = inc.tickets(inc.classify(view(spark, SF, "model_outputs"))).first()
+    assert tk.created_at is not None and tk.ticket_id.startswith("TCK-")

@@ -1,4 +1,5 @@
-"""Run registered queries against their oracle: ``python -m railyard.plans.run_checks [names]``."""
+"""Run registered queries against their oracle:
+``python -m railyard.plans.run_checks [names] [--sf DIR]`` (default sf0.01)."""
 
 from __future__ import annotations
 
@@ -13,6 +14,10 @@ from .check import compare, duck_connection
 
 def main(argv: list[str]) -> int:
     sf_dir = "/root/testdata/sf0.01"
+    if "--sf" in argv:
+        i = argv.index("--sf")
+        sf_dir = argv[i + 1]
+        argv = argv[:i] + argv[i + 2:]
     names = [a for a in argv if not a.startswith("--")] or list(QUERIES)
     spark = build_session("local[8]", shuffle_partitions=8)
     con = duck_connection(sf_dir)

@@ -18,7 +18,7 @@ PIECES = ["Linea", "Línea", "LÍNEA", "linea", "Lina", "premetro", "PREMETRO",
 label = st.lists(st.sampled_from(PIECES), min_size=0, max_size=5).map("".join)
 
 
-@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=25, deadline=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.one_of(label, st.none()), min_size=1, max_size=40))
 def test_labels_match_rule_chains(spark, labels):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(labels)], "i int, raw string")
@@ -37,7 +37,7 @@ def test_labels_match_rule_chains(spark, labels):
 series = st.lists(st.integers(min_value=0, max_value=60), min_size=0, max_size=40)
 
 
-@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=20, deadline=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(series, min_size=1, max_size=3))
 def test_rolling_stats_match_pandas(spark, stations):
     rows = []

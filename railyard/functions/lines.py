@@ -32,19 +32,23 @@ def canonical_line_ah(c: Column | str) -> Column:
     A-H letter anywhere (case-insensitive), upper-cased; else the stripped
     text. Null stays null.
 
-    The first two rules always end in the last A-H letter of the text, so
-    one greedy extraction covers all three (the oracle keeps the rules apart
-    and so checks this)."""
+    The first two rules always end in the last A-H letter of the text (no
+    other character folds into a-h), so one greedy extraction covers all
+    three (the oracle keeps the rules apart and so checks this)."""
     text = py_strip(_col(c).cast("string"))
     last = F.regexp_extract(text, r"(?ius)^.*([a-h])", 1)
     return F.when(last != "", F.upper(last)).otherwise(text)
 
 
 def canonical_line_az(c: Column | str) -> Column:
-    """As :func:`canonical_line_ah` with any ASCII letter."""
+    """As :func:`canonical_line_ah` with any letter. The ``Linea X`` rule is
+    kept apart here: matched without regard to case it also takes letters
+    that fold into a-z (the long s becomes ``S``), which the last-ASCII-letter
+    rule would skip."""
     text = py_strip(_col(c).cast("string"))
+    named = F.regexp_extract(text, r"(?iuU)^l[ií]nea\s*([a-z])$", 1)
     last = F.regexp_extract(text, r"(?s)^.*([A-Za-z])", 1)
-    return F.when(last != "", F.upper(last)).otherwise(text)
+    return F.when(named != "", F.upper(named)).when(last != "", F.upper(last)).otherwise(text)
 
 
 def normalize_line(c: Column | str) -> Column:
@@ -54,7 +58,7 @@ def normalize_line(c: Column | str) -> Column:
     passes the known-line filter that follows)."""
     text = py_strip(_col(c).cast("string"))
     known = F.array(*[F.lit(x) for x in ALL_LINES])
-    named = _empty_to_null(F.regexp_extract(text, r"[Ll][ií]ne?a\s*([A-Za-z])", 1))
+    named = _empty_to_null(F.regexp_extract(text, r"(?U)[Ll][ií]ne?a\s*([A-Za-z])", 1))
     first = F.upper(F.regexp_extract(text, r"([A-Za-z])", 1))
     return (
         F.when(text.rlike(r"(?iu)premetro"), F.lit("P"))

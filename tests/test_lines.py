@@ -30,3 +30,20 @@ def test_label_rules(spark, fn, idx):
     got = {r.i: r.out for r in df.select("i", fn("raw").alias("out")).collect()}
     for i, c in enumerate(CASES):
         assert got[i] == c[idx], (fn.__name__, c[0], got[i], c[idx])
+
+
+UNICODE_CASES = [
+    # raw, A-H rules, any-letter rules, forecast rules (as Python's re reads them)
+    ("lineaſ", "A", "S", "lineaſ"),        # long s folds to s under ignore-case
+    ("Línea B", "B", "B", "B"),       # no-break space is whitespace
+    ("Linea c", "C", "C", "C"),       # em space too
+    ("lineaı", "A", "I", "lineaı"),  # dotless i folds to i
+]
+
+
+@pytest.mark.parametrize("fn,idx", [(canonical_line_ah, 1), (canonical_line_az, 2), (normalize_line, 3)])
+def test_label_rules_unicode(spark, fn, idx):
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(UNICODE_CASES)], "i int, raw string")
+    got = {r.i: r.out for r in df.select("i", fn("raw").alias("out")).collect()}
+    for i, c in enumerate(UNICODE_CASES):
+        assert got[i] == c[idx], (fn.__name__, c[0], got[i], c[idx])

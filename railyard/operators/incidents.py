@@ -103,11 +103,22 @@ def parse_object(raw: Column) -> Column:
     return F.when(F.size(arr) == 1, F.element_at(arr, 1))
 
 
+def _last_value(m: Column, key: str) -> Column:
+    """Value of the last ``key`` entry: a parsed object keeps repeated keys in
+    order, and the last one wins, as in Python's JSON reader."""
+    hits = F.filter(F.map_entries(m), lambda e: e.getField("key") == key)
+    return F.try_element_at(hits, F.lit(-1)).getField("value")
+
+
+def _has_key(m: Column, key: str) -> Column:
+    return F.exists(F.map_entries(m), lambda e: e.getField("key") == key)
+
+
 def _key_or(m: Column, key: str, default: str | None) -> Column:
     """Value of ``key``; ``default`` only when the key is absent (an explicit
     JSON null stays null), or when nothing parsed."""
     d = F.lit(default).cast("string")
-    return F.when(m.isNull(), d).when(F.map_contains_key(m, key), m.getItem(key)).otherwise(d)
+    return F.when(m.isNull(), d).when(_has_key(m, key), _last_value(m, key)).otherwise(d)
 
 
 def classify(df: DataFrame, raw_col: str = "raw_output") -> DataFrame:
@@ -125,7 +136,7 @@ def classify(df: DataFrame, raw_col: str = "raw_output") -> DataFrame:
         _key_or(F.col("_m"), "line", None).alias("line"),
         _key_or(F.col("_m"), "station", None).alias("station"),
         _key_or(F.col("_m"), "target_team", MANUAL_REVIEW).alias("target_team"),
-        F.col("_m").getItem("confidence").try_cast("double").alias("confidence"),
+        _last_value(F.col("_m"), "confidence").try_cast("double").alias("confidence"),
         F.when(F.col("_m").isNull(), py_strip(F.col(raw_col))).alias("fallback_output"),
     ).drop("_m")
 

@@ -101,3 +101,12 @@ def test_linear_time_on_pathological_texts(spark):
     assert time.time() - t < 20
     assert [r.parsed_ok for r in rows] == [False, False]
     assert rows[1].s == "a" + " " * 200_000 + "b"
+
+
+def test_repeated_keys_last_wins(spark):
+    df = spark.createDataFrame(
+        [('{"category": "delay", "category": "safety", "severity": null, "severity": "high"}',)],
+        "raw_output string")
+    r = inc.classify(df).first()
+    assert (r.category, r.severity) == ("safety", "high")
+    assert (r.category, r.severity) == tuple(_expected(df.first().raw_output)[k] for k in ("category", "severity"))

@@ -66,3 +66,16 @@ def test_rolling_stats_match_pandas(spark, stations):
         z = (r.pax_total - r.m) / r.sd
         if abs(abs(z) - 3.0) > 1e-6:
             assert x.is_anomaly == (abs(z) >= 3.0)
+
+
+WS_CHARS = [" ", "\t", "\n", "\r", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\xa0", " ", " ", " ",
+            "​", " ", " ", " ", "　", "﻿", "a", "é", " b"]
+
+
+@settings(max_examples=30, deadline=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.sampled_from(WS_CHARS), max_size=8).map("".join), min_size=1, max_size=50))
+def test_strip_matches_python(spark, texts):
+    from railyard.functions.coerce import py_strip
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.s for r in df.select("i", py_strip("t").alias("s")).collect()}
+    assert got == {i: t.strip() for i, t in enumerate(texts)}

@@ -107,3 +107,11 @@ def to_number(df: DataFrame, name: str, fill_zero: bool = False) -> Column:
 def hour_of(c: Column) -> Column:
     """Hour number from ``HH:MM[:SS]`` text: the part before the first colon."""
     return py_strip(F.split_part(c.cast("string"), F.lit(":"), F.lit(1))).try_cast("int")
+
+
+def py_round(c: Column, digits: int) -> Column:
+    """Python's ``round(x, digits)`` for doubles: the exact binary value
+    rounded half-even. Spark's ``round`` rounds the shortest decimal text
+    half-up (2.675 -> 2.68; Python gives 2.67). ``format_number`` rounds like
+    Python; its text (separators removed) is read back as a double."""
+    return F.regexp_replace(F.format_number(c, digits), ",", "").try_cast("double")

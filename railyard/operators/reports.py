@@ -59,12 +59,20 @@ def passenger_lines(pax_by_line: DataFrame) -> Column:
     return body.select(F.when(F.col("n") > 0, F.col("body"))).scalar()
 
 
+def two_decimals(c: Column) -> Column:
+    """Python's ``f"{x:.2f}"``: the binary value rounded half-even to two
+    places. Java's ``%.2f`` rounds the shortest decimal text half-up instead
+    (2.675 gives 2.68 there, 2.67 here); ``format_number`` rounds like
+    Python, then its thousands separators are removed."""
+    return F.regexp_replace(F.format_number(c, 2), ",", "")
+
+
 def headway_lines(hw_by_line: DataFrame) -> Column:
     """``- A: 2.23 min`` lines, smallest headway first."""
     h = F.col("avg_headway_min")
     body = _ordered_lines(
         hw_by_line, F.struct(h, F.col("line")),
-        F.concat(F.lit("- "), F.col("line"), F.lit(": "), F.format_string("%.2f", h), F.lit(" min")),
+        F.concat(F.lit("- "), F.col("line"), F.lit(": "), two_decimals(h), F.lit(" min")),
     )
     return body.select(F.when(F.col("n") > 0, F.col("body"))).scalar()
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.coerce import hour_of, month_start, parse_day_first, to_number
+from ..functions.coerce import hour_of, month_start, parse_day_first, py_round, to_number
 from ..functions.lines import ALL_LINES, canonical_line_az, in_lines
 
 
@@ -126,7 +126,7 @@ def kpis(pax_by_line: DataFrame, hw_by_line: DataFrame | None = None) -> DataFra
         F.coalesce(F.max("total"), F.lit(0).cast("long")).alias("total_passengers"),
         F.coalesce(F.max("top_line"), F.lit("—")).alias("top_line"),
         F.coalesce(F.max("top"), F.lit(0).cast("long")).alias("top_passengers"),
-        F.round(F.max("hw"), 2).alias("avg_headway_min"),
+        py_round(F.max("hw"), 2).alias("avg_headway_min"),
     )
 
 

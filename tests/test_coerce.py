@@ -38,3 +38,11 @@ def test_day_first_with_time(spark):
     df = spark.createDataFrame(rows, "d string")
     got = [r[0] for r in df.select(parse_day_first(df, "d")).collect()]
     assert got == [dt.datetime(2024, 2, 13, 7, 5, 9), dt.datetime(2024, 2, 3, 7, 5), None]
+
+
+def test_py_round(spark):
+    from pyspark.sql import functions as F
+    from railyard.functions.coerce import py_round
+    vals = [2.675, 1.005, 0.125, 0.375, 5.0585714, -2.675, 1234567.891, 0.0]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    assert [r[0] for r in df.select(py_round(F.col("v"), 2)).collect()] == [round(v, 2) for v in vals]

@@ -134,3 +134,10 @@ def test_summary_maps(spark):
     assert set(maps) == {"top_stations", "top_lines", "hour_peaks"}
     assert len(maps["top_stations"]) == 5 and len(maps["hour_peaks"]) == 10
     assert all(isinstance(v, int) for v in maps["top_lines"].values())
+
+
+def test_two_decimals_like_python(spark):
+    vals = [2.675, 1.005, 0.125, 36.995, 1234.565, 13.86, 5.0585714, -2.675]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    got = [x[0] for x in df.select(rep.two_decimals(F.col("v"))).collect()]
+    assert got == [f"{v:.2f}" for v in vals]

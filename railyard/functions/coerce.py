@@ -104,9 +104,30 @@ def to_number(df: DataFrame, name: str, fill_zero: bool = False) -> Column:
     return F.coalesce(c, F.lit(0)) if fill_zero else c
 
 
+def _decimal_digits() -> tuple[str, str]:
+    """Every decimal digit of the Basic Multilingual Plane outside ASCII, and
+    its ASCII digit (built from the Unicode database, as Python's ``int``
+    reads them)."""
+    import unicodedata
+
+    src = [chr(cp) for cp in range(0x80, 0x10000) if unicodedata.category(chr(cp)) == "Nd"]
+    return "".join(src), "".join(str(unicodedata.decimal(ch)) for ch in src)
+
+
+_DIGITS_FROM, _DIGITS_TO = _decimal_digits()
+
+
+def py_int(c: Column) -> Column:
+    """Python's ``int(text)``: surrounding whitespace, a sign, any decimal
+    digits (not only ASCII) and single underscores between digits; anything
+    else gives null."""
+    text = F.translate(py_strip(c.cast("string")), _DIGITS_FROM, _DIGITS_TO)
+    return F.regexp_replace(text, r"(?<=[0-9])_(?=[0-9])", "").try_cast("int")
+
+
 def hour_of(c: Column) -> Column:
     """Hour number from ``HH:MM[:SS]`` text: the part before the first colon."""
-    return py_strip(F.split_part(c.cast("string"), F.lit(":"), F.lit(1))).try_cast("int")
+    return py_int(F.split_part(c.cast("string"), F.lit(":"), F.lit(1)))
 
 
 def py_round(c: Column, digits: int) -> Column:

@@ -46,3 +46,18 @@ def test_py_round(spark):
     vals = [2.675, 1.005, 0.125, 0.375, 5.0585714, -2.675, 1234567.891, 0.0]
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     assert [r[0] for r in df.select(py_round(F.col("v"), 2)).collect()] == [round(v, 2) for v in vals]
+
+
+def test_hour_like_python_int(spark):
+    from pyspark.sql import functions as F
+    texts = ["07:15", "+7:15", "٧:15", "1_0:00", "1__0:00", "١٢:00", "１２:00", "7.5:00", "x:1"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(hour_of(F.col("t"))).collect()]
+
+    def py(t):
+        try:
+            return int(t.split(":")[0])
+        except ValueError:
+            return None
+
+    assert got == [py(t) for t in texts]

@@ -100,7 +100,13 @@ def to_number(df: DataFrame, name: str, fill_zero: bool = False) -> Column:
     dtype = df.schema[name].dataType
     c = F.col(f"`{name}`")
     if not isinstance(dtype, T.NumericType):
-        c = py_strip(c.cast("string")).try_cast("double")
+        text = py_strip(c.cast("string"))
+        num = text.try_cast("double")
+        # Java's parser also takes type suffixes (5d, 5f) and turns overflow
+        # (1e400) into infinity; as missing values they become null
+        suffix = text.rlike(r"[0-9.][dDfF]$")
+        overflow = (F.abs(num) == F.lit(float("inf"))) & ~text.rlike(r"(?i)inf")
+        c = F.when(suffix | overflow, F.lit(None).cast("double")).otherwise(num)
     return F.coalesce(c, F.lit(0)) if fill_zero else c
 
 

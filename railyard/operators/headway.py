@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.coerce import days_in_month, parse_iso_date
+from ..functions.coerce import days_in_month, parse_iso_date, to_number
 from ..functions.lines import canonical_line_ah
 from ..session import cut_lineage
 
@@ -27,8 +27,9 @@ def _require(df: DataFrame, cols: set[str], what: str) -> None:
         raise ValueError(f"{what} must have columns: {', '.join(sorted(cols))}")
 
 
-def _trains(c: str) -> F.Column:
-    return F.coalesce(F.col(c).cast("string").try_cast("double"), F.lit(0.0))
+def _trains(df: DataFrame, c: str) -> F.Column:
+    """Train counts as numbers; text that is not a number counts as 0."""
+    return to_number(df, c, fill_zero=True).cast("double")
 
 
 def _headway(trains: F.Column, year_month: F.Column) -> F.Column:
@@ -40,7 +41,7 @@ def headway_from_monthly(df: DataFrame) -> DataFrame:
     with no trains or a month text that does not parse are dropped."""
     _require(df, {"year_month", "line", "dispatched_trains"}, "monthly dispatch")
     ym = F.col("year_month").cast("string")
-    trains = _trains("dispatched_trains")
+    trains = _trains(df, "dispatched_trains")
     return df.where((trains > 0) & days_in_month(ym).isNotNull()).select(
         ym.alias("year_month"),
         canonical_line_ah("line").alias("line"),
@@ -58,7 +59,7 @@ def headway_from_daily(df: DataFrame) -> DataFrame:
     raw = (
         df.where(day.isNotNull() & F.col("line").isNotNull())
         .groupBy(F.date_format(day, "yyyy-MM").alias("year_month"), F.col("line").alias("raw"))
-        .agg(F.sum(_trains("trains")).alias("trains"))
+        .agg(F.sum(_trains(df, "trains")).alias("trains"))
     )
     g = (
         raw.withColumn("line", canonical_line_ah("raw")).where(F.col("line").isNotNull())

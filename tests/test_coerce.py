@@ -61,3 +61,18 @@ def test_hour_like_python_int(spark):
             return None
 
     assert got == [py(t) for t in texts]
+
+
+def test_numbers_like_pandas(spark):
+    import math
+
+    import pandas as pd
+
+    from railyard.functions.coerce import to_number
+    texts = ["5", " 5 ", "1e3", "inf", "nan", "1,000", "5d", "5f", "1e400", "abc", "", "-2.5"]
+    want = pd.to_numeric(pd.Series(texts, dtype=object), errors="coerce").tolist()
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(to_number(df, "t")).collect()]
+    for t, g, w in zip(texts, got, want):
+        missing = g is None or (isinstance(g, float) and math.isnan(g))
+        assert missing == math.isnan(w) and (missing or g == w), (t, g, w)

@@ -100,16 +100,21 @@ def to_number(df: DataFrame, name: str, fill_zero: bool = False) -> Column:
     dtype = df.schema[name].dataType
     c = F.col(f"`{name}`")
     if not isinstance(dtype, T.NumericType):
-        text = py_strip(c.cast("string"))
-        num = text.try_cast("double")
-        # Java's parser also takes type suffixes (5d, 5f) and turns overflow
-        # (1e400) into infinity; as missing values they become null
-        suffix = text.rlike(r"[0-9.][dDfF]$")
-        overflow = (F.abs(num) == F.lit(float("inf"))) & ~text.rlike(r"(?i)inf")
-        c = F.when(suffix | overflow, F.lit(None).cast("double")).otherwise(num)
+        c = py_number(c)
     return F.coalesce(c, F.lit(0)) if fill_zero else c
 
 
+def py_number(c: Column) -> Column:
+    """A number from text the way pandas reads it (``to_numeric``): surrounding
+    whitespace allowed; Java's parser would also take type suffixes (5d, 5f)
+    and turn overflow (1e400) into infinity, both are missing here."""
+    text = py_strip(c.cast("string"))
+    num = text.try_cast("double")
+    suffix = text.rlike(r"[0-9.][dDfF]$")
+    overflow = (F.abs(num) == F.lit(float("inf"))) & ~text.rlike(r"(?i)inf")
+    return F.when(suffix | overflow, F.lit(None).cast("double")).otherwise(num)
+
+
 def _decimal_digits() -> tuple[str, str]:
     """Every decimal digit of the Basic Multilingual Plane outside ASCII, and
     its ASCII digit (built from the Unicode database, as Python's ``int``

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.coerce import py_number, py_strip
 from ..functions.lines import SUBTE_LINES
 
 # Texts pandas reads as missing by default.
@@ -107,8 +108,8 @@ def infer_types(df: DataFrame) -> DataFrame:
         v = F.col(f"`{c}`")
         checks += [
             F.count(v).alias(f"n{i}"),
-            F.count(v.try_cast("long")).alias(f"l{i}"),
-            F.count(v.try_cast("double")).alias(f"d{i}"),
+            F.count(py_strip(v).try_cast("long")).alias(f"l{i}"),
+            F.count(py_number(v)).alias(f"d{i}"),
         ]
     stats = df.agg(*checks).first()
     cols = []
@@ -118,9 +119,9 @@ def infer_types(df: DataFrame) -> DataFrame:
             i = text_cols.index(f.name)
             n, nl, nd = stats[f"n{i}"], stats[f"l{i}"], stats[f"d{i}"]
             if n and nl == n:
-                c = c.try_cast("long")
+                c = py_strip(c).try_cast("long")
             elif n and nd == n:
-                c = c.try_cast("double")
+                c = py_number(c)
         cols.append(c.alias(f.name))
     return df.select(*cols)
 

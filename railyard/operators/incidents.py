@@ -103,22 +103,20 @@ def parse_object(raw: Column) -> Column:
     return F.when(F.size(arr) == 1, F.element_at(arr, 1))
 
 
-def _last_value(m: Column, key: str) -> Column:
+def _last_value(m: Column, unique: Column, key: str) -> Column:
     """Value of the last ``key`` entry: a parsed object keeps repeated keys in
-    order, and the last one wins, as in Python's JSON reader."""
+    order, and the last one wins, as in Python's JSON reader. Objects without
+    repeated keys (``unique``) take the plain lookup; only the rare others
+    scan their entries."""
     hits = F.filter(F.map_entries(m), lambda e: e.getField("key") == key)
-    return F.try_element_at(hits, F.lit(-1)).getField("value")
+    return F.when(unique, m.getItem(key)).otherwise(F.try_element_at(hits, F.lit(-1)).getField("value"))
 
 
-def _has_key(m: Column, key: str) -> Column:
-    return F.exists(F.map_entries(m), lambda e: e.getField("key") == key)
-
-
-def _key_or(m: Column, key: str, default: str | None) -> Column:
+def _key_or(m: Column, unique: Column, key: str, default: str | None) -> Column:
     """Value of ``key``; ``default`` only when the key is absent (an explicit
     JSON null stays null), or when nothing parsed."""
     d = F.lit(default).cast("string")
-    return F.when(m.isNull(), d).when(_has_key(m, key), _last_value(m, key)).otherwise(d)
+    return F.when(m.isNull(), d).when(F.map_contains_key(m, key), _last_value(m, unique, key)).otherwise(d)
 
 
 def classify(df: DataFrame, raw_col: str = "raw_output") -> DataFrame:
@@ -128,17 +126,20 @@ def classify(df: DataFrame, raw_col: str = "raw_output") -> DataFrame:
     null / manual_review) and keeps the stripped text in ``fallback_output``.
     """
     m = parse_object(F.col(raw_col))
-    return df.withColumn("_m", m).select(
-        "*",
-        F.col("_m").isNotNull().alias("parsed_ok"),
-        _key_or(F.col("_m"), "category", UNKNOWN).alias("category"),
-        _key_or(F.col("_m"), "severity", UNKNOWN).alias("severity"),
-        _key_or(F.col("_m"), "line", None).alias("line"),
-        _key_or(F.col("_m"), "station", None).alias("station"),
-        _key_or(F.col("_m"), "target_team", MANUAL_REVIEW).alias("target_team"),
-        _last_value(F.col("_m"), "confidence").try_cast("double").alias("confidence"),
-        F.when(F.col("_m").isNull(), py_strip(F.col(raw_col))).alias("fallback_output"),
-    ).drop("_m")
+    keys = F.map_keys(F.col("_m"))
+    parsed = df.withColumn("_m", m).withColumn("_u", F.size(keys) == F.size(F.array_distinct(keys)))
+    mm, u = F.col("_m"), F.col("_u")
+    return parsed.select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        mm.isNotNull().alias("parsed_ok"),
+        _key_or(mm, u, "category", UNKNOWN).alias("category"),
+        _key_or(mm, u, "severity", UNKNOWN).alias("severity"),
+        _key_or(mm, u, "line", None).alias("line"),
+        _key_or(mm, u, "station", None).alias("station"),
+        _key_or(mm, u, "target_team", MANUAL_REVIEW).alias("target_team"),
+        _last_value(mm, u, "confidence").try_cast("double").alias("confidence"),
+        F.when(mm.isNull(), py_strip(F.col(raw_col))).alias("fallback_output"),
+    )
 
 
 def routed_team(category: Column, severity: Column, team: Column) -> Column:

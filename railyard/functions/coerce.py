@@ -147,3 +147,9 @@ def py_round(c: Column, digits: int) -> Column:
     half-up (2.675 -> 2.68; Python gives 2.67). ``format_number`` rounds like
     Python; its text (separators removed) is read back as a double."""
     return F.regexp_replace(F.format_number(c, digits), ",", "").try_cast("double")
+
+
+def sum0(c: Column | str) -> Column:
+    """A grouped sum that is 0, not null, when every value is missing (as a
+    grouped sum in pandas is)."""
+    return F.coalesce(F.sum(c), F.lit(0))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.coerce import to_number
+from ..functions.coerce import sum0, to_number
 from ..functions.lines import ALL_LINES, SUBTE_LINES, in_lines, normalize_line
 from ..session import cut_lineage
 from .ridership import daily_by_line, week_start
@@ -24,14 +24,12 @@ BAND_Z = 1.64
 
 def weekly_sum(df: DataFrame, value: str = "passengers") -> DataFrame:
     return df.groupBy("line", week_start(F.col("date")).alias("week")).agg(
-        F.sum(value).cast("double").alias(value)
+        sum0(value).cast("double").alias(value)
     )
 
 
 def monthly_sum(df: DataFrame, value: str = "passengers") -> DataFrame:
-    return df.groupBy("line", F.date_format("date", "yyyy-MM").alias("ym")).agg(
-        F.sum(value).alias(value)
-    )
+    return df.groupBy("line", F.date_format("date", "yyyy-MM").alias("ym")).agg(sum0(value).alias(value))
 
 
 def dispatch_by_month(disp: DataFrame) -> DataFrame:
@@ -52,9 +50,9 @@ def month_weeks(ym: F.Column) -> F.Column:
 def pax_per_train(pax_monthly: DataFrame, disp_monthly: DataFrame) -> DataFrame:
     """Passengers per dispatched train by month over the metro lines; months
     where either side is missing, or trains sum to 0, are left out."""
-    pax = pax_monthly.where(in_lines("line", SUBTE_LINES)).groupBy("ym").agg(F.sum("passengers").alias("pax"))
+    pax = pax_monthly.where(in_lines("line", SUBTE_LINES)).groupBy("ym").agg(sum0("passengers").alias("pax"))
     tr = disp_monthly.where(in_lines("line", SUBTE_LINES)).groupBy("ym").agg(
-        F.sum("dispatched_trains").alias("trains")
+        sum0("dispatched_trains").alias("trains")
     )
     ratio = F.try_divide(F.col("pax").cast("double"), F.col("trains").cast("double"))
     return pax.join(tr, "ym").select("ym", ratio.alias("ratio")).where(

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.coerce import sum0
+
 # The summary texts used when no model summary is given.
 DRAFT_SUMMARY = (
     "**Insights (draft)**\n"
@@ -105,7 +107,7 @@ def weekly_summary(pax: DataFrame, headway: DataFrame | None, days: int = 7,
     start = F.date_sub(end, days - 1)
     day = F.col("date").cast("date")
     window = pax.where((day >= start) & (day <= end) & F.col("line").isNotNull())
-    pax_by_line = window.groupBy("line").agg(F.sum("passengers").alias("passengers"))
+    pax_by_line = window.groupBy("line").agg(sum0("passengers").alias("passengers"))
     hw_body = F.lit(None).cast("string")
     if headway is not None:
         hd = F.col("date").cast("date")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.coerce import hour_of, month_start, parse_day_first, py_round, to_number
+from ..functions.coerce import hour_of, month_start, parse_day_first, py_round, sum0, to_number
 from ..functions.lines import ALL_LINES, canonical_line_az, in_lines
 
 
@@ -75,12 +75,12 @@ def daily_by_line(df: DataFrame, label=canonical_line_az, allowed=ALL_LINES, lin
     if date_to is not None:
         hi = date_to if isinstance(date_to, Column) else F.lit(date_to)
         base = base.where(day <= hi.cast("date"))
-    raw = base.groupBy(day.alias("date"), F.col(line_col).alias("raw")).agg(F.sum(value).alias(value))
+    raw = base.groupBy(day.alias("date"), F.col(line_col).alias("raw")).agg(sum0(value).alias(value))
     keep = in_lines(F.col("line"), allowed)
     if lines is not None:
         keep = keep & in_lines(F.col("line"), lines)
     labelled = raw.withColumn("line", label(F.col("raw"))).where(keep)
-    return labelled.groupBy("date", "line").agg(F.sum(value).alias(value))
+    return labelled.groupBy("date", "line").agg(sum0(value).alias(value))
 
 
 def prepare_headway(df: DataFrame, **filters) -> DataFrame:
@@ -95,7 +95,7 @@ def prepare_headway(df: DataFrame, **filters) -> DataFrame:
 
 def sum_by_line(df: DataFrame, value: str = "passengers", line: str = "line") -> DataFrame:
     """Sum per line; rows with a null line are left out, as in a grouped sum."""
-    return df.where(F.col(line).isNotNull()).groupBy(F.col(line).alias("line")).agg(F.sum(value).alias(value))
+    return df.where(F.col(line).isNotNull()).groupBy(F.col(line).alias("line")).agg(sum0(value).alias(value))
 
 
 def mean_by_line(df: DataFrame, value: str = "avg_headway_min", line: str = "line") -> DataFrame:
@@ -136,13 +136,11 @@ def week_start(c) -> F.Column:
 
 
 def weekly(df: DataFrame, value: str = "passengers") -> DataFrame:
-    return df.groupBy("line", week_start(F.col("date")).alias("week")).agg(F.sum(value).alias(value))
+    return df.groupBy("line", week_start(F.col("date")).alias("week")).agg(sum0(value).alias(value))
 
 
 def monthly(df: DataFrame, value: str = "passengers") -> DataFrame:
-    return df.groupBy("line", F.date_format("date", "yyyy-MM").alias("month")).agg(
-        F.sum(value).alias(value)
-    )
+    return df.groupBy("line", F.date_format("date", "yyyy-MM").alias("month")).agg(sum0(value).alias(value))
 
 
 def with_change(df: DataFrame, period: str, out: str, value: str = "passengers") -> DataFrame:
@@ -172,7 +170,7 @@ def trailing_days(df: DataFrame, days: int = 7, value: str = "passengers") -> Da
     return (
         df.where((day >= F.date_sub(end, days - 1)) & (day <= end) & F.col("line").isNotNull())
         .groupBy("line")
-        .agg(F.sum(value).alias(value))
+        .agg(sum0(value).alias(value))
         .withColumn("period_start", F.date_sub(end, days - 1))
         .withColumn("period_end", end)
     )

@@ -141,3 +141,11 @@ def test_two_decimals_like_python(spark):
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     got = [x[0] for x in df.select(rep.two_decimals(F.col("v"))).collect()]
     assert got == [f"{v:.2f}" for v in vals]
+
+
+def test_all_missing_group_sums_to_zero(spark):
+    import datetime as dt
+    rows = [(dt.date(2024, 1, 1), "A", None), (dt.date(2024, 1, 1), "B", 5.0)]
+    df = spark.createDataFrame(rows, "date date, line string, passengers double")
+    assert {x.line: x.passengers for x in r.sum_by_line(df).collect()} == {"A": 0.0, "B": 5.0}
+    assert {x.line: x.passengers for x in r.daily_by_line(df).collect()} == {"A": 0.0, "B": 5.0}

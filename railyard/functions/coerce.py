@@ -61,8 +61,9 @@ def trim_strings(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-# Day-first text, with an optional clock time.
+# Day-first text, with an optional clock time; slash, dash or dot separated.
 DAY_FIRST_PATTERN = "d/M/yyyy[ H:mm[:ss]]"
+DAY_FIRST_PATTERNS = (DAY_FIRST_PATTERN, "d-M-yyyy[ H:mm[:ss]]", "d.M.yyyy[ H:mm[:ss]]")
 
 
 def parse_day_first(df: DataFrame, name: str) -> Column:
@@ -76,7 +77,7 @@ def parse_day_first(df: DataFrame, name: str) -> Column:
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return c.cast("timestamp")
     text = py_strip(c.cast("string"))
-    return F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(text, F.lit(DAY_FIRST_PATTERN)))
+    return F.coalesce(F.try_to_timestamp(text), *[F.try_to_timestamp(text, F.lit(p)) for p in DAY_FIRST_PATTERNS])
 
 
 def parse_iso_date(c: Column) -> Column:

@@ -56,8 +56,8 @@ def normalize(e: str) -> str:
 
 def day_first(e: str) -> str:
     t = strip(e)
-    return (f"coalesce(try_cast({t} AS TIMESTAMP), "
-            f"try_strptime({t}, ['%d/%m/%Y', '%d/%m/%Y %H:%M:%S', '%d/%m/%Y %H:%M']))")
+    fmts = ", ".join(f"'%d{sep}%m{sep}%Y{tail}'" for sep in "/-." for tail in ("", " %H:%M:%S", " %H:%M"))
+    return f"coalesce(try_cast({t} AS TIMESTAMP), try_strptime({t}, [{fmts}]))"
 
 
 def week(e: str) -> str:

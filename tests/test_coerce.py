@@ -76,3 +76,10 @@ def test_numbers_like_pandas(spark):
     for t, g, w in zip(texts, got, want):
         missing = g is None or (isinstance(g, float) and math.isnan(g))
         assert missing == math.isnan(w) and (missing or g == w), (t, g, w)
+
+
+def test_day_first_separators(spark):
+    rows = [("13-02-2024",), ("13.2.2024 07:05",), ("2024-02-13",), ("13-2-24",)]
+    df = spark.createDataFrame(rows, "d string")
+    got = [r[0] for r in df.select(parse_day_first(df, "d")).collect()]
+    assert got == [dt.datetime(2024, 2, 13), dt.datetime(2024, 2, 13, 7, 5), dt.datetime(2024, 2, 13), None]

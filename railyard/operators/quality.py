@@ -105,7 +105,17 @@ def allowed_violations(df: DataFrame, cfg: DataQualityConfig) -> DataFrame:
     for col, allowed in cfg.allowed_values.items():
         if col not in df.columns:
             continue
-        ok = F.coalesce(_col(col).isin(list(allowed)), F.lit(False))
+        # only values of the column's kind can be equal to one of its values
+        # (text is never equal to a number); comparing across kinds would make
+        # Spark cast the column, which fails on the first text that is not one
+        dtype = df.schema[col].dataType
+        if isinstance(dtype, T.StringType):
+            vals = [v for v in allowed if isinstance(v, str)]
+        elif isinstance(dtype, T.NumericType):
+            vals = [v for v in allowed if isinstance(v, (int, float)) and not isinstance(v, bool)]
+        else:
+            vals = list(allowed)
+        ok = F.coalesce(_col(col).isin(vals), F.lit(False)) if vals else F.lit(False)
         parts.append(
             df.where(~ok).select(F.lit(col).alias("column_name"), _col(col).cast("string").alias("bad_value"))
         )

@@ -85,3 +85,11 @@ def test_text_columns_in_numeric_rules(spark):
     assert rows[("below_min", "v")] == 1 and rows[("above_max", "v")] == 1
     out = q.numeric_anomalies(df, ["v"], 4.0).collect()
     assert [r.v for r in out] == ["900"]
+
+
+def test_allowed_values_of_another_kind(spark):
+    df = spark.createDataFrame([("A", 1), ("x", 2), (None, 3)], "t string, n long")
+    cfg = q.DataQualityConfig(name="t", expected_columns=["t", "n"],
+                              allowed_values={"t": ["A", 1], "n": [1, "2"]})
+    bad = {(r.column_name, r.bad_value) for r in q.allowed_violations(df, cfg).collect()}
+    assert bad == {("t", "x"), ("t", None), ("n", "2"), ("n", "3")}

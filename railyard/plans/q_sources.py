@@ -115,5 +115,7 @@ def stream_daily_sums(spark, sf_dir):
     (src.write.mode("overwrite").option("header", "true").option("sep", ";")
      .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(f"{run}/in"))
     q = start_daily_ingest(spark, f"{run}/in", f"{run}/out", checkpoint=f"{run}/checkpoint")
-    q.awaitTermination()
+    if not q.awaitTermination(900):  # availableNow stops by itself; never wait forever
+        q.stop()
+        raise TimeoutError("the daily ingestion stream did not finish within 900 s")
     return spark.read.parquet(f"{run}/out").select("date", "linea", "pax_total", "rows")

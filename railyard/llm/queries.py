@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secrets
+from . import near_dedup, secrets
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +27,11 @@ def query(fn):
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every whole text of documents."""
     return secrets.secret_spans(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of documents over 2-word shingles."""
+    links = near_dedup.Links(words=2, percent=80)
+    rows = near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), links=links)
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

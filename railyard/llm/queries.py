@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, near_dedup, pieces, secrets, url_filter, warc
+from . import decontaminate, licenses, near_dedup, pieces, secrets, topk, url_filter, warc
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,13 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best inner products of every 20th vector among all others."""
+    rows = read_table(spark, sf_dir, "embeddings")
+    return topk.top_k(rows, rows.where("vec_id % 20 = 0"), 20)
+
+
 @query
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict on every page's url: by rule, else by its host's trust and distrust."""

@@ -12,10 +12,13 @@
 3. Inside a bucket, links are looked for star by star: in round t every later
    class is paired with the t-th one, unless the two are already in one
    component or their sizes rule the similarity out. Pairs are verified on the
-   full shingle sets, verified links merge components, and the rounds go on
-   until the pairs left over are at most a few times the buckets' rows; these are
-   then all verified. So no bucket emits all its pairs, and none is capped:
-   every pair of a bucket is verified or already connected.
+   full shingle sets and verified links merge components. Once the pairs left
+   between components are in proportion to the buckets' rows, tasks compare
+   them by bitmaps of ``BITS`` bits: bits of one set that the other lacks are
+   shingles it lacks, which bounds the similarity from above. Only pairs the
+   bound leaves are emitted and verified on the full sets. So no bucket emits
+   all its pairs, and none is capped: every pair of a bucket is verified,
+   ruled out by an exact bound, or already connected.
 """
 
 from __future__ import annotations
@@ -34,8 +37,11 @@ from .components import connected_components
 from .textblocks import NOT_SPACE, blocks, distinct_by_row, mix, shingles, word_hashes, word_spans
 
 COLLECTIONS, PER_COLLECTION = 14, 2
-#: Once the pairs left over are so few times the buckets' rows, they are all verified.
-REST_PAIRS_PER_ROW = 4
+#: Once the pairs left over are at most so many times the buckets' rows, all are compared by bitmaps.
+REST_PAIRS_PER_ROW = 256
+BITS = 2048
+#: Rows of a bucket's largest component that a task holds at once.
+CHUNK = 4096
 #: Text rows of the candidates are picked by a broadcast list up to so many ids (8 bytes each), else by a shuffle join.
 BROADCAST_IDS = 1_000_000
 
@@ -154,6 +160,68 @@ def _sizes_fit(x: str, y: str, links: Links):
     return F.least(x, y) * 100 >= F.greatest(x, y) * links.percent
 
 
+def _rest_pairs(rows: DataFrame, inside: DataFrame, sets: DataFrame, links: Links) -> DataFrame:
+    """(a, b) between different components of a bucket that sizes and bitmaps
+    leave. A bucket's largest component is dealt into chunks, and the rows
+    outside of it go to each chunk: no task holds the component whole."""
+    top = inside.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.max("c").alias("c"))
+    chunks = F.ceil(F.col("c") / CHUNK).cast("int")
+    inner = F.col("comp") == F.col("top")
+    dealt = rows.join(top, "key").withColumn("inner", inner).withColumn("chunk", F.explode(
+        F.when(inner, F.array(F.pmod(F.hash("node"), chunks))).otherwise(F.sequence(F.lit(0), chunks - 1))))
+    dealt = dealt.join(sets.select("node", "bits"), "node").select("key", "chunk", "node", "n", "comp", "inner", "bits")
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def pairs_of(node, n, comp, inner, first, bits):
+        order = np.argsort(n, kind="stable")
+        node, n, comp, inner, bits = node[order], n[order], comp[order], inner[order], bits[order]
+        stop = np.searchsorted(n, n * 100 // links.percent, "right")
+        for i in range(len(n) - 1):
+            j = np.arange(i + 1, stop[i])
+            j = j[(comp[j] != comp[i]) & ~(inner[j] & inner[i])]
+            if not first:  # pairs of outer rows belong to the first chunk
+                j = j[inner[j] | inner[i]]
+            if len(j):
+                less = np.bitwise_count(bits[i] & ~bits[j]).sum(1, dtype=np.int64)
+                more = np.bitwise_count(bits[j] & ~bits[i]).sum(1, dtype=np.int64)
+                both = np.minimum(n[i] - less, n[j] - more)
+                j = j[100 * both >= links.percent * (n[i] + n[j] - both)]
+                if len(j):
+                    yield np.full(len(j), node[i]), node[j]
+
+    def compare(batches):
+        kept: pa.Table | None = None
+        for batch in _then_none(batches):
+            table = None if batch is None else pa.Table.from_batches([batch])
+            have = kept if table is None else table if kept is None else pa.concat_tables([kept, table])
+            if have is None or not have.num_rows:
+                continue
+            key, chunk = (have.column(c).to_numpy() for c in ("key", "chunk"))
+            cut = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])) + 1, [len(key)]])
+            done = len(cut) - (1 if batch is None else 2)  # the last bucket may go on in the next batch
+            kept = have.slice(cut[done])
+            if not done:
+                continue
+            have = have.slice(0, cut[done]).combine_chunks()
+            node, n, comp = (have.column(c).to_numpy() for c in ("node", "n", "comp"))
+            inner = have.column("inner").to_numpy(zero_copy_only=False)
+            bits = np.frombuffer(b"".join(have.column("bits").to_pylist()), np.uint64).reshape(len(node), BITS // 64)
+            out = []
+            for lo, hi in zip(cut[:done], cut[1:done + 1]):
+                out += pairs_of(node[lo:hi], n[lo:hi], comp[lo:hi], inner[lo:hi], chunk[lo] == 0, bits[lo:hi])
+            if out:
+                a, b = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+                pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+    return dealt.repartition(parts, "key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(compare, "a bigint, b bigint")
+
+
+def _then_none(batches):
+    yield from batches
+    yield None
+
+
 def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Buckets with each class's component; buckets within one component go."""
     if labels is None:
@@ -184,17 +252,14 @@ def _components(buckets: DataFrame, sets_of, links: Links) -> DataFrame | None:
         turn += 1
         last = turn > 1 and left <= REST_PAIRS_PER_ROW * rows.count()
         if last:
-            # rows outside a bucket's largest component against the bucket: no pairs are made within that component
-            top = inside.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"))
-            rows = rows.join(top, "key")
-            other = rows.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), (F.col("comp") == F.col("top")).alias("in_top"))
-            pairs = rows.where("comp <> top").withColumnRenamed("node", "a").join(other, "key").where("in_top or a < b")
+            pairs = _rest_pairs(rows, inside, sets_of(), links)
         else:
             pivot = F.nth_value(F.struct("node", "n", "comp"), turn).over(by_node)
             pairs = rows.withColumn("p", pivot).where("p.node < node").select(
                 F.col("p.node").alias("a"), F.col("p.n").alias("n"), F.col("p.comp").alias("comp"),
                 F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        pairs = pairs.where((F.col("comp") != F.col("cb")) & _sizes_fit("n", "nb", links)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            pairs = pairs.where((F.col("comp") != F.col("cb")) & _sizes_fit("n", "nb", links)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
@@ -238,9 +303,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
             def full(batches):
                 for part, values, at in _sets(batches, links):
-                    yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([values[at[i]:at[i + 1]].tobytes() for i in range(part.num_rows)], pa.binary())], names=["node", "values"])
-
-            made.append(stored(picked.select("node", "text").mapInArrow(full, "node bigint, values binary"), "sets"))
+                    n = part.num_rows
+                    marks = np.zeros((n, BITS), bool)
+                    marks[np.repeat(np.arange(n), np.diff(at)), (values >> np.uint64(20)) % np.uint64(BITS)] = True
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("node"), pa.array([values[at[i]:at[i + 1]].tobytes() for i in range(n)], pa.binary()),
+                         pa.array([x.tobytes() for x in np.packbits(marks, axis=1)], pa.binary())], names=["node", "values", "bits"])
+
+            made.append(stored(picked.select("node", "text").mapInArrow(full, "node bigint, values binary, bits binary"), "sets"))
         return made[0]
 
     labels = _components(buckets, sets_of, links)

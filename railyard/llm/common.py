@@ -27,6 +27,21 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_ids(docs: DataFrame):
+    """A number for every row of a stored table, the same in each scan.
+
+    ``monotonically_increasing_id`` follows the split of the files, which
+    depends on the number of cores known at that moment unless
+    ``spark.sql.files.minPartitionNum`` is set: it is pinned here once per
+    session. The operators expect ``docs`` to be read from files (select and
+    filter on top are fine), not the outcome of a shuffle.
+    """
+    spark = docs.sparkSession
+    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    return F.monotonically_increasing_id().alias("uid")
+
+
 def ascii_lower(col):
     """A-Z lower-cased, every other character as it is."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import row_ids, stored
 from .textblocks import ALNUM, blocks, distinct_by_row, shingles, word_hashes, word_spans
 
 WORDS, PERCENT = 5, 80
@@ -110,7 +110,7 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
                     [part.column("uid").take(pa.array(np.full(len(own), r))), part.column("id").take(pa.array(np.full(len(own), r))), pa.array(own.view(np.int64))],
                     names=["uid", "id", "gram"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), docs[id_col].alias("id"), docs[text_col].alias("text"))
+    rows = docs.select(row_ids(docs), docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     found = stored(rows.mapInArrow(probe, f"uid bigint, id {kind}, gram bigint"), "probed")
     candidates = found.join(grams.where("signed").select("item", "n", "gram"), "gram").select("uid", "item", "n").distinct()

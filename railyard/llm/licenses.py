@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import row_ids, stored
 from .textblocks import ALNUM, blocks, mix, rolling, word_hashes, word_spans
 
 #: Longest k-gram; a template with fewer words uses its whole length.
@@ -118,7 +118,7 @@ def template_votes(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
                     [pa.array((p - at[row]).astype(np.int64)), pa.array(v.view(np.int64))], names=["at", "gram"]))
                 yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("id"), pa.array(np.diff(at).astype(np.int64)), hits], names=["uid", "id", "n_words", "hits"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), docs[id_col].alias("id"), docs[text_col].alias("text"))
+    rows = docs.select(row_ids(docs), docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     # three later steps read the survivors: written once, the texts are scanned once
     scanned = stored(rows.mapInArrow(scan, f"uid bigint, id {kind}, n_words bigint, hits array<struct<at:bigint,gram:bigint>>"), "grams")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import row_ids, stored
 from .components import connected_components
 from .textblocks import NOT_SPACE, blocks, distinct_by_row, mix, shingles, word_hashes, word_spans
 
@@ -284,7 +284,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are linked (but for empty ones) and keep a row each; a null id counts as
     larger than any. Other columns are not read; an empty table gives none.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), docs[id_col].alias("id"), docs[text_col].alias("text"))
+    rows = docs.select(row_ids(docs), docs[id_col].alias("id"), docs[text_col].alias("text"))
     signed = stored(signatures(rows.select("uid", "id", "text"), links), "signatures")
     classes = signed.where("n > 0").groupBy("node", "rest").agg(F.min("uid").alias("uid"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     keys = classes.select("node", "n", "sig").mapInArrow(_keys, "key bigint, node bigint, n bigint")

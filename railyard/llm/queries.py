@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, near_dedup, pieces, quality, secrets, topk, url_filter, warc
+from . import decontaminate, licenses, near_dedup, pieces, quality, secrets, suffix_dedup, topk, url_filter, warc
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+@query
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of documents that 50-byte strings share with smaller ids."""
+    return suffix_dedup.repeated_bytes(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written as a WARC record, read back, resolved and deduplicated."""

@@ -42,6 +42,18 @@ def row_ids(docs: DataFrame):
     return F.monotonically_increasing_id().alias("uid")
 
 
+#: Row ids are broadcast up to so many (8 bytes each), else joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without_rows(docs: DataFrame, uids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose :func:`row_ids` number is in ``uids`` (uid)."""
+    uids = stored(uids.select(F.col("uid").alias("__row")).distinct(), "dropped")
+    if uids.count() <= BROADCAST_IDS:
+        uids = F.broadcast(uids)
+    return docs.select(row_ids(docs).alias("__row"), "*").join(uids, "__row", "left_anti").drop("__row")
+
+
 def ascii_lower(col):
     """A-Z lower-cased, every other character as it is."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

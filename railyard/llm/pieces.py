@@ -196,10 +196,10 @@ def decoded(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", mo
     return rows.mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
-def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
-    """Encoding and decoding in one pass, without the ids themselves: id,
-    n_tokens, n_bytes (byte pieces among them), ids_sha256 (of the ids as
-    little-endian 32-bit numbers) and round_trip (whether decoding gives the text).
+def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, with_ids: bool = False) -> DataFrame:
+    """Encoding and decoding in one pass: id, n_tokens, n_bytes (byte pieces among them), ids_sha256 (of the ids as
+    little-endian 32-bit numbers), round_trip (whether decoding gives the text)
+    and, if asked for, ids array<int>.
 
     Null and empty texts have no tokens and come back as the empty text. A
     text that holds U+2581 itself comes back with spaces there (round_trip is
@@ -215,17 +215,21 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                n, n_bytes, digest, same = [], [], [], []
+                n, n_bytes, digest, same, every = [], [], [], [], []
                 for t in text_array(part.column("text")).to_pylist():
                     ids = vocabulary.encode(t)
                     n.append(len(ids))
                     numbers = np.array(ids, "<i4")
+                    every.append(numbers)
                     n_bytes.append(int(is_byte[numbers].sum()))
                     digest.append(hashlib.sha256(numbers.tobytes()).hexdigest())
                     same.append(decode(ids, table) == t)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(digest, pa.string()), pa.array(same, pa.bool_())],
-                                                 names=["id", "n_tokens", "n_bytes", "ids_sha256", "round_trip"])
+                columns = [part.column("id"), pa.array(n, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(digest, pa.string()), pa.array(same, pa.bool_())]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate(every))))
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "n_bytes", "ids_sha256", "round_trip", "ids"][:len(columns)])
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, n_tokens bigint, n_bytes bigint, ids_sha256 string, round_trip boolean").withColumnRenamed("id", id_col)
+    schema = f"id {kind}, n_tokens bigint, n_bytes bigint, ids_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -86,3 +86,11 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = near_dedup.Links(words=2, percent=80)
     rows = near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), links=links)
     return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline: every stage on all that its predecessor kept."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -9,12 +9,15 @@
    minhashes give 91 tables of 4 minhashes each, from 28 minhashes instead of
    364. A pair of similarity 0.8 is missed only if fewer than two collections
    agree: probability 1.6e-5; 0.85: 8e-7.
-3. Inside a bucket, links are looked for star by star: in round t every later
-   class is paired with the t-th one, unless the two are already in one
+3. Inside a bucket, links are looked for star by star. First every class is
+   paired with one pivot, that first class of its buckets with which it shares
+   most tables; while far too many pairs are left, round t pairs every later
+   class of a bucket with the t-th one, unless the two are already in one
    component or their sizes rule the similarity out. Pairs are verified on the
    full shingle sets and verified links merge components. Once the pairs left
-   between components are in proportion to the buckets' rows, tasks compare
-   them by bitmaps of ``BITS`` bits: bits of one set that the other lacks are
+   between components are in proportion to the buckets' rows (or a round found
+   no link), tasks compare them, first giving each class its likeliest partner
+   only, then all that is left between components, by bitmaps of ``BITS`` bits: bits of one set that the other lacks are
    shingles it lacks, which bounds the similarity from above. Only pairs the
    bound leaves are emitted and verified on the full sets. So no bucket emits
    all its pairs, and none is capped: every pair of a bucket is verified,
@@ -160,9 +163,9 @@ def _sizes_fit(x: str, y: str, links: Links):
     return F.least(x, y) * 100 >= F.greatest(x, y) * links.percent
 
 
-def _rest_pairs(rows: DataFrame, inside: DataFrame, sets: DataFrame, links: Links) -> DataFrame:
+def _rest_pairs(rows: DataFrame, inside: DataFrame, sets: DataFrame, links: Links, best: bool) -> DataFrame:
     """(a, b) between different components of a bucket that sizes and bitmaps
-    leave. A bucket's largest component is dealt into chunks, and the rows
+    leave; with ``best`` only the likeliest partner of each class. A bucket's largest component is dealt into chunks, and the rows
     outside of it go to each chunk: no task holds the component whole."""
     top = inside.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.max("c").alias("c"))
     chunks = F.ceil(F.col("c") / CHUNK).cast("int")
@@ -185,7 +188,10 @@ def _rest_pairs(rows: DataFrame, inside: DataFrame, sets: DataFrame, links: Link
                 less = np.bitwise_count(bits[i] & ~bits[j]).sum(1, dtype=np.int64)
                 more = np.bitwise_count(bits[j] & ~bits[i]).sum(1, dtype=np.int64)
                 both = np.minimum(n[i] - less, n[j] - more)
-                j = j[100 * both >= links.percent * (n[i] + n[j] - both)]
+                fits = 100 * both >= links.percent * (n[i] + n[j] - both)
+                if best and fits.any():
+                    fits = np.arange(len(j)) == np.argmax(both / (n[i] + n[j] - both))
+                j = j[fits]
                 if len(j):
                     yield np.full(len(j), node[i]), node[j]
 
@@ -241,7 +247,7 @@ def _components(buckets: DataFrame, sets_of, links: Links) -> DataFrame | None:
     """Components of the classes that share a bucket with another one."""
     by_node = Window.partitionBy("key").orderBy("node")
     labels = tested = None
-    turn = 0
+    turn, linked, best = 0, True, True
     while True:
         rows = stored(_labelled(buckets, labels), "buckets")
         inside = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
@@ -250,15 +256,19 @@ def _components(buckets: DataFrame, sets_of, links: Links) -> DataFrame | None:
             return labels
         buckets = rows.drop("comp")
         turn += 1
-        last = turn > 1 and left <= REST_PAIRS_PER_ROW * rows.count()
-        if last:
-            pairs = _rest_pairs(rows, inside, sets_of(), links)
+        inner = turn > 1 and (not best or not linked or left <= REST_PAIRS_PER_ROW * rows.count())
+        last = inner and not best
+        if inner:
+            pairs = _rest_pairs(rows, inside, sets_of(), links, best)
+            best = False
         else:
-            pivot = F.nth_value(F.struct("node", "n", "comp"), turn).over(by_node)
+            pivot = F.nth_value(F.struct("node", "n", "comp"), max(1, turn - 1)).over(by_node)
             pairs = rows.withColumn("p", pivot).where("p.node < node").select(
                 F.col("p.node").alias("a"), F.col("p.n").alias("n"), F.col("p.comp").alias("comp"),
                 F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
             pairs = pairs.where((F.col("comp") != F.col("cb")) & _sizes_fit("n", "nb", links)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            if turn == 1:  # one pair a class: most copies are united by these
+                pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c")).groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -266,7 +276,8 @@ def _components(buckets: DataFrame, sets_of, links: Links) -> DataFrame | None:
         found = stored(_similar(pairs, sets_of(), links), "links")
         if not last:
             tested = pairs if tested is None else tested.unionByName(pairs)
-        if found.limit(1).count():
+        linked = found.limit(1).count() > 0
+        if linked:
             labels = _unite(labels, found)
         if last:
             return labels

@@ -40,9 +40,9 @@ from .textblocks import BYTE_VALUE, blocks, mix, powers
 
 LENGTH, GRAM = 50, 24
 #: Rows of a chunk (a power of two) and buckets per shuffle partition.
-CHUNK_BITS, BUCKETS_PER_PARTITION = 8, 4
+CHUNK_BITS, BUCKETS_PER_PARTITION = 8, 16
 #: An anchor in more chunks than this is split into single windows.
-SHARED_BY = 32
+SHARED_BY = 2_000
 #: Row ids are broadcast up to so many (8 bytes each), else joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Window starts hashed at a time; below 2**20 for the position bits.
@@ -155,7 +155,7 @@ def _groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table
         yield pa.Table.from_batches(kept)
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answer(batches: Iterator[pa.RecordBatch], shared_by: int) -> Iterator[pa.RecordBatch]:
     """chunk, bucket, repeated, shared: its anchors that another document holds, and those that very many chunks hold."""
     for table in _groups(batches, "bucket"):
         bucket, chunks = table.column("bucket")[0].as_py(), table.column("chunk").to_numpy()
@@ -169,7 +169,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
         count = np.diff(np.append(start, len(every)))
         repeated = np.repeat((count > 1) | np.logical_or.reduceat(weight, start), count)
-        shared = np.repeat(count > SHARED_BY, count)
+        shared = np.repeat(count > shared_by, count)
         order = np.argsort(of[repeated], kind="stable")
         key, own, hot = every[repeated][order], of[repeated][order], shared[repeated][order]
         edge = np.searchsorted(own, np.arange(len(both) + 1))
@@ -179,62 +179,82 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              names=["chunk", "bucket", "repeated", "shared"])
 
 
-# kind 0: segments of a bucket, packed; kind 1: stretches settled within a chunk (ids unused)
-CUT = "bucket int, kind int, ids binary, uids binary, starts binary, sizes binary, bytes binary"
+# kind 0: segments of a bucket, packed (ids int64, rows of the chunk uint16, starts uint32, sizes - length uint16);
+# kind 1: stretches settled within a chunk (rows, starts, stops - starts uint32; ids and bytes empty)
+CUT = "bucket int, kind int, chunk bigint, ids binary, rows binary, starts binary, sizes binary, bytes binary"
 _NAMES = [f.split()[0] for f in CUT.split(", ")]
-_KINDS = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+_KINDS = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
 
 
-def _cut_chunk(table: pa.Table, buckets: int, length: int) -> Iterator[pa.RecordBatch]:
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for each size, behind each other."""
+    shift = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+    return shift + np.arange(int(size.sum()))
+
+
+def _segments(part, data, border, known, buckets, length, chunk_bits):
+    """(hash, bucket, id, row of the chunk, start in its text, start in the block, size) of the segments of known anchors."""
+    n = len(data)
+    p = powers(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(BYTE_VALUE[data] * p[:n], out=total[1:])
+    inverse = powers(n + 1, inverse=True)
+    key, first, last = anchors(data, border, length)
+    home = _bucket(key, buckets)
+    name = (_short(key) << np.uint64(20)) | home.astype(np.uint64)
+    ids, rows = part.column("id").to_numpy(), part.column("uid").to_numpy() & ((1 << chunk_bits) - 1)
+    for which, have in known.items():
+        if not len(have) or not len(name):
+            continue
+        hit = have[np.minimum(np.searchsorted(have, name), len(have) - 1)] == name
+        a, z, bucket = first[hit], last[hit] + length, home[hit]
+        if which == "shared":
+            a = _spread(a, z - a - length + 1)
+            z = a + length
+        digest = mix((total[z] - total[a]) * inverse[a] + (z - a).astype(np.uint64))
+        if which == "shared":
+            bucket = _bucket(digest, buckets)
+        row = np.searchsorted(border, a, "right") - 1
+        yield digest, bucket, ids[row], rows[row], a - border[row], a, z - a
+
+
+def _cut_chunk(table: pa.Table, buckets: int, length: int, chunk_bits: int) -> Iterator[pa.RecordBatch]:
     """Segments of a chunk's repeated anchors, packed by bucket, and the stretches settled within the chunk."""
     asked = table.filter(pc.equal(table.column("kind"), 0))
     known: dict[str, np.ndarray] = {}
     for name in ("repeated", "shared"):
         keys = [(_unpacked(raw) << np.uint64(20)) | np.uint64(b) for b, raw in zip(asked.column("bucket").to_pylist(), asked.column(name).to_pylist())]
         known[name] = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
-    if not len(known["repeated"]) and not len(known["shared"]):
-        return
-    found: dict[bytes, tuple[int, list[tuple[int, int, int]]]] = {}  # segment -> bucket, (id, uid, start) of its places
-    texts = table.filter(pc.equal(table.column("kind"), 1)).combine_chunks()
-    for batch in texts.to_batches():
+    chunk = table.column("chunk")[0].as_py()
+    parts, texts, base = [], [], 0
+    for batch in table.filter(pc.equal(table.column("kind"), 1)).combine_chunks().to_batches():
         for part, data, border in blocks(batch, "text"):
-            raw = data.tobytes()
-            ids, uids = part.column("id").to_numpy(), part.column("uid").to_numpy()
-            key, first, last = anchors(data, border, length)
-            home = _bucket(key, buckets)
-            name = (_short(key) << np.uint64(20)) | home.astype(np.uint64)
-            row = np.searchsorted(border, first, "right") - 1
-            for which, hot in (("repeated", False), ("shared", True)):
-                have = known[which]
-                if not len(have):
-                    continue
-                hit = have[np.minimum(np.searchsorted(have, name), len(have) - 1)] == name
-                for a, z, r, b in zip(first[hit].tolist(), last[hit].tolist(), row[hit].tolist(), home[hit].tolist()):
-                    cuts = [(a, z + length, b)]
-                    if hot:
-                        cuts = [(i, i + length, _single(raw[i:i + length], buckets)) for i in range(a, z + 1)]
-                    for x, y, b in cuts:
-                        found.setdefault(raw[x:y], (b, []))[1].append((int(ids[r]), int(uids[r]), x - int(border[r])))
-    gone: list[tuple[int, int, int]] = []
-    sent: dict[int, list] = {}
-    for segment, (bucket, places) in found.items():
-        least = min(p[0] for p in places)
-        for i, uid, at in places:
-            if i > least:
-                gone.append((uid, at, at + len(segment)))
-            else:
-                sent.setdefault(bucket, []).append((i, uid, at, segment))
-    pack = lambda values: np.array(values, "<i8").tobytes()
-    out = [(bucket, 0, *(pack([r[k] for r in rows]) for k in range(3)), pack([len(r[3]) for r in rows]), b"".join(r[3] for r in rows)) for bucket, rows in sent.items()]
-    if gone:
-        gone = list(_united(gone))
-        out.append((table.column("chunk")[0].as_py() % buckets, 1, b"", pack([g[0] for g in gone]), pack([g[1] for g in gone]), pack([g[2] - g[1] for g in gone]), b""))
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), _KINDS)], names=_NAMES)
-
-
-def _single(window: bytes, buckets: int) -> int:
-    return int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little") % buckets
+            for digest, bucket, ids, rows, at, a, size in _segments(part, data, border, known, buckets, length, chunk_bits):
+                parts.append((digest, bucket, ids, rows, at, base + np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)[:len(size)], size))
+                texts.append(data[_spread(a, size)])
+                base += len(texts[-1])
+    if not base:
+        return
+    digest, bucket, ids, rows, at, place, size = (np.concatenate(x) for x in zip(*parts))
+    text = np.concatenate(texts)
+    # equal segments: those of larger ids are settled, every window stands in the smallest id's
+    order = np.lexsort((ids, digest))
+    start = np.flatnonzero(np.append(True, digest[order][1:] != digest[order][:-1]))
+    least = np.repeat(ids[order][start], np.diff(np.append(start, len(order))))
+    settled = order[ids[order] > least]
+    kept = order[ids[order] == least]
+    out = []
+    if len(settled):
+        gone = list(_united(list(zip(rows[settled].tolist(), at[settled].tolist(), (at + size)[settled].tolist()))))
+        pack = lambda k: np.array([g[k] for g in gone], np.uint32)
+        out.append((chunk % buckets, 1, chunk, b"", pack(0).astype("<u2").tobytes(), pack(1).tobytes(), (pack(2) - pack(1)).tobytes(), b""))
+    kept = kept[np.argsort(bucket[kept], kind="stable")]
+    edge = np.flatnonzero(np.append(True, bucket[kept][1:] != bucket[kept][:-1]))
+    for x, y in zip(edge, np.append(edge[1:], len(kept))):
+        own = kept[x:y]
+        out.append((int(bucket[own[0]]), 0, chunk, ids[own].astype("<i8").tobytes(), rows[own].astype("<u2").tobytes(), at[own].astype("<u4").tobytes(),
+                    (size[own] - length).astype("<u2").tobytes(), text[_spread(place[own], size[own])].tobytes()))
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), _KINDS)], names=_NAMES)
 
 
 def _united(stretches: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
@@ -354,7 +374,7 @@ class Suffixes:
             key = self.word[np.minimum(p, len(self.word) - 1)]
             shift = (np.uint64(8) - left) * np.uint64(8)
             key = np.where(left == 0, np.uint64(0), (key >> np.minimum(shift, np.uint64(63))) << np.minimum(shift, np.uint64(63)))
-            by = np.lexsort((np.minimum(left, np.uint64(8)), key, group[open_]))
+            by = np.lexsort((key, group[open_]) if left.min() == 8 else (left, key, group[open_]))
             order[open_] = member[by]
             g, k, f = group[open_][by], key[by], left[by]
             new = np.append(True, (g[1:] != g[:-1]) | (k[1:] != k[:-1]) | (f[1:] != f[:-1]))
@@ -373,17 +393,24 @@ class Suffixes:
         return same
 
 
-def _settle(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _settle(batches: Iterator[pa.RecordBatch], length: int, chunk_bits: int) -> Iterator[pa.RecordBatch]:
     """uid, start, stop of what a bucket's segments have in common with smaller ids."""
     for table in _groups(batches, "bucket"):
-        known = table.filter(pc.equal(table.column("kind"), 1))
-        for row in known.select(["uids", "starts", "sizes"]).to_pylist():
-            uid, start, size = (np.frombuffer(row[c], "<i8") for c in ("uids", "starts", "sizes"))
-            yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(start), pa.array(start + size)], names=["uid", "start", "stop"])
-        table = table.filter(pc.equal(table.column("kind"), 0))
-        joined = lambda c: b"".join(table.column(c).to_pylist())
-        ids, uids, starts, sizes = (np.frombuffer(joined(c), "<i8") for c in ("ids", "uids", "starts", "sizes"))
-        suffixes = Suffixes(joined("bytes"), sizes, length)
+        read = lambda row, c, kind: np.frombuffer(row[c], kind).astype(np.int64)
+        parts, texts = [], []
+        for row in table.to_pylist():
+            uids = (row["chunk"] << chunk_bits) + read(row, "rows", "<u2")
+            if row["kind"]:
+                start = read(row, "starts", "<u4")
+                yield pa.RecordBatch.from_arrays([pa.array(uids), pa.array(start), pa.array(start + read(row, "sizes", "<u4"))], names=["uid", "start", "stop"])
+            else:
+                parts.append((read(row, "ids", "<i8"), uids, read(row, "starts", "<u4"), read(row, "sizes", "<u2") + length))
+                texts.append(row["bytes"])
+        if not parts:
+            continue
+        ids, uids, starts, sizes = (np.concatenate(x) for x in zip(*parts))
+        suffixes = Suffixes(b"".join(texts), sizes, length)
+        del parts, texts
         order = suffixes.sorted()
         if not len(order):
             continue
@@ -405,14 +432,14 @@ def _small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def removed_stretches(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+def removed_stretches(rows: DataFrame, length: int = LENGTH, shared_by: int = SHARED_BY, chunk_bits: int = CHUNK_BITS) -> DataFrame:
     """uid, start, stop (bytes; may overlap) of what repeats smaller ids; ``rows``: uid, id (long), text, with different texts."""
     spark = rows.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     buckets = min(1 << 20, parts * BUCKETS_PER_PARTITION)
-    chunked = rows.withColumn("chunk", F.shiftright("uid", CHUNK_BITS))
+    chunked = rows.withColumn("chunk", F.shiftright("uid", chunk_bits))
     sent = chunked.select("chunk", "text").mapInArrow(lambda b: _send(b, buckets, length), "bucket int, chunk bigint, once binary, more binary")
-    asked = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "chunk bigint, bucket int, repeated binary, shared binary")
+    asked = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _answer(b, shared_by), "chunk bigint, bucket int, repeated binary, shared binary")
     asked = stored(asked, "anchors")
     none = lambda kind: F.lit(None).cast(kind)
     texts = chunked.select("chunk", F.lit(1).alias("kind"), none("int").alias("bucket"), none("binary").alias("repeated"), none("binary").alias("shared"), "uid", "id", "text")
@@ -421,13 +448,14 @@ def removed_stretches(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def cut(batches):
         for table in _groups(batches, "chunk"):
-            yield from _cut_chunk(table, buckets, length)
+            yield from _cut_chunk(table, buckets, length, chunk_bits)
 
     segments = together.mapInArrow(cut, CUT).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return segments.mapInArrow(lambda b: _settle(b, length), "uid bigint, start bigint, stop bigint")
+    return segments.mapInArrow(lambda b: _settle(b, length, chunk_bits), "uid bigint, start bigint, stop bigint")
 
 
-def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
+                   shared_by: int = SHARED_BY, chunk_bits: int = CHUNK_BITS) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans (maximal removed
     runs) and kept_sha256 (of the remaining bytes).
 
@@ -443,7 +471,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ranked = stored(long.join(classes, ["digest", "n_bytes"]).select("uid", "id", F.col("best.id").alias("least"), F.col("best.uid").alias("first")), "classes")
     others = ranked.where("uid <> first").select("uid")
     texts = rows.where((F.octet_length("text") >= length) & F.col("id").isNotNull()).join(_small(others), "uid", "left_anti")
-    stretches = stored(removed_stretches(texts, length), "stretches")
+    stretches = stored(removed_stretches(texts, length, shared_by, chunk_bits), "stretches")
     by_text = stretches.groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))  # bounded by the text
     picked = rows.select("uid", "text").join(_small(stretches.select("uid").distinct()), "uid", "left_semi").join(by_text, "uid")
 

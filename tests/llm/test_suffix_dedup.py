@@ -56,15 +56,13 @@ def test_suffix_order(seed):
 
 
 @pytest.mark.parametrize("shared_by,chunk_bits", [(32, 8), (1, 1), (0, 0)])
-def test_passages_against_brute_force(stored_docs, monkeypatch, shared_by, chunk_bits):
-    monkeypatch.setattr(suffix_dedup, "SHARED_BY", shared_by)
-    monkeypatch.setattr(suffix_dedup, "CHUNK_BITS", chunk_bits)
+def test_passages_against_brute_force(stored_docs, shared_by, chunk_bits):
     rng = random.Random(5)
     passages = ["".join(rng.choice("abcdé \n") for _ in range(rng.choice([30, 49, 50, 51, 90, 300]))) for _ in range(12)]
     rows = [(i, "".join(rng.choice([rng.choice(passages), "".join(rng.choice("abc ") for _ in range(rng.randint(0, 60)))]) for _ in range(rng.randint(0, 8)))) for i in range(80)]
     rows += [(200, "z" * 500), (201, "z" * 60), (202, "z" * 49), (203, None), (204, ""), (205, rows[3][1]), (1, rows[7][1]), (None, passages[5]), (206, "z" * 500), (206, "z" * 500)]
     rng.shuffle(rows)
-    assert result(suffix_dedup.repeated_bytes(stored_docs(rows, files=3))) == brute(rows, 50)
+    assert result(suffix_dedup.repeated_bytes(stored_docs(rows, files=3), shared_by=shared_by, chunk_bits=chunk_bits)) == brute(rows, 50)
 
 
 def test_whole_query_against_brute_force(spark):
@@ -78,9 +76,18 @@ def test_odd_rows(odd_docs, stored_docs):
     assert suffix_dedup.repeated_bytes(stored_docs([])).count() == 0
 
 
-def test_long_text_over_several_pieces(stored_docs, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "PIECE", 256)
+def test_long_text(stored_docs):
     rng = random.Random(9)
     text = "".join(rng.choice("abcdefgh ") for _ in range(5000))
     rows = [(1, text[:2600]), (2, "new " + text[1000:4000] + " end"), (3, text)]
     assert result(suffix_dedup.repeated_bytes(stored_docs(rows))) == brute(rows, 50)
+
+
+def test_anchors_do_not_depend_on_pieces(monkeypatch):
+    data = np.frombuffer(random.Random(3).randbytes(4000), np.uint8) % 4
+    border = np.array([0, 30, 1500, 1500, 4000])
+    windows = lambda x: [(k, w) for k, a, z in zip(*(c.tolist() for c in x)) for w in range(a, z + 1)]
+    whole = windows(suffix_dedup.anchors(data, border))
+    monkeypatch.setattr(suffix_dedup, "PIECE", 97)
+    assert windows(suffix_dedup.anchors(data, border)) == whole
+    assert [w for _, w in whole] == [*range(30, 1451), *range(1500, 3951)]

@@ -61,13 +61,20 @@ def trim_strings(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-# Day-first text, with an optional clock time; slash, dash or dot separated.
-DAY_FIRST_PATTERN = "d/M/yyyy[ H:mm[:ss]]"
-DAY_FIRST_PATTERNS = (DAY_FIRST_PATTERN, "d-M-yyyy[ H:mm[:ss]]", "d.M.yyyy[ H:mm[:ss]]")
+# Day-first text with a two- or four-digit year and an optional clock time
+# (24 hours, with a fraction, or AM / PM); slash, dash or dot separated.
+DAY_FIRST_PATTERNS = tuple(f"d/M/{y}{clock}" for y in ("yyyy", "yy") for clock in ("[ H:mm[:ss[.SSSSSS]]]", " h:mm[:ss] a"))
+
+
+def day_first_text(text: Column) -> Column:
+    """Timestamp from stripped text: ISO first, then day-first; bad text gives
+    null. Batch and stream read dates with this one parser."""
+    slashed = F.regexp_replace(F.upper(text), r"^(\d{1,2})([-.])(\d{1,2})\2(\d{2,4})", "$1/$3/$4")
+    return F.coalesce(F.try_to_timestamp(text), *[F.try_to_timestamp(slashed, F.lit(p)) for p in DAY_FIRST_PATTERNS])
 
 
 def parse_day_first(df: DataFrame, name: str) -> Column:
-    """Timestamp from a column that may be text in ISO or ``d/M/yyyy[ H:mm[:ss]]`` form.
+    """Timestamp from a column that may be text in ISO or day-first form.
 
     Date and timestamp columns are cast directly; text is tried as ISO first,
     then day-first, per row. Unparseable text gives null.
@@ -76,8 +83,7 @@ def parse_day_first(df: DataFrame, name: str) -> Column:
     c = F.col(f"`{name}`")
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return c.cast("timestamp")
-    text = py_strip(c.cast("string"))
-    return F.coalesce(F.try_to_timestamp(text), *[F.try_to_timestamp(text, F.lit(p)) for p in DAY_FIRST_PATTERNS])
+    return day_first_text(py_strip(c.cast("string")))
 
 
 def parse_iso_date(c: Column) -> Column:
@@ -102,6 +108,8 @@ def to_number(df: DataFrame, name: str, fill_zero: bool = False) -> Column:
     c = F.col(f"`{name}`")
     if not isinstance(dtype, T.NumericType):
         c = py_number(c)
+    elif isinstance(dtype, (T.DoubleType, T.FloatType)):
+        c = nan_to_null(c)
     return F.coalesce(c, F.lit(0)) if fill_zero else c
 
 
@@ -113,7 +121,14 @@ def py_number(c: Column) -> Column:
     num = text.try_cast("double")
     suffix = text.rlike(r"[0-9.][dDfF]$")
     overflow = (F.abs(num) == F.lit(float("inf"))) & ~text.rlike(r"(?i)inf")
-    return F.when(suffix | overflow, F.lit(None).cast("double")).otherwise(num)
+    return F.when(suffix | overflow | F.isnan(num), F.lit(None).cast("double")).otherwise(num)
+
+
+def nan_to_null(c: Column | str) -> Column:
+    """NaN is a missing value (Spark would order it above every number); the
+    type of the column stays."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.when(~F.isnan(col), col)
 
 
 def _decimal_digits() -> tuple[str, str]:
@@ -153,4 +168,4 @@ def py_round(c: Column, digits: int) -> Column:
 def sum0(c: Column | str) -> Column:
     """A grouped sum that is 0, not null, when every value is missing (as a
     grouped sum in pandas is)."""
-    return F.coalesce(F.sum(c), F.lit(0))
+    return F.coalesce(F.sum(nan_to_null(c)), F.lit(0))

@@ -136,7 +136,7 @@ def forecast_all(ridership: DataFrame, dispatch: DataFrame | None, horizon: int
     return trend_forecast(weekly, horizon=horizon)
 
 
-def pivot_weeks(forecast: DataFrame, lines=ALL_LINES, value: str = "yhat") -> DataFrame:
-    """Weeks x lines table of one forecast column (explicit line list, so the
-    pivot needs no extra pass to find its columns)."""
+def pivot_weeks(forecast: DataFrame, lines, value: str = "yhat") -> DataFrame:
+    """Weeks x lines table of one forecast column for the selected lines (the
+    caller's list, so the pivot needs no extra pass to find its columns)."""
     return forecast.groupBy("week").pivot("line", list(lines)).agg(F.max(value))

@@ -185,10 +185,10 @@ def tickets(classified: DataFrame, run_ts: str | None = None, description_col: s
 
 
 def team_counts(df: DataFrame) -> DataFrame:
-    """Rows per team, largest first (the team vocabulary is small, so the
-    ordering is a single-partition sort)."""
+    """Rows per team, largest first (models may write any team, so the result
+    is sorted as a distributed table)."""
     g = df.groupBy("target_team").agg(F.count(F.lit(1)).alias("n"))
-    return g.coalesce(1).sortWithinPartitions(F.desc("n"), "target_team")
+    return g.orderBy(F.desc("n"), "target_team")
 
 
 def incident_log(classified: DataFrame, run_ts: str | None = None, text_col: str = "incident_text") -> DataFrame:

@@ -1,22 +1,21 @@
 """Daily ingestion with a run log, exact-size repeatable sampling, log tables.
 
-Log tables are Parquet folders partitioned by their run key: a retried
-append rewrites its own partition (dynamic partition overwrite) instead of
-adding a second copy of the same run.
+A log table is a Parquet folder with one subfolder per append (its batch id):
+a retried append rewrites its own subfolder, an append never touches another
+one's rows, and reading keeps the newest row of each key.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.errors import AnalysisException
 
 from ..functions.coerce import light_names
-from ..session import cut_lineage
 from ..sources.files import path_exists
 
 INGESTION_SCHEMA = T.StructType([
@@ -41,37 +40,41 @@ INCIDENT_SCHEMA = T.StructType([
     T.StructField("raw_llm_output", T.StringType()),
 ])
 
+TIME_OF = {"ingestion_runs": "created_at", "incidents": "reported_at"}
 LOG_TABLES = {"ingestion_runs": (INGESTION_SCHEMA, "run_id"), "incidents": (INCIDENT_SCHEMA, "incident_id")}
-# Incidents are many: their table is partitioned by day, not by id.
-DAY_PARTITIONED = {"incidents": ("reported_date", "reported_at")}
-
 
 @dataclass(frozen=True)
 class PipelineConfig:
     run_date: str
-    limit_rows: int | None = 200_000
-    model_tag: str = "phase3-week9"
+    limit_rows: int | None = None  # sampling only where a caller asks for it
+    key: str | None = None  # unique column that sampling orders by
+    model_tag: str = "phase3-week9"  # fixed value
+
+
+SAMPLE_BUCKETS = 4  # hex digits of the hash that make a bucket
 
 
-def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
+def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """Exactly ``min(n, rows)`` rows, the same ones for the same data and seed:
-    the rows with the smallest seeded hash (ties broken by the row values).
-
-    A pre-filter keeps rows below a hash cut chosen for about n plus a
-    ten-sigma margin, so the final top-n only orders about n rows instead of
-    every row of every task. When the cut leaves fewer than n rows (in
-    practice never) the filter opens to all rows, so the result stays exact.
-    Both checks are scalar subqueries; nothing is collected."""
-    cols = [F.col(f"`{c}`") for c in df.columns]
-    h = F.xxhash64(*cols, F.lit(seed))
-    total = df.select(F.count(F.lit(1))).scalar()
-    want = F.lit(float(n) + 10.0 * n ** 0.5 + 100.0)
-    frac = F.least(F.lit(1.0), want / F.greatest(total.cast("double"), F.lit(1.0)))
-    cut = F.lit(-9.223372036854776e18) + frac * F.lit(1.8446744073709552e19)
-    hashed = df.withColumn("_h", h)
-    short = hashed.select(F.count_if(F.col("_h") <= cut) < n).scalar()
-    keep = hashed.where((F.col("_h") <= cut) | short | (frac >= 1.0))
-    return keep.orderBy("_h", *cols).limit(n).drop("_h")
+    those whose ``md5(key:seed)`` is smallest. ``key`` is a unique column, so
+    copies of a value are drawn independently; the call refuses to run without.
+
+    One pass counts the rows of each bucket (the hash's first four digits).
+    Buckets wholly before the n-th row are kept as they are; only the bucket
+    that holds it is ordered, so no task merges n rows."""
+    if key not in df.columns:
+        raise ValueError(f"sampling needs a unique key column; {key!r} is none of {df.columns}")
+    h = F.md5(F.concat(F.col(f"`{key}`").cast("string"), F.lit(f":{seed}")).cast("binary"))
+    hashed = df.withColumn("_h", F.coalesce(h, F.lit("")))
+    bucket = F.substring("_h", 1, SAMPLE_BUCKETS)
+    counts = hashed.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("c"))  # at most 65,537 rows
+    upto = counts.withColumn("s", F.sum("c").over(Window.orderBy("b")))
+    edge = upto.where((F.col("s") >= n) & (F.col("s") - F.col("c") < n)).select("b", (F.col("s") - F.col("c")).alias("before")).first()
+    if edge is None:  # fewer than n rows
+        return df
+    whole = hashed.where(bucket < edge.b)
+    last = hashed.where(bucket == edge.b).orderBy("_h", f"`{key}`").limit(n - edge.before)
+    return whole.unionByName(last).drop("_h")
 
 
 def run_id(run_date: str, run_ts: dt.datetime) -> str:
@@ -83,75 +86,60 @@ def init_log_tables(spark: SparkSession, log_dir: str) -> None:
     for name, (schema, _) in LOG_TABLES.items():
         path = f"{log_dir}/{name}"
         if not path_exists(spark, path):
-            spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+            stored = _stored_schema(schema)
+            spark.createDataFrame([], stored).drop("_batch").write.mode("overwrite").parquet(f"{path}/_batch=created")
 
 
-def _overwrite_partitions(df: DataFrame, path: str, column: str) -> None:
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.write.mode("overwrite").partitionBy(column).parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+def _stored_schema(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("_appended", T.TimestampNTZType()), T.StructField("_batch", T.StringType())])
 
 
-def append_log(df: DataFrame, log_dir: str, table: str) -> None:
-    """Append rows to a log table; a retried append leaves one copy.
-
-    Run logs (few rows) are partitioned by their run key, so a retry rewrites
-    its own partition. Incidents (many rows) are partitioned by day: the days
-    in the batch are read back (partition-pruned), merged with the new rows
-    keeping one row per incident id (new rows win), cut from the lineage into
-    the shared checkpoint folder, and only those day partitions are
-    overwritten."""
-    schema, key = LOG_TABLES[table]
-    out = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
-    path = f"{log_dir}/{table}"
-    if table not in DAY_PARTITIONED:
-        _overwrite_partitions(out.withColumn("_key", F.col(key)), path, "_key")
-        return
-    part, ts_col = DAY_PARTITIONED[table]
-    spark = df.sparkSession
-    new = out.withColumn(part, F.to_date(ts_col)).withColumn("_new", F.lit(1))
-    days = [r[0] for r in new.select(part).distinct().collect()]  # the batch's days: a handful
-    try:
-        old = spark.read.schema(schema).parquet(path).where(F.col(part).isin(days))
-        old = old.select(*schema.fieldNames(), part).withColumn("_new", F.lit(0))
-        both = old.unionByName(new)
-    except AnalysisException:
-        both = new
-    # one row per incident id, the newest copy winning: a partial aggregate
-    best = F.max_by(F.struct(*schema.fieldNames(), part), F.col("_new")).alias("r")
-    merged = both.groupBy(key).agg(best).select("r.*")
-    _overwrite_partitions(cut_lineage(merged), path, part)
+def append_log(df: DataFrame, log_dir: str, table: str, batch_id: str, appended_at: dt.datetime | None = None) -> None:
+    """Append rows to a log table. ``batch_id`` names the append: a retry with
+    the same id rewrites its own folder, so it leaves one copy; no other
+    append's rows are read or written. ``appended_at`` (default: now, UTC)
+    decides between rows of one key and time."""
+    if not re.fullmatch(r"[A-Za-z0-9_.:-]+", batch_id):
+        raise ValueError(f"a batch id has letters, digits and ._:- only: {batch_id!r}")
+    schema, _ = LOG_TABLES[table]
+    at = appended_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    out = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields], F.lit(at).cast("timestamp_ntz").alias("_appended"))
+    out.write.mode("overwrite").parquet(f"{log_dir}/{table}/_batch={batch_id.replace(':', '%3A')}")
 
 
 def read_log(spark: SparkSession, log_dir: str, table: str) -> DataFrame:
-    schema, _ = LOG_TABLES[table]
-    try:
-        df = spark.read.schema(schema).parquet(f"{log_dir}/{table}")
-    except AnalysisException:
+    """The newest row of each key (by its own time, then by append, then by
+    batch id and value); rows without a key are all kept. An absent table is
+    empty."""
+    schema, key = LOG_TABLES[table]
+    path = f"{log_dir}/{table}"
+    if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
-    return df.select(*schema.fieldNames())
+    rows = spark.read.schema(_stored_schema(schema)).parquet(path)
+    names = schema.fieldNames()
+    order = F.struct(F.coalesce(F.col(TIME_OF[table]), F.lit(dt.datetime(1, 1, 1)).cast("timestamp_ntz")), "_appended", "_batch", F.xxhash64(*names))
+    newest = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*names), order).alias("r")).select("r.*")
+    return newest.unionByName(rows.where(F.col(key).isNull()).select(*names))
 
 
 def ingest_daily_batch(source: DataFrame, cfg: PipelineConfig, log_dir: str, source_file: str,
                        run_ts: dt.datetime) -> DataFrame:
-    """Load (names stripped and lower-cased, sampled to the limit), count, and
-    log the run. Returns the run record."""
+    """Load (names stripped and lower-cased; sampled only if the caller set a
+    limit and a key), count, and log the run. Returns the run record."""
     spark = source.sparkSession
     df = light_names(source)
-    if cfg.limit_rows:
-        df = sample_rows(df, cfg.limit_rows)
+    if cfg.limit_rows is not None:
+        if cfg.key is None:
+            raise ValueError("sampling needs PipelineConfig.key, a unique column")
+        df = sample_rows(df, cfg.limit_rows, cfg.key)
     n = df.count()
+    run = run_id(cfg.run_date, run_ts)
     record = spark.createDataFrame(
-        [(run_id(cfg.run_date, run_ts), dt.date.fromisoformat(cfg.run_date), source_file, n, run_ts,
-          cfg.model_tag)],
+        [(run, dt.date.fromisoformat(cfg.run_date), source_file, n, run_ts, cfg.model_tag)],
         INGESTION_SCHEMA,
     )
     init_log_tables(spark, log_dir)
-    append_log(record, log_dir, "ingestion_runs")
+    append_log(record, log_dir, "ingestion_runs", run)
     return record
 
 
@@ -159,10 +147,10 @@ def example_incidents(spark: SparkSession, run_date: str, reported_at: dt.dateti
     """The two example incidents used to check the incident log."""
     # The example incident records.
     rows = [
-        (f"INC-{run_date}-0001", reported_at, "example",
+        (f"INC-{run_date}-0001", reported_at, "n8n_demo",
          "15-minute delay on Line B at Carlos Pellegrini due to a mechanical issue.",
          "infrastructure", "medium", "B", "Carlos Pellegrini", "infrastructure_maintenance", None),
-        (f"INC-{run_date}-0002", reported_at, "example",
+        (f"INC-{run_date}-0002", reported_at, "n8n_demo",
          "Overcrowding reported on Line D at 9 de Julio during peak hour.",
          "overcrowding", "medium", "D", "9 de Julio", "operations_control", None),
     ]

@@ -155,36 +155,42 @@ def tickets_as_incidents(tickets: DataFrame) -> DataFrame:
     )
 
 
-def load_passengers_summary(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
-    """Passengers by line from the ridership Parquet, else the demo figures."""
+def load_passengers_summary(spark: SparkSession, path: str, demo: bool = False) -> tuple[DataFrame, str]:
+    """Passengers by line from the ridership Parquet, else (only if the caller
+    asks for them) the demo figures."""
     df = files.read_optional(spark, path, "parquet")
     if df is not None and {"line", "passengers"}.issubset(df.columns) and not df.isEmpty():
-        return _tag(r.sort_small(r.sum_by_line(df), "line"), "passengers", path), path
+        return _tag(r.sum_by_line(df).orderBy("line"), "passengers", path), path
+    if not demo:
+        raise FileNotFoundError(f"no ridership table at {path}")
     return _tag(files.demo_frames(spark)[0], "passengers", "DEMO"), "DEMO"
 
 
-def load_other_metric(spark: SparkSession, headway_path: str, monthly_path: str, daily_path: str
-                      ) -> tuple[DataFrame, str, str]:
+def load_other_metric(spark: SparkSession, headway_path: str, monthly_path: str, daily_path: str,
+                      demo: bool = False) -> tuple[DataFrame, str, str]:
     """Headway by line from the headway table, else mean dispatched trains by
-    line from the monthly then the daily service table, else demo headways.
+    line from the monthly then the daily service table, else (with ``demo``)
+    demo headways.
     Returns (frame, kind, source)."""
     found = files.first_available([
         ("headway", lambda: files.read_optional(spark, headway_path, "csv"), {"line", "avg_headway_min"}),
         ("monthly", lambda: files.read_optional(spark, monthly_path, "csv"), {"line", "dispatched_trains"}),
         ("daily", lambda: files.read_optional(spark, daily_path, "parquet"), {"line", "trains"}),
     ])
+    if found is None and not demo:
+        raise FileNotFoundError("no headway or service table found")
     if found is None:
         return _tag(files.demo_frames(spark)[1], "headway", "DEMO"), "headway", "DEMO"
     name, df = found
     if name == "headway":
         if "year_month" in df.columns:
             df = r.mean_by_line(df.withColumn("avg_headway_min", to_number(df, "avg_headway_min").cast("double")))
-        out = r.sort_small(df.select("line", "avg_headway_min"), "line")
+        out = df.select("line", "avg_headway_min").orderBy("line")
         return _tag(out, "headway", headway_path), "headway", headway_path
     col = "dispatched_trains" if name == "monthly" else "trains"
     src = monthly_path if name == "monthly" else daily_path
     level = F.avg(to_number(df, col).cast("double")).alias("service_level")
-    out = r.sort_small(df.groupBy("line").agg(level), "line")
+    out = df.groupBy("line").agg(level).orderBy("line")
     return _tag(out, "service", src), "service", src
 
 

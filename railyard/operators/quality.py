@@ -17,8 +17,6 @@ from pyspark.sql import types as T
 
 from ..functions.coerce import snake_case_names, to_number, trim_strings
 
-ISSUE_VALUES_SHOWN = 20
-
 
 @dataclass(frozen=True)
 class DataQualityConfig:
@@ -79,7 +77,7 @@ def scan_counts(df: DataFrame, cfg: DataQualityConfig) -> DataFrame:
     for i, (col, (lo, hi)) in enumerate(cfg.value_ranges.items()):
         if col not in df.columns:
             continue
-        num = to_number(df, col)  # text that is not a number compares as null, never out of range
+        num = to_number(df, col)  # NaN and text that is not a number compares as null, never out of range
         if lo is not None:
             aggs.append(F.count_if(F.coalesce(num < F.lit(lo), F.lit(False))).alias(f"lo{i}"))
             rows.append(("below_min", col, f"lo{i}"))
@@ -101,7 +99,7 @@ def scan_counts(df: DataFrame, cfg: DataQualityConfig) -> DataFrame:
 def allowed_violations(df: DataFrame, cfg: DataQualityConfig) -> DataFrame:
     """Distinct values outside each allowed set; null counts as outside.
     Absent columns are skipped. Long form (column_name, bad_value)."""
-    parts = []
+    found = []
     for col, allowed in cfg.allowed_values.items():
         if col not in df.columns:
             continue
@@ -116,15 +114,12 @@ def allowed_violations(df: DataFrame, cfg: DataQualityConfig) -> DataFrame:
         else:
             vals = list(allowed)
         ok = F.coalesce(_col(col).isin(vals), F.lit(False)) if vals else F.lit(False)
-        parts.append(
-            df.where(~ok).select(F.lit(col).alias("column_name"), _col(col).cast("string").alias("bad_value"))
-        )
-    if not parts:
+        found.append(F.when(~ok, F.struct(F.lit(col).alias("column_name"), _col(col).cast("string").alias("bad_value"))))
+    if not found:
         return df.sparkSession.createDataFrame([], "column_name string, bad_value string")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+    # one scan for all columns: each row's bad values become rows, then distinct ones
+    hits = df.select(F.explode(F.array(*found)).alias("e")).where(F.col("e").isNotNull())
+    return hits.select("e.column_name", "e.bad_value").distinct()
 
 
 def duplicate_keys(df: DataFrame, cfg: DataQualityConfig) -> DataFrame:
@@ -222,23 +217,15 @@ def issues(df: DataFrame, cfg: DataQualityConfig) -> DataFrame:
         seq = seq.when(chk == "below_min", F.lit(400) + pos_rng[col] * 2)
         seq = seq.when(chk == "above_max", F.lit(401) + pos_rng[col] * 2)
     parts.append(counts.select(seq.cast("int").alias("seq"), msg.alias("issue")).where(F.col("issue").isNotNull()))
-    # allowed sets: the first sorted distinct bad values of each column. Each
-    # column is a top-k (k = shown + 1, to know whether more exist), so the
-    # text never gathers more than k values whatever the number of bad values.
-    bad = allowed_violations(df, cfg)
-    for pos, col_name in enumerate(cfg.allowed_values):
-        if col_name not in df.columns:
-            continue
-        quoted = F.coalesce(F.concat(F.lit("'"), F.col("bad_value"), F.lit("'")), F.lit("None"))
-        first = (bad.where(F.col("column_name") == col_name).select(quoted.alias("v"))
-                 .orderBy("v").limit(ISSUE_VALUES_SHOWN + 1))
-        g = first.agg(F.sort_array(F.collect_list("v")).alias("vals"))
-        vals = F.slice(F.col("vals"), 1, ISSUE_VALUES_SHOWN)
-        text = F.concat(
-            F.lit(f"Column '{col_name}' contains values outside allowed set: ["), F.array_join(vals, " "),
-            F.when(F.size("vals") > ISSUE_VALUES_SHOWN, F.lit(" ...")).otherwise(F.lit("")), F.lit("]"),
-        )
-        parts.append(g.where(F.size("vals") > 0).select(F.lit(300 + pos).alias("seq"), text.alias("issue")))
+    # allowed sets: the text has the number of distinct bad values, the values
+    # themselves are rows of ``allowed_violations`` (there may be any number)
+    checked = [c for c in cfg.allowed_values if c in df.columns]
+    if checked:
+        pos_allowed = F.create_map(*[x for i, c in enumerate(cfg.allowed_values) for x in (F.lit(c), F.lit(300 + i))])
+        bad = allowed_violations(df, cfg).groupBy("column_name").agg(F.count(F.lit(1)).alias("n"))
+        parts.append(bad.select(
+            pos_allowed[F.col("column_name")].alias("seq"),
+            F.format_string("Column '%s' contains %d values outside allowed set", F.col("column_name"), F.col("n")).alias("issue")))
     dups = duplicate_keys(df, cfg)
     key_text = {",".join(k): _py_list(k) for k in cfg.unique_keys}
     key_pos = {",".join(k): i for i, k in enumerate(cfg.unique_keys)}

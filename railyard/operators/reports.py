@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coerce import sum0
+from .ridership import in_days, trailing_bounds
 
 # The summary texts used when no model summary is given.
 DRAFT_SUMMARY = (
@@ -103,10 +104,8 @@ def weekly_summary(pax: DataFrame, headway: DataFrame | None, days: int = 7,
     """Trailing-week summary: sums by line over the last ``days`` days to the
     last date, and mean headway by line for headway rows dated in the window."""
     spark = pax.sparkSession
-    end = pax.select(F.max(F.col("date").cast("date"))).scalar()
-    start = F.date_sub(end, days - 1)
-    day = F.col("date").cast("date")
-    window = pax.where((day >= start) & (day <= end) & F.col("line").isNotNull())
+    start, end = trailing_bounds(pax, days)
+    window = in_days(pax, start, end).where(F.col("line").isNotNull())
     pax_by_line = window.groupBy("line").agg(sum0("passengers").alias("passengers"))
     hw_body = F.lit(None).cast("string")
     if headway is not None:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.coerce import hour_of, month_start, parse_day_first, py_round, sum0, to_number
+from ..functions.coerce import hour_of, month_start, nan_to_null, parse_day_first, py_round, sum0, to_number
 from ..functions.lines import ALL_LINES, canonical_line_az, in_lines
 
 
@@ -121,7 +121,7 @@ def kpis(pax_by_line: DataFrame, hw_by_line: DataFrame | None = None) -> DataFra
     if hw_by_line is not None:
         parts = parts.unionByName(hw_by_line.agg(
             null_l.alias("total"), null_s.alias("top_line"), null_l.alias("top"),
-            F.avg("avg_headway_min").alias("hw")))
+            F.avg(nan_to_null("avg_headway_min")).alias("hw")))
     return parts.agg(
         F.coalesce(F.max("total"), F.lit(0).cast("long")).alias("total_passengers"),
         F.coalesce(F.max("top_line"), F.lit("—")).alias("top_line"),
@@ -165,17 +165,33 @@ def latest(df: DataFrame, period: str, change: str, value: str = "passengers") -
 
 def trailing_days(df: DataFrame, days: int = 7, value: str = "passengers") -> DataFrame:
     """Sum by line over the last ``days`` calendar days ending on the last date."""
-    end = df.select(F.max(F.col("date").cast("date"))).scalar()
-    day = F.col("date").cast("date")
+    start, end = trailing_bounds(df, days)
     return (
-        df.where((day >= F.date_sub(end, days - 1)) & (day <= end) & F.col("line").isNotNull())
+        in_days(df, start, end).where(F.col("line").isNotNull())
         .groupBy("line")
         .agg(sum0(value).alias(value))
-        .withColumn("period_start", F.date_sub(end, days - 1))
+        .withColumn("period_start", start)
         .withColumn("period_end", end)
     )
 
 
+def trailing_bounds(df: DataFrame, days: int, date_col: str = "date") -> tuple[Column, Column]:
+    """First and last day of the window, each a scalar subquery on its own:
+    a bound with arithmetic around the subquery would not reach the scan."""
+    last = F.max(F.col(date_col)).cast("date")
+    return df.select(F.date_sub(last, days - 1)).scalar(), df.select(last).scalar()
+
+
+def in_days(df: DataFrame, start: Column, end: Column, date_col: str = "date") -> DataFrame:
+    """Rows of an inclusive day range. The raw column is compared (a cast
+    around it would keep the bounds from the scan and from partition pruning):
+    a date with the days, a timestamp with their first and next midnight."""
+    d = F.col(date_col)
+    if df.schema[date_col].dataType.simpleString() == "date":
+        return df.where((d >= start) & (d <= end))
+    return df.where((d >= start) & (d < F.date_add(end, 1)))
+
+
 def system_summary(df: DataFrame, station: str = "estacion", date_col: str = "fecha",
                    approx: bool = False) -> DataFrame:
     """Rows, distinct stations (exact, or HyperLogLog++ with ``approx``) and

@@ -56,8 +56,9 @@ def normalize(e: str) -> str:
 
 def day_first(e: str) -> str:
     t = strip(e)
-    fmts = ", ".join(f"'%d{sep}%m{sep}%Y{tail}'" for sep in "/-." for tail in ("", " %H:%M:%S", " %H:%M"))
-    return f"coalesce(try_cast({t} AS TIMESTAMP), try_strptime({t}, [{fmts}]))"
+    clocks = ("", " %H:%M:%S.%f", " %H:%M:%S", " %H:%M", " %I:%M:%S %p", " %I:%M %p")
+    fmts = ", ".join(f"'%d{sep}%m{sep}{y}{tail}'" for y in ("%y", "%Y") for sep in "/-." for tail in clocks)
+    return f"coalesce(CASE WHEN regexp_matches({t}, '^\\d{{4}}-') THEN try_cast({t} AS TIMESTAMP) END, try_strptime({t}, [{fmts}]))"
 
 
 def week(e: str) -> str:

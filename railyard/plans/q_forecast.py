@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.lines import SUBTE_LINES, normalize_line
+from ..functions.lines import ALL_LINES, SUBTE_LINES, normalize_line
 from ..operators.ridership import daily_by_line
 from ..operators import forecast as fc
 from ..sources.testviews import view
@@ -122,4 +122,4 @@ _PIVOT = ", ".join(f"round(max(CASE WHEN line = '{x}' THEN yhat END), 4) AS \"{x
        f"SELECT week, {_PIVOT} FROM fc GROUP BY week"))
 def forecast_pivot(spark, sf_dir):
     f = fc.forecast_all(view(spark, sf_dir, "ridership"), view(spark, sf_dir, "dispatch_monthly"))
-    return rounded(fc.pivot_weeks(f))
+    return rounded(fc.pivot_weeks(f, ALL_LINES))

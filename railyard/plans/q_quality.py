@@ -89,8 +89,7 @@ UNION ALL SELECT 100 + i, printf('Column ''%s'' has %d null values', c, n) FROM
   UNION ALL SELECT 2, 'estacion', count(*) FILTER (WHERE estacion IS NULL) FROM turnstiles) WHERE n > 0
 UNION ALL SELECT 200, printf('Dataset has %d rows, less than required minimum 1000', n)
   FROM (SELECT count(*) AS n FROM turnstiles) WHERE n < 1000
-UNION ALL SELECT 300, 'Column ''linea'' contains values outside allowed set: [' ||
-  array_to_string(list_sort(list(coalesce('''' || linea || '''', 'None'))), ' ') || ']'
+UNION ALL SELECT 300, printf('Column ''linea'' contains %d values outside allowed set', count(*))
   FROM (SELECT DISTINCT linea FROM turnstiles WHERE NOT coalesce(linea IN ('A','B','C','D','E','H'), false))
   HAVING count(*) > 0
 UNION ALL SELECT 400, 'Column ''pax_total'' has values below minimum 1' FROM turnstiles
@@ -112,9 +111,59 @@ def dq_issues(spark, sf_dir):
     return q.issues(view(spark, sf_dir, "turnstiles"), TURNSTILE_RULES)
 
 
-@query("dq_result")
+_CLEAN = "SELECT " + ", ".join(f"{duck.strip(src)} AS {dst}" for dst, src in _RAW_COLS.items()) + " FROM (SELECT DISTINCT * FROM turnstiles_raw)"
+
+
+def _result_sql(name: str, numeric: list[str], issues: list[str]) -> str:
+    """The result record; ``issues`` are SQL texts (null: no issue) in order."""
+    st = ", ".join(f"avg(CAST({c} AS DOUBLE)) AS m_{c}, stddev_samp(CAST({c} AS DOUBLE)) AS s_{c}" for c in numeric)
+    hit = ", ".join(f"CASE WHEN count(*) FILTER (WHERE s_{c} > 0 AND abs((CAST({c} AS DOUBLE) - m_{c}) / s_{c}) >= 4) > 0 "
+                    f"THEN '\"{c}\"' END" for c in sorted(numeric))
+    found = ", ".join(f"'\"' || {i} || '\"'" for i in issues)
+    return sql(["turnstiles_raw"], [
+        ("c", _CLEAN), ("n", "SELECT count(*) AS n FROM c"), ("st", f"SELECT {st} FROM c"),
+        ("an", f"SELECT '[' || concat_ws(',', {hit}) || ']' AS a FROM c, st"),
+        ("iss", f"SELECT '[' || concat_ws(',', {found}) || ']' AS i FROM n"),
+    ], f"""SELECT '{name}' AS dataset_name, (SELECT count(*) FROM turnstiles_raw) AS n_rows_before, n.n AS n_rows_after,
+           5 AS n_columns, i AS issues, a AS anomaly_columns, i = '[]' AS is_acceptable FROM n, an, iss""")
+
+
+def _record(result):
+    """The two arrays as JSON texts, which both engines can compare."""
+    return result.withColumns({"issues": F.to_json("issues"), "anomaly_columns": F.to_json("anomaly_columns")})
+
+
+@query("dq_result", _result_sql("turnstiles_raw", ["hora", "pax_total"], [
+    "CASE WHEN n < 1000 THEN printf('Dataset has %d rows, less than required minimum 1000', n) END"]))
 def dq_result(spark, sf_dir):
     from ..sources.files import infer_types
     raw = infer_types(view(spark, sf_dir, "turnstiles_raw"))
     clean = q.basic_cleaning(raw)
-    return q.quality_result(raw, clean, q.guess_rules(clean, "turnstiles_raw"))
+    return _record(q.quality_result(raw, clean, q.guess_rules(clean, "turnstiles_raw")))
+
+
+@query("dq_many_values", sql(["turnstiles"], [], """
+    SELECT 300 AS seq, printf('Column ''estacion'' contains %d values outside allowed set', count(DISTINCT estacion)) AS issue
+    FROM turnstiles WHERE estacion NOT IN (1, 2) HAVING count(*) > 0"""))
+def dq_many_values(spark, sf_dir):
+    """An allowed set that many values are outside of: the text has their exact number."""
+    cfg = q.DataQualityConfig(name="t", expected_columns=["fecha", "linea", "estacion", "pax_pagos", "pax_total"], allowed_values={"estacion": [1, 2]})
+    return q.issues(view(spark, sf_dir, "turnstiles"), cfg)
+
+
+@query("dq_nan", sql(["turnstiles_nan"], [], " UNION ALL ".join([
+    "SELECT 'rows' AS \"check\", CAST(NULL AS VARCHAR) AS column_name, count(*) AS n FROM turnstiles_nan",
+    "SELECT 'nulls', 'pax_total', count(*) FILTER (WHERE isnan(pax_total)) FROM turnstiles_nan",
+    "SELECT 'below_min', 'pax_total', count(*) FILTER (WHERE pax_total < 10) FROM turnstiles_nan",
+    "SELECT 'above_max', 'pax_total', count(*) FILTER (WHERE pax_total > 100 AND NOT isnan(pax_total)) FROM turnstiles_nan"])))
+def dq_nan(spark, sf_dir):
+    cfg = q.DataQualityConfig(name="t", expected_columns=[], non_null_columns=["pax_total"], value_ranges={"pax_total": (10, 100)})
+    return q.scan_counts(view(spark, sf_dir, "turnstiles_nan"), cfg)
+
+
+@query("sum_nan", sql(["turnstiles_nan"], [], "SELECT linea AS line, round(sum(CASE WHEN isnan(pax_total) THEN 0 ELSE pax_total END), 4) AS passengers "
+                                              "FROM turnstiles_nan GROUP BY linea"))
+def sum_nan(spark, sf_dir):
+    from ..operators import ridership as r
+    rows = view(spark, sf_dir, "turnstiles_nan").withColumnsRenamed({"linea": "line", "pax_total": "passengers"})
+    return rounded(r.sum_by_line(rows))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import headway as hw_ops
 from ..operators import ingest as ing
 from ..operators import reports as rep
 from ..operators import ridership as r
+from ..session import shared_path
 from ..sources.testviews import view
 from .common_sql import HEADWAY, HW_PAGE_RANGED, PAX
 from .q_incidents import _PARSE as INCIDENT_PARSE
@@ -68,13 +71,28 @@ def weekly_summary_text(spark, sf_dir):
     return rep.weekly_summary(view(spark, sf_dir, "ridership"), hw)
 
 
-@query("weekly_payload")
+@query("weekly_payload", sql(["ridership", "dispatch_monthly"], PAX + HW_PAGE_RANGED + [
+    ("pbl", "SELECT line, sum(passengers) AS passengers FROM pax GROUP BY line"),
+    ("hbl", "SELECT line, avg(avg_headway_min) AS m FROM hw_r GROUP BY line"),
+    ("ls", "SELECT DISTINCT line FROM pax UNION SELECT DISTINCT line FROM hw_r WHERE line IS NOT NULL"),
+], f"""SELECT (SELECT CAST(min(date) AS VARCHAR) || ' to ' || CAST(max(date) AS VARCHAR) FROM pax) AS period,
+          (SELECT string_agg(line, ',' ORDER BY line) FROM ls) AS lines,
+          CAST(coalesce(CAST(trunc(sum(passengers)) AS BIGINT), 0) AS DOUBLE) AS total_passengers,
+          (SELECT line FROM pbl ORDER BY passengers DESC, line LIMIT 1) AS top_line,
+          round((SELECT avg(m) FROM hbl), 2) AS avg_headway_min,
+          {_lit(rep.DRAFT_SUMMARY)} AS summary_md, '{GENERATED_AT}' AS generated_at
+   FROM pbl"""))
 def weekly_payload(spark, sf_dir):
+    """The payload's JSON text read back into columns."""
     from ..operators.jobs import insights_page
     page = insights_page(view(spark, sf_dir, "ridership"),
                          hw_ops.headway_etl(view(spark, sf_dir, "dispatch_monthly"), None),
-                         generated_at=GENERATED_AT, materialize=False)
-    return page.payload
+                         generated_at=GENERATED_AT)
+    schema = ("period string, lines array<string>, kpis struct<total_passengers:double,top_line:string,avg_headway_min:double>, "
+              "summary_md string, generated_at string")
+    return page.payload.select(F.from_json("payload", schema).alias("p")).select(
+        "p.period", F.array_join("p.lines", ",").alias("lines"), "p.kpis.total_passengers", "p.kpis.top_line", "p.kpis.avg_headway_min",
+        "p.summary_md", "p.generated_at")
 
 
 @query("latest_runs", sql(["ingestion_runs"], [],
@@ -83,9 +101,47 @@ def latest_runs(spark, sf_dir):
     return ing.latest_runs(view(spark, sf_dir, "ingestion_runs"), 5)
 
 
-@query("sample_n")
+@query("sample_n", sql(["dated_text"], [],
+       "SELECT event_id, raw_date FROM dated_text ORDER BY md5(concat(event_id, ':42')), event_id LIMIT 5000"))
 def sample_n(spark, sf_dir):
-    return ing.sample_rows(view(spark, sf_dir, "turnstiles"), 5000, seed=42)
+    return ing.sample_rows(view(spark, sf_dir, "dated_text"), 5000, "event_id", seed=42)
+
+
+_LOG_TIME = "TIMESTAMP '2024-02-01 00:00:00'"
+
+
+@query("ingest_daily", sql(["turnstiles_timed"], [], f"""SELECT 'run_2024-02-01_20240201T000000Z' AS run_id, DATE '2024-02-01' AS run_date,
+    'events.parquet' AS source_file, count(*) AS rows_loaded, {_LOG_TIME} AS created_at, 'phase3-week9' AS model_tag FROM turnstiles_timed"""))
+def ingest_daily(spark, sf_dir):
+    """One daily batch, run twice (a retry), then the run log."""
+    import datetime as dt
+    log = shared_path(spark, "logs", uuid.uuid4().hex)
+    for _ in range(2):
+        ing.ingest_daily_batch(view(spark, sf_dir, "turnstiles_timed"), ing.PipelineConfig("2024-02-01"), log, "events.parquet", dt.datetime(2024, 2, 1))
+    return ing.read_log(spark, log, "ingestion_runs")
+
+
+_LOG_ROWS = ("SELECT CASE WHEN length(incident_text) % 5 = 0 THEN NULL ELSE incident_id END AS incident_id, "
+             "{time} AS reported_at, incident_text AS description, '{name}' AS category FROM model_outputs")
+_LOG_FIRST = _LOG_ROWS.format(time="CASE WHEN length(raw_output) % 7 = 0 THEN NULL ELSE reported_at END", name="first")
+_LOG_SECOND = _LOG_ROWS.format(time="reported_at + INTERVAL 1 DAY", name="second") + " WHERE length(incident_text) % 2 = 0"
+
+
+@query("log_roundtrip", sql(["model_outputs"], [
+    ("every", f"SELECT *, 1 AS seq FROM ({_LOG_FIRST}) UNION ALL SELECT *, 2 FROM ({_LOG_SECOND})"),
+    ("ranked", "SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY reported_at DESC NULLS LAST, seq DESC) AS r FROM every"),
+], "SELECT incident_id, CAST(reported_at AS TIMESTAMP) AS reported_at, description, category FROM ranked WHERE r = 1 OR incident_id IS NULL"))
+def log_roundtrip(spark, sf_dir):
+    """Incidents appended, retried, appended again with later days; some have
+    no time, some no id."""
+    log = shared_path(spark, "logs", uuid.uuid4().hex)
+    ing.init_log_tables(spark, log)
+    view(spark, sf_dir, "model_outputs").createOrReplaceTempView("model_outputs")
+    for rows, batch in ((_LOG_FIRST, "first"), (_LOG_FIRST, "first"), (_LOG_SECOND, "second"), (_LOG_SECOND, "second")):
+        df = spark.sql(rows)
+        df = df.select(*[F.col(f.name) if f.name in df.columns else F.lit(None).alias(f.name) for f in ing.INCIDENT_SCHEMA.fields])
+        ing.append_log(df, log, "incidents", batch)
+    return ing.read_log(spark, log, "incidents").select("incident_id", "reported_at", "description", "category")
 
 
 def _prompt_sql() -> str:
@@ -117,7 +173,12 @@ def incident_log(spark, sf_dir):
     return inc.incident_log(inc.classify(view(spark, sf_dir, "model_outputs")), "2024-02-01 00:00:00")
 
 
-@query("dataset_profile")
+_PROFILE = [("fecha", "timestamp_ntz", None), ("linea", "string", "line"), ("estacion", "bigint", None), ("pax_pagos", "double", None), ("pax_total", "double", None)]
+
+
+@query("dataset_profile", sql(["turnstiles"], [], " UNION ALL ".join(
+    f"SELECT 'turnstiles' AS dataset, '{c}' AS column_name, '{t}' AS dtype, {'NULL' if r is None else _lit(r)} AS role, "
+    "(SELECT count(*) FROM turnstiles) AS n_rows" for c, t, r in _PROFILE)))
 def dataset_profile(spark, sf_dir):
     from ..sources.files import profile
     return profile(view(spark, sf_dir, "turnstiles"), "turnstiles")

@@ -29,9 +29,9 @@ def _hw_page(spark, sf_dir):
 
 def _page(spark, sf_dir):
     """The insights page over the test tables (one daily-by-line aggregate
-    of ridership feeds every output; not materialised, one query each)."""
+    of ridership, written once, feeds every output)."""
     from ..operators.jobs import insights_page
-    return insights_page(view(spark, sf_dir, "ridership"), _headway(spark, sf_dir), materialize=False)
+    return insights_page(view(spark, sf_dir, "ridership"), _headway(spark, sf_dir))
 
 
 def _dbl(df, *cols):
@@ -64,6 +64,26 @@ def kpis(spark, sf_dir):
     return _page(spark, sf_dir).kpis
 
 
+_KPI_RANGE = ("lines_f", "SELECT * FROM pax WHERE line IN ('A', 'B', 'D') AND date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'")
+
+
+@query("page_filtered", sql(["ridership", "dispatch_monthly"], PAX + HW_PAGE + [
+    _KPI_RANGE,
+    ("pbl", "SELECT line, sum(passengers) AS passengers FROM lines_f GROUP BY line"),
+    ("hbl", "SELECT line, avg(avg_headway_min) AS m FROM hw WHERE line IN ('A', 'B', 'D') "
+            "AND date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31' GROUP BY line"),
+], """SELECT coalesce(CAST(trunc(sum(passengers)) AS BIGINT), 0) AS total_passengers,
+          coalesce((SELECT line FROM pbl ORDER BY passengers DESC, line LIMIT 1), '—') AS top_line,
+          coalesce(CAST(trunc(max(passengers)) AS BIGINT), 0) AS top_passengers,
+          round((SELECT avg(m) FROM hbl), 2) AS avg_headway_min
+   FROM pbl"""))
+def page_filtered(spark, sf_dir):
+    """The page's KPIs for selected lines and explicit dates, Premetro off."""
+    from ..operators.jobs import insights_page
+    return insights_page(view(spark, sf_dir, "ridership"), _headway(spark, sf_dir), lines=["A", "B", "D"],
+                         date_from="1996-01-01", date_to="1996-12-31", include_premetro=False).kpis
+
+
 _WK = ("wk", f"SELECT line, {duck.week('date')} AS week, CAST(sum(passengers) AS DOUBLE) AS passengers "
              "FROM pax GROUP BY ALL")
 _MO = ("mo", f"SELECT line, {duck.month('date')} AS month, CAST(sum(passengers) AS DOUBLE) AS passengers "

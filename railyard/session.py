@@ -8,7 +8,6 @@ scripts, tests and the bench.
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -79,8 +78,8 @@ def build_session(
 
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Use the shared checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``. Only when it is unset (local tests) a scratch
-    folder is created."""
+    ``spark.checkpoint.dir``; where that is unset, a folder in the warehouse
+    (``fallback`` in tests)."""
     try:
         sc = spark.sparkContext
     except Exception:  # a remote (Connect) session: the server owns the setting
@@ -98,9 +97,8 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         except Exception:  # pragma: no cover - conf absent
             configured = None
     if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        configured = fallback or tempfile.mkdtemp(prefix="railyard-ckpt-")
+        # the warehouse is shared by all executors on a cluster
+        configured = fallback or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 

@@ -2,28 +2,29 @@
 headers, optional reads, first-available source selection, demo frames and
 dataset profiles.
 
-Only file names and header lines pass through the driver (metadata bounded by
-the file count); rows are always read by Spark tasks.
+Only the distinct header lines pass through the driver; files are listed and
+read by Spark.
 """
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.coerce import py_number, py_strip
 from ..functions.lines import SUBTE_LINES
+from ..session import cut_lineage
 
 # Texts pandas reads as missing by default.
 NA_VALUES = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
-REPLACEMENT_CHAR = "\ufffd"
 
 
 def file_path_col() -> F.Column:
@@ -43,51 +44,6 @@ def path_exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
-def list_files(spark: SparkSession, pattern: str) -> list[str]:
-    """Files matching a path or glob, sorted. The binary-file source lists
-    paths without reading contents when only ``path`` is selected; the list
-    (metadata, bounded by the file count) comes back to the driver."""
-    if not path_exists(spark, pattern):
-        return []
-    rows = spark.read.format("binaryFile").load(pattern).select("path").collect()
-    return sorted(r[0] for r in rows)
-
-
-def first_lines(spark: SparkSession, files: list[str], threads: int = 16) -> dict[str, str]:
-    """The first line of every file. Only the first bytes of each file are
-    read, through the Hadoop file system of the session (any store Spark can
-    read), a few files at a time. Remote sessions without a JVM gateway fall
-    back to one Spark job over the files (which reads them whole)."""
-    try:
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-    except Exception:
-        return _first_lines_job(spark, files)
-
-    def head(path: str) -> str:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        stream = p.getFileSystem(conf).open(p)
-        try:
-            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-            line = reader.readLine()
-            return line if line is not None else ""
-        finally:
-            stream.close()
-
-    from concurrent.futures import ThreadPoolExecutor
-
-    with ThreadPoolExecutor(max_workers=max(1, min(threads, len(files)))) as pool:
-        return dict(zip(files, pool.map(head, files)))
-
-
-def _first_lines_job(spark: SparkSession, files: list[str]) -> dict[str, str]:
-    lines = spark.read.text(files).select(
-        file_path_col().alias("f"), F.col("_metadata.file_block_start").alias("b"),
-        F.monotonically_increasing_id().alias("i"), "value")
-    heads = lines.where(F.col("b") == 0).groupBy("f").agg(F.min_by("value", "i").alias("h"))
-    return {r.f: r.h for r in heads.collect()}
-
-
 def null_na_texts(df: DataFrame) -> DataFrame:
     """Text cells that read as missing by default become null."""
     return df.select(*[
@@ -126,60 +82,94 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def load_csv(spark: SparkSession, path: str | list[str], sep: str = ",", header: bool = True) -> DataFrame:
-    """CSV as text columns, UTF-8 first; files whose text holds replacement
-    characters (bytes that are not UTF-8) are read again as Latin-1. The
-    missing-value texts become null."""
-    # a path or glob from the caller is checked; a list comes from a listing
-    if isinstance(path, str):
-        if not path_exists(spark, path):
-            raise FileNotFoundError(f"File does not exist: {path}")
-        paths = [path]
-    else:
-        paths = list(path)
-    opts = {"header": str(header).lower(), "sep": sep, "inferSchema": "false", "mode": "PERMISSIVE"}
-    utf8 = spark.read.options(encoding="UTF-8", **opts).csv(paths)
-    cells = [F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in utf8.columns]
-    marker = F.concat_ws("", *cells).contains(REPLACEMENT_CHAR) if cells else F.lit(False)
-    bad_files = [r[0] for r in utf8.where(marker).select(file_path_col()).distinct().collect()]
-    if not bad_files:
-        return null_na_texts(utf8)
-    good = utf8.where(~file_path_col().isin(bad_files))
-    latin = spark.read.options(encoding="ISO-8859-1", **opts).csv(bad_files)
-    return null_na_texts(good.unionByName(latin, allowMissingColumns=True))
-
-
-def load_folder(spark: SparkSession, pattern: str, sep: str = ";") -> DataFrame:
-    """All CSV files of a folder, concatenated by column name. Files are
-    grouped by their header line (read from the first bytes of each file), so
-    each distinct header is one Spark read."""
-    files = list_files(spark, pattern)
-    if not files:
-        raise FileNotFoundError(f"no files match {pattern}")
-    heads = first_lines(spark, files)
-    groups: dict[str, list[str]] = {}
-    for f in files:
-        groups.setdefault(heads.get(f, ""), []).append(f)
-    parts = [load_csv(spark, fs, sep=sep) for fs in groups.values()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
+def file_facts(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """One row per file: its name, its first line and whether all of its bytes
+    are UTF-8. One scan of the lines in tasks; a per-file aggregate."""
+    lines = spark.read.text(path).select(
+        file_path_col().alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("i"), F.col("value").cast("binary").alias("raw"))
+    valid = F.is_valid_utf8(F.col("raw").cast("string"))
+    head = F.min_by(F.when(F.col("block") == 0, F.col("raw")), F.when(F.col("block") == 0, F.col("i")))
+    facts = lines.groupBy("file").agg(F.every(valid).alias("is_utf8"), head.alias("head"))
+    text = F.when(F.col("is_utf8"), F.decode("head", "UTF-8")).otherwise(F.decode("head", "ISO-8859-1"))
+    return facts.select("file", "is_utf8", F.regexp_replace(text, "^\ufeff|\r$", "").alias("head"))
+
+
+def load_csv(spark: SparkSession, path: str | list[str], sep: str = ",", multi_line: bool = True) -> DataFrame:
+    """CSV files with a header line as one table of text columns, by column name.
+
+    Every file is UTF-8 or, if any of its bytes (header included) are not,
+    Latin-1. Files are parsed once, as Latin-1, which keeps every byte and all
+    ASCII separators; cells of UTF-8 files are then decoded. Files may differ
+    in their headers: columns are matched by decoded name, absent ones are
+    null. Quotes in quoted cells are doubled; cells may hold line breaks.
+    ``multi_line=False`` is for large files known to have none: only then can
+    Spark split a file. The missing-value texts become null. Only the distinct
+    header lines come to the driver."""
+    if isinstance(path, str) and not path_exists(spark, path):
+        raise FileNotFoundError(f"File does not exist: {path}")
+    facts = cut_lineage(file_facts(spark, path))
+    heads = sorted(r[0] or "" for r in facts.select("head").distinct().collect())
+    if not heads:
+        raise FileNotFoundError(f"no files with a header line in {path}")
+    headers = {h: _unique(next(csv.reader([h], delimiter=sep), [])) for h in heads}
+    width = max(1, max(len(names) for names in headers.values()))
+    cells = [f"_c{i}" for i in range(width)]
+    rows = (spark.read.options(header="true", sep=sep, encoding="ISO-8859-1", escape='"', mode="PERMISSIVE",
+                               multiLine=str(multi_line).lower(), enforceSchema="true")
+            .schema(", ".join(f"{c} string" for c in cells)).csv(path))
+    rows = rows.select(*cells, file_path_col().alias("_file")).join(facts.withColumnRenamed("file", "_file"), "_file")
+    rows = rows.select("head", *[
+        F.when(F.col("is_utf8"), F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")).otherwise(F.col(c)).alias(c) for c in cells])
+    # each named column is the cell at its place in the row's own header
+    names = list(dict.fromkeys(n for h in heads for n in headers[h]))
+    out = []
+    for name in names:
+        places: dict[int, list[str]] = {}
+        for h in heads:
+            if name in headers[h]:
+                places.setdefault(headers[h].index(name), []).append(h)
+        if len(heads) == 1:
+            value = F.col(cells[headers[heads[0]].index(name)])
+        else:
+            value = F.coalesce(*[F.when(F.col("head").isin(hs), F.col(cells[i])) for i, hs in places.items()])
+        out.append(value.alias(name))
+    return null_na_texts(rows.select(*out))
+
+
+def _unique(names: list[str]) -> list[str]:
+    """Header names; a repeated one gets .1, .2 and so on, as pandas names it."""
+    seen: dict[str, int] = {}
+    out = []
+    for n in names:
+        k = seen.get(n, 0)
+        seen[n] = k + 1
+        out.append(f"{n}.{k}" if k else n)
     return out
 
 
+def load_folder(spark: SparkSession, pattern: str, sep: str = ";", multi_line: bool = True) -> DataFrame:
+    """All CSV files of a folder or glob, concatenated by column name."""
+    return load_csv(spark, pattern, sep, multi_line)
+
+
 def read_optional(spark: SparkSession, path: str, fmt: str | None = None, **options) -> DataFrame | None:
     """The table at ``path``, or None when it is missing or cannot be read."""
     fmt = fmt or ("csv" if path.endswith(".csv") else "parquet")
     if fmt == "csv":
-        options = {"header": "true", **options}
+        options = {"header": "true", "escape": '"', "multiLine": "true", **options}
     try:
         if not path_exists(spark, path):
             return None
         df = spark.read.format(fmt).options(**options).load(path)
         df.schema  # noqa: B018 - forces the read of metadata
         return df
-    except (AnalysisException, Exception):  # unreadable file
+    except AnalysisException:  # missing, or not such a file
         return None
+    except PySparkException as exc:  # a file of another format; anything else is an error of the caller's
+        if "FOOTER" in str(exc.getCondition()) or "FAILED_READ_FILE" in str(exc.getCondition()):
+            return None
+        raise
 
 
 def first_available(candidates: Sequence[tuple[str, Callable[[], DataFrame | None], set[str]]]

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+# cells keep their surrounding spaces, quotes are doubled as in standard CSV
+SPACES = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def save_dataset(df: DataFrame, base_path: str, name: str, csv: bool = True) -> dict[str, str]:
     """Write ``<name>_clean.parquet`` (and ``<name>_clean.csv`` with a header)
     under ``base_path``; returns the paths. Overwrites, so a rerun after a
@@ -13,7 +17,9 @@ def save_dataset(df: DataFrame, base_path: str, name: str, csv: bool = True) ->
     df.write.mode("overwrite").parquet(out["parquet"])
     if csv:
         out["csv"] = f"{base_path}/{name}_clean.csv"
-        df.write.mode("overwrite").option("header", "true").csv(out["csv"])
+        # from the Parquet just written: the plan behind ``df`` runs once
+        saved = df.sparkSession.read.parquet(out["parquet"])
+        saved.write.mode("overwrite").options(header="true", escape='"', **SPACES).csv(out["csv"])
     return out
 
 
@@ -22,7 +28,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     """Write a result table (headway, forecast, changes, incident log)."""
     w = df.write.mode(mode).format(fmt)
     if fmt == "csv":
-        w = w.option("header", "true")
+        w = w.options(header="true", escape='"', **SPACES)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)

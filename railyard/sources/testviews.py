@@ -103,19 +103,28 @@ _register(View("dated_text", "events", {
     "raw_date": E(
         "CASE event_type WHEN 'click' THEN date_format(ts, 'd/M/yyyy') "
         "WHEN 'view' THEN date_format(ts, 'dd/MM/yyyy') "
-        "WHEN 'error' THEN date_format(ts, 'yyyy-MM-dd') "
+        "WHEN 'error' THEN CASE WHEN value < 50 THEN date_format(ts, 'd/M/yy') WHEN value < 100 THEN date_format(ts, 'd-M-yyyy h:mm a') "
+        "WHEN value < 150 THEN concat(date_format(ts, 'd/M/yyyy HH:mm:ss'), '.250') ELSE date_format(ts, 'yyyy-MM-dd') END "
         "WHEN 'purchase' THEN date_format(ts, 'M/d/yyyy') "
         "WHEN 'signup' THEN CASE WHEN value < 200 THEN date_format(ts, 'd/M/yyyy H:mm:ss') ELSE 'xx' END "
         "ELSE 'xx' END",
         "CASE event_type WHEN 'click' THEN strftime(ts, '%-d/%-m/%Y') "
         "WHEN 'view' THEN strftime(ts, '%d/%m/%Y') "
-        "WHEN 'error' THEN strftime(ts, '%Y-%m-%d') "
+        "WHEN 'error' THEN CASE WHEN value < 50 THEN strftime(ts, '%-d/%-m/%y') WHEN value < 100 THEN strftime(ts, '%-d-%-m-%Y %-I:%M %p') "
+        "WHEN value < 150 THEN concat(strftime(ts, '%-d/%-m/%Y %H:%M:%S'), '.250') ELSE strftime(ts, '%Y-%m-%d') END "
         "WHEN 'purchase' THEN strftime(ts, '%-m/%-d/%Y') "
         "WHEN 'signup' THEN CASE WHEN value < 200 THEN strftime(ts, '%-d/%-m/%Y %-H:%M:%S') ELSE 'xx' END "
         "ELSE 'xx' END",
     ),
 }))
 
+# A double column with NaN in place of every tenth value or so.
+_register(View("turnstiles_nan", "events", {
+    "fecha": E("ts"),
+    "linea": LINE_FROM_EVENT,
+    "pax_total": E("CASE WHEN event_id % 10 = 3 THEN CAST('NaN' AS DOUBLE) ELSE CAST(value AS DOUBLE) END"),
+}))
+
 # Daily ridership by line.
 _register(View("ridership", "orders", {
     "date": E("CAST(o_orderdate AS DATE)"),
@@ -167,12 +176,12 @@ _register(View("model_outputs", "events", {
     ),
 }))
 
-# User turns of conversations as incident descriptions.
+# Turns of conversations as incident descriptions.
 _register(View("incident_texts", "conversations", {
     "conv_id": E("conv_id"),
     "turn": E("turn"),
     "description": E("text"),
-}, where="role = 'user'"))
+}))
 
 # One ingestion run per day of events: rows loaded that day and the time of
 # the last row as the run time.

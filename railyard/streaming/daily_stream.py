@@ -2,9 +2,11 @@
 daily sums by line.
 
 ``readStream`` over the folder -> event time from the day-first date ->
-watermark -> one-day tumbling window by line -> ``foreachBatch`` that writes
-each micro-batch into its own ``batch_id`` partition (a retried batch rewrites
-that partition, never appends a second copy) and logs the run. The query
+watermark -> one-day tumbling window by line, in update mode -> ``foreachBatch``
+that writes each micro-batch's changed sums into its own ``batch_id`` folder (a
+retried batch rewrites that folder, never appends a second copy) and logs the
+run; :func:`read_daily` gives the newest sums of every day, open days included.
+The query
 state and progress live in a checkpoint folder under the shared
 ``spark.checkpoint.dir``, so a restarted driver resumes where it stopped.
 """
@@ -12,16 +14,17 @@ state and progress live in a checkpoint folder under the shared
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.coerce import DAY_FIRST_PATTERN, py_strip
+from ..functions.coerce import day_first_text, py_number, py_strip
 from ..operators.ingest import INGESTION_SCHEMA, append_log
 from ..session import shared_path
+from ..sources.files import path_exists
 
 TURNSTILE_STREAM_SCHEMA = T.StructType([
     T.StructField("fecha", T.StringType()),
@@ -33,9 +36,8 @@ TURNSTILE_STREAM_SCHEMA = T.StructType([
 
 def daily_sums(stream: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Streaming daily sums by line with a watermark on the event day."""
-    text = py_strip(F.col("fecha"))
-    ts = F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(text, F.lit(DAY_FIRST_PATTERN)))
-    value = F.coalesce(py_strip(F.col("pax_total")).try_cast("double"), F.lit(0.0))
+    ts = day_first_text(py_strip(F.col("fecha")))
+    value = F.coalesce(py_number(F.col("pax_total")), F.lit(0.0))
     rows = stream.select(ts.alias("ts"), py_strip(F.col("linea")).alias("linea"), value.alias("pax_total"))
     return (
         rows.where(F.col("ts").isNotNull() & F.col("linea").isNotNull())
@@ -46,39 +48,49 @@ def daily_sums(stream: DataFrame, lateness: str = "1 day") -> DataFrame:
     )
 
 
+OUT_SCHEMA = "date date, linea string, pax_total double, rows long, batch_id long"
+
+
+def read_daily(spark: SparkSession, out_dir: str, before: int | None = None) -> DataFrame:
+    """The newest sums of every day and line (of batches under ``before``)."""
+    if not path_exists(spark, out_dir):
+        return spark.createDataFrame([], OUT_SCHEMA).drop("batch_id")
+    rows = spark.read.schema(OUT_SCHEMA).parquet(out_dir)
+    if before is not None:
+        rows = rows.where(F.col("batch_id") < before)
+    newest = rows.groupBy("date", "linea").agg(F.max_by(F.struct("pax_total", "rows"), "batch_id").alias("r"))
+    return newest.select("date", "linea", "r.pax_total", "r.rows")
+
+
+def _rows_so_far(spark: SparkSession, out_dir: str, before: int) -> int:
+    return read_daily(spark, out_dir, before).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+
+
 def start_daily_ingest(spark: SparkSession, source_dir: str, out_dir: str, log_dir: str | None = None,
                        checkpoint: str | None = None, fmt: str = "csv", sep: str = ";",
                        schema: T.StructType = TURNSTILE_STREAM_SCHEMA, model_tag: str = "stream",
-                       available_now: bool = True) -> StreamingQuery:
-    """Start the stream; with ``available_now`` it processes what is there and stops."""
+                       available_now: bool = True, name: str = "daily") -> StreamingQuery:
+    """Start the stream; with ``available_now`` it processes what is there and
+    stops. ``name`` and a digest of the checkpoint folder (the stream's state)
+    make the run ids of its batches its own."""
     reader = spark.readStream.schema(schema).format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", "true").option("sep", sep)
+        reader = reader.option("header", "true").option("sep", sep).option("escape", '"')
     daily = daily_sums(reader.load(source_dir))
-    checkpoint = checkpoint or shared_path(spark, "streams", "daily_ingest")
+    checkpoint = checkpoint or shared_path(spark, "streams", f"{name}_{hashlib.sha1(source_dir.encode()).hexdigest()[:12]}")
+    stream_id = f"{name}_{hashlib.sha1(checkpoint.encode()).hexdigest()[:12]}"
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        out = batch.withColumn("batch_id", F.lit(batch_id))
         s = batch.sparkSession
-        prev = s.conf.get("spark.sql.sources.partitionOverwriteMode")
-        s.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        try:
-            out.write.mode("overwrite").partitionBy("batch_id").parquet(out_dir)
-        finally:
-            s.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+        before = _rows_so_far(s, out_dir, batch_id)
+        batch.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
         if log_dir:
             now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-            # counted from the partition just written, not by running the
-            # stateful batch plan a second time
-            try:
-                written = s.read.parquet(out_dir).where(F.col("batch_id") == batch_id)
-                n = written.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-            except AnalysisException:  # nothing written yet (no window final)
-                n = 0
-            rec = s.createDataFrame(
-                [(f"stream_{batch_id}", now.date(), source_dir, int(n), now, model_tag)], INGESTION_SCHEMA)
-            append_log(rec, log_dir, "ingestion_runs")
-
-    writer = daily.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write_batch)
+            # counted from what is written, not by running the stateful plan a second time
+            n = _rows_so_far(s, out_dir, batch_id + 1) - before
+            run = f"stream_{stream_id}_{batch_id}"
+            append_log(s.createDataFrame([(run, now.date(), source_dir, n, now, model_tag)], INGESTION_SCHEMA), log_dir, "ingestion_runs", run)
+
+    writer = daily.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write_batch)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()

@@ -82,4 +82,21 @@ def test_day_first_separators(spark):
     rows = [("13-02-2024",), ("13.2.2024 07:05",), ("2024-02-13",), ("13-2-24",)]
     df = spark.createDataFrame(rows, "d string")
     got = [r[0] for r in df.select(parse_day_first(df, "d")).collect()]
-    assert got == [dt.datetime(2024, 2, 13), dt.datetime(2024, 2, 13, 7, 5), dt.datetime(2024, 2, 13), None]
+    assert got == [dt.datetime(2024, 2, 13), dt.datetime(2024, 2, 13, 7, 5), dt.datetime(2024, 2, 13), dt.datetime(2024, 2, 13)]
+
+
+def test_more_day_first_forms(spark):
+    from railyard.functions.coerce import parse_day_first
+    texts = {"5/1/24": "2024-01-05 00:00:00", "13/02/2024 07:00:00.000": "2024-02-13 07:00:00", "5/1/2024 7:00 PM": "2024-01-05 19:00:00",
+             "5-1-2024 7:00:05 am": "2024-01-05 07:00:05", "5.1.24 17:30": "2024-01-05 17:30:00", "5/1/2024 7:00:00.25": "2024-01-05 07:00:00.25", "5/13/2024": None, "x": None}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r.d for r in df.select("t", parse_day_first(df, "t").cast("string").alias("d")).collect()}
+    assert got == texts
+
+
+def test_nan_is_missing(spark):
+    from railyard.functions.coerce import sum0, to_number
+    df = spark.createDataFrame([(1.0, "2"), (float("nan"), "NaN"), (3.0, None)], "x double, t string")
+    got = df.select(to_number(df, "x").alias("x"), to_number(df, "t").alias("t")).collect()
+    assert [tuple(r) for r in got] == [(1.0, 2.0), (None, None), (3.0, None)]
+    assert df.agg(sum0("x")).first()[0] == 4.0

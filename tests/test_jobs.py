@@ -58,7 +58,7 @@ def test_insights_page_and_metric_fallback(spark, tmpdir_path):
     assert {x.line for x in page.pax_by_line.collect()} <= {"A", "B"}
     assert page.report.first().report.startswith("# AI Weekly Insights\n\n_Period:_ 1996-01-01 to 1996-12-31")
     assert json.loads(page.payload.first().payload)["lines"] == ["A", "B"]
-    df, kind, src = jobs.load_other_metric(spark, *(os.path.join(tmpdir_path, n) for n in ("h.csv", "m.csv", "d.p")))
+    df, kind, src = jobs.load_other_metric(spark, *(os.path.join(tmpdir_path, n) for n in ("h.csv", "m.csv", "d.p")), demo=True)
     assert (kind, src, df.count()) == ("headway", "DEMO", 6)
     m = os.path.join(tmpdir_path, "m.csv")
     with open(m, "w") as f:

@@ -59,7 +59,33 @@ def test_odd_file_names(spark, tmpdir_path):
     _write(os.path.join(tmpdir_path, "d%e.csv"), "y;x\n3;4\n")
     with open(os.path.join(tmpdir_path, "f g.csv"), "w", encoding="latin-1") as f:
         f.write("x;y\nPeña;5\n")
-    heads = files.first_lines(spark, files.list_files(spark, os.path.join(tmpdir_path, "*.csv")))
-    assert sorted(heads.values()) == ["x;y", "x;y", "y;x"]
+    facts = files.file_facts(spark, os.path.join(tmpdir_path, "*.csv")).collect()
+    assert sorted((f.head, f.is_utf8) for f in facts) == [("x;y", False), ("x;y", True), ("y;x", True)]
     df = files.load_folder(spark, os.path.join(tmpdir_path, "*.csv"))
     assert sorted((r.x, r.y) for r in df.collect()) == [("1", "2"), ("4", "3"), ("Peña", "5")]
+
+
+def test_latin1_header_and_standard_quoting(spark, tmpdir_path):
+    body = 'Línea;Estación;n\n"a ""q"" b";"x;y";1\n"two\nlines";"back\\";2\nPlain;é;3\n'
+    _write(os.path.join(tmpdir_path, "u.csv"), body)
+    _write(os.path.join(tmpdir_path, "l.csv"), body, "latin-1")
+    _write(os.path.join(tmpdir_path, "h.csv"), "Línea;n\nonly header is accented;4\n", "latin-1")
+    _write(os.path.join(tmpdir_path, "b.csv"), "\ufeffLínea;n\nbom;5\n")
+    df = files.load_folder(spark, os.path.join(tmpdir_path, "*.csv"))
+    assert sorted(df.columns) == ["Estación", "Línea", "n"]
+    got = sorted(((r["Línea"], r["Estación"], r["n"]) for r in df.collect()), key=repr)
+    two = [('a "q" b', "x;y", "1"), ("two\nlines", "back\\", "2"), ("Plain", "é", "3")]
+    assert got == sorted([*two, *two, ("only header is accented", None, "4"), ("bom", None, "5")], key=repr)
+
+
+def test_saved_csv_is_read_by_other_readers(spark, tmpdir_path):
+    import csv
+    import glob
+    rows = [('say "hi"', "a,b", " padded "), ("back\\", "line\nbreak", "x")]
+    out = sinks.save_dataset(spark.createDataFrame(rows, "a string, b string, c string"), tmpdir_path, "t")
+    got = []
+    for f in glob.glob(out["csv"] + "/part-*.csv"):
+        with open(f, newline="") as handle:
+            got += list(csv.reader(handle))[1:]
+    assert sorted(map(tuple, got)) == sorted(rows)
+    assert sorted(map(tuple, files.load_csv(spark, out["csv"]).collect())) == sorted(rows)

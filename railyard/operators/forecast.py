@@ -60,11 +60,15 @@ def pax_per_train(pax_monthly: DataFrame, disp_monthly: DataFrame) -> DataFrame:
     )
 
 
-def estimate_p(pax_monthly: DataFrame, disp_monthly: DataFrame) -> DataFrame:
+def estimate_p(pax_monthly: DataFrame, disp_monthly: DataFrame, materialize: bool = False) -> DataFrame:
     """Weekly passengers of line P: its trains each month times that month's
     passengers-per-train (the median ratio when the month has none), shared
-    equally over the weeks touching the month, then summed per week."""
+    equally over the weeks touching the month, then summed per week. With
+    ``materialize`` the ratios (one row a month) are written once for the
+    median and the lookup."""
     ratio = pax_per_train(pax_monthly, disp_monthly)
+    if materialize:
+        ratio = cut_lineage(ratio)
     fallback = ratio.select(F.median("ratio")).scalar()
     p = disp_monthly.where(F.col("line") == "P").join(ratio, "ym", "left")
     est = p.select(
@@ -131,7 +135,7 @@ def forecast_all(ridership: DataFrame, dispatch: DataFrame | None, horizon: int
         metro = cut_lineage(metro)
     weekly = weekly_sum(metro)
     if dispatch is not None:
-        p = estimate_p(monthly_sum(metro), dispatch_by_month(dispatch))
+        p = estimate_p(monthly_sum(metro), dispatch_by_month(dispatch), materialize)
         weekly = weekly.unionByName(p.select("line", "week", F.col("passengers").cast("double")))
     return trend_forecast(weekly, horizon=horizon)
 

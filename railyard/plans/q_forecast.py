@@ -97,7 +97,7 @@ _FIT = FC_BASE + [("wk_all", "SELECT line, week, passengers FROM wk UNION ALL "
 
 @query("forecast_fit", sql(["ridership", "dispatch_monthly"], _FIT + _forecast_sql("wk_all"), _FC_OUT))
 def forecast_fit(spark, sf_dir):
-    return rounded(fc.forecast_all(view(spark, sf_dir, "ridership"), view(spark, sf_dir, "dispatch_monthly")))
+    return rounded(fc.forecast_all(view(spark, sf_dir, "ridership"), view(spark, sf_dir, "dispatch_monthly"), materialize=True))
 
 
 _SHORT = [
@@ -121,5 +121,5 @@ _PIVOT = ", ".join(f"round(max(CASE WHEN line = '{x}' THEN yhat END), 4) AS \"{x
 @query("forecast_pivot", sql(["ridership", "dispatch_monthly"], _FIT + _forecast_sql("wk_all"),
        f"SELECT week, {_PIVOT} FROM fc GROUP BY week"))
 def forecast_pivot(spark, sf_dir):
-    f = fc.forecast_all(view(spark, sf_dir, "ridership"), view(spark, sf_dir, "dispatch_monthly"))
+    f = fc.forecast_all(view(spark, sf_dir, "ridership"), view(spark, sf_dir, "dispatch_monthly"), materialize=True)
     return rounded(fc.pivot_weeks(f, ALL_LINES))

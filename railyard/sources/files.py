@@ -27,6 +27,10 @@ NA_VALUES = (
 )
 
 
+#: File names and header lines (some hundred bytes each) are broadcast up to so many files, else joined by a shuffle.
+BROADCAST_FILES = 100_000
+
+
 def file_path_col() -> F.Column:
     """The row's source file as a plain path. ``_metadata.file_path`` is a URI
     (a space reads ``%20``); decoding it gives the path the readers and the
@@ -118,7 +122,10 @@ def load_csv(spark: SparkSession, path: str | list[str], sep: str = ",", multi_l
     rows = (spark.read.options(header="true", sep=sep, encoding="ISO-8859-1", escape='"', mode="PERMISSIVE",
                                multiLine=str(multi_line).lower(), enforceSchema="true")
             .schema(", ".join(f"{c} string" for c in cells)).csv(path))
-    rows = rows.select(*cells, file_path_col().alias("_file")).join(facts.withColumnRenamed("file", "_file"), "_file")
+    facts = facts.withColumnRenamed("file", "_file")
+    if facts.count() <= BROADCAST_FILES:
+        facts = F.broadcast(facts)
+    rows = rows.select(*cells, file_path_col().alias("_file")).join(facts, "_file")
     rows = rows.select("head", *[
         F.when(F.col("is_utf8"), F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")).otherwise(F.col(c)).alias(c) for c in cells])
     # each named column is the cell at its place in the row's own header

@@ -86,3 +86,35 @@ def test_no_raw_row_shuffle(spark, name):
     for node in _tree(plan):
         if node[0] == "Exchange":
             assert not any(_reaches_scan_unaggregated(c) for c in node[1]), (name, plan.split("\n\n")[0])
+
+
+@pytest.mark.parametrize("name", ["kpis", "report_text", "weekly_payload", "lines_union", "page_filtered", "forecast_fit", "forecast_pivot"])
+def test_ridership_is_scanned_once(spark, name):
+    """The daily sums are written once; what is returned reads them, not the fact table."""
+    plan = _plan(QUERIES[name](spark, SF_SMOKE))
+    assert sum("o_totalprice" in block for block in plan.split("\n\n") if "Scan parquet" in block) <= 1, name
+
+
+def test_trailing_window_is_pruned(spark, tmp_path):
+    """Both bounds reach the scan of a DATE column."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from railyard.operators.ridership import trailing_days
+    first = dt.date(2024, 1, 1)
+    rows = [(first + dt.timedelta(days=i), line, i) for i in range(120) for line in "AB"]
+    df = spark.createDataFrame(rows, "date date, line string, passengers long")
+    path = str(tmp_path / "r.parquet")
+    df.withColumn("month", F.date_trunc("month", "date").cast("date")).write.partitionBy("month").parquet(path)
+    out = trailing_days(spark.read.parquet(path), 7)
+    got = {r.line: (r.passengers, r.period_start, r.period_end) for r in out.collect()}
+    last = first + dt.timedelta(days=119)
+    assert got == {x: (sum(range(113, 120)), last - dt.timedelta(days=6), last) for x in "AB"}
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    text = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scan = next(line for line in text.split("\n") if "FileScan parquet" in line and "passengers" in line)
+    filters = re.search(r"DataFilters: \[(.*?)\], Format", scan).group(1)
+    # both bounds are filters of the scan, evaluated subqueries compared with the bare column
+    assert re.search(r"\(date#\d+ >= .*[Ss]ubquery", filters) and re.search(r"\(date#\d+ <= .*[Ss]ubquery", filters), scan

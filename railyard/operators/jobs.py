@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.coerce import light_names, parse_day_first, to_number
+from ..functions.coerce import light_names, month_start, parse_day_first, parse_iso_date, to_number
 from ..functions.lines import ALL_LINES, SUBTE_LINES, normalize_line
 from ..session import cut_lineage
 from ..sources import files, sinks
@@ -104,13 +104,17 @@ class InsightsPage:
     lines: DataFrame
     report: DataFrame
     payload: DataFrame
+    forecast: DataFrame | None = None  # rows of the selected lines, by week and line
+    forecast_pivot: DataFrame | None = None  # weeks x selected lines
 
 
 def insights_page(ridership: DataFrame, headway: DataFrame | None, lines=None, date_from=None,
                   date_to=None, include_premetro: bool = True, generated_at: str = "",
-                  materialize: bool = True, densify: bool = False) -> InsightsPage:
-    """Data of the insights page: filters, sums, KPIs, changes, report and
-    payload, as named DataFrames (nothing is collected)."""
+                  materialize: bool = True, densify: bool = False,
+                  forecast: DataFrame | None = None) -> InsightsPage:
+    """Data of the insights page: filters, sums, KPIs, changes, report, payload
+    and (with ``forecast``, the forecast table) the selected lines' forecast,
+    as named DataFrames (nothing is collected)."""
     allowed = SUBTE_LINES + (("P",) if include_premetro else ())
     # one pass over the fact table: daily sums by line (additive, so week,
     # month and line totals all derive from it), labels applied after the
@@ -134,14 +138,35 @@ def insights_page(ridership: DataFrame, headway: DataFrame | None, lines=None, d
     period = F.concat(F.lit(date_from).cast("string") if date_from else lo.cast("string"), F.lit(" to "),
                       F.lit(date_to).cast("string") if date_to else hi.cast("string"))
     line_df = r.lines_union(pax, hwp) if hwp is not None else r.lines_union(pax)
+    shown = [x for x in allowed if lines is None or x in lines]
+    fct = pivot = None
+    if forecast is not None:
+        fct = forecast.where(F.col("line").isin(shown)).orderBy("week", "line")
+        pivot = fc.pivot_weeks(forecast.where(F.col("line").isin(shown)), shown)
     return InsightsPage(
-        pax_by_line=pbl, hw_by_line=hbl, kpis=k, weekly=weekly, monthly=monthly,
+        forecast=fct, forecast_pivot=pivot, pax_by_line=pbl, hw_by_line=hbl, kpis=k, weekly=weekly, monthly=monthly,
         wow_latest=r.latest(weekly, "week", "wow"), mom_latest=r.latest(monthly, "month", "mom"),
         lines=line_df, report=rep.insights_report(pbl, hbl, period),
         payload=rep.weekly_payload(k, line_df, period, generated_at),
     )
 
 
+def write_changes(page: InsightsPage, out_dir: str) -> dict[str, str]:
+    """The page's change tables as CSV: ``week_changes.csv`` and ``month_changes.csv``."""
+    return {name: sinks.write_table(df, f"{out_dir}/{name}.csv", "csv")
+            for name, df in (("week_changes", page.wow_latest), ("month_changes", page.mom_latest))}
+
+
+def weekly_summary_from_files(spark: SparkSession, ridership_path: str, headway_path: str | None, out_path: str, days: int = 7) -> str:
+    """The trailing-week summary as a job: ridership Parquet and headway CSV
+    (optional; a ``date`` or ``year_month`` column) to a Markdown file."""
+    headway = files.read_optional(spark, headway_path, "csv") if headway_path else None
+    if headway is not None:
+        day = parse_iso_date(F.col("date")) if "date" in headway.columns else month_start(F.col("year_month"))
+        headway = headway.withColumns({"date": day, "avg_headway_min": to_number(headway, "avg_headway_min")})
+    return sinks.write_text(rep.weekly_summary(spark.read.parquet(ridership_path), headway, days), out_path)
+
+
 def incident_pipeline(outputs: DataFrame, run_ts: str, raw_col: str = "raw_output") -> DataFrame:
     """Stored model outputs to routed tickets."""
     return inc.tickets(inc.classify(outputs, raw_col), run_ts)

@@ -123,3 +123,14 @@ _PIVOT = ", ".join(f"round(max(CASE WHEN line = '{x}' THEN yhat END), 4) AS \"{x
 def forecast_pivot(spark, sf_dir):
     f = fc.forecast_all(view(spark, sf_dir, "ridership"), view(spark, sf_dir, "dispatch_monthly"), materialize=True)
     return rounded(fc.pivot_weeks(f, ALL_LINES))
+
+
+@query("page_forecast", sql(["ridership", "dispatch_monthly"], _FIT + _forecast_sql("wk_all"),
+       "SELECT week, round(max(CASE WHEN line = 'A' THEN yhat END), 4) AS \"A\", round(max(CASE WHEN line = 'B' THEN yhat END), 4) AS \"B\" "
+       "FROM fc WHERE line IN ('A', 'B') GROUP BY week"))
+def page_forecast(spark, sf_dir):
+    """The page's forecast table, weeks by selected lines."""
+    from ..operators.jobs import insights_page
+    pax, trains = view(spark, sf_dir, "ridership"), view(spark, sf_dir, "dispatch_monthly")
+    page = insights_page(pax, None, lines=["A", "B"], forecast=fc.forecast_all(pax, trains, materialize=True))
+    return rounded(page.forecast_pivot)

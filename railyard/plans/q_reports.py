@@ -52,7 +52,7 @@ def report_text(spark, sf_dir):
     return _page(spark, sf_dir).report
 
 
-@query("weekly_summary_text", sql(["ridership", "dispatch_monthly"], HEADWAY + [
+_WEEKLY_SQL = sql(["ridership", "dispatch_monthly"], HEADWAY + [
     ("b", "SELECT max(date) AS e FROM ridership"),
     ("pbl", "SELECT line, sum(passengers) AS passengers FROM ridership, b "
             "WHERE date >= e - INTERVAL 6 DAY AND date <= e AND line IS NOT NULL GROUP BY line"),
@@ -63,7 +63,10 @@ def report_text(spark, sf_dir):
     ("pr", "SELECT CAST(CAST(e - INTERVAL 6 DAY AS DATE) AS VARCHAR) || ' to ' || CAST(e AS VARCHAR) AS period "
            "FROM b"),
 ], _report_sql("# Weekly Summary (", ")\n\n", "**Passengers (sum, last 7 days):**",
-               "**Avg. Headway (min, last 7 days):**", rep.PLAIN_SUMMARY)))
+               "**Avg. Headway (min, last 7 days):**", rep.PLAIN_SUMMARY))
+
+
+@query("weekly_summary_text", _WEEKLY_SQL)
 def weekly_summary_text(spark, sf_dir):
     from ..functions.coerce import month_start
     hw = hw_ops.headway_etl(view(spark, sf_dir, "dispatch_monthly"), None)
@@ -71,6 +74,18 @@ def weekly_summary_text(spark, sf_dir):
     return rep.weekly_summary(view(spark, sf_dir, "ridership"), hw)
 
 
+@query("weekly_summary_job", f"SELECT report FROM ({_WEEKLY_SQL})")
+def weekly_summary_job(spark, sf_dir):
+    """The summary written from a ridership Parquet and a headway CSV export, read back as text."""
+    from ..operators.jobs import weekly_summary_from_files
+    from ..sources.sinks import write_table
+    run = shared_path(spark, "exports", uuid.uuid4().hex)
+    view(spark, sf_dir, "ridership").write.parquet(f"{run}/ridership.parquet")
+    write_table(hw_ops.headway_etl(view(spark, sf_dir, "dispatch_monthly"), None), f"{run}/headway.csv", "csv")
+    out = weekly_summary_from_files(spark, f"{run}/ridership.parquet", f"{run}/headway.csv", f"{run}/summary.md")
+    return spark.read.text(out, wholetext=True).where("value <> ''").select(F.regexp_replace("value", "\\n$", "").alias("report"))
+
+
 @query("weekly_payload", sql(["ridership", "dispatch_monthly"], PAX + HW_PAGE_RANGED + [
     ("pbl", "SELECT line, sum(passengers) AS passengers FROM pax GROUP BY line"),
     ("hbl", "SELECT line, avg(avg_headway_min) AS m FROM hw_r GROUP BY line"),

@@ -201,6 +201,7 @@ def issues(df: DataFrame, cfg: DataQualityConfig) -> DataFrame:
     pos_null = F.create_map(*[x for c, i in null_pos.items() for x in (F.lit(c), F.lit(i))]) if null_pos else None
     pos_rng = F.create_map(*[x for c, i in range_pos.items() for x in (F.lit(c), F.lit(i))]) if range_pos else None
     chk, col, n = F.col("check"), F.col("column_name"), F.col("n")
+    # The issue texts, here and below (the allowed-set text has a count instead of a list).
     msg = (
         F.when(chk == "missing", F.format_string("Non-null column '%s' is missing from dataframe", col))
         .when((chk == "nulls") & (n > 0), F.format_string("Column '%s' has %d null values", col, n))
@@ -268,6 +269,7 @@ def guess_rules(df: DataFrame, name: str, min_rows: int = 1000) -> DataQualityCo
     cols = list(df.columns)
     dates = [c for c in cols if "fecha" in c.lower() or "date" in c.lower()]
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
+    # The name hints.
     words = ["linea", "line", "station", "estacion", "fecha", "date"]
     non_null = [c for c in cols if any(w in c.lower() for w in words)]
     return DataQualityConfig(name=name, expected_columns=cols, non_null_columns=non_null,

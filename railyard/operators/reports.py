@@ -92,6 +92,7 @@ def insights_report(pax_by_line: DataFrame, hw_by_line: DataFrame | None, period
     headway by line, then the summary."""
     spark = pax_by_line.sparkSession
     hw_body = headway_lines(hw_by_line) if hw_by_line is not None else F.lit(None).cast("string")
+    # The section titles.
     md = _sections(passenger_lines(pax_by_line), hw_body,
                    "**Passengers (sum by line):**", "**Avg. Headway (min by line):**")
     text = F.concat(F.lit("# AI Weekly Insights\n\n_Period:_ "), period, F.lit("\n\n"), md,
@@ -114,12 +115,14 @@ def weekly_summary(pax: DataFrame, headway: DataFrame | None, days: int = 7,
             F.avg("avg_headway_min").alias("avg_headway_min"))
         hw_body = headway_lines(hw_by_line)
     period = F.concat(start.cast("string"), F.lit(" to "), end.cast("string"))
+    # The section titles.
     md = _sections(passenger_lines(pax_by_line), hw_body,
                    "**Passengers (sum, last 7 days):**", "**Avg. Headway (min, last 7 days):**")
     text = F.concat(F.lit("# Weekly Summary ("), period, F.lit(")\n\n"), md, F.lit("\n\n---\n\n"), F.lit(summary))
     return spark.range(1).select(period.alias("period"), text.alias("report"))
 
 
+# Fixed value: the default path of the forecast preview.
 def weekly_payload(kpis: DataFrame, lines: DataFrame, period: Column, generated_at: str,
                    report_file: str = "", summary_md: str = DRAFT_SUMMARY,
                    forecast_preview: str = "data/processed/passengers_forecast_weekly.csv") -> DataFrame:

@@ -254,6 +254,7 @@ def top_stations(df: DataFrame, station: str, pax: str | None, k: int = 10) -> D
 
 def find_role_column(columns, role: str) -> str | None:
     """Column by role: exact names first, then substring match."""
+    # The column names of each role.
     exact = {
         "station": ("estacion", "station", "station_name"),
         "passengers": ("pax_total", "total_pax", "passengers_total"),

@@ -195,7 +195,7 @@ _register(View("ingestion_runs", "events", {
     "source_file": E("'events.parquet'"),
     "rows_loaded": E("count(*)"),
     "created_at": E("max(ts)"),
-    "model_tag": E("'phase3-week9'"),
+    "model_tag": E("'phase3-week9'"),  # fixed value
 }, group_by=("run_date",)))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from railyard.operators import reports as rep
 from railyard.operators import ridership as r
 
+# Figures and text of the saved report.
 PAX = [("B", 47777794.0), ("A", 38227676.0), ("D", 32785347.0), ("C", 30567864.0), ("H", 21216633.0),
        ("E", 18438564.0)]
 HW = [("A", 2.23), ("B", 2.88), ("H", 3.55), ("C", 3.67), ("E", 4.15), ("D", 5.07), ("P", 13.86)]

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.coerce import sum0
+from ..functions.coerce import nan_to_null, sum0
+from ..functions.lines import ALL_LINES, canonical_line_az, in_lines
 from .ridership import in_days, trailing_bounds
 
 # The summary texts used when no model summary is given.
@@ -107,12 +108,16 @@ def weekly_summary(pax: DataFrame, headway: DataFrame | None, days: int = 7,
     spark = pax.sparkSession
     start, end = trailing_bounds(pax, days)
     window = in_days(pax, start, end).where(F.col("line").isNotNull())
-    pax_by_line = window.groupBy("line").agg(sum0("passengers").alias("passengers"))
+    # known lines only, so that the text gathers a bounded number of labels;
+    # the label rules run on sums per raw label
+    raw = window.groupBy("line").agg(sum0("passengers").alias("passengers"))
+    pax_by_line = (raw.withColumn("line", canonical_line_az("line")).where(in_lines("line", ALL_LINES))
+                   .groupBy("line").agg(F.sum("passengers").alias("passengers")))
     hw_body = F.lit(None).cast("string")
     if headway is not None:
         hd = F.col("date").cast("date")
-        hw_by_line = headway.where((hd >= start) & (hd <= end) & F.col("line").isNotNull()).groupBy("line").agg(
-            F.avg("avg_headway_min").alias("avg_headway_min"))
+        rows = headway.where((hd >= start) & (hd <= end)).withColumn("line", canonical_line_az("line")).where(in_lines("line", ALL_LINES))
+        hw_by_line = rows.groupBy("line").agg(F.avg(nan_to_null("avg_headway_min")).alias("avg_headway_min"))
         hw_body = headway_lines(hw_by_line)
     period = F.concat(start.cast("string"), F.lit(" to "), end.cast("string"))
     # The section titles.

@@ -12,6 +12,7 @@ from ..operators import reports as rep
 from ..operators import ridership as r
 from ..session import shared_path
 from ..sources.testviews import view
+from . import duck
 from .common_sql import HEADWAY, HW_PAGE_RANGED, PAX
 from .q_incidents import _PARSE as INCIDENT_PARSE
 from .registry import query, sql
@@ -54,8 +55,8 @@ def report_text(spark, sf_dir):
 
 _WEEKLY_SQL = sql(["ridership", "dispatch_monthly"], HEADWAY + [
     ("b", "SELECT max(date) AS e FROM ridership"),
-    ("pbl", "SELECT line, sum(passengers) AS passengers FROM ridership, b "
-            "WHERE date >= e - INTERVAL 6 DAY AND date <= e AND line IS NOT NULL GROUP BY line"),
+    ("pbl", f"SELECT {duck.canonical_az('line')} AS line, sum(passengers) AS passengers FROM ridership, b "
+            f"WHERE date >= e - INTERVAL 6 DAY AND date <= e AND {duck.canonical_az('line')} IN {duck.ALL_LINES_SQL} GROUP BY 1"),
     ("hbl", "SELECT line, avg(avg_headway_min) AS h FROM headway, b "
             "WHERE CAST(year_month || '-01' AS DATE) >= e - INTERVAL 6 DAY "
             "AND CAST(year_month || '-01' AS DATE) <= e AND line IS NOT NULL GROUP BY line"),

@@ -79,7 +79,7 @@ def forecast_from_files(spark, sf_dir):
     "(SELECT CASE WHEN count(*) FILTER (WHERE CAST(pax_total AS DOUBLE) < 0) > 0 THEN 'Column ''pax_total'' has values below minimum 0' END FROM c)",
     "(SELECT CASE WHEN count(*) FILTER (WHERE CAST(pax_total AS DOUBLE) > 4) > 0 THEN 'Column ''pax_total'' has values above maximum 4' END FROM c)",
     "(SELECT CASE WHEN sum(k - 1) > 0 THEN printf('Composite key [''fecha'', ''hora'', ''linea'', ''estacion'', ''pax_total''] has %d duplicated rows', "
-    "sum(k - 1)) END FROM (SELECT count(*) AS k FROM c GROUP BY ALL))"]))
+    "sum(k - 1)) END FROM (SELECT count(*) AS k FROM c GROUP BY fecha, hora, linea, estacion, pax_total))"]))
 def dq_from_csv(spark, sf_dir):
     """The quality job on a ';'-free CSV export of the raw turnstile table:
     load with type inference, clean, save, check, summarise."""

@@ -39,7 +39,7 @@ from .common import row_ids, stored
 from .textblocks import BYTE_VALUE, blocks, mix, powers
 
 LENGTH, GRAM = 50, 24
-#: Rows of a chunk (a power of two) and buckets per shuffle partition.
+#: Rows of a chunk (a power of two), and buckets of a partition that are sorted one after the other.
 CHUNK_BITS, BUCKETS_PER_PARTITION = 8, 16
 #: An anchor in more chunks than this is split into single windows.
 SHARED_BY = 2_000
@@ -179,11 +179,11 @@ def _answer(batches: Iterator[pa.RecordBatch], shared_by: int) -> Iterator[pa.Re
                                              names=["chunk", "bucket", "repeated", "shared"])
 
 
-# kind 0: segments of a bucket, packed (ids int64, rows of the chunk uint16, starts uint32, sizes - length uint16);
+# kind 0: segments for a partition, packed (subs uint8: bucket within it, ids int64, rows of the chunk uint16, starts uint32, sizes - length uint16);
 # kind 1: stretches settled within a chunk (rows, starts, stops - starts uint32; ids and bytes empty)
-CUT = "bucket int, kind int, chunk bigint, ids binary, rows binary, starts binary, sizes binary, bytes binary"
+CUT = "bucket int, kind int, chunk bigint, subs binary, ids binary, rows binary, starts binary, sizes binary, bytes binary"
 _NAMES = [f.split()[0] for f in CUT.split(", ")]
-_KINDS = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
+_KINDS = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 6]
 
 
 def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -207,13 +207,13 @@ def _segments(part, data, border, known, buckets, length, chunk_bits):
         if not len(have) or not len(name):
             continue
         hit = have[np.minimum(np.searchsorted(have, name), len(have) - 1)] == name
-        a, z, bucket = first[hit], last[hit] + length, home[hit]
+        a, z, bucket = first[hit], last[hit] + length, _bucket(key[hit], buckets * BUCKETS_PER_PARTITION)
         if which == "shared":
             a = _spread(a, z - a - length + 1)
             z = a + length
         digest = mix((total[z] - total[a]) * inverse[a] + (z - a).astype(np.uint64))
         if which == "shared":
-            bucket = _bucket(digest, buckets)
+            bucket = _bucket(digest, buckets * BUCKETS_PER_PARTITION)
         row = np.searchsorted(border, a, "right") - 1
         yield digest, bucket, ids[row], rows[row], a - border[row], a, z - a
 
@@ -247,12 +247,13 @@ def _cut_chunk(table: pa.Table, buckets: int, length: int, chunk_bits: int) -> I
     if len(settled):
         gone = list(_united(list(zip(rows[settled].tolist(), at[settled].tolist(), (at + size)[settled].tolist()))))
         pack = lambda k: np.array([g[k] for g in gone], np.uint32)
-        out.append((chunk % buckets, 1, chunk, b"", pack(0).astype("<u2").tobytes(), pack(1).tobytes(), (pack(2) - pack(1)).tobytes(), b""))
-    kept = kept[np.argsort(bucket[kept], kind="stable")]
-    edge = np.flatnonzero(np.append(True, bucket[kept][1:] != bucket[kept][:-1]))
+        out.append((chunk % buckets, 1, chunk, b"", b"", pack(0).astype("<u2").tobytes(), pack(1).tobytes(), (pack(2) - pack(1)).tobytes(), b""))
+    home, sub = bucket % buckets, bucket // buckets
+    kept = kept[np.argsort(home[kept], kind="stable")]
+    edge = np.flatnonzero(np.append(True, home[kept][1:] != home[kept][:-1]))
     for x, y in zip(edge, np.append(edge[1:], len(kept))):
         own = kept[x:y]
-        out.append((int(bucket[own[0]]), 0, chunk, ids[own].astype("<i8").tobytes(), rows[own].astype("<u2").tobytes(), at[own].astype("<u4").tobytes(),
+        out.append((int(home[own[0]]), 0, chunk, sub[own].astype(np.uint8).tobytes(), ids[own].astype("<i8").tobytes(), rows[own].astype("<u2").tobytes(), at[own].astype("<u4").tobytes(),
                     (size[own] - length).astype("<u2").tobytes(), text[_spread(place[own], size[own])].tobytes()))
     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), _KINDS)], names=_NAMES)
 
@@ -404,28 +405,38 @@ def _settle(batches: Iterator[pa.RecordBatch], length: int, chunk_bits: int) ->
                 start = read(row, "starts", "<u4")
                 yield pa.RecordBatch.from_arrays([pa.array(uids), pa.array(start), pa.array(start + read(row, "sizes", "<u4"))], names=["uid", "start", "stop"])
             else:
-                parts.append((read(row, "ids", "<i8"), uids, read(row, "starts", "<u4"), read(row, "sizes", "<u2") + length))
+                parts.append((read(row, "subs", np.uint8), read(row, "ids", "<i8"), uids, read(row, "starts", "<u4"), read(row, "sizes", "<u2") + length))
                 texts.append(row["bytes"])
         if not parts:
             continue
-        ids, uids, starts, sizes = (np.concatenate(x) for x in zip(*parts))
-        suffixes = Suffixes(b"".join(texts), sizes, length)
+        subs, *columns = (np.concatenate(x) for x in zip(*parts))
+        text = np.frombuffer(b"".join(texts), np.uint8)
+        place = np.cumsum(columns[3]) - columns[3]
         del parts, texts
-        order = suffixes.sorted()
-        if not len(order):
-            continue
-        run = np.flatnonzero(~suffixes.same_as_before(order))
-        doc = ids[suffixes.owner[order]]
-        least = np.repeat(np.minimum.reduceat(doc, run), np.diff(np.append(run, len(order))))
-        gone = np.sort(order[doc > least])
-        if not len(gone):
-            continue
-        own = suffixes.owner[gone]
-        new = np.append(True, (own[1:] != own[:-1]) | (gone[1:] > gone[:-1] + length))
-        a = np.flatnonzero(new)
-        z = np.append(a[1:], len(gone)) - 1
-        at = starts[own[a]] - suffixes.first[own[a]]
-        yield pa.RecordBatch.from_arrays([pa.array(uids[own[a]]), pa.array(gone[a] + at), pa.array(gone[z] + at + length)], names=["uid", "start", "stop"])
+        for sub in np.unique(subs):
+            own = np.flatnonzero(subs == sub)
+            ids, uids, starts, sizes = (c[own] for c in columns)
+            yield from _settled(ids, uids, starts, sizes, text[_spread(place[own], sizes)].tobytes(), length)
+
+
+def _settled(ids, uids, starts, sizes, raw: bytes, length: int) -> Iterator[pa.RecordBatch]:
+    """The suffix order of one bucket's segments, and what of them smaller ids hold."""
+    suffixes = Suffixes(raw, sizes, length)
+    order = suffixes.sorted()
+    if not len(order):
+        return
+    run = np.flatnonzero(~suffixes.same_as_before(order))
+    doc = ids[suffixes.owner[order]]
+    least = np.repeat(np.minimum.reduceat(doc, run), np.diff(np.append(run, len(order))))
+    gone = np.sort(order[doc > least])
+    if not len(gone):
+        return
+    own = suffixes.owner[gone]
+    new = np.append(True, (own[1:] != own[:-1]) | (gone[1:] > gone[:-1] + length))
+    a = np.flatnonzero(new)
+    z = np.append(a[1:], len(gone)) - 1
+    at = starts[own[a]] - suffixes.first[own[a]]
+    yield pa.RecordBatch.from_arrays([pa.array(uids[own[a]]), pa.array(gone[a] + at), pa.array(gone[z] + at + length)], names=["uid", "start", "stop"])
 
 
 def _small(ids: DataFrame) -> DataFrame:
@@ -436,7 +447,7 @@ def removed_stretches(rows: DataFrame, length: int = LENGTH, shared_by: int = SH
     """uid, start, stop (bytes; may overlap) of what repeats smaller ids; ``rows``: uid, id (long), text, with different texts."""
     spark = rows.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    buckets = min(1 << 20, parts * BUCKETS_PER_PARTITION)
+    buckets = min(1 << 20, parts)
     chunked = rows.withColumn("chunk", F.shiftright("uid", chunk_bits))
     sent = chunked.select("chunk", "text").mapInArrow(lambda b: _send(b, buckets, length), "bucket int, chunk bigint, once binary, more binary")
     asked = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _answer(b, shared_by), "chunk bigint, bucket int, repeated binary, shared binary")

@@ -5,12 +5,13 @@ k-gram of a document is looked up among the templates' k-grams: one pass over
 the texts hashes all k-grams and keeps those whose hash falls into a bitmap of
 the template hashes (a semi-join of fixed size), and a Spark join with the
 template positions turns each survivor into votes for a diagonal, the
-document's word position minus the template's. Votes are summed per document,
-template and diagonal; neighbouring diagonals that overlap are merged into one
-place (words were inserted or left out), and a place counts if the share of
-the template's k-grams that voted reaches the template's threshold. Base
-phrases need every k-gram on one diagonal, which is the phrase standing there
-word for word.
+document's word position minus the template's. Votes are gathered per document,
+template and diagonal, and a place counts if the share of the template's
+k-grams that voted (each counted once) reaches the template's threshold. A
+diagonal that reaches it alone is a place. Of the others, votes of neighbouring
+diagonals within twice the template's length count together (words were
+inserted or left out). More votes never take a place away. Base phrases need
+every k-gram on one diagonal, which is the phrase standing there word for word.
 
 The templates are a fixed part of the library (a few hundred k-grams), which
 bounds the joined side.
@@ -31,7 +32,7 @@ from .textblocks import ALNUM, blocks, mix, rolling, word_hashes, word_spans
 
 #: Longest k-gram; a template with fewer words uses its whole length.
 GRAM = 4
-#: Diagonals so near each other are one place.
+#: Diagonals so near each other vote together.
 NEIGHBOURS = 8
 
 
@@ -132,22 +133,36 @@ def license_places(scanned: DataFrame, table: DataFrame, templates: tuple[Templa
     votes = (scanned.where(F.size("hits") > 0).select("uid", F.explode("hits").alias("h")).select("uid", "h.at", "h.gram")
              .join(F.broadcast(table), "gram")  # a few hundred rows, fixed by the library
              .groupBy("uid", "template", (F.col("at") - F.col("pos")).alias("diagonal"))
-             .agg(F.countDistinct("pos").alias("votes"), F.min("at").alias("first"), F.max(F.col("at") + F.col("k")).alias("last"),
-                  F.first(F.col("length") - F.col("k") + 1).alias("grams"), F.first("length").alias("length")))
-    of = spark_map({i: t.share for i, t in enumerate(templates)})
+             .agg(F.collect_set("pos").alias("voted"), F.min("at").alias("first"), F.max(F.col("at") + F.col("k")).alias("last"),
+                  F.first("k").alias("k"), F.first(F.col("length") - F.col("k") + 1).alias("grams"), F.first("length").alias("length"))
+             .withColumn("share", F.size("voted") / F.col("grams")))
+    enough = F.col("share") >= spark_map({i: t.share for i, t in enumerate(templates)})[F.col("template")]
     base = F.col("template").isin([i for i, t in enumerate(templates) if t.base])
-    exact = votes.where(base & (F.col("votes") == F.col("grams"))).select(
+    exact = votes.where(base & (F.size("voted") == F.col("grams"))).select(
         "uid", "template", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("length")).alias("stop"), F.lit(1.0).alias("share"))
-    # neighbouring diagonals whose spans lie within a template's length of each other are one place
-    along = Window.partitionBy("uid", "template").orderBy("first", "diagonal")
-    new = F.lag("diagonal").over(along).isNull() | (F.abs(F.col("diagonal") - F.lag("diagonal").over(along)) > NEIGHBOURS) | (
-        F.col("first") - F.lag("last").over(along) > F.col("length"))
-    merged = (votes.where(~base).withColumn("new", new.cast("int")).withColumn("place", F.sum("new").over(along))
-              .groupBy("uid", "template", "place")
-              .agg(F.min("first").alias("start"), F.max("last").alias("stop"), (F.sum("votes") / F.first("grams")).alias("share"), F.first("length").alias("length")))
-    long = merged.where((F.col("share") >= of[F.col("template")]) & (F.col("stop") - F.col("start") <= 2 * F.col("length"))).select(
-        "uid", "template", "start", "stop", F.least("share", F.lit(1.0)).alias("share"))
-    return exact.unionByName(long)
+    # a diagonal that reaches the share is a place, whatever stands beside it
+    alone = votes.where(~base & enough).select("uid", "template", F.col("first").alias("start"), F.col("last").alias("stop"), "share")
+    # of the others, those in a run of near diagonals vote together: a further vote can only join runs, never part them
+    along = Window.partitionBy("uid", "template").orderBy("diagonal")
+    new = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > NEIGHBOURS, F.lit(True))
+    rest = (votes.where(~base & ~enough).withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(along))
+            .select("uid", "template", "run", "k", "grams", "length", "diagonal", F.explode("voted").alias("pos"))
+            .withColumn("start", F.col("diagonal") + F.col("pos")))
+    # from each vote on, the run's votes within twice the template's length; the frame has the length of the longest template
+    frame = Window.partitionBy("uid", "template", "run").orderBy("start").rangeBetween(0, 2 * max(len(_words(t.text)) for t in templates))
+    near = F.filter("ahead", lambda v: v["start"] + F.col("k") <= F.col("start") + 2 * F.col("length"))
+    spans = (rest.withColumn("ahead", F.collect_list(F.struct("start", "pos")).over(frame)).withColumn("near", near)
+             .select("uid", "template", "run", "length", "start", (F.array_max("near.start") + F.col("k")).alias("stop"),
+                     (F.size(F.array_distinct("near.pos")) / F.col("grams")).alias("share")).where(enough))
+    # spans that overlap are one place, split where they go on for more than twice the template's length
+    before = Window.partitionBy("uid", "template", "run").orderBy("start", "stop")
+    apart = F.coalesce(F.col("start") >= F.max("stop").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    island = Window.partitionBy("uid", "template", "run", "island")
+    merged = (spans.withColumn("apart", apart.cast("int")).withColumn("island", F.sum("apart").over(before))
+              .withColumn("part", F.floor((F.col("start") - F.min("start").over(island)) / (2 * F.col("length"))))
+              .groupBy("uid", "template", "run", "island", "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.max("share").alias("share"))
+              .select("uid", "template", "start", "stop", "share"))
+    return exact.unionByName(alone).unionByName(merged)
 
 
 def spark_map(values: dict):

@@ -49,6 +49,29 @@ def test_license_with_changed_words(stored_docs):
     assert got[2].labels == "mit" and 0.5 <= got[2].score < 1 and got[3].labels == ""
 
 
+def test_licenses_of_repeated_and_dual_notices(stored_docs):
+    by, nc, mit = "Licensed under CC BY 4.0. ", "Licensed under CC BY-NC 4.0. ", licenses.TEXTS[0].text + ". "
+    torn = mit.replace("obtaining", "who gets").replace("software", "whole software")
+    cases = [(by * 3, "cc-by,cc-by-4.0"), (by + "or " + by, "cc-by,cc-by-4.0"), (by + "two words " + by, "cc-by,cc-by-4.0"), (by * 500, "cc-by,cc-by-4.0"),
+             (f"Text: {nc}Images: {by}", "cc-by,cc-by-4.0,cc-by-nc"), (f"Text: {by}Images: {nc}", "cc-by,cc-by-4.0,cc-by-nc"),
+             (mit * 3, "mit"), (torn, "mit"), (torn * 2, "mit"), (torn * 40, "mit"), ("free of charge to any free of charge to any " + torn, "mit"),
+             ("permission is hereby granted " * 9, "")]  # one k-gram, however often, is one k-gram
+    got = {r.doc_id: r for r in licenses.license_scan(stored_docs([(i, t) for i, (t, _) in enumerate(cases)])).collect()}
+    assert [got[i].labels for i in range(len(cases))] == [want for _, want in cases]
+    assert all(got[i].score == 1 for i in range(7)) and all(0.5 <= got[i].score < 1 for i in range(7, 11)) and got[11].score == 0
+
+
+def test_license_places_are_split_not_dropped(stored_docs):
+    mit = licenses.TEXTS[0].text + ". "
+    torn = mit.replace("obtaining", "who gets").replace("software", "whole software")
+    # scraps of the text whose diagonals join all copies to one run
+    copy = torn + "software and associated documentation a copy of this any person obtaining a free of charge to "
+    size, length = len(words(copy)), len(words(mit))
+    places = licenses.license_places(*licenses.template_votes(stored_docs([(1, copy * 40)]))).collect()
+    assert all(0 < p.stop - p.start <= 4 * length for p in places)
+    assert all(any(p.start < (i + 1) * size and p.stop > i * size for p in places) for i in range(40))
+
+
 def test_license_query(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     got = QUERIES["op9_license_scan"](spark, SMALL).collect()

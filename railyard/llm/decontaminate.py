@@ -13,8 +13,8 @@ index would, as the Jaccard similarity of 30 shingles and 20,000 is next to 0.
 The signature hashes are the table that documents probe. One pass over the
 texts hashes every shingle; a document with a hash in the signature bitmap
 gives a row for each distinct shingle hash in the bitmap of all item shingles.
-Joins with the signature table (candidates) and with the item shingles (exact
-containment of each candidate) follow. The bitmaps have a fixed size, whatever
+Joins with the signature table (candidates) and of the candidates' item shingles
+with the document's (exact containment) follow. The bitmaps have a fixed size, whatever
 the number of items; they only save rows, the joins decide.
 """
 
@@ -81,6 +81,12 @@ def _bitmap(grams: DataFrame) -> np.ndarray:
     return bits
 
 
+def _held(found: DataFrame, candidates: DataFrame, grams: DataFrame) -> DataFrame:
+    """A row for each gram of a candidate's item that the document holds. The
+    candidates come first: a gram that many items share gives no row elsewhere."""
+    return candidates.join(grams.select("item", "n", "gram"), ["item", "n"]).join(found, ["uid", "gram"])
+
+
 def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
                     item_text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document row and item contained in it: uid (of the document
@@ -114,7 +120,6 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     kind = rows.schema["id"].dataType.simpleString()
     found = stored(rows.mapInArrow(probe, f"uid bigint, id {kind}, gram bigint"), "probed")
     candidates = found.join(grams.where("signed").select("item", "n", "gram"), "gram").select("uid", "item", "n").distinct()
-    inside = (found.join(grams.select("item", "n", "gram"), "gram").groupBy("uid", "item", "n").agg(F.count("*").alias("n_shared"), F.first("id").alias("id"))
-              .join(candidates, ["uid", "item", "n"], "left_semi"))
+    inside = _held(found, candidates, grams).groupBy("uid", "item", "n").agg(F.count("*").alias("n_shared"), F.first("id").alias("id"))
     return inside.where(F.col("n_shared") * 100 >= F.col("n") * percent).select(
         "uid", F.col("id").alias(id_col), F.col("item").alias(item_id), F.col("n").alias("n_item"), "n_shared", (F.col("n_shared") / F.col("n")).alias("containment"))

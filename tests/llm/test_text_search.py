@@ -125,6 +125,23 @@ def test_containment_of_odd_rows(odd_docs, stored_docs):
     assert decontaminate.contained_items(stored_docs([]), items).count() == 0
 
 
+def test_containment_counts_candidates_only(stored_docs, monkeypatch):
+    """Documents that hold a gram of many items, but nothing else of them, give rows for their candidates only."""
+    rng = random.Random(4)
+    stem = "which of the following statements is"
+    items = [(i, f"{stem} " + " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(40))) for i in range(60)]
+    docs = [(i, f"{stem} x{i} y{i} z{i}") for i in range(50)] + [(100 + i, t) for i, t in items[:5]]
+    made = []
+    held = decontaminate._held
+    monkeypatch.setattr(decontaminate, "_held", lambda found, candidates, grams: made.append((found, candidates, grams)) or held(found, candidates, grams))
+    got = decontaminate.contained_items(stored_docs(docs), stored_docs(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_item, r.n_shared) for r in got) == contained(docs, items) and len(got) == 5
+    (found, candidates, grams), = made
+    rows, pairs = held(found, candidates, grams), {(r.uid, r.item) for r in candidates.collect()}
+    assert {(r.uid, r.item) for r in rows.select("uid", "item").collect()} <= pairs
+    assert rows.count() < found.join(grams, "gram").count()
+
+
 def test_decontaminate_query(spark):
     read = lambda t, k: [(r[k], r.text) for r in spark.read.parquet(f"{SMALL}/{t}.parquet").collect()]
     want = contained(read("documents", "doc_id"), read("benchmark", "item_id"))

@@ -140,7 +140,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     own = F.pmod(F.xxhash64(F.lit("calibrate"), "id"), F.lit(4)) == 0
     # the sample's ids and labels are at most some FIT_ROWS rows
     picked = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(known), "id").select("text", "y", own.alias("own"))
-    table = stored(picked.mapInArrow(measure, "x array<double>, y double, own boolean").coalesce(16), "statistics")
+    # the scan keeps its own tasks; the few small rows go to 16, as each task's sums come to the driver
+    table = stored(picked.mapInArrow(measure, "x array<double>, y double, own boolean").repartition(16), "statistics")
     first = _sums(table, STATISTICS, lambda x, y: np.vstack([np.full(x.shape[1], len(x)), x.sum(0), (x * x).sum(0), np.full(x.shape[1], y.sum())]))
     if not len(first):
         return None

@@ -179,6 +179,17 @@ def test_held_out_labels_are_not_learned(spark, stored_docs):
     assert one == two
 
 
+def test_quality_scan_keeps_its_tasks(spark, stored_docs, monkeypatch):
+    """The scan of the documents for the fit is not narrowed to the 16 tasks of its outcome."""
+    plans: list[str] = []
+    monkeypatch.setattr(quality, "stored", lambda df, tag: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    labels = stored_docs([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    assert quality.fit(stored_docs([(i, f"text {i}") for i in range(400)]), labels) is not None
+    plan, = plans
+    above = plan[:plan.index("MapInArrow")]
+    assert "Repartition 16, true" in above and "Repartition 16, false" not in above
+
+
 def test_quality_odd_rows(spark, odd_docs, stored_docs):
     labels = stored_docs([(1, 1), (3, 0), (5, 0), (5, None), (None, 1), (6, 1)], "doc_id long, quality int")
     got = quality.quality(odd_docs, labels).collect()

@@ -8,14 +8,31 @@ station holding a third of all raw rows still gives a short per-day series.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coerce import light_names, parse_day_first, to_number
 
-_BUCKETS = {"D": ("day", "date"), "h": ("hour", "timestamp")}
+# Fixed widths in microseconds, by the names (and older names) of time units.
+_UNITS = {"D": 86_400_000_000, "h": 3_600_000_000, "H": 3_600_000_000, "min": 60_000_000, "T": 60_000_000,
+          "s": 1_000_000, "S": 1_000_000, "ms": 1_000, "L": 1_000, "us": 1, "U": 1}
+_PART = re.compile(r"(\d+(?:\.\d+)?)?([A-Za-z]+)")
+
+
+def bucket_width(freq: str) -> int:
+    """Microseconds of a fixed width such as ``D``, ``6h``, ``15min``, ``1.5h`` or ``1h30min``."""
+    text = freq.replace(" ", "")
+    parts = list(_PART.finditer(text))
+    if not parts or "".join(p[0] for p in parts) != text or any(p[2] not in _UNITS for p in parts):
+        raise ValueError(f"unsupported freq {freq!r}; use a fixed width of the units {sorted(_UNITS)}")
+    width = sum(Fraction(p[1] or 1) * _UNITS[p[2]] for p in parts)
+    if width.denominator != 1 or width <= 0:
+        raise ValueError(f"freq {freq!r} is not a positive number of microseconds")
+    return int(width)
 
 
 @dataclass(frozen=True)
@@ -34,7 +51,8 @@ def _has_station(df: DataFrame, cfg: AnomalyConfig) -> bool:
 
 
 def prepare_daily_series(df: DataFrame, cfg: AnomalyConfig = AnomalyConfig()) -> DataFrame:
-    """Sum the value per time bucket (and station, when the column exists).
+    """Sum the value per time bucket (and station, when the column exists):
+    a date per day, else the start of any fixed width as a timestamp.
 
     Rows whose date does not parse are dropped; a value that is not a number
     counts as 0; rows with a null station are left out, as a grouped sum over
@@ -43,11 +61,13 @@ def prepare_daily_series(df: DataFrame, cfg: AnomalyConfig = AnomalyConfig()) ->
     dfx = light_names(df)
     if cfg.date_col not in dfx.columns or cfg.value_col not in dfx.columns:
         raise ValueError(f"Missing required columns: {cfg.date_col}, {cfg.value_col}")
-    if cfg.freq not in _BUCKETS:
-        raise ValueError(f"unsupported freq {cfg.freq!r}; use one of {sorted(_BUCKETS)}")
-    unit, out_type = _BUCKETS[cfg.freq]
+    width = bucket_width(cfg.freq)
     ts = parse_day_first(dfx, cfg.date_col)
-    bucket = F.date_trunc(unit, ts).cast(out_type).alias("date")
+    if width == _UNITS["D"]:
+        bucket = F.date_trunc("day", ts).cast("date").alias("date")
+    else:  # clock time since 1970, floored to the width; dates and texts have no zone but the session's
+        clock = F.unix_micros(F.from_utc_timestamp(ts, F.current_timezone()))
+        bucket = F.to_utc_timestamp(F.timestamp_micros(clock - F.pmod(clock, F.lit(width))), F.current_timezone()).alias("date")
     keys = [bucket]
     cond = ts.isNotNull()
     if _has_station(dfx, cfg):

@@ -59,6 +59,22 @@ def daily_series_station(spark, sf_dir):
     return s.withColumn("pax_total", s.pax_total.cast("double"))
 
 
+@query(
+    "series_15min_station",
+    with_views(
+        ["turnstiles_timed"],
+        """SELECT make_timestamp(epoch_us(fecha) - epoch_us(fecha) % 900000000) AS date, estacion,
+                  CAST(SUM(pax_total) AS DOUBLE) AS pax_total
+           FROM turnstiles_timed WHERE fecha IS NOT NULL AND estacion IS NOT NULL
+           GROUP BY ALL""",
+    ),
+)
+def series_15min_station(spark, sf_dir):
+    s = prepare_daily_series(view(spark, sf_dir, "turnstiles_timed"), AnomalyConfig(freq="15min"))
+    s = s.withColumn("date", s.date.cast("timestamp_ntz"))
+    return s.withColumn("pax_total", s.pax_total.cast("double"))
+
+
 @query("anomaly_station", _anomaly_sql("turnstiles", station=True))
 def anomaly_station(spark, sf_dir):
     cfg = AnomalyConfig()
@@ -69,3 +85,13 @@ def anomaly_station(spark, sf_dir):
 def anomaly_global(spark, sf_dir):
     cfg = AnomalyConfig(station_col=None)
     return rounded(detect_anomalies(prepare_daily_series(view(spark, sf_dir, "turnstiles"), cfg), cfg))
+
+
+@query("anomaly_nan", with_views(["turnstiles_nan"], """,
+t AS (SELECT fecha, linea AS estacion, CASE WHEN isnan(pax_total) THEN 0 ELSE pax_total END AS pax_total FROM turnstiles_nan)"""
+       + _ANOMALY_SQL.replace(", pax_total, round", ", round(pax_total, 4) AS pax_total, round")
+       .format(src="t", station_sel=", estacion", station_where=" AND estacion IS NOT NULL", partition="PARTITION BY estacion ")))
+def anomaly_nan(spark, sf_dir):
+    cfg = AnomalyConfig()
+    rows = view(spark, sf_dir, "turnstiles_nan").withColumnRenamed("linea", "estacion")
+    return rounded(detect_anomalies(prepare_daily_series(rows, cfg), cfg))

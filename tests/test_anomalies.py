@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+
 from railyard.operators.anomalies import AnomalyConfig, detect_anomalies, prepare_daily_series
 
 D0 = dt.date(2024, 1, 1)
@@ -71,3 +73,27 @@ def test_global_series(spark):
     cfg = AnomalyConfig(station_col=None)
     out = detect_anomalies(s.drop("estacion"), cfg).collect()
     assert len(out) == 10
+
+
+def test_buckets_of_any_fixed_width(spark):
+    times = ["2024-01-01 00:14:59", "2024-01-01 00:15:00", "2024-01-01 05:59:59.999999", "2024-01-01 06:00:00", "1969-12-31 23:50:00"]
+    raw = spark.createDataFrame([(dt.datetime.fromisoformat(t), "s1", 1) for t in times], "fecha timestamp_ntz, estacion string, pax_total long")
+
+    def starts(freq):
+        return [str(r.date) for r in prepare_daily_series(raw, AnomalyConfig(freq=freq)).orderBy("date").collect()]
+
+    assert starts("15min") == ["1969-12-31 23:45:00", "2024-01-01 00:00:00", "2024-01-01 00:15:00", "2024-01-01 05:45:00", "2024-01-01 06:00:00"]
+    assert starts("6h") == ["1969-12-31 18:00:00", "2024-01-01 00:00:00", "2024-01-01 06:00:00"]
+    assert starts("1.5h") == starts("90min") == starts("1h30min") == ["1969-12-31 22:30:00", "2024-01-01 00:00:00", "2024-01-01 04:30:00", "2024-01-01 06:00:00"]
+    assert starts("h") == ["1969-12-31 23:00:00", "2024-01-01 00:00:00", "2024-01-01 05:00:00", "2024-01-01 06:00:00"]
+    assert starts("D") == ["1969-12-31", "2024-01-01"]
+    for bad in ("", "15", "MS", "W", "0h", "15min!", "0.5us"):
+        with pytest.raises(ValueError):
+            prepare_daily_series(raw, AnomalyConfig(freq=bad))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:  # the clock of the session counts, as it does for days
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+        s = prepare_daily_series(raw, AnomalyConfig(freq="6h"))
+        assert [r[0] for r in s.select(s.date.cast("string").alias("d")).orderBy("d").collect()] == ["1969-12-31 18:00:00", "2024-01-01 00:00:00", "2024-01-01 06:00:00"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

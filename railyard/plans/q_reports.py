@@ -198,3 +198,11 @@ _PROFILE = [("fecha", "timestamp_ntz", None), ("linea", "string", "line"), ("est
 def dataset_profile(spark, sf_dir):
     from ..sources.files import profile
     return profile(view(spark, sf_dir, "turnstiles"), "turnstiles")
+
+
+@query("dataset_sample", sql(["turnstiles"], [("first", "SELECT * FROM (SELECT *, row_number() OVER (ORDER BY "
+       + ", ".join(f"{c} NULLS FIRST" for c, _, _ in _PROFILE) + ") AS row FROM turnstiles) WHERE row <= 5")], " UNION ALL ".join(
+    f"SELECT 'turnstiles' AS dataset, row, '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM first" for c, _, _ in _PROFILE)))
+def dataset_sample(spark, sf_dir):
+    from ..sources.files import first_rows
+    return first_rows(view(spark, sf_dir, "turnstiles"), "turnstiles")

@@ -12,7 +12,7 @@ import csv
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -226,3 +226,14 @@ def profile(df: DataFrame, name: str = "") -> DataFrame:
     cols = spark.createDataFrame(rows, "dataset string, column_name string, dtype string, role string")
     n = df.select(F.count(F.lit(1))).scalar()
     return cols.withColumn("n_rows", n)
+
+
+def first_rows(df: DataFrame, name: str = "", order: Sequence[str] | None = None, n: int = 5) -> DataFrame:
+    """The first ``n`` rows as one row per row number and column (dataset, row,
+    column_name, value as text). A table has no order of its own: ``order``
+    names the columns to order by (ascending, nulls first), all in turn by default."""
+    cols = {c: F.col("`" + c.replace("`", "``") + "`") for c in df.columns}
+    by = [cols[c].asc_nulls_first() for c in (order or df.columns)]
+    top = df.orderBy(*by).limit(n).withColumn("__row", F.row_number().over(Window.orderBy(*by)).cast("long"))
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), v.cast("string").alias("value")) for c, v in cols.items()])
+    return top.select(F.lit(name).alias("dataset"), F.col("__row").alias("row"), F.inline(cells))

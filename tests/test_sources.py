@@ -54,6 +54,17 @@ def test_profile_and_save(spark, tmpdir_path):
     assert spark.read.option("header", "true").csv(out["csv"]).columns == ["linea", "avg_headway_min", "trains"]
 
 
+def test_first_rows_of_a_profile(spark):
+    df = spark.createDataFrame([(i % 4, f"x{i}", None if i % 3 else float(i)) for i in range(9, -1, -1)], "`a.b` long, c string, `d``e` double")
+    got = files.first_rows(df, "x").orderBy("row").collect()
+    assert len(got) == 15 and {r.dataset for r in got} == {"x"}
+    cells = {(r.row, r.column_name): r.value for r in got}
+    assert [cells[i, "c"] for i in range(1, 6)] == ["x0", "x4", "x8", "x1", "x5"]
+    assert [cells[i, "d`e"] for i in range(1, 6)] == ["0.0", None, None, None, None] and cells[4, "a.b"] == "1"
+    assert [r.value for r in files.first_rows(df, "x", order=["c"], n=2).orderBy("row").collect() if r.column_name == "c"] == ["x0", "x1"]
+    assert files.first_rows(df.limit(0)).count() == 0
+
+
 def test_odd_file_names(spark, tmpdir_path):
     _write(os.path.join(tmpdir_path, "a b+c.csv"), "x;y\n1;2\n")
     _write(os.path.join(tmpdir_path, "d%e.csv"), "y;x\n3;4\n")

@@ -25,6 +25,7 @@ import io
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,8 @@ CRLF = "\r\n"
 END = "\r\n\r\n"
 #: Records of a file at most: a task reads whole files.
 RECORDS_PER_FILE = 2_000
+#: Packed payloads that a task gathers before it gives them out.
+BATCH_BYTES = 4 << 20
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -86,9 +89,9 @@ def write_archive(pages: DataFrame, path: str, key_col: str = "page_id", url_col
     _write(rows.mapInArrow(run, "value string"), path)
 
 
-def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers by lower-case name, block) of each record."""
-    stream = io.BytesIO(raw)
+def parse(raw: bytes | BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers by lower-case name, block) of each record; of a stream, one record at a time is held."""
+    stream = io.BytesIO(raw) if isinstance(raw, bytes) else raw
     while True:
         line = stream.readline()
         if not line:
@@ -108,6 +111,11 @@ def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield head, block
 
 
+def unpacked(content: pa.Buffer) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records of a gzip file, unpacked as they are read: memory follows the longest record, not the file."""
+    return parse(io.BufferedReader(gzip.GzipFile(fileobj=pa.BufferReader(content)), 1 << 18))
+
+
 HEADERS = "record_id string, key string, url string, date string, record_type string, digest string, n_payload bigint, refers_to string"
 
 
@@ -121,17 +129,20 @@ def read_archive(spark: SparkSession, path: str, payload: bool = False) -> DataF
         for batch in batches:
             for content in batch.column("content"):
                 rows: list[tuple] = []
-                for head, block in parse(gzip.decompress(content.as_py())):
+                held = 0
+                for head, block in unpacked(content.as_buffer()):
                     body = block.partition(END.encode())[2]
                     size = int(head.get("x-payload-length", len(body)))
                     row = (head["warc-record-id"], head.get("x-record-key"), head.get("warc-target-uri"), head.get("warc-date"), head["warc-type"],
                            head.get("warc-payload-digest", "").removeprefix("sha1:"), size, head.get("x-refers-to-key"))
                     if head["warc-type"] == "response" and payload_digest(body) != row[5]:
                         raise ValueError(f"payload digest of {row[0]} does not fit")
-                    rows.append(row + ((zlib.compress(body, 1),) if payload else ()))
-                    if len(rows) >= 200:
+                    packed = zlib.compress(body, 1) if payload else b""
+                    rows.append(row + ((packed,) if payload else ()))
+                    held += len(packed)
+                    if len(rows) >= 200 or held >= BATCH_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-                        rows = []
+                        rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 

@@ -6,9 +6,11 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +53,28 @@ def test_warc_files(spark, stored_docs, tmp_path):
     assert {zlib.decompress(r.payload) for r in full.collect()} == {b"same", b"other", b""}
 
 
+def test_warc_files_are_not_unpacked_whole():
+    record = warc._record([("WARC-Type", "response")], "x" * 1_000_000) + warc.END
+    content = pa.py_buffer(gzip.compress(record.encode(), 1) * 40 + gzip.compress(record.encode() * 40, 1))
+    tracemalloc.start()
+    try:
+        sizes = [len(block) for _, block in warc.unpacked(content)]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sizes == [1_000_000] * 80 and peak < 10_000_000
+
+
+def test_warc_payloads_over_batches(spark, stored_docs, tmp_path):
+    """Payloads that do not shrink when packed: several batches of a file, every record once."""
+    rng = random.Random(9)
+    rows = [(i, "http://a/", "".join(map(chr, rng.choices(range(33, 0x2000), k=400_000))), "k", 1) for i in range(12)]
+    path = str(tmp_path / "large")
+    warc.write_archive(stored_docs(rows, PAGES, files=1), path)
+    got = warc.read_archive(spark, path, payload=True).collect()
+    assert sorted((int(r.key), zlib.decompress(r.payload).decode()) for r in got) == [(i, h) for i, _, h, *_ in rows]
+
+
 def test_warc_odd_rows(stored_docs):
     rows = [(None, None, None, None, None), (1, None, "p", "a", 0), (1, None, "p", "a", 0), (None, "u", "p", None, None)]
     got = warc.deduplicated_archive(stored_docs(rows, PAGES)).collect()

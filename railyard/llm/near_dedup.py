@@ -19,9 +19,11 @@
    no link), tasks compare them, first giving each class its likeliest partner
    only, then all that is left between components, by bitmaps of ``BITS`` bits: bits of one set that the other lacks are
    shingles it lacks, which bounds the similarity from above. Only pairs the
-   bound leaves are emitted and verified on the full sets. So no bucket emits
-   all its pairs, and none is capped: every pair of a bucket is verified,
-   ruled out by an exact bound, or already connected.
+   bound leaves are emitted and verified on the full sets. No bucket is
+   capped: every pair of a bucket is verified, ruled out by an exact bound, or
+   already connected. The bound is weak for sets much larger than ``BITS``: a
+   bucket of long, half-alike texts without links emits most of its pairs, and
+   one task compares its rows outside of the largest component.
 """
 
 from __future__ import annotations

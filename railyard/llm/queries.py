@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, near_dedup, oracles, pieces, quality, secrets, suffix_dedup, topk, url_filter, warc
+from . import decontaminate, licenses, merkle, near_dedup, oracles, pieces, quality, secrets, suffix_dedup, topk, url_filter, warc
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +95,14 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle trees of documents by lang; every leaf's proof climbed, every seventh leaf tampered with."""
+    more = {"n_chars": F.col("n_chars").cast("decimal(20,0)") + 1}
+    where = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return merkle.verified_leaves(read_table(spark, sf_dir, "documents"), changed=more, where=where)
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline: every stage on all that its predecessor kept."""

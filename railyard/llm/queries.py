@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, merkle, near_dedup, oracles, pieces, quality, secrets, suffix_dedup, topk, url_filter, warc
+from . import decontaminate, licenses, merkle, near_dedup, oracles, pieces, quality, secrets, simhash, suffix_dedup, topk, url_filter, warc
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +95,12 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+@query
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash near-duplicate components of documents."""
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle trees of documents by lang; every leaf's proof climbed, every seventh leaf tampered with."""

@@ -67,3 +67,57 @@ SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce(m.root, do
        doc_id = least(doc_id, coalesce(m.root, doc_id)) AS kept
 FROM documents LEFT JOIN n ON n.id = doc_id LEFT JOIN (SELECT id, min(root) AS root FROM reach GROUP BY id) m ON m.id = doc_id
 """
+
+# CRC-32 by its table of 256 values (reflected polynomial 0xEDB88320); {0}: a list of bytes
+_CRC_TABLE = """crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
+  CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(i AS BIGINT))) AS t)"""
+_CRC = "xor(list_reduce({0}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295)"
+# letters up to U+00FF as UTF-8 bytes
+_BYTES = "flatten(list_transform(string_split({0}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [CAST(195 AS BIGINT), unicode(c) - 64] END))"
+
+SPELLING = f"""
+WITH RECURSIVE {_CRC_TABLE},
+r AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format('text')}, '[a-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents),
+u AS (SELECT doc_id, run, count(*) AS k FROM r WHERE length(run) >= 5 GROUP BY ALL),
+c AS (SELECT run, k, {_CRC.format(_BYTES.format("concat(doc_id, ':', run)"))} AS h, doc_id IS NOT NULL AS named FROM u, crc),
+m AS (SELECT CASE WHEN named AND h % 97 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, k FROM c),
+w AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM m WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+d AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+e AS (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS rest FROM d),
+near AS (SELECT a.word, a.n, b.word AS other, b.n AS m FROM e a JOIN e b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+         UNION SELECT e.word, e.n, w.word, w.n FROM e JOIN w ON w.word = e.rest
+         UNION SELECT w.word, w.n, e.word, e.n FROM e JOIN w ON w.word = e.rest),
+best AS (SELECT word, n, other, m, row_number() OVER (PARTITION BY word ORDER BY m DESC, encode(other)) AS pos, count(*) OVER (PARTITION BY word) AS n_near FROM near),
+f AS (SELECT word, n_near, CASE WHEN m >= 2 * n THEN other END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM best WHERE pos = 1),
+climb AS (SELECT word, form AS goal FROM f WHERE form IS NOT NULL UNION ALL SELECT climb.word, f.form FROM climb JOIN f ON f.word = climb.goal WHERE f.form IS NOT NULL),
+ends AS (SELECT climb.word, goal FROM climb LEFT JOIN f ON f.word = climb.goal WHERE f.form IS NULL)
+SELECT w.word, f.form, coalesce(ends.goal, w.word) AS root, w.n, coalesce(f.n_near, 0) AS n_near, f.form_n
+FROM w LEFT JOIN f ON f.word = w.word LEFT JOIN ends ON ends.word = w.word
+"""
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
+_LEAF = "sha256(concat(" + ", ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{0}", "text")) + "))"
+
+MERKLE = f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT doc_id, lang, {_LEAF.format('n_chars')} AS leaf, {_LEAF.format('(CAST(n_chars AS HUGEINT) + 1)')} AS more,
+             {_CRC.format(_BYTES.format('CAST(doc_id AS VARCHAR)'))} % 7 = 0 AS changed FROM documents, crc),
+l AS (SELECT *, dense_rank() OVER (ORDER BY lang IS NOT NULL, encode(lang)) AS tree, count(*) OVER (PARTITION BY lang) AS n,
+             row_number() OVER (PARTITION BY lang ORDER BY doc_id IS NOT NULL, doc_id, leaf) - 1 AS pos FROM d),
+low AS (SELECT tree, 0 AS level, pos, leaf AS h, n FROM l
+        UNION ALL SELECT tree, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM low WHERE n > 1 GROUP BY tree, level, pos // 2, n),
+subroot AS (SELECT tree, h FROM low WHERE n = 1),
+high AS (SELECT 0 AS level, tree - 1 AS pos, h, count(*) OVER () AS n FROM subroot
+         UNION ALL SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM high WHERE n > 1 GROUP BY level, pos // 2, n),
+node AS (SELECT tree, level, pos, h, n FROM low UNION ALL SELECT 0, level, pos, h, n FROM high),
+climb AS (SELECT doc_id, leaf, tree AS own, tree, 0 AS level, pos, n, CASE WHEN changed AND n_more THEN more ELSE leaf END AS folded, '' AS proof FROM (SELECT *, more <> leaf AS n_more FROM l)
+          UNION ALL
+          SELECT doc_id, leaf, own, CASE WHEN c.n = 1 THEN 0 ELSE c.tree END, CASE WHEN c.n = 1 THEN 0 ELSE c.level + 1 END,
+                 CASE WHEN c.n = 1 THEN c.own - 1 ELSE c.pos // 2 END, CASE WHEN c.n = 1 THEN (SELECT count(*) FROM subroot) ELSE (c.n + 1) // 2 END,
+                 CASE WHEN c.n = 1 THEN folded WHEN s.h IS NULL THEN sha256(folded) WHEN c.pos % 2 = 1 THEN sha256(s.h || folded) ELSE sha256(folded || s.h) END,
+                 CASE WHEN c.n = 1 THEN proof ELSE proof || coalesce(s.h, '') END
+          FROM climb c LEFT JOIN node s ON s.tree = c.tree AND s.level = c.level AND s.pos = xor(c.pos, 1)
+          WHERE c.n > 1 OR c.tree > 0)
+SELECT doc_id, leaf, subroot.h AS subroot, root.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root.h AS verified
+FROM climb JOIN subroot ON subroot.tree = climb.own, (SELECT h FROM high WHERE n = 1) root WHERE climb.tree = 0 AND climb.n = 1
+"""

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, merkle, near_dedup, oracles, pieces, quality, secrets, simhash, suffix_dedup, topk, url_filter, warc
+from . import decontaminate, licenses, merkle, near_dedup, oracles, pieces, quality, secrets, simhash, spelling, suffix_dedup, topk, url_filter, warc
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,8 @@ ORACLE: dict[str, str] = {
     "op7_warc": oracles.WARC,
     "op8_decontaminate": oracles.DECONTAMINATE,
     "op10_near_dedup": oracles.NEAR_DEDUP,
+    "op12_spelling_variants": oracles.SPELLING,
+    "op13_merkle_manifest": oracles.MERKLE,
 }
 
 
@@ -101,6 +103,13 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents with their near words, forms and roots."""
+    rows = spelling.variants(read_table(spark, sf_dir, "documents"))
+    return rows.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle trees of documents by lang; every leaf's proof climbed, every seventh leaf tampered with."""

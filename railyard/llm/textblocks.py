@@ -89,7 +89,11 @@ def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iter
 
 def word_spans(data: np.ndarray, border: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of the words, and the first word of each row (plus the number of words)."""
-    inside = is_word[data]
+    return mask_spans(is_word[data], border)
+
+
+def mask_spans(inside: np.ndarray, border: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true bytes that no row border cuts, and the first run of each row (plus their number)."""
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]

@@ -29,13 +29,13 @@ from pyspark.sql import functions as F
 from .common import row_ids, stored
 
 #: Levels of a tree that one shuffle builds and one step of the recursion climbs.
-RUNG = 8
+RUNG = 12
+#: Nodes that end a rung are broadcast to a step up to so many (some 1 KB each), else joined by a shuffle.
+BROADCAST_NODES = 20_000
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Trees: groups are numbered from 0; the tree over their roots; beyond its root.
 TOP, DONE = -1, -2
 
-_NODE = "tree long, level int, pos long, digest string, siblings array<string>, up_tree long, up_level int, up_pos long, top string"
-
 
 def field_text(value: Column) -> Column:
     """``-`` for null, else the UTF-8 byte count, a colon and the value."""
@@ -83,19 +83,19 @@ def _rung(rows: DataFrame, level: int, rung: int, payload: Sequence[str]) -> Dat
               transform(sequence(1, (size(element_at(made, -1)) + 1) div 2), i -> sha2(concat(
                 get(element_at(made, -1), int(2 * i - 2)), coalesce(get(element_at(made, -1), int(2 * i - 1)), '')), 256)))))"""))
     block = block.withColumn("left", F.expr(f"if(n = 1, n, (n + shiftleft(1L, steps) - 1) div shiftleft(1L, steps))"))
-    nodes = block.select("*", F.explode(F.expr("sequence(0, greatest(steps - 1, 0))")).alias("l"))
-    nodes = nodes.select("*", F.posexplode(F.col("levels")[F.col("l")]).alias("i", "digest"))
+    more = "".join(f", '{p}', if(l = 0, own[i].{p}, null)" for p in payload)
+    block = block.withColumn("nodes", F.expr(
+        f"""flatten(transform(sequence(0, greatest(steps - 1, 0)), l -> transform(get(levels, l), (digest, i) -> named_struct(
+              'l', l, 'i', i, 'digest', digest, 'siblings', transform(slice(sequence(0, {rung - 1}), l + 1, steps - l),
+              m -> get(get(levels, m), shiftright(i, m - l) ^ 1)){more}))))"""))
+    nodes = block.select("tree", "blk", "steps", "left", F.element_at("levels", -1)[0].alias("last"), F.inline("nodes"))
     done = F.col("left") == 1
     return nodes.select(
-        "tree", (F.col("l") + level).cast("int").alias("level"),
-        F.expr(f"shiftleft(blk, {rung} - l) + i").alias("pos"), "digest",
-        F.expr(f"transform(slice(sequence(0, {rung - 1}), l + 1, steps - l), m -> get(get(levels, m), shiftright(i, m - l) ^ 1))").alias("siblings"),
+        "tree", (F.col("l") + level).cast("int").alias("level"), F.expr(f"shiftleft(blk, {rung} - l) + i").alias("pos"), "digest", "siblings",
         F.when(done & (F.col("tree") == TOP), DONE).when(done, TOP).otherwise(F.col("tree")).cast("long").alias("up_tree"),
         F.when(done, 0).otherwise(F.lit(level) + F.col("steps")).cast("int").alias("up_level"),
         F.when(done & (F.col("tree") == TOP), 0).when(done, F.col("tree")).otherwise(F.col("blk")).cast("long").alias("up_pos"),
-        F.when((F.col("l") == 0) & (F.col("i") == 0), F.element_at("levels", -1)[0]).alias("top"),
-        *[F.when(F.col("l") == 0, F.col("own")[F.col("i")][p]).alias(p) for p in payload],
-        F.col("left").alias("left"))
+        F.when((F.col("l") == 0) & (F.col("i") == 0), F.col("last")).alias("top"), *payload, "left")
 
 
 def _trees(rows: DataFrame, rung: int, payload: Sequence[str]) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
@@ -136,10 +136,12 @@ def manifest(docs: DataFrame, fields: Sequence[str] = FIELDS, group: str = "lang
     return leaves, nodes.unionByName(first).unionByName(above), subroots
 
 
-def climb(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
+def climb(leaves: DataFrame, nodes: DataFrame, rung: int = RUNG) -> DataFrame:
     """key, tree, digest, folded, proof (the siblings met, as 32 bytes each) of
     every leaf, by a recursive query over the parent-linked node rows."""
     spark = leaves.sparkSession
+    ends = nodes.where(f"level % {rung} = 0")
+    hint = "/*+ BROADCAST(n) */" if ends.count() <= BROADCAST_NODES else ""
     fold = """aggregate({n}.siblings, named_struct('m', 0, 'h', {h}), (a, s) -> named_struct('m', a.m + 1, 'h', sha2(
       CASE WHEN s IS NULL THEN a.h WHEN shiftright({n}.pos, a.m) & 1 = 1 THEN concat(s, a.h) ELSE concat(a.h, s) END, 256)), a -> unhex(a.h))"""
     met = "unhex(array_join({n}.siblings, ''))"
@@ -148,10 +150,10 @@ def climb(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
       SELECT l.key, unhex(l.digest), l.tree, l.up_tree, l.up_level, l.up_pos, {fold.format(n='l', h='coalesce(l.changed, l.digest)')}, {met.format(n='l')}
       FROM {{leaves}} l
       UNION ALL
-      SELECT c.key, c.leaf, c.tree, n.up_tree, n.up_level, n.up_pos, {fold.format(n='n', h='lower(hex(c.folded))')}, concat(c.proof, {met.format(n='n')})
+      SELECT {hint} c.key, c.leaf, c.tree, n.up_tree, n.up_level, n.up_pos, {fold.format(n='n', h='lower(hex(c.folded))')}, concat(c.proof, {met.format(n='n')})
       FROM climb c JOIN {{nodes}} n ON n.tree = c.at_tree AND n.level = c.at_level AND n.pos = c.at_pos)
     SELECT key, tree, lower(hex(leaf)) AS digest, lower(hex(folded)) AS folded, proof FROM climb WHERE at_tree = {DONE}"""
-    return _without_row_limit(spark, lambda: stored(spark.sql(sql, leaves=leaves, nodes=nodes), "merkle_proofs"))
+    return _without_row_limit(spark, lambda: stored(spark.sql(sql, leaves=leaves, nodes=ends), "merkle_proofs"))
 
 
 def _without_row_limit(spark: SparkSession, run):
@@ -181,7 +183,7 @@ def verified_leaves(docs: DataFrame, fields: Sequence[str] = FIELDS, group: str
     are hashed whole. An empty table gives none; other columns are not read."""
     leaves, nodes, subroots = manifest(docs, fields, group, order, changed, where, rung)
     root = nodes.where(f"tree = {TOP} and up_tree = {DONE} and top is not null").select(F.max("top")).scalar()
-    proofs = climb(leaves, nodes)
+    proofs = climb(leaves, nodes, rung)
     out = proofs.join(subroots.select("tree", F.col("digest").alias("subroot")), "tree").withColumn("root", root)
     return out.select(
         F.col("key").alias(order), F.col("digest").alias("leaf"), "subroot", "root",

@@ -64,7 +64,7 @@ def run(docs, **more):
     return sorted(map(tuple, got.collect()), key=str)
 
 
-@pytest.mark.parametrize("rung", [1, 2, 3, 8])
+@pytest.mark.parametrize("rung", [1, 2, 3, 12])
 def test_trees_of_many_sizes(stored_docs, rung):
     rng = random.Random(rung)
     rows = []
@@ -90,7 +90,7 @@ def test_empty_table_one_row_and_lone_leaves(stored_docs, rows):
 
 def test_node_rows_are_the_tree(stored_docs):
     rows = [(i, "s", "en" if i < 600 else "de", i, str(i), 0, "", 0) for i in range(700)]
-    leaves, nodes, subroots = merkle.manifest(stored_docs(rows, SCHEMA, files=2))
+    leaves, nodes, subroots = merkle.manifest(stored_docs(rows, SCHEMA, files=2), rung=4)
     every = leaves.select("tree", "level", "pos", "digest").unionByName(nodes.select("tree", "level", "pos", "digest")).collect()
     have = {(r.tree, r.level, r.pos): r.digest for r in every}
     assert len(have) == len(every)

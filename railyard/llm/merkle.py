@@ -78,10 +78,12 @@ def _rung(rows: DataFrame, level: int, rung: int, payload: Sequence[str]) -> Dat
         F.array_sort(F.collect_list(F.struct("pos", "digest", *payload))).alias("own"))
     # bits of n - 1: the levels from n nodes to one
     block = block.withColumn("steps", F.expr(f"if(n = 1, 0, least({rung}, length(bin(n - 1))))"))
-    block = block.withColumn("levels", F.expr(
+    levels = F.expr(
         f"""aggregate(slice(sequence(1, {rung}), 1, steps), array(own.digest), (made, l) -> concat(made, array(
               transform(sequence(1, (size(element_at(made, -1)) + 1) div 2), i -> sha2(concat(
-                get(element_at(made, -1), int(2 * i - 2)), coalesce(get(element_at(made, -1), int(2 * i - 1)), '')), 256)))))"""))
+                get(element_at(made, -1), int(2 * i - 2)), coalesce(get(element_at(made, -1), int(2 * i - 1)), '')), 256)))))""")
+    # as rows of a generator: what follows names the levels many times, and the optimizer would put the expression there each time
+    block = block.select("*", F.explode(F.array(levels)).alias("levels"))
     block = block.withColumn("left", F.expr(f"if(n = 1, n, (n + shiftleft(1L, steps) - 1) div shiftleft(1L, steps))"))
     more = "".join(f", '{p}', if(l = 0, own[i].{p}, null)" for p in payload)
     block = block.withColumn("nodes", F.expr(

@@ -52,6 +52,21 @@ def _export_csv(spark, sf_dir: str, name: str, sep: str = ",") -> str:
     return path
 
 
+@query("csv_split_quotes", """
+    SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, role, text || chr(10) || '"' || role || '";' || chr(10) || chr(10) || turn AS body
+    FROM conversations""")
+def csv_split_quotes(spark, sf_dir):
+    """Conversations exported as ';' CSV with line breaks, quotes and
+    separators in the cells and in a header name, then read back: files whose
+    records span lines, cut split by split."""
+    talks = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    body = F.concat("text", F.lit('\n"'), "role", F.lit('";\n\n'), F.col("turn").cast("string"))
+    path = _run_dir(spark, "conversations.csv")
+    _write_export(talks.select("conv_id", "turn", F.col("role").alias("role\nof"), body.alias("body")), path, "UTF-8")
+    back = load_folder(spark, path)
+    return back.select("conv_id", "turn", F.col("`role\nof`").alias("role"), "body")
+
+
 _HW_COLS = "year_month, line, round(avg_headway_min, 4) AS avg_headway_min, source"
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from ..functions.coerce import py_number, py_strip
 from ..functions.lines import SUBTE_LINES
 from ..session import cut_lineage
+from .csv_records import Quotes, as_paths, file_path_col, head_cells, records, split_maps, split_states
 
 # Texts pandas reads as missing by default.
 NA_VALUES = (
@@ -31,14 +32,6 @@ NA_VALUES = (
 BROADCAST_FILES = 100_000
 
 
-def file_path_col() -> F.Column:
-    """The row's source file as a plain path. ``_metadata.file_path`` is a URI
-    (a space reads ``%20``); decoding it gives the path the readers and the
-    file listing use. ``+`` is protected first, as form decoding would turn it
-    into a space."""
-    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a file, folder or glob resolves (a listing, no data read)."""
     try:
@@ -51,8 +44,8 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def null_na_texts(df: DataFrame) -> DataFrame:
     """Text cells that read as missing by default become null."""
     return df.select(*[
-        F.when(F.col(f"`{f.name}`").isin(list(NA_VALUES)), F.lit(None)).otherwise(F.col(f"`{f.name}`"))
-        .alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`")
+        F.when(_named(f.name).isin(list(NA_VALUES)), F.lit(None)).otherwise(_named(f.name))
+        .alias(f.name) if isinstance(f.dataType, T.StringType) else _named(f.name)
         for f in df.schema.fields
     ])
 
@@ -86,48 +79,111 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def file_facts(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row per file: its name, its first line and whether all of its bytes
-    are UTF-8. One scan of the lines in tasks; a per-file aggregate."""
+def file_facts(spark: SparkSession, path: str | list[str], sep: str = ",") -> DataFrame:
+    """One row per file: its name, whether all of its bytes are UTF-8, its
+    first line that is not blank, and ``by_line``: whether each line is a record
+    of its own (no quoted cell goes on in the next line, every quote opens,
+    closes or is doubled in a quoted cell). One scan of the lines in tasks; a
+    per-file aggregate."""
     lines = spark.read.text(path).select(
         file_path_col().alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("i"), F.col("value").cast("binary").alias("raw"))
-    valid = F.is_valid_utf8(F.col("raw").cast("string"))
-    head = F.min_by(F.when(F.col("block") == 0, F.col("raw")), F.when(F.col("block") == 0, F.col("i")))
-    facts = lines.groupBy("file").agg(F.every(valid).alias("is_utf8"), head.alias("head"))
-    text = F.when(F.col("is_utf8"), F.decode("head", "UTF-8")).otherwise(F.decode("head", "ISO-8859-1"))
-    return facts.select("file", "is_utf8", F.regexp_replace(text, "^\ufeff|\r$", "").alias("head"))
+    text = F.col("raw").cast("string")
+    s = _in_class(sep)
+    cell = f'(?:[^"{s}]*+|"[^"]*+(?:""[^"]*+)*+")'
+    alone = ~F.contains(text, F.lit('"')) | F.decode("raw", "ISO-8859-1").rlike(f"^(?:\u00ef\u00bb\u00bf)?{cell}(?:[{s}]{cell})*+\r?$")
+    begins = (F.col("block") == 0) & (F.trim(F.translate(text, "\r\t", "  ")) != "")
+    head = F.min_by(F.when(begins, F.col("raw")), F.when(begins, F.col("i")))
+    facts = lines.groupBy("file").agg(F.every(F.is_valid_utf8(text)).alias("is_utf8"), head.alias("head"), F.every(alone).alias("by_line"))
+    first = F.when(F.col("is_utf8"), F.decode("head", "UTF-8")).otherwise(F.decode("head", "ISO-8859-1"))
+    return facts.select("file", "is_utf8", F.regexp_replace(first, "^\ufeff|\r$", "").alias("head"), "by_line")
+
 
+def _in_class(sep: str) -> str:
+    """The separator as it stands inside a pattern's brackets."""
+    return "\\" + sep if sep in "\\]^-[&" else sep
 
-def load_csv(spark: SparkSession, path: str | list[str], sep: str = ",", multi_line: bool = True) -> DataFrame:
-    """CSV files with a header line as one table of text columns, by column name.
+
+def load_csv(spark: SparkSession, path: str | list[str], sep: str = ",", multi_line: bool = True, wide: str = "error") -> DataFrame:
+    """CSV files with a header as one table of text columns, by column name.
 
     Every file is UTF-8 or, if any of its bytes (header included) are not,
-    Latin-1. Files are parsed once, as Latin-1, which keeps every byte and all
-    ASCII separators; cells of UTF-8 files are then decoded. Files may differ
-    in their headers: columns are matched by decoded name, absent ones are
-    null. Quotes in quoted cells are doubled; cells may hold line breaks.
-    ``multi_line=False`` is for large files known to have none: only then can
-    Spark split a file. The missing-value texts become null. Only the distinct
-    header lines come to the driver."""
+    Latin-1. Files may differ in their headers: columns are matched by decoded
+    name, absent ones are null; a name that a header repeats gets .1, .2 and so
+    on. Quotes in quoted cells are doubled; cells and header names may hold
+    line breaks. The missing-value texts become null; rows with fewer cells
+    than their header end in nulls. Blank lines are no rows. A quoted cell that
+    never ends raises ValueError.
+
+    ``wide``: a row with non-empty cells beyond its header raises an error when
+    it is read (``error``), or has them as an array in the column ``_extra``,
+    null in other rows (``extra``).
+
+    Files whose lines are records go to Spark's reader, parsed as Latin-1
+    (which keeps every byte) with the cells of UTF-8 files decoded; the others
+    are cut into records split by split (:mod:`.csv_records`), so a file of any
+    size is read by many tasks either way. ``multi_line=False`` takes every
+    line for a record unseen. The names of the files that are not by line (as
+    Spark's own listing has them) and the distinct headers come to the driver."""
+    if wide not in ("error", "extra"):
+        raise ValueError(f"wide must be 'error' or 'extra', not {wide!r}")
+    Quotes(sep)  # refuses separators of other than one ASCII character
     if isinstance(path, str) and not path_exists(spark, path):
         raise FileNotFoundError(f"File does not exist: {path}")
-    facts = cut_lineage(file_facts(spark, path))
-    heads = sorted(r[0] or "" for r in facts.select("head").distinct().collect())
-    if not heads:
+    facts = cut_lineage(file_facts(spark, path, sep))
+    if not multi_line:
+        facts = facts.withColumn("by_line", F.lit(True))
+    broken = {utf8: sorted(r[0] for r in facts.where(~F.col("by_line") & (F.col("is_utf8") == utf8)).select("file").collect()) for utf8 in (True, False)}
+    parts = []
+    lined = facts.where("by_line and head is not null")
+    if not lined.isEmpty():
+        paths = as_paths([r[0] for r in lined.select("file").collect()]) if any(broken.values()) else path
+        parts.append(_by_line(spark, paths, lined, sep))
+    for utf8, encoding in ((True, "utf-8"), (False, "latin-1")):
+        if broken[utf8]:
+            parts.append(_by_record(spark, broken[utf8], sep, encoding))
+    if not parts:
         raise FileNotFoundError(f"no files with a header line in {path}")
+    names = list(dict.fromkeys(n for _, columns in sorted(parts, key=lambda p: p[1]) for n in columns))
+    if wide == "extra" and "_extra" in names:
+        raise ValueError("a header has the name _extra")
+    rows, _ = parts[0]
+    for more, _ in parts[1:]:
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    extra = F.col("__extra")
+    if wide == "extra":
+        return null_na_texts(rows.select(*[_named(n) for n in names], extra.alias("_extra")))
+    # in a filter, so that no choice of columns lets such a row through
+    message = F.format_string("a row has %d cells beyond its header, the first is: %s", F.size(extra), extra[0])
+    rows = rows.where(F.when(extra.isNotNull(), F.raise_error(message).cast("boolean")).otherwise(True))
+    return null_na_texts(rows.select(*[_named(n) for n in names]))
+
+
+def _named(name: str) -> F.Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _filled(cells: F.Column) -> F.Column:
+    """The cells if any is not empty, else null."""
+    return F.when(F.exists(cells, lambda c: F.coalesce(c != "", F.lit(False))), cells)
+
+
+def _by_line(spark: SparkSession, paths: str | list[str], facts: DataFrame, sep: str) -> tuple[DataFrame, list[str]]:
+    """(rows with a column per name and __extra, names) of files whose lines are records."""
+    heads = sorted(r[0] for r in facts.select("head").distinct().collect())
     headers = {h: _unique(next(csv.reader([h], delimiter=sep), [])) for h in heads}
     width = max(1, max(len(names) for names in headers.values()))
     cells = [f"_c{i}" for i in range(width)]
-    rows = (spark.read.options(header="true", sep=sep, encoding="ISO-8859-1", escape='"', mode="PERMISSIVE",
-                               multiLine=str(multi_line).lower(), enforceSchema="true")
-            .schema(", ".join(f"{c} string" for c in cells)).csv(path))
-    facts = facts.withColumnRenamed("file", "_file")
+    # all cells are parsed (no column pruning): only so does the reader notice a row of another width
+    rows = (spark.read.options(header="true", sep=sep, encoding="ISO-8859-1", escape='"', mode="PERMISSIVE", multiLine="false",
+                               enforceSchema="true", columnPruning="false", columnNameOfCorruptRecord="__line")
+            .schema(", ".join(f"{c} string" for c in [*cells, "__line"])).csv(paths))
+    facts = facts.select(F.col("file").alias("__file"), "is_utf8", "head")
     if facts.count() <= BROADCAST_FILES:
         facts = F.broadcast(facts)
-    rows = rows.select(*cells, file_path_col().alias("_file")).join(facts, "_file")
-    rows = rows.select("head", *[
-        F.when(F.col("is_utf8"), F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")).otherwise(F.col(c)).alias(c) for c in cells])
+    rows = rows.select(*cells, "__line", file_path_col().alias("__file")).join(facts, "__file")
+    decoded = lambda c: F.when(F.col("is_utf8"), F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")).otherwise(c)
+    rows = rows.select("head", *[decoded(F.col(c)).alias(c) for c in cells], decoded(F.col("__line")).alias("__line"))
     # each named column is the cell at its place in the row's own header
     names = list(dict.fromkeys(n for h in heads for n in headers[h]))
     out = []
@@ -141,7 +197,42 @@ def load_csv(spark: SparkSession, path: str | list[str], sep: str = ",", multi_l
         else:
             value = F.coalesce(*[F.when(F.col("head").isin(hs), F.col(cells[i])) for i, hs in places.items()])
         out.append(value.alias(name))
-    return null_na_texts(rows.select(*out))
+    by_width: dict[int, list[str]] = {}
+    for h in heads:
+        by_width.setdefault(len(headers[h]), []).append(h)
+    n = F.lit(width)
+    for k, hs in by_width.items():
+        n = F.when(F.col("head").isin(hs), F.lit(k)).otherwise(n) if len(by_width) > 1 else F.lit(k)
+    s = _in_class(sep)
+    line = F.col("__line")
+    cut = F.transform(F.split(line, f'[{s}](?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda c: F.when(
+        c.startswith('"'), F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+    seps = F.length(line) - F.length(F.replace(line, F.lit(sep), F.lit("")))
+    # a row as wide as the widest header may stand under a shorter one (the reader refuses a query of __line alone, so one cell is always named)
+    least = max(1, min(by_width))
+    own = F.slice(F.array(*cells[least - 1:]), n - least + 2, width)
+    extra = F.when(line.isNull(), _filled(own)).when(seps >= n, _filled(F.slice(cut, n + 1, F.size(cut))))
+    return rows.select(*out, extra.alias("__extra")), names
+
+
+def _by_record(spark: SparkSession, files: list[str], sep: str, encoding: str) -> tuple[DataFrame, list[str]]:
+    """As :func:`_by_line`, of files whose records may span lines."""
+    states = cut_lineage(split_states(split_maps(spark, files, sep)))
+    last = states.groupBy("file").agg(F.max_by("after", "block").alias("after")).where("after").first()
+    if last is not None:
+        raise ValueError(f"a quoted cell of {last[0]} never ends")
+    rows = records(spark, files, sep, encoding, states)
+    found = {r[0]: head_cells(bytes(r[1]), sep, encoding) for r in states.where("head is not null").select("file", "head").collect()}
+    if len(found) < len(files):  # a header longer than its split
+        found = {r[0]: r[1] for r in rows.where("first").select("file", "cells").collect()}
+    headers = {f: _unique(c) for f, c in found.items()}
+    distinct = sorted(set(map(tuple, headers.values())))
+    places = spark.createDataFrame([(f, distinct.index(tuple(h)), len(h)) for f, h in headers.items()], "file string, header int, n int")
+    rows = rows.where(~F.col("first")).join(F.broadcast(places), "file")
+    names = list(dict.fromkeys(n for h in distinct for n in h))
+    value = lambda n: F.coalesce(*[F.when(F.col("header") == i, F.get("cells", F.lit(h.index(n)))) for i, h in enumerate(distinct) if n in h])
+    extra = F.when(F.size("cells") > F.col("n"), _filled(F.slice("cells", F.col("n") + 1, F.size("cells"))))
+    return rows.select(*[value(n).alias(n) for n in names], extra.alias("__extra")), names
 
 
 def _unique(names: list[str]) -> list[str]:

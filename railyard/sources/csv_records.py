@@ -33,8 +33,8 @@ BROADCAST_SPLITS = 100_000
 #: Longest cell that is read.
 CELL_BYTES = (1 << 31) - 1
 
-PIECES = "file string, block bigint, kind int, first boolean, cells array<string>, raw binary"
-HEAD, WHOLE, TAIL = 0, 1, 2
+PIECES = "file string, block bigint, start bigint, first boolean, cells array<string>, raw binary"
+MAPS = "file string, block bigint, from_outside boolean, from_inside boolean, ends_inside boolean, head binary"
 
 
 def file_path_col() -> F.Column:
@@ -126,16 +126,17 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, bytes | Non
 
 def split_maps(spark: SparkSession, names: list[str], sep: str) -> DataFrame:
     """file, block, from_outside and from_inside (whether a reader that enters
-    there ends inside a cell), head (bytes of the file's first record, in its
+    there ends inside a cell), ends_inside (whether the one that enters inside
+    meets a record's end), head (bytes of the file's first record, in its
     first split if that record ends there)."""
 
     def run(batches):
         quotes = Quotes(sep)
-        out, state, head, start = [], [False, True], None, b""
+        out, state, ended, head, start = [], [False, True], False, None, b""
         for split, text in _runs(batches):
             if text is None:
-                out.append((split["file"], split["block"], *state, head))
-                state, head, start = [False, True], None, b""
+                out.append((split["file"], split["block"], *state, ended, head))
+                state, ended, head, start = [False, True], False, None, b""
                 continue
             if split["block"] == 0 and head is None:
                 start += text
@@ -146,16 +147,20 @@ def split_maps(spark: SparkSession, names: list[str], sep: str) -> DataFrame:
                         head = start[lo:hi]
                         break
                     lo = hi
-            state = [quotes.spans(text, s)[1] for s in state]
+            ends, inside = quotes.record_ends(text, state[1])
+            ended = ended or len(ends) > 0
+            state = [inside if state[0] == state[1] else quotes.spans(text, state[0])[1], inside]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()))],
-                                             names=["file", "block", "from_outside", "from_inside", "head"])
+            kinds = (pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)],
+                                             names=["file", "block", "from_outside", "from_inside", "ends_inside", "head"])
 
-    return split_lines(spark, names).mapInArrow(run, "file string, block bigint, from_outside boolean, from_inside boolean, head binary")
+    return split_lines(spark, names).mapInArrow(run, MAPS)
 
 
 def split_states(maps: DataFrame) -> DataFrame:
-    """``maps`` with ``inside`` (the state a split starts in) and ``after`` (the one it ends in).
+    """``maps`` with ``inside`` (the state a split starts in), ``after`` (the one
+    it ends in) and ``opened`` (if it starts inside: the split in which that record began).
 
     A map that ends alike from both states sets the state; of the others, those that
     swap the states since then count."""
@@ -166,7 +171,10 @@ def split_states(maps: DataFrame) -> DataFrame:
     known = F.last(F.when(sets, F.struct(F.col("from_outside").cast("int").alias("is"), "swaps")), ignorenulls=True)
     state = (F.coalesce(known.over(order)["is"], F.lit(0)) + F.col("swaps") - F.coalesce(known.over(order)["swaps"], F.lit(0))) % 2 == 1
     rows = rows.withColumn("after", state)
-    return rows.withColumn("inside", F.coalesce(F.lag("after").over(order), F.lit(False))).drop("swaps")
+    rows = rows.withColumn("inside", F.coalesce(F.lag("after").over(order), F.lit(False)))
+    begins = F.col("after") & (~F.col("inside") | F.col("ends_inside"))  # a record that goes on in the next split
+    opened = F.last(F.when(begins, F.col("block")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("opened", F.when(F.col("inside"), opened)).drop("swaps")
 
 
 def _cells(records: list[bytes], sep: str, encoding: str) -> list[list[str]]:
@@ -181,7 +189,7 @@ def head_cells(raw: bytes, sep: str, encoding: str) -> list[str]:
 
 def _pieces(spark: SparkSession, names: list[str], sep: str, encoding: str, states: DataFrame) -> DataFrame:
     lines = split_lines(spark, names)
-    inside = states.where("inside").select("file", "block", F.lit(True).alias("inside"))
+    inside = states.where("inside").select("file", "block", "opened")
     if inside.count() <= BROADCAST_SPLITS:
         lines = lines.join(F.broadcast(inside), ["file", "block"], "left")
     else:  # lines meet their split again, in their order
@@ -190,15 +198,15 @@ def _pieces(spark: SparkSession, names: list[str], sep: str, encoding: str, stat
 
     def run(batches):
         quotes = Quotes(sep)
-        kept, inside, entered, first = [], None, False, False  # the unfinished record; the state; whether it began in an earlier split
+        kept, inside, entered, first = [], None, False, False  # the unfinished record; the state; whether that record began in an earlier split
         for split, text in _runs(batches):
             if text is None:
                 if kept:
-                    yield _rows([split], [WHOLE if entered else TAIL], [first and not entered], [None], [b"".join(kept)])
+                    yield _rows([split], [split["opened"] if entered else split["block"]], [first and not entered], [None], [b"".join(kept)])
                 kept, inside = [], None
                 continue
             if inside is None:
-                inside = entered = bool(split["inside"])
+                inside = entered = split["opened"] is not None
                 first = split["block"] == 0
             ends, inside = quotes.record_ends(text, inside)
             ends = ends.tolist()
@@ -208,19 +216,19 @@ def _pieces(spark: SparkSession, names: list[str], sep: str, encoding: str, stat
             parts = [b"".join([*kept, text[:ends[0]]]), *(text[a:b] for a, b in zip(ends, ends[1:]))]
             kept = [text[ends[-1]:]] if ends[-1] < len(text) else []
             if entered:
-                yield _rows([split], [HEAD], [False], [None], [parts.pop(0)])
+                yield _rows([split], [split["opened"]], [False], [None], [parts.pop(0)])
                 entered = False
             parts = [p for p in parts if p.strip()]
             if parts:
                 n = len(parts)
-                yield _rows([split] * n, [WHOLE] * n, [first] + [False] * (n - 1), _cells(parts, sep, encoding), [None] * n)
+                yield _rows([split] * n, [None] * n, [first] + [False] * (n - 1), _cells(parts, sep, encoding), [None] * n)
                 first = False
 
-    def _rows(splits, kinds, firsts, cells, raws):
+    def _rows(splits, starts, firsts, cells, raws):
         return pa.RecordBatch.from_arrays(
-            [pa.array([s["file"] for s in splits]), pa.array([s["block"] for s in splits], pa.int64()), pa.array(kinds, pa.int32()),
+            [pa.array([s["file"] for s in splits]), pa.array([s["block"] for s in splits], pa.int64()), pa.array(starts, pa.int64()),
              pa.array(firsts, pa.bool_()), pa.array(cells, pa.list_(pa.string())), pa.array(raws, pa.binary())],
-            names=["file", "block", "kind", "first", "cells", "raw"])
+            names=["file", "block", "start", "first", "cells", "raw"])
 
     return lines.mapInArrow(run, PIECES)
 
@@ -229,10 +237,8 @@ def records(spark: SparkSession, names: list[str], sep: str, encoding: str, stat
     """file, first (whether it is the file's first record), cells (array of texts) of every record."""
     pieces = _pieces(spark, names, sep, encoding, states)
     whole = pieces.where("cells is not null").select("file", "first", "cells")
-    # a piece without an end before it (a tail) starts a record; a split's middle or head goes on with the last one
-    order = Window.partitionBy("file").orderBy("block", "kind")
-    parts = pieces.where("raw is not null").withColumn("start", F.last(F.when(F.col("kind") == TAIL, F.col("block")), ignorenulls=True).over(order))
-    joined = parts.groupBy("file", "start").agg(F.max("first").alias("first"), F.array_sort(F.collect_list(F.struct("block", "kind", "raw"))).alias("parts"))
+    parts = pieces.where("raw is not null")
+    joined = parts.groupBy("file", "start").agg(F.max("first").alias("first"), F.array_sort(F.collect_list(F.struct("block", "raw"))).alias("parts"))
     joined = joined.select("file", "first", F.expr("aggregate(parts.raw, cast('' as binary), (a, r) -> concat(a, r))").alias("raw"))
 
     def run(batches):

@@ -90,7 +90,7 @@ def file_facts(spark: SparkSession, path: str | list[str], sep: str = ",") -> Da
         F.monotonically_increasing_id().alias("i"), F.col("value").cast("binary").alias("raw"))
     text = F.col("raw").cast("string")
     s = _in_class(sep)
-    cell = f'(?:[^"{s}]*+|"[^"]*+(?:""[^"]*+)*+")'
+    cell = f'(?:"[^"]*+(?:""[^"]*+)*+"|[^"{s}]*+)'
     alone = ~F.contains(text, F.lit('"')) | F.decode("raw", "ISO-8859-1").rlike(f"^(?:\u00ef\u00bb\u00bf)?{cell}(?:[{s}]{cell})*+\r?$")
     begins = (F.col("block") == 0) & (F.trim(F.translate(text, "\r\t", "  ")) != "")
     head = F.min_by(F.when(begins, F.col("raw")), F.when(begins, F.col("i")))

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coerce import light_names, parse_day_first, to_number
+from ..session import cut_lineage
+from . import rolling
 
 # Fixed widths in microseconds, by the names (and older names) of time units.
 _UNITS = {"D": 86_400_000_000, "h": 3_600_000_000, "H": 3_600_000_000, "min": 60_000_000, "T": 60_000_000,
@@ -81,21 +83,25 @@ def detect_anomalies(series: DataFrame, cfg: AnomalyConfig = AnomalyConfig()) ->
     """Rolling mean / population deviation over the last ``window`` rows,
     z-score, flag and direction label.
 
-    Rolling frames count rows, not days. With no station column the window
-    has no partition key and runs in one task; its input is one row per
-    bucket, so its size is bounded by the calendar, not the data volume.
-    """
+    Rolling frames count rows, not days. A station's days fit in a task (the
+    calendar bounds them); a series without stations, or of finer buckets, is
+    written once and cut into blocks that carry the rows a frame reaches back
+    to (:mod:`.rolling`), so it spreads over tasks whatever its length. Both
+    give the same frames, hence the same figures."""
     v = to_number(series, cfg.value_col).cast("double")
-    if _has_station(series, cfg):
-        w = Window.partitionBy(cfg.station_col).orderBy("date")
+    keys = [cfg.station_col] if _has_station(series, cfg) else []
+    columns = [*[F.col(c) for c in series.columns if c != cfg.value_col], v.alias(cfg.value_col)]
+    value = F.col(cfg.value_col)
+    aggs = {"_n": F.count(value), "_m": F.avg(value), "_s": F.stddev_pop(value)}
+    rows = series.select(*columns)
+    if keys and bucket_width(cfg.freq) >= _UNITS["D"]:
+        # the three frame aggregates in one select: one Window operator, one pass
+        w = Window.partitionBy(*keys).orderBy("date").rowsBetween(-(cfg.window - 1), Window.currentRow)
+        stats = rows.select("*", *[a.over(w).alias(n) for n, a in aggs.items()])
     else:
-        w = Window.orderBy("date")
-    w = w.rowsBetween(-(cfg.window - 1), Window.currentRow)
-    # the three frame aggregates in one select: one Window operator, one pass
-    stats = series.select(
-        *[F.col(c) for c in series.columns if c != cfg.value_col], v.alias(cfg.value_col),
-        F.count(v).over(w).alias("_n"), F.avg(v).over(w).alias("_m"), F.stddev_pop(v).over(w).alias("_s"),
-    )
+        rows = cut_lineage(rows)
+        date = F.unix_date("date") if dict(rows.dtypes)["date"] == "date" else F.floor(F.unix_micros(F.col("date").cast("timestamp")) / bucket_width(cfg.freq))
+        stats = rolling.framed(rolling.numbered(rows, keys, date, ["date"]), keys, cfg.window - 1, aggs)
     enough = F.col("_n") >= cfg.min_periods
     mean = F.when(enough, F.col("_m"))
     std = F.when(enough, F.nullif(F.col("_s"), F.lit(0.0)))

@@ -87,6 +87,15 @@ def anomaly_global(spark, sf_dir):
     return rounded(detect_anomalies(prepare_daily_series(view(spark, sf_dir, "turnstiles"), cfg), cfg))
 
 
+@query("anomaly_1s_global", with_views(["turnstiles_timed"], _ANOMALY_SQL.replace("CAST(fecha AS DATE)", "date_trunc('second', fecha)")
+       .format(src="turnstiles_timed", station_sel="", station_where="", partition="")))
+def anomaly_1s_global(spark, sf_dir):
+    """One series of second buckets without stations: as long as its source's time, cut into blocks."""
+    cfg = AnomalyConfig(station_col=None, freq="1s")
+    out = detect_anomalies(prepare_daily_series(view(spark, sf_dir, "turnstiles_timed"), cfg), cfg)
+    return rounded(out.withColumn("date", out.date.cast("timestamp_ntz")))
+
+
 @query("anomaly_nan", with_views(["turnstiles_nan"], """,
 t AS (SELECT fecha, linea AS estacion, CASE WHEN isnan(pax_total) THEN 0 ELSE pax_total END AS pax_total FROM turnstiles_nan)"""
        + _ANOMALY_SQL.replace(", pax_total, round", ", round(pax_total, 4) AS pax_total, round")

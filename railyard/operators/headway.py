@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.coerce import days_in_month, parse_iso_date, to_number
 from ..functions.lines import canonical_line_ah
 from ..session import cut_lineage
+from .selection import exact_median
 
 # Operating minutes per day (05:30-23:30), the median the
 # calibration aims for, and the source tags.
@@ -88,13 +89,13 @@ def calibrate(df: DataFrame, auto: bool = True, factor: float = 1.0,
     """Scale all headways so their exact median becomes ``target`` (when the
     median is positive), or by a fixed factor when ``auto`` is off.
 
-    The median is a scalar subquery over the headway rows, which number months
-    x lines, so the exact percentile buffer stays small."""
+    The headways (months x lines rows) are written once; their exact median is
+    found in bounded memory (:mod:`.selection`)."""
     hw = F.col("avg_headway_min")
     if auto:
-        med = F.median("avg_headway_min")
-        scale = df.select(F.when(med > 0, F.lit(target) / med)).scalar()
-        scaled = hw * F.coalesce(scale, F.lit(1.0))
+        df = cut_lineage(df)
+        med = exact_median(df, "avg_headway_min")
+        scaled = hw * F.lit(target / med if med is not None and med > 0 else 1.0)
     elif factor != 1.0:
         scaled = hw * F.lit(factor)
     else:
@@ -102,22 +103,19 @@ def calibrate(df: DataFrame, auto: bool = True, factor: float = 1.0,
     return df.withColumn("avg_headway_min", scaled)
 
 
-def headway_etl(monthly: DataFrame | None, daily: DataFrame | None, materialize: bool = False) -> DataFrame:
+def headway_etl(monthly: DataFrame | None, daily: DataFrame | None) -> DataFrame:
     """The ETL: monthly source when given, else daily; dedup; calibrate.
 
-    With ``materialize`` the deduplicated headways (months x lines rows) are
-    checkpointed into the shared folder before calibration, so the median
-    subquery and the scaling read them instead of the dispatch source."""
+    The deduplicated headways (months x lines rows) are checkpointed into the
+    shared folder before calibration, so that the median and the scaling read
+    them instead of the dispatch source."""
     if monthly is not None:
         out = headway_from_monthly(monthly)
     elif daily is not None:
         out = headway_from_daily(daily)
     else:
         raise ValueError("a monthly or a daily dispatch source is needed")
-    deduped = dedup_by_key(out)
-    if materialize:
-        deduped = cut_lineage(deduped)
-    return calibrate(deduped)
+    return calibrate(dedup_by_key(out))
 
 
 def out_of_range(df: DataFrame, low: float = 1.0, high: float = 20.0) -> DataFrame:

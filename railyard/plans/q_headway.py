@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..operators import headway as h
+from ..operators.selection import medians
 from ..sources.testviews import view
 from .common_sql import HEADWAY, HEADWAY_DAILY, HEADWAY_MONTHLY, dedup
 from .registry import query, rounded, sql
@@ -38,3 +39,12 @@ def headway_calibrated(spark, sf_dir):
        f"SELECT {_COLS} FROM headway WHERE avg_headway_min < 1 OR avg_headway_min > 20"))
 def headway_out_of_range(spark, sf_dir):
     return rounded(h.out_of_range(h.headway_etl(view(spark, sf_dir, "dispatch_monthly"), None)))
+
+
+@query("median_large", """
+    SELECT 'l_extendedprice' AS column_name, round(median(l_extendedprice), 4) AS median FROM lineitem
+    UNION ALL SELECT 'l_quantity', round(CAST(median(l_quantity) AS DOUBLE), 4) FROM lineitem""")
+def median_large(spark, sf_dir):
+    """Exact medians of a fact table's columns, one of few and one of many values."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return rounded(medians(lines, ["l_extendedprice", "l_quantity"]))

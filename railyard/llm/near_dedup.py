@@ -11,19 +11,21 @@
    agree: probability 1.6e-5; 0.85: 8e-7.
 3. Inside a bucket, links are looked for star by star. First every class is
    paired with one pivot, that first class of its buckets with which it shares
-   most tables; while far too many pairs are left, round t pairs every later
-   class of a bucket with the t-th one, unless the two are already in one
-   component or their sizes rule the similarity out. Pairs are verified on the
-   full shingle sets and verified links merge components. Once the pairs left
-   between components are in proportion to the buckets' rows (or a round found
-   no link), tasks compare them, first giving each class its likeliest partner
-   only, then all that is left between components, by bitmaps of ``BITS`` bits: bits of one set that the other lacks are
-   shingles it lacks, which bounds the similarity from above. Only pairs the
-   bound leaves are emitted and verified on the full sets. No bucket is
-   capped: every pair of a bucket is verified, ruled out by an exact bound, or
-   already connected. The bound is weak for sets much larger than ``BITS``: a
-   bucket of long, half-alike texts without links emits most of its pairs, and
-   one task compares its rows outside of the largest component.
+   most tables; while far too many pairs are left, a round pairs the classes of
+   a bucket with another pivot, unless the two are already in one component or
+   their sizes rule the similarity out. Pairs are verified on the full shingle
+   sets and verified links merge components. Once the pairs left between
+   components are in proportion to the buckets' rows (or a round found no
+   link), tasks compare them, first giving each class its likeliest partner
+   only, then all that is left between components. Two classes are compared in
+   the first table they share only, by bitmaps as wide as their sets are large
+   (``BITS_A_SHINGLE`` bits a shingle): bits of one set that the other lacks are
+   shingles it lacks, which bounds the similarity from above, closely enough
+   that little but links and pairs just below the threshold passes. These are
+   verified on the full sets. No bucket is capped: every pair of a bucket is
+   verified, ruled out by an exact bound, or already connected. A bucket's
+   largest component and the rows outside of it are dealt into chunks that meet
+   in pairs, so no task holds either whole.
 """
 
 from __future__ import annotations
@@ -34,18 +36,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import row_ids, stored
 from .components import connected_components
+from .groups import whole_groups
 from .textblocks import NOT_SPACE, blocks, distinct_by_row, mix, shingles, word_hashes, word_spans
 
 COLLECTIONS, PER_COLLECTION = 14, 2
+#: The low bits of a key are its table's number.
+TABLE = 127
 #: Once the pairs left over are at most so many times the buckets' rows, all are compared by bitmaps.
 REST_PAIRS_PER_ROW = 256
-BITS = 2048
-#: Rows of a bucket's largest component that a task holds at once.
+BITS_A_SHINGLE, LEAST_BITS = 8, 512
+#: Rows of a bucket's largest component, and outside of it, that a task holds at once.
 CHUNK = 4096
 #: Text rows of the candidates are picked by a broadcast list up to so many ids (8 bytes each), else by a shuffle join.
 BROADCAST_IDS = 1_000_000
@@ -113,7 +118,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = np.zeros((part.num_rows, COLLECTIONS), np.uint64)
             for r in range(PER_COLLECTION):
                 own = mix(own ^ sig[:, :, r].astype(np.uint64)) + np.uint64(r + 1)
-            key = mix(mix(own[:, left] + salt) ^ own[:, right])
+            key = mix(mix(own[:, left] + salt) ^ own[:, right]) & ~np.uint64(TABLE) | np.arange(len(pairs), dtype=np.uint64)
             repeat = lambda name, n=len(pairs): pa.array(np.repeat(part.column(name).to_numpy(), n))
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), repeat("node"), repeat("n")], names=["key", "node", "n"])
 
@@ -165,69 +170,111 @@ def _sizes_fit(x: str, y: str, links: Links):
     return F.least(x, y) * 100 >= F.greatest(x, y) * links.percent
 
 
+def _bitmaps(values: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """A bitmap of each set: a power of two of bits, at least ``BITS_A_SHINGLE`` a shingle."""
+    out = []
+    for lo, hi in zip(at[:-1], at[1:]):
+        width = max(LEAST_BITS, 1 << int(BITS_A_SHINGLE * int(hi - lo) - 1).bit_length())
+        marks = np.zeros(width, bool)
+        marks[(values[lo:hi] >> np.uint64(20)) % np.uint64(width)] = True
+        out.append(np.packbits(marks).tobytes())
+    return out
+
+
+def _folded(bits: bytes, width: int) -> np.ndarray:
+    """A bitmap at a narrower width: shingles keep their place modulo the width."""
+    words = np.frombuffer(bits, np.uint64)
+    return np.bitwise_or.reduce(words.reshape(-1, width // 64), axis=0)
+
+
+def _first_table(sig: np.ndarray, i: int, j: np.ndarray) -> np.ndarray:
+    """The first table that row i shares with each of the rows j: that of the first two collections that agree (else -1)."""
+    agree = (sig[j] == sig[i]).all(2)
+    first = agree.argmax(1)
+    agree[np.arange(len(j)), first] = False
+    second = agree.argmax(1)
+    both = agree[np.arange(len(j)), second]
+    return np.where(both, first * COLLECTIONS - first * (first + 1) // 2 + second - first - 1, -1)
+
+
+def _dealt(rows: DataFrame, inside: DataFrame) -> DataFrame:
+    """``rows`` with inner (whether of the bucket's largest component), cell,
+    own (the row's chunk) and outer (whether rows outside that component are
+    compared in this cell: those of different chunks, or of one in its own cell)."""
+    top = inside.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.max("c").alias("c"), F.sum("c").alias("all"))
+    zero = F.lit(0).cast("long")
+    top = top.select("key", "top", F.ceil(F.col("c") / CHUNK).alias("ni"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("c")) / CHUNK)).alias("no"))
+    rows = rows.join(top, "key").withColumn("inner", F.col("comp") == F.col("top"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("inner"), F.col("ni")).otherwise(F.col("no"))))
+    ni, no, own = F.col("ni"), F.col("no"), F.col("own")
+    # cells of an outer and an inner chunk come first, then those of two outer chunks
+    with_outer = F.transform(F.sequence(zero, no - 1), lambda a: F.struct((a * ni + own).alias("cell"), F.lit(False).alias("outer")))
+    with_inner = F.transform(F.sequence(zero, ni - 1), lambda b: F.struct((own * ni + b).alias("cell"), ((no == 1) & (b == 0)).alias("outer")))
+    outer = F.when(no == 1, F.array().cast("array<struct<cell:bigint,outer:boolean>>")).otherwise(F.transform(F.sequence(zero, no - 1), lambda a: F.struct(
+        (ni * no + F.least(a, own) * no + F.greatest(a, own)).alias("cell"), (F.lit(True)).alias("outer"))))
+    cells = F.when(F.col("inner"), with_outer).otherwise(F.concat(with_inner, outer))
+    rows = rows.select("key", "node", "n", "comp", "inner", "own", "ni", "no", F.inline(cells))
+    at = F.col("cell") - ni * no
+    same = F.col("outer") & (no > 1) & (at == own * no + own)
+    return rows.select("key", "cell", "node", "n", "comp", "inner", "own", "outer", (same | (no == 1)).alias("same"))
+
+
 def _rest_pairs(rows: DataFrame, inside: DataFrame, sets: DataFrame, links: Links, best: bool) -> DataFrame:
     """(a, b) between different components of a bucket that sizes and bitmaps
-    leave; with ``best`` only the likeliest partner of each class. A bucket's largest component is dealt into chunks, and the rows
-    outside of it go to each chunk: no task holds the component whole."""
-    top = inside.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.max("c").alias("c"))
-    chunks = F.ceil(F.col("c") / CHUNK).cast("int")
-    inner = F.col("comp") == F.col("top")
-    dealt = rows.join(top, "key").withColumn("inner", inner).withColumn("chunk", F.explode(
-        F.when(inner, F.array(F.pmod(F.hash("node"), chunks))).otherwise(F.sequence(F.lit(0), chunks - 1))))
-    dealt = dealt.join(sets.select("node", "bits"), "node").select("key", "chunk", "node", "n", "comp", "inner", "bits")
+    leave, each pair from the first table the two share; with ``best`` only the
+    likeliest partner of each class."""
+    dealt = _dealt(rows, inside).join(sets.select("node", "bits", "sig"), "node")
+    dealt = dealt.select("key", "cell", "node", "n", "comp", "inner", "own", "outer", "same", "bits", "sig")
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    def pairs_of(node, n, comp, inner, first, bits):
+    def pairs_of(table, node, n, comp, inner, own, outer, same, bits, sig):
         order = np.argsort(n, kind="stable")
-        node, n, comp, inner, bits = node[order], n[order], comp[order], inner[order], bits[order]
+        node, n, comp, inner, own, sig = node[order], n[order], comp[order], inner[order], own[order], sig[order]
+        bits = [bits[k] for k in order]
         stop = np.searchsorted(n, n * 100 // links.percent, "right")
+        width = np.array([8 * len(b) for b in bits])
+        maps, first = np.zeros((0, 0), np.uint64), 0  # the bitmaps of rows first, first + 1, ... at row i's width, which no larger set's is below
         for i in range(len(n) - 1):
             j = np.arange(i + 1, stop[i])
             j = j[(comp[j] != comp[i]) & ~(inner[j] & inner[i])]
-            if not first:  # pairs of outer rows belong to the first chunk
-                j = j[inner[j] | inner[i]]
+            if not (inner[i] or outer):
+                j = j[inner[j]]
+            elif not inner[i] and not same:
+                j = j[inner[j] | (own[j] != own[i])]
             if len(j):
-                less = np.bitwise_count(bits[i] & ~bits[j]).sum(1, dtype=np.int64)
-                more = np.bitwise_count(bits[j] & ~bits[i]).sum(1, dtype=np.int64)
-                both = np.minimum(n[i] - less, n[j] - more)
-                fits = 100 * both >= links.percent * (n[i] + n[j] - both)
-                if best and fits.any():
-                    fits = np.arange(len(j)) == np.argmax(both / (n[i] + n[j] - both))
-                j = j[fits]
-                if len(j):
-                    yield np.full(len(j), node[i]), node[j]
+                j = j[_first_table(sig, i, j) == table]
+            if not len(j):
+                continue
+            if maps.shape[1] * 64 != width[i]:
+                first, last = i, stop[np.searchsorted(width, width[i], "right") - 1]
+                maps = np.stack([_folded(b, width[i]) for b in bits[first:last]])
+            mine, theirs = maps[i - first], maps[j - first]
+            less = np.bitwise_count(mine & ~theirs).sum(1, dtype=np.int64)
+            more = np.bitwise_count(theirs & ~mine).sum(1, dtype=np.int64)
+            both = np.minimum(n[i] - less, n[j] - more)
+            fits = 100 * both >= links.percent * (n[i] + n[j] - both)
+            if best and fits.any():
+                fits = np.arange(len(j)) == np.argmax(both / (n[i] + n[j] - both))
+            j = j[fits]
+            if len(j):
+                yield np.full(len(j), node[i]), node[j]
 
     def compare(batches):
-        kept: pa.Table | None = None
-        for batch in _then_none(batches):
-            table = None if batch is None else pa.Table.from_batches([batch])
-            have = kept if table is None else table if kept is None else pa.concat_tables([kept, table])
-            if have is None or not have.num_rows:
-                continue
-            key, chunk = (have.column(c).to_numpy() for c in ("key", "chunk"))
-            cut = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])) + 1, [len(key)]])
-            done = len(cut) - (1 if batch is None else 2)  # the last bucket may go on in the next batch
-            kept = have.slice(cut[done])
-            if not done:
-                continue
-            have = have.slice(0, cut[done]).combine_chunks()
-            node, n, comp = (have.column(c).to_numpy() for c in ("node", "n", "comp"))
-            inner = have.column("inner").to_numpy(zero_copy_only=False)
-            bits = np.frombuffer(b"".join(have.column("bits").to_pylist()), np.uint64).reshape(len(node), BITS // 64)
+        for table, cut in whole_groups(batches, ["key", "cell"]):
+            key, node, n, comp, own = (table.column(c).to_numpy() for c in ("key", "node", "n", "comp", "own"))
+            inner, outer, same = (table.column(c).to_numpy() for c in ("inner", "outer", "same"))
+            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(node), COLLECTIONS, PER_COLLECTION)
+            bits = table.column("bits").to_pylist()
             out = []
-            for lo, hi in zip(cut[:done], cut[1:done + 1]):
-                out += pairs_of(node[lo:hi], n[lo:hi], comp[lo:hi], inner[lo:hi], chunk[lo] == 0, bits[lo:hi])
+            for lo, hi in zip(cut[:-1], cut[1:]):
+                if hi - lo > 1:
+                    out += pairs_of(int(key[lo]) & TABLE, node[lo:hi], n[lo:hi], comp[lo:hi], inner[lo:hi], own[lo:hi],
+                                    outer[lo:hi].any(), same[lo:hi].any(), bits[lo:hi], sig[lo:hi])
             if out:
                 a, b = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
-                pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
-
-    return dealt.repartition(parts, "key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(compare, "a bigint, b bigint")
-
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-def _then_none(batches):
-    yield from batches
-    yield None
+    return dealt.repartition(parts, "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(compare, "a bigint, b bigint")
 
 
 def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -247,7 +294,6 @@ def _unite(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 
 def _components(buckets: DataFrame, sets_of, links: Links) -> DataFrame | None:
     """Components of the classes that share a bucket with another one."""
-    by_node = Window.partitionBy("key").orderBy("node")
     labels = tested = None
     turn, linked, best = 0, True, True
     while True:
@@ -264,13 +310,16 @@ def _components(buckets: DataFrame, sets_of, links: Links) -> DataFrame | None:
             pairs = _rest_pairs(rows, inside, sets_of(), links, best)
             best = False
         else:
-            pivot = F.nth_value(F.struct("node", "n", "comp"), max(1, turn - 1)).over(by_node)
-            pairs = rows.withColumn("p", pivot).where("p.node < node").select(
+            # the first class of each bucket; later another one, by a hash that changes with the round
+            first = F.col("node") if turn == 1 else F.xxhash64("node", F.lit(turn))
+            pivots = rows.groupBy("key").agg(F.min(F.struct(first.alias("by"), "node", "n", "comp")).alias("p"))
+            pairs = rows.join(pivots, "key").where("p.node <> node").select(
                 F.col("p.node").alias("a"), F.col("p.n").alias("n"), F.col("p.comp").alias("comp"),
                 F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            pairs = pairs.where((F.col("comp") != F.col("cb")) & _sizes_fit("n", "nb", links)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            pairs = pairs.where((F.col("comp") != F.col("cb")) & _sizes_fit("n", "nb", links)).select("a", "b")
             if turn == 1:  # one pair a class: most copies are united by these
-                pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c")).groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
+                pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c")).groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -285,6 +334,11 @@ def _components(buckets: DataFrame, sets_of, links: Links) -> DataFrame | None:
             return labels
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """Stored rows, to be broadcast if they are counted to be few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", links: Links = Links()) -> DataFrame:
     """One row per row of ``docs``: uid (monotonically_increasing_id of the
     input's rows), id, n_shingles (long), component_id (the smallest id
@@ -308,7 +362,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def sets_of() -> DataFrame:
         """Full sets of the classes that share a bucket, one text each."""
         if not made:
-            wanted = stored(classes.select("node", "uid").join(buckets.select("node").distinct(), "node"), "wanted")
+            wanted = stored(classes.select("node", "uid", "sig").join(buckets.select("node").distinct(), "node"), "wanted")
             if wanted.count() <= BROADCAST_IDS:
                 picked = rows.join(F.broadcast(wanted), "uid")
             else:
@@ -316,14 +370,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
             def full(batches):
                 for part, values, at in _sets(batches, links):
-                    n = part.num_rows
-                    marks = np.zeros((n, BITS), bool)
-                    marks[np.repeat(np.arange(n), np.diff(at)), (values >> np.uint64(20)) % np.uint64(BITS)] = True
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("node"), pa.array([values[at[i]:at[i + 1]].tobytes() for i in range(n)], pa.binary()),
-                         pa.array([x.tobytes() for x in np.packbits(marks, axis=1)], pa.binary())], names=["node", "values", "bits"])
+                        [part.column("node"), part.column("sig"), pa.array([values[at[i]:at[i + 1]].tobytes() for i in range(part.num_rows)], pa.binary()),
+                         pa.array(_bitmaps(values, at), pa.binary())], names=["node", "sig", "values", "bits"])
 
-            made.append(stored(picked.select("node", "text").mapInArrow(full, "node bigint, values binary, bits binary"), "sets"))
+            made.append(stored(picked.select("node", "sig", "text").mapInArrow(full, "node bigint, sig binary, values binary, bits binary"), "sets"))
         return made[0]
 
     labels = _components(buckets, sets_of, links)
@@ -331,10 +382,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if labels is None:
         rows = rows.withColumn("component", F.col("node"))
     else:
-        rows = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        rows = rows.join(_small(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
     order = F.struct(F.col("id").isNull().alias("absent"), "id", "uid")
-    best = rows.where("n > 0").groupBy("component").agg(F.min(order).alias("best"))
-    out = rows.join(best, "component", "left")
+    best = rows.where("n > 0").groupBy("component").agg(F.min(order).alias("best"), F.count("*").alias("members")).where("members > 1")
+    out = rows.join(_small(stored(best.select("component", "best"), "best")), "component", "left")
+    named = F.col("best").isNotNull()
     return out.select(
-        "uid", "id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("best.id")).otherwise(F.col("id")).alias("component_id"),
-        ((F.col("n") == 0) | (F.col("best.uid") == F.col("uid"))).alias("first")).withColumnRenamed("id", id_col)
+        "uid", "id", F.col("n").alias("n_shingles"), F.when(named, F.col("best.id")).otherwise(F.col("id")).alias("component_id"),
+        F.when(named, F.col("best.uid") == F.col("uid")).otherwise(F.lit(True)).alias("first")).withColumnRenamed("id", id_col)

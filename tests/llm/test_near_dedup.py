@@ -111,3 +111,39 @@ def test_buckets_stream_over_batches():
             parts.append(rows.slice(at, n))
             at += n
         assert [x for b in near_dedup._shared(iter(parts)) for x in b.column("node").to_pylist()] == [1, 2, 3, 5, 6]
+
+
+def test_half_alike_long_texts_give_out_few_pairs(stored_docs, monkeypatch):
+    """Texts of similarity 0.6 share buckets, but their pairs do not leave the tasks."""
+    rng = random.Random(6)
+    common = [f"c{rng.randrange(10 ** 6)}" for _ in range(2250)]
+    rows = [(i, " ".join(common + [f"u{i}x{k}" for k in range(750)])) for i in range(400)]
+    given = []
+    plain = near_dedup._rest_pairs
+
+    def counted(*args):
+        out = plain(*args)
+        given.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "_rest_pairs", counted)
+    got = near_dedup.near_duplicates(stored_docs(rows, files=3)).collect()
+    assert all(r.component_id == r.doc_id and r.first for r in got) and len(got) == 400
+    assert given and sum(given) < 10 * len(rows)
+
+
+def test_first_shared_table_and_folded_bitmaps():
+    rng = np.random.RandomState(3)
+    sig = rng.randint(0, 2, (50, near_dedup.COLLECTIONS, near_dedup.PER_COLLECTION)).astype(np.uint32)
+    tables = [(x, y) for x in range(near_dedup.COLLECTIONS) for y in range(x + 1, near_dedup.COLLECTIONS)]
+    for i in range(50):
+        got = near_dedup._first_table(sig, i, np.arange(50))
+        for j in range(50):
+            agree = (sig[i] == sig[j]).all(1)
+            assert got[j] == next((t for t, (x, y) in enumerate(tables) if agree[x] and agree[y]), -1)
+    values = np.sort(rng.randint(0, 1 << 62, 3000).astype(np.uint64))
+    wide, = near_dedup._bitmaps(values, np.array([0, 3000]))
+    narrow = near_dedup._folded(wide, 1024)
+    marks = np.zeros(1024, bool)
+    marks[(values >> np.uint64(20)) % np.uint64(1024)] = True
+    assert narrow.tobytes() == np.packbits(marks).tobytes()

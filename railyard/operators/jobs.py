@@ -8,6 +8,7 @@ folder) and read back, so a lost executor never recomputes the whole input.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.coerce import light_names, month_start, parse_day_first, parse_iso_date, to_number
 from ..functions.lines import ALL_LINES, SUBTE_LINES, normalize_line
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_path
 from ..sources import files, sinks
 from . import forecast as fc
 from . import headway as hw
@@ -29,14 +30,22 @@ def run_quality_pipeline(spark: SparkSession, raw_path: str, processed_dir: str,
                          cfg: q.DataQualityConfig) -> DataFrame:
     """Load CSV, clean, save (Parquet + CSV), check and summarise.
 
-    The checks read the saved Parquet, not the CSV plan: the clean data is
-    materialised once and every later action starts from it."""
+    The CSV is parsed once, into a Parquet copy of its texts; the counts that
+    decide the columns' types are observed on the way. The clean rows are
+    written once, and row, null and range counts and z-score bounds are observed
+    there too. Only distinct counts (allowed sets, keys) read the saved table."""
+    text = files.load_csv(spark, raw_path)
+    names = text.columns
+    text = text.toDF(*[f"c{i}" for i in range(len(names))])  # header names may be no names for Parquet
+    copy = shared_path(spark, "raw", f"{cfg.name}_{uuid.uuid4().hex}")
+    counts = q.observed_save(text, lambda df: df.write.parquet(copy), files.type_counts(text))
     # numbers become numeric columns, as a CSV reader with type inference gives
-    raw = files.infer_types(files.load_csv(spark, raw_path))
+    raw = files.typed(spark.read.schema(text.schema).parquet(copy), counts).toDF(*names)
     clean = q.basic_cleaning(raw)
-    out = sinks.save_dataset(clean, processed_dir, cfg.name)
-    saved = spark.read.parquet(out["parquet"])
-    return q.quality_result(raw, saved, cfg)
+    out: dict[str, str] = {}
+    measures = q.Measures(clean, cfg, cfg.numeric_columns)
+    seen = q.observed_save(clean, lambda df: out.update(sinks.save_dataset(df, processed_dir, cfg.name)), measures.plain)
+    return q.quality_result(counts["rows"], spark.read.parquet(out["parquet"]), cfg, observed=seen)
 
 
 def ridership_from_turnstiles(df: DataFrame, date_col: str = "fecha", line_col: str = "linea",

@@ -1,9 +1,11 @@
 """Data-quality rules: cleaning, schema / null / range / allowed-set /
 composite-key checks, global z-score anomalies and the result record.
 
-Null counts, the row count and range counts fold into a single aggregate
-scan; the allowed-set listing and each composite key need one shuffle each
-(both are partial aggregates, so a hot key is combined map-side).
+All checks of a configuration are one aggregate, hence one scan
+(:class:`Measures`): row, null and range counts and the bounds of z-scores as
+plain aggregates, values outside allowed sets and composite keys as distinct
+counts, which Spark expands and combines before it shuffles. The plain part
+can also be observed while a table is written and then costs no scan.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,44 +64,83 @@ def column_issues(df: DataFrame, cfg: DataQualityConfig) -> list[str]:
     return out
 
 
+class Measures:
+    """The aggregates that the checks of ``cfg`` need over ``df``, by name."""
+
+    def __init__(self, df: DataFrame, cfg: DataQualityConfig, numeric: list[str] | None = None):
+        self.plain: dict[str, F.Column] = {"rows": F.count(F.lit(1))}
+        self.distinct: dict[str, F.Column] = {}
+        #: (check, column, name of the measure; None for an absent column)
+        self.counts: list[tuple[str, str | None, str | None]] = [("rows", None, "rows")]
+        for i, col in enumerate(cfg.non_null_columns):
+            if col in df.columns:
+                self.plain[f"null{i}"] = F.count_if(_is_missing(df, col))
+            self.counts.append(("nulls", col, f"null{i}") if col in df.columns else ("missing", col, None))
+        for i, (col, bounds) in enumerate(cfg.value_ranges.items()):
+            if col not in df.columns:
+                continue
+            num = to_number(df, col)  # NaN and text that is not a number compares as null, never out of range
+            for check, bound, beyond in zip(("below_min", "above_max"), bounds, (num.__lt__, num.__gt__)):
+                if bound is not None:
+                    self.plain[f"{check}{i}"] = F.count_if(F.coalesce(beyond(F.lit(bound)), F.lit(False)))
+                    self.counts.append((check, col, f"{check}{i}"))
+        #: (column, name); the number of distinct values outside its allowed set
+        self.allowed = []
+        for i, (col, bad) in enumerate(_outside(df, cfg)):
+            self.distinct[f"allowed{i}"] = F.count_distinct(F.when(bad, F.struct(_col(col).cast("string"))))
+            self.allowed.append((col, f"allowed{i}"))
+        #: (key columns, name); the number of distinct keys (nulls equal each other)
+        self.keys = []
+        for i, key in enumerate(k for k in cfg.unique_keys if all(c in df.columns for c in k)):
+            self.distinct[f"key{i}"] = F.count_distinct(F.struct(*[_col(c) for c in key]))
+            self.keys.append((key, f"key{i}"))
+        #: (column, name) of the numeric columns' mean, deviation, least and largest value
+        self.spread = []
+        for i, col in enumerate(c for c in (numeric or []) if c in df.columns):
+            num = to_number(df, col).cast("double")
+            for stat, agg in (("mean", F.avg), ("dev", F.stddev_samp), ("min", F.min), ("max", F.max)):
+                self.plain[f"{stat}{i}"] = agg(num)
+            self.spread.append((col, str(i)))
+
+    def row(self, df: DataFrame) -> DataFrame:
+        """All measures as one row of one scan."""
+        return df.agg(*[agg.alias(name) for name, agg in {**self.plain, **self.distinct}.items()])
+
+    def observed(self, df: DataFrame, plain: dict[str, Any]) -> DataFrame:
+        """The row, with the plain measures as they were observed; ``df`` is read only for distinct counts."""
+        known = [F.lit(v).cast("double" if isinstance(v, float) else "long" if isinstance(v, int) else "double").alias(k) for k, v in plain.items()]
+        if self.distinct:
+            return df.agg(*[agg.alias(name) for name, agg in self.distinct.items()]).select("*", *known)
+        return df.sparkSession.range(1).select(*known)
+
+    def anomalous(self, z_threshold: float) -> F.Column:
+        """The numeric columns with a value ``z_threshold`` sample deviations from
+        the mean: the least or the largest value is one, if any is."""
+        hits = []
+        for col, i in self.spread:
+            mean, dev = F.col(f"mean{i}"), F.col(f"dev{i}")
+            far = F.greatest((F.col(f"max{i}") - mean) / dev, (mean - F.col(f"min{i}")) / dev)
+            hits.append(F.when(dev.isNotNull() & (dev != 0) & ~F.isnan(dev) & F.coalesce(far >= z_threshold, F.lit(False)), F.lit(col)))
+        return F.array_sort(F.filter(F.array(*hits), lambda c: c.isNotNull())) if hits else F.array().cast("array<string>")
+
+
 def scan_counts(df: DataFrame, cfg: DataQualityConfig) -> DataFrame:
     """Row count, null counts of the non-null columns and out-of-range counts,
     all from one aggregate; returned long as (check, column_name, n). An
     absent non-null column gives a ``missing`` row with null n."""
-    aggs = [F.count(F.lit(1)).alias("c0")]
-    rows = [("rows", None, "c0")]
-    for i, col in enumerate(cfg.non_null_columns):
-        if col in df.columns:
-            aggs.append(F.count_if(_is_missing(df, col)).alias(f"n{i}"))
-            rows.append(("nulls", col, f"n{i}"))
-        else:
-            rows.append(("missing", col, None))
-    for i, (col, (lo, hi)) in enumerate(cfg.value_ranges.items()):
-        if col not in df.columns:
-            continue
-        num = to_number(df, col)  # NaN and text that is not a number compares as null, never out of range
-        if lo is not None:
-            aggs.append(F.count_if(F.coalesce(num < F.lit(lo), F.lit(False))).alias(f"lo{i}"))
-            rows.append(("below_min", col, f"lo{i}"))
-        if hi is not None:
-            aggs.append(F.count_if(F.coalesce(num > F.lit(hi), F.lit(False))).alias(f"hi{i}"))
-            rows.append(("above_max", col, f"hi{i}"))
-    one = df.agg(*aggs)
-    entries = [
-        F.struct(
-            F.lit(check).alias("check"),
-            F.lit(col).cast("string").alias("column_name"),
-            (F.col(ref) if ref else F.lit(None)).cast("long").alias("n"),
-        )
-        for check, col, ref in rows
-    ]
-    return one.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    m = Measures(df, cfg)
+    one = df.agg(*[agg.alias(name) for name, agg in m.plain.items()])
+    return one.select(F.inline(_counts(m)))
 
 
-def allowed_violations(df: DataFrame, cfg: DataQualityConfig) -> DataFrame:
-    """Distinct values outside each allowed set; null counts as outside.
-    Absent columns are skipped. Long form (column_name, bad_value)."""
-    found = []
+def _counts(m: Measures) -> F.Column:
+    return F.array(*[F.struct(F.lit(check).alias("check"), F.lit(col).cast("string").alias("column_name"),
+                              (F.col(name) if name else F.lit(None)).cast("long").alias("n")) for check, col, name in m.counts])
+
+
+def _outside(df: DataFrame, cfg: DataQualityConfig) -> list[tuple[str, F.Column]]:
+    """(column, whether its value is outside the allowed set) of the present columns; null is outside."""
+    out = []
     for col, allowed in cfg.allowed_values.items():
         if col not in df.columns:
             continue
@@ -113,8 +154,14 @@ def allowed_violations(df: DataFrame, cfg: DataQualityConfig) -> DataFrame:
             vals = [v for v in allowed if isinstance(v, (int, float)) and not isinstance(v, bool)]
         else:
             vals = list(allowed)
-        ok = F.coalesce(_col(col).isin(vals), F.lit(False)) if vals else F.lit(False)
-        found.append(F.when(~ok, F.struct(F.lit(col).alias("column_name"), _col(col).cast("string").alias("bad_value"))))
+        out.append((col, ~(F.coalesce(_col(col).isin(vals), F.lit(False)) if vals else F.lit(False))))
+    return out
+
+
+def allowed_violations(df: DataFrame, cfg: DataQualityConfig) -> DataFrame:
+    """Distinct values outside each allowed set; null counts as outside.
+    Absent columns are skipped. Long form (column_name, bad_value)."""
+    found = [F.when(bad, F.struct(F.lit(col).alias("column_name"), _col(col).cast("string").alias("bad_value"))) for col, bad in _outside(df, cfg)]
     if not found:
         return df.sparkSession.createDataFrame([], "column_name string, bad_value string")
     # one scan for all columns: each row's bad values become rows, then distinct ones
@@ -124,22 +171,14 @@ def allowed_violations(df: DataFrame, cfg: DataQualityConfig) -> DataFrame:
 
 def duplicate_keys(df: DataFrame, cfg: DataQualityConfig) -> DataFrame:
     """Rows beyond the first for each composite key (nulls equal each other).
-    Keys with an absent column are skipped. (key_columns, n_duplicated)."""
-    parts = []
-    for key in cfg.unique_keys:
-        if not all(k in df.columns for k in key):
-            continue
-        g = df.groupBy(*[_col(k) for k in key]).agg(F.count(F.lit(1)).alias("n"))
-        parts.append(g.agg(
-            F.lit(",".join(key)).alias("key_columns"),
-            F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("n_duplicated"),
-        ))
-    if not parts:
+    Keys with an absent column are skipped. (key_columns, n_duplicated).
+    One scan for all keys: each row is expanded to its keys and these are
+    combined in the tasks before they are shuffled."""
+    m = Measures(df, cfg)
+    if not m.keys:
         return df.sparkSession.createDataFrame([], "key_columns string, n_duplicated long")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    one = df.agg(F.count(F.lit(1)).alias("rows"), *[m.distinct[name].alias(name) for _, name in m.keys])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(",".join(key)).alias("key_columns"), (F.col("rows") - F.col(name)).alias("n_duplicated")) for key, name in m.keys])))
 
 
 def numeric_anomalies(df: DataFrame, numeric_columns: list[str] | None = None,
@@ -186,83 +225,74 @@ def _py_list(values: list[str]) -> str:
     return "[" + ", ".join(repr(v) for v in values) + "]"
 
 
-def issues(df: DataFrame, cfg: DataQualityConfig) -> DataFrame:
-    """Human-readable issues in check order, one row each: (seq, issue)."""
-    spark = df.sparkSession
-    fixed = [(i, msg) for i, msg in enumerate(column_issues(df, cfg))]
-    parts = [spark.createDataFrame(fixed, "seq int, issue string")] if fixed else []
-    counts = scan_counts(df, cfg)
-    null_pos = {c: i for i, c in enumerate(cfg.non_null_columns)}
-    range_pos = {c: i for i, c in enumerate(cfg.value_ranges)}
-    lo = {c: r[0] for c, r in cfg.value_ranges.items()}
-    hi = {c: r[1] for c, r in cfg.value_ranges.items()}
-    lo_map = F.create_map(*[x for c in lo for x in (F.lit(c), F.lit(str(lo[c])))]) if lo else None
-    hi_map = F.create_map(*[x for c in hi for x in (F.lit(c), F.lit(str(hi[c])))]) if hi else None
-    pos_null = F.create_map(*[x for c, i in null_pos.items() for x in (F.lit(c), F.lit(i))]) if null_pos else None
-    pos_rng = F.create_map(*[x for c, i in range_pos.items() for x in (F.lit(c), F.lit(i))]) if range_pos else None
-    chk, col, n = F.col("check"), F.col("column_name"), F.col("n")
+def _issue_list(df: DataFrame, cfg: DataQualityConfig, m: Measures) -> F.Column:
+    """array<struct<seq, issue>> in check order, null entries where a check found nothing."""
+    def issue(seq: int, found: F.Column | bool, text: F.Column | str) -> F.Column:
+        entry = F.struct(F.lit(seq).cast("int").alias("seq"), (F.lit(text) if isinstance(text, str) else text).alias("issue"))
+        return F.when(F.lit(found) if isinstance(found, bool) else found, entry)
+
     # The issue texts, here and below (the allowed-set text has a count instead of a list).
-    msg = (
-        F.when(chk == "missing", F.format_string("Non-null column '%s' is missing from dataframe", col))
-        .when((chk == "nulls") & (n > 0), F.format_string("Column '%s' has %d null values", col, n))
-        .when((chk == "rows") & (n < cfg.min_rows),
-              F.format_string("Dataset has %d rows, less than required minimum %d", n, F.lit(cfg.min_rows)))
-    )
-    seq = F.when(chk.isin("missing", "nulls"), F.lit(100) + (pos_null[col] if pos_null is not None else F.lit(0)))
-    seq = seq.when(chk == "rows", F.lit(200))
-    if lo_map is not None:
-        msg = msg.when((chk == "below_min") & (n > 0),
-                       F.format_string("Column '%s' has values below minimum %s", col, lo_map[col]))
-        msg = msg.when((chk == "above_max") & (n > 0),
-                       F.format_string("Column '%s' has values above maximum %s", col, hi_map[col]))
-        seq = seq.when(chk == "below_min", F.lit(400) + pos_rng[col] * 2)
-        seq = seq.when(chk == "above_max", F.lit(401) + pos_rng[col] * 2)
-    parts.append(counts.select(seq.cast("int").alias("seq"), msg.alias("issue")).where(F.col("issue").isNotNull()))
+    out = [issue(i, True, text) for i, text in enumerate(column_issues(df, cfg))]
+    nulls = {c: i for i, c in enumerate(cfg.non_null_columns)}
+    ranges = {c: i for i, c in enumerate(cfg.value_ranges)}
+    for check, col, name in m.counts:
+        n = F.col(name) if name else None
+        if check == "missing":
+            out.append(issue(100 + nulls[col], True, f"Non-null column '{col}' is missing from dataframe"))
+        elif check == "nulls":
+            out.append(issue(100 + nulls[col], n > 0, F.format_string("Column '%s' has %d null values", F.lit(col), n)))
+        elif check == "rows":
+            out.append(issue(200, n < cfg.min_rows, F.format_string("Dataset has %d rows, less than required minimum %d", n, F.lit(cfg.min_rows))))
+        else:
+            low = check == "below_min"
+            text = f"Column '{col}' has values {'below minimum' if low else 'above maximum'} {cfg.value_ranges[col][0 if low else 1]}"
+            out.append(issue((400 if low else 401) + 2 * ranges[col], n > 0, text))
     # allowed sets: the text has the number of distinct bad values, the values
     # themselves are rows of ``allowed_violations`` (there may be any number)
-    checked = [c for c in cfg.allowed_values if c in df.columns]
-    if checked:
-        pos_allowed = F.create_map(*[x for i, c in enumerate(cfg.allowed_values) for x in (F.lit(c), F.lit(300 + i))])
-        bad = allowed_violations(df, cfg).groupBy("column_name").agg(F.count(F.lit(1)).alias("n"))
-        parts.append(bad.select(
-            pos_allowed[F.col("column_name")].alias("seq"),
-            F.format_string("Column '%s' contains %d values outside allowed set", F.col("column_name"), F.col("n")).alias("issue")))
-    dups = duplicate_keys(df, cfg)
-    key_text = {",".join(k): _py_list(k) for k in cfg.unique_keys}
-    key_pos = {",".join(k): i for i, k in enumerate(cfg.unique_keys)}
-    if key_text:
-        km = F.create_map(*[x for k, t in key_text.items() for x in (F.lit(k), F.lit(t))])
-        kp = F.create_map(*[x for k, i in key_pos.items() for x in (F.lit(k), F.lit(i))])
-        parts.append(dups.where(F.col("n_duplicated") > 0).select(
-            (F.lit(500) + kp[F.col("key_columns")]).cast("int").alias("seq"),
-            F.format_string("Composite key %s has %d duplicated rows", km[F.col("key_columns")],
-                            F.col("n_duplicated")).alias("issue"),
-        ))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    for col, name in m.allowed:
+        out.append(issue(300 + list(cfg.allowed_values).index(col), F.col(name) > 0, F.format_string("Column '%s' contains %d values outside allowed set", F.lit(col), F.col(name))))
+    for key, name in m.keys:
+        n = F.col("rows") - F.col(name)
+        out.append(issue(500 + cfg.unique_keys.index(key), n > 0, F.format_string("Composite key %s has %d duplicated rows", F.lit(_py_list(key)), n)))
+    return F.array_sort(F.filter(F.array(*out), lambda e: e.isNotNull()))
 
 
-def quality_result(raw: DataFrame, clean: DataFrame, cfg: DataQualityConfig,
-                   z_threshold: float = 4.0) -> DataFrame:
+def issues(df: DataFrame, cfg: DataQualityConfig) -> DataFrame:
+    """Human-readable issues in check order, one row each: (seq, issue). One scan."""
+    m = Measures(df, cfg)
+    return m.row(df).select(F.inline(_issue_list(df, cfg, m)))
+
+
+def quality_result(raw: DataFrame | int, clean: DataFrame, cfg: DataQualityConfig,
+                   z_threshold: float = 4.0, observed: dict[str, Any] | None = None) -> DataFrame:
     """One-row result: name, rows before / after, columns, issues (ordered),
-    columns with z-score anomalies, and acceptable = no issues."""
-    iss = issues(clean, cfg)
-    iss_list = iss.select(F.transform(F.array_sort(F.collect_list(F.struct("seq", "issue"))),
-                                      lambda s: s.getField("issue")).alias("issues"))
-    anom = numeric_anomalies(clean, cfg.numeric_columns, z_threshold)
-    anom_cols = anom.select(F.array_sort(F.collect_set("column_name")).alias("anomaly_columns"))
-    return raw.agg(F.count(F.lit(1)).alias("n_rows_before")).select(
+    columns with z-score anomalies, and acceptable = no issues.
+
+    ``raw`` may be its row count, where that is known. ``observed``: the plain
+    measures of ``clean``, where its writing has observed them (see
+    :func:`observed_save`). What is left is one scan of ``clean`` at most."""
+    m = Measures(clean, cfg, cfg.numeric_columns)
+    row = m.row(clean) if observed is None else m.observed(clean, observed)
+    before = F.lit(raw).cast("long") if isinstance(raw, int) else raw.select(F.count(F.lit(1))).scalar()
+    return row.select(
         F.lit(cfg.name).alias("dataset_name"),
-        "n_rows_before",
-        clean.select(F.count(F.lit(1))).scalar().alias("n_rows_after"),
+        before.alias("n_rows_before"),
+        F.col("rows").alias("n_rows_after"),
         F.lit(len(clean.columns)).alias("n_columns"),
-        iss_list.scalar().alias("issues"),
-        anom_cols.scalar().alias("anomaly_columns"),
+        F.transform(_issue_list(clean, cfg, m), lambda e: e.getField("issue")).alias("issues"),
+        m.anomalous(z_threshold).alias("anomaly_columns"),
     ).withColumn("is_acceptable", F.size("issues") == 0)
 
 
+def observed_save(df: DataFrame, save, aggs: dict[str, F.Column]) -> dict[str, Any]:
+    """Runs ``save(frame)``, which writes the frame, and returns the aggregates
+    over the rows written. They are taken in the writing tasks, the last ones of
+    the job, whose results Spark counts once however often a task is tried."""
+    seen = Observation()
+    save(df.observe(seen, *[agg.alias(name) for name, agg in aggs.items()]))
+    return seen.get
+
+
 def guess_rules(df: DataFrame, name: str, min_rows: int = 1000) -> DataQualityConfig:
     """Rules guessed from names and types: date-like names, numeric columns,
     and non-null for line / station / date-like names (schema only)."""

@@ -136,10 +136,10 @@ def _record(result):
 @query("dq_result", _result_sql("turnstiles_raw", ["hora", "pax_total"], [
     "CASE WHEN n < 1000 THEN printf('Dataset has %d rows, less than required minimum 1000', n) END"]))
 def dq_result(spark, sf_dir):
-    from ..sources.files import infer_types
-    raw = infer_types(view(spark, sf_dir, "turnstiles_raw"))
+    from ..sources.files import counted_types
+    raw, n = counted_types(view(spark, sf_dir, "turnstiles_raw"))
     clean = q.basic_cleaning(raw)
-    return _record(q.quality_result(raw, clean, q.guess_rules(clean, "turnstiles_raw")))
+    return _record(q.quality_result(n, clean, q.guess_rules(clean, "turnstiles_raw")))
 
 
 @query("dq_many_values", sql(["turnstiles"], [], """

@@ -50,35 +50,42 @@ def null_na_texts(df: DataFrame) -> DataFrame:
     ])
 
 
-def infer_types(df: DataFrame) -> DataFrame:
+def type_counts(df: DataFrame) -> dict[str, F.Column]:
+    """The aggregates that :func:`typed` decides by: of every text column its
+    non-null values, and those that are whole numbers and numbers."""
+    out = {"rows": F.count(F.lit(1))}
+    for i, f in enumerate(df.schema.fields):
+        if isinstance(f.dataType, T.StringType):
+            v = _named(f.name)
+            out[f"n{i}"], out[f"l{i}"], out[f"d{i}"] = F.count(v), F.count(py_strip(v).try_cast("long")), F.count(py_number(v))
+    return out
+
+
+def typed(df: DataFrame, counts: dict) -> DataFrame:
     """Text columns whose every non-null value is a whole number become BIGINT,
-    else a number DOUBLE; others stay text. One aggregate pass decides."""
-    text_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    if not text_cols:
-        return df
-    checks = []
-    for i, c in enumerate(text_cols):
-        v = F.col(f"`{c}`")
-        checks += [
-            F.count(v).alias(f"n{i}"),
-            F.count(py_strip(v).try_cast("long")).alias(f"l{i}"),
-            F.count(py_number(v)).alias(f"d{i}"),
-        ]
-    stats = df.agg(*checks).first()
+    else a number DOUBLE; others stay text."""
     cols = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if f.name in text_cols:
-            i = text_cols.index(f.name)
-            n, nl, nd = stats[f"n{i}"], stats[f"l{i}"], stats[f"d{i}"]
-            if n and nl == n:
-                c = py_strip(c).try_cast("long")
-            elif n and nd == n:
-                c = py_number(c)
+    for i, f in enumerate(df.schema.fields):
+        c, n = _named(f.name), counts.get(f"n{i}")
+        if n and counts[f"l{i}"] == n:
+            c = py_strip(c).try_cast("long")
+        elif n and counts[f"d{i}"] == n:
+            c = py_number(c)
         cols.append(c.alias(f.name))
     return df.select(*cols)
 
 
+def infer_types(df: DataFrame) -> DataFrame:
+    """:func:`typed` by one aggregate pass."""
+    return counted_types(df)[0]
+
+
+def counted_types(df: DataFrame) -> tuple[DataFrame, int]:
+    """(:func:`typed` rows, their number) by one aggregate pass."""
+    counts = df.agg(*[agg.alias(name) for name, agg in type_counts(df).items()]).first().asDict()
+    return typed(df, counts), counts["rows"]
+
+
 def file_facts(spark: SparkSession, path: str | list[str], sep: str = ",") -> DataFrame:
     """One row per file: its name, whether all of its bytes are UTF-8, its
     first line that is not blank, and ``by_line``: whether each line is a record

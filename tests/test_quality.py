@@ -93,3 +93,52 @@ def test_allowed_values_of_another_kind(spark):
                               allowed_values={"t": ["A", 1], "n": [1, "2"]})
     bad = {(r.column_name, r.bad_value) for r in q.allowed_violations(df, cfg).collect()}
     assert bad == {("t", "x"), ("t", None), ("n", "2"), ("n", "3")}
+
+
+def _scans(df, kind):
+    return df._jdf.queryExecution().executedPlan().toString().count(f"FileScan {kind}") if kind else 0
+
+
+def test_quality_job_parses_the_csv_once(spark, tmpdir_path, monkeypatch):
+    """The CSV plan runs in the first save only; the result reads the saved rows once, for its distinct counts."""
+    import os
+
+    from railyard.operators import jobs
+    path = os.path.join(tmpdir_path, "r.csv")
+    with open(path, "w") as f:
+        f.write("Line,Pax,odd (name)\nA,1,x\nA,1,x\nB,2.5,\n C,900,z\nB,,y\n")
+    saves, plain = [], q.observed_save
+
+    def noted(df, save, aggs):
+        saves.append((_scans(df, "csv"), _scans(df, "parquet")))
+        return plain(df, save, aggs)
+
+    monkeypatch.setattr(q, "observed_save", noted)
+    cfg = q.DataQualityConfig(name="r", expected_columns=["line", "pax", "odd_(name)"], non_null_columns=["pax", "gone"], numeric_columns=["pax"],
+                              allowed_values={"line": ["A", "B"]}, value_ranges={"pax": (2, 800)}, unique_keys=[["line"], ["line", "pax"]], min_rows=9)
+    out = jobs.run_quality_pipeline(spark, path, os.path.join(tmpdir_path, "out"), cfg)
+    assert saves == [(1, 0), (0, 1)]
+    assert _scans(out, "csv") == 0 and _scans(out, "parquet") == 1
+    r = out.first()
+    assert (r.n_rows_before, r.n_rows_after, r.n_columns, r.is_acceptable) == (5, 4, 3, False)
+    assert r.issues == ["Column 'pax' has 1 null values", "Non-null column 'gone' is missing from dataframe", "Dataset has 4 rows, less than required minimum 9",
+                        "Column 'line' contains 1 values outside allowed set", "Column 'pax' has values below minimum 2", "Column 'pax' has values above maximum 800",
+                        "Composite key ['line'] has 1 duplicated rows"]
+
+
+def test_one_scan_for_all_checks(spark):
+    from railyard.plans import QUERIES
+    for name in ("dq_issues", "dq_duplicate_keys", "dq_result"):
+        assert _scans(QUERIES[name](spark, "/root/testdata/sf0.001"), "parquet") == 1, name
+
+
+def test_bounds_tell_which_columns_have_far_values(spark):
+    """As the rows of numeric_anomalies, without reading them."""
+    rows = [(float(i % 3), 5.0, None, 1.0 if i else 900.0, "x") for i in range(60)] + [(-500.0, 5.0, None, float("nan"), "y")]
+    df = spark.createDataFrame(rows, "low double, same double, none double, high double, text string")
+    cfg = q.DataQualityConfig(name="z", expected_columns=df.columns, numeric_columns=["low", "same", "none", "high", "absent"])
+    far = {r.column_name for r in q.numeric_anomalies(df, cfg.numeric_columns).collect()}
+    res = q.quality_result(df, df, cfg).first()
+    assert set(res.anomaly_columns) == far == {"low", "high"} and res.is_acceptable
+    seen = q.observed_save(df, lambda d: d.write.format("noop").mode("overwrite").save(), q.Measures(df, cfg, cfg.numeric_columns).plain)
+    assert q.quality_result(61, df, cfg, observed=seen).first() == res

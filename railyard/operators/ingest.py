@@ -2,7 +2,9 @@
 
 A log table is a Parquet folder with one subfolder per append (its batch id):
 a retried append rewrites its own subfolder, an append never touches another
-one's rows, and reading keeps the newest row of each key.
+one's rows, and reading keeps the newest row of each key. Every few appends the
+subfolders are compacted (:mod:`railyard.sources.folders`), so reading opens a
+bounded number of them.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.coerce import light_names
 from ..sources.files import path_exists
+from ..sources.folders import Folders
 
 INGESTION_SCHEMA = T.StructType([
     T.StructField("run_id", T.StringType()),
@@ -86,40 +89,51 @@ def init_log_tables(spark: SparkSession, log_dir: str) -> None:
     for name, (schema, _) in LOG_TABLES.items():
         path = f"{log_dir}/{name}"
         if not path_exists(spark, path):
-            stored = _stored_schema(schema)
+            stored = stored_schema(schema)
             spark.createDataFrame([], stored).drop("_batch").write.mode("overwrite").parquet(f"{path}/_batch=created")
 
 
-def _stored_schema(schema: T.StructType) -> T.StructType:
+def stored_schema(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField("_appended", T.TimestampNTZType()), T.StructField("_batch", T.StringType())])
 
 
 def append_log(df: DataFrame, log_dir: str, table: str, batch_id: str, appended_at: dt.datetime | None = None) -> None:
     """Append rows to a log table. ``batch_id`` names the append: a retry with
     the same id rewrites its own folder, so it leaves one copy; no other
-    append's rows are read or written. ``appended_at`` (default: now, UTC)
-    decides between rows of one key and time."""
+    append's rows are changed. ``appended_at`` (default: now, UTC) decides
+    between rows of one key and time."""
+    schema, _ = LOG_TABLES[table]
+    path = f"{log_dir}/{table}"
+    write_batch(df, path, schema, batch_id, appended_at)
+    Folders(df.sparkSession, path, stored_schema(schema)).compact()
+
+
+def write_batch(df: DataFrame, path: str, schema: T.StructType, batch_id: str, appended_at: dt.datetime | None = None) -> None:
+    """The folder of one append."""
     if not re.fullmatch(r"[A-Za-z0-9_.:-]+", batch_id):
         raise ValueError(f"a batch id has letters, digits and ._:- only: {batch_id!r}")
-    schema, _ = LOG_TABLES[table]
     at = appended_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     out = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields], F.lit(at).cast("timestamp_ntz").alias("_appended"))
-    out.write.mode("overwrite").parquet(f"{log_dir}/{table}/_batch={batch_id.replace(':', '%3A')}")
+    out.write.mode("overwrite").parquet(f"{path}/_batch={batch_id.replace(':', '%3A')}")
 
 
 def read_log(spark: SparkSession, log_dir: str, table: str) -> DataFrame:
-    """The newest row of each key (by its own time, then by append, then by
-    batch id and value); rows without a key are all kept. An absent table is
-    empty."""
-    schema, key = LOG_TABLES[table]
+    """:func:`newest` of all appends. An absent table is empty."""
+    schema, _ = LOG_TABLES[table]
     path = f"{log_dir}/{table}"
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(_stored_schema(schema)).parquet(path)
+    return newest(Folders(spark, path, stored_schema(schema)).rows(), table)
+
+
+def newest(rows: DataFrame, table: str) -> DataFrame:
+    """The newest row of each key (by its own time, then by append, then by
+    batch id and value); rows without a key are all kept."""
+    schema, key = LOG_TABLES[table]
     names = schema.fieldNames()
     order = F.struct(F.coalesce(F.col(TIME_OF[table]), F.lit(dt.datetime(1, 1, 1)).cast("timestamp_ntz")), "_appended", "_batch", F.xxhash64(*names))
-    newest = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*names), order).alias("r")).select("r.*")
-    return newest.unionByName(rows.where(F.col(key).isNull()).select(*names))
+    keyed = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*names), order).alias("r")).select("r.*")
+    return keyed.unionByName(rows.where(F.col(key).isNull()).select(*names))
 
 
 def ingest_daily_batch(source: DataFrame, cfg: PipelineConfig, log_dir: str, source_file: str,

@@ -160,6 +160,27 @@ def log_roundtrip(spark, sf_dir):
     return ing.read_log(spark, log, "incidents").select("incident_id", "reported_at", "description", "category")
 
 
+@query("log_compacted", sql(["model_outputs"], [
+    ("every", f"SELECT *, 1 AS seq FROM ({_LOG_FIRST}) UNION ALL SELECT *, 2 FROM ({_LOG_SECOND})"),
+    ("ranked", "SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY reported_at DESC NULLS LAST, seq DESC) AS r FROM every"),
+], "SELECT incident_id, CAST(reported_at AS TIMESTAMP) AS reported_at, description, category FROM ranked WHERE r = 1 OR incident_id IS NULL"))
+def log_compacted(spark, sf_dir):
+    """The two appends of log_roundtrip in nine parts each, compacted three
+    folders at a time; one part is retried after it was compacted."""
+    from ..sources.folders import Folders
+    path = shared_path(spark, "logs", uuid.uuid4().hex, "incidents")
+    schema = ing.stored_schema(ing.INCIDENT_SCHEMA)
+    view(spark, sf_dir, "model_outputs").createOrReplaceTempView("model_outputs")
+    for seq, rows in enumerate((_LOG_FIRST, _LOG_SECOND)):
+        df = spark.sql(rows)
+        df = df.select(*[F.col(f.name) if f.name in df.columns else F.lit(None).alias(f.name) for f in ing.INCIDENT_SCHEMA.fields])
+        for part in (*range(9), 4):
+            own = df.where(F.pmod(F.xxhash64("incident_id", "description"), F.lit(9)) == part)
+            ing.write_batch(own, path, ing.INCIDENT_SCHEMA, f"append-{seq}-{part}")
+            Folders(spark, path, schema).compact(3)
+    return ing.newest(Folders(spark, path, schema).rows(), "incidents").select("incident_id", "reported_at", "description", "category")
+
+
 def _prompt_sql() -> str:
     from .q_ridership import _HOUR, _top_sql
     summary = " UNION ALL ".join([_top_sql("top_stations", "estacion", 5), _top_sql("top_lines", "linea", 5),

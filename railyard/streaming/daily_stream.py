@@ -3,9 +3,11 @@ daily sums by line.
 
 ``readStream`` over the folder -> event time from the day-first date ->
 watermark -> one-day tumbling window by line, in update mode -> ``foreachBatch``
-that writes each micro-batch's changed sums into its own ``batch_id`` folder (a
-retried batch rewrites that folder, never appends a second copy) and logs the
-run; :func:`read_daily` gives the newest sums of every day, open days included.
+that writes each micro-batch's changed sums into folders of its own, by day and
+``batch_id`` (a retried batch rewrites them, never appends a second copy), and
+logs the run; :func:`read_daily` gives the newest sums of every day, open days
+included. A batch reads its own sums and what was written for the same days
+before, which the watermark bounds, whatever the stream has written in all.
 The query
 state and progress live in a checkpoint folder under the shared
 ``spark.checkpoint.dir``, so a restarted driver resumes where it stopped.
@@ -16,7 +18,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -51,19 +53,30 @@ def daily_sums(stream: DataFrame, lateness: str = "1 day") -> DataFrame:
 OUT_SCHEMA = "date date, linea string, pax_total double, rows long, batch_id long"
 
 
-def read_daily(spark: SparkSession, out_dir: str, before: int | None = None) -> DataFrame:
-    """The newest sums of every day and line (of batches under ``before``)."""
+def read_daily(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The newest sums of every day and line."""
     if not path_exists(spark, out_dir):
         return spark.createDataFrame([], OUT_SCHEMA).drop("batch_id")
-    rows = spark.read.schema(OUT_SCHEMA).parquet(out_dir)
-    if before is not None:
-        rows = rows.where(F.col("batch_id") < before)
+    return _newest(spark.read.schema(OUT_SCHEMA).parquet(out_dir))
+
+
+def _newest(rows: DataFrame) -> DataFrame:
     newest = rows.groupBy("date", "linea").agg(F.max_by(F.struct("pax_total", "rows"), "batch_id").alias("r"))
     return newest.select("date", "linea", "r.pax_total", "r.rows")
 
 
-def _rows_so_far(spark: SparkSession, out_dir: str, before: int) -> int:
-    return read_daily(spark, out_dir, before).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+def _new_rows(spark: SparkSession, out_dir: str, batch_id: int, days: list[dt.date]) -> int:
+    """How many rows the batch has added to the sums of its days, from what is
+    written in these days' folders (not by running the stateful plan again)."""
+    paths = [f"{out_dir}/date={d.isoformat()}" for d in days]
+    if not paths:
+        return 0
+    rows = spark.read.schema(OUT_SCHEMA).option("basePath", out_dir).parquet(*paths)
+    now = F.sum(F.when(F.col("batch_id") == batch_id, F.col("rows")))
+    changed = rows.where(F.col("batch_id") <= batch_id).groupBy("date", "linea").agg(
+        now.alias("now"), F.max(F.col("batch_id") == batch_id).alias("changed"),
+        F.max(F.when(F.col("batch_id") < batch_id, F.struct("batch_id", "rows"))).alias("b"))
+    return changed.where("changed").agg(F.coalesce(F.sum(F.col("now") - F.coalesce("b.rows", F.lit(0))), F.lit(0))).first()[0]
 
 
 def start_daily_ingest(spark: SparkSession, source_dir: str, out_dir: str, log_dir: str | None = None,
@@ -82,12 +95,13 @@ def start_daily_ingest(spark: SparkSession, source_dir: str, out_dir: str, log_d
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
-        before = _rows_so_far(s, out_dir, batch_id)
-        batch.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+        seen = Observation()
+        batch = batch.withColumn("batch_id", F.lit(batch_id).cast("long")).observe(seen, F.collect_set("date").alias("days"))
+        # one file a day; only the day folders of this batch are replaced
+        batch.repartition("date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch_id").parquet(out_dir)
         if log_dir:
             now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-            # counted from what is written, not by running the stateful plan a second time
-            n = _rows_so_far(s, out_dir, batch_id + 1) - before
+            n = _new_rows(s, out_dir, batch_id, sorted(seen.get["days"] or []))
             run = f"stream_{stream_id}_{batch_id}"
             append_log(s.createDataFrame([(run, now.date(), source_dir, n, now, model_tag)], INGESTION_SCHEMA), log_dir, "ingestion_runs", run)
 

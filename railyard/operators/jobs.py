@@ -18,6 +18,7 @@ from ..functions.coerce import light_names, month_start, parse_day_first, parse_
 from ..functions.lines import ALL_LINES, SUBTE_LINES, normalize_line
 from ..session import cut_lineage, shared_path
 from ..sources import files, sinks
+from ..sources import months as by_month
 from . import forecast as fc
 from . import headway as hw
 from . import incidents as inc
@@ -166,12 +167,18 @@ def write_changes(page: InsightsPage, out_dir: str) -> dict[str, str]:
 
 def weekly_summary_from_files(spark: SparkSession, ridership_path: str, headway_path: str | None, out_path: str, days: int = 7) -> str:
     """The trailing-week summary as a job: ridership Parquet and headway CSV
-    (optional; a ``date`` or ``year_month`` column) to a Markdown file."""
+    (optional; a ``date`` or ``year_month`` column) to a Markdown file. Of a
+    table stored by month (:mod:`railyard.sources.months`) only the months of
+    the window are opened."""
     headway = files.read_optional(spark, headway_path, "csv") if headway_path else None
     if headway is not None:
         day = parse_iso_date(F.col("date")) if "date" in headway.columns else month_start(F.col("year_month"))
         headway = headway.withColumns({"date": day, "avg_headway_min": to_number(headway, "avg_headway_min")})
-    return sinks.write_text(rep.weekly_summary(spark.read.parquet(ridership_path), headway, days), out_path)
+    if by_month.months(spark, ridership_path):
+        pax, bounds = by_month.last_days(spark, ridership_path, days)
+    else:
+        pax, bounds = spark.read.parquet(ridership_path), None
+    return sinks.write_text(rep.weekly_summary(pax, headway, days, bounds=bounds), out_path)
 
 
 def incident_pipeline(outputs: DataFrame, run_ts: str, raw_col: str = "raw_output") -> DataFrame:

@@ -102,11 +102,12 @@ def insights_report(pax_by_line: DataFrame, hw_by_line: DataFrame | None, period
 
 
 def weekly_summary(pax: DataFrame, headway: DataFrame | None, days: int = 7,
-                   summary: str = PLAIN_SUMMARY) -> DataFrame:
+                   summary: str = PLAIN_SUMMARY, bounds: tuple | None = None) -> DataFrame:
     """Trailing-week summary: sums by line over the last ``days`` days to the
-    last date, and mean headway by line for headway rows dated in the window."""
+    last date, and mean headway by line for headway rows dated in the window.
+    ``bounds``: the first and the last day, where they are known."""
     spark = pax.sparkSession
-    start, end = trailing_bounds(pax, days)
+    start, end = trailing_bounds(pax, days) if bounds is None else (F.lit(b).cast("date") for b in bounds)
     window = in_days(pax, start, end).where(F.col("line").isNotNull())
     # known lines only, so that the text gathers a bounded number of labels;
     # the label rules run on sums per raw label

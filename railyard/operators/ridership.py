@@ -4,11 +4,14 @@ dataset summaries.
 
 Every aggregate is a ``groupBy`` with map-side partial aggregation, so a hot
 line or station is combined inside each task before the shuffle. Global
-statistics (latest period, last date) are lazy scalar subqueries.
+statistics (latest period) are lazy scalar subqueries; the trailing window's
+days are known when its plan is made.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,9 +166,10 @@ def latest(df: DataFrame, period: str, change: str, value: str = "passengers") -
                       F.desc_nulls_last(change), "line")
 
 
-def trailing_days(df: DataFrame, days: int = 7, value: str = "passengers") -> DataFrame:
-    """Sum by line over the last ``days`` calendar days ending on the last date."""
-    start, end = trailing_bounds(df, days)
+def trailing_days(df: DataFrame, days: int = 7, value: str = "passengers", bounds: tuple | None = None) -> DataFrame:
+    """Sum by line over the last ``days`` calendar days ending on the last date
+    (``bounds``: the first and the last day, where they are known)."""
+    start, end = trailing_bounds(df, days) if bounds is None else _days(bounds)
     return (
         in_days(df, start, end).where(F.col("line").isNotNull())
         .groupBy("line")
@@ -176,10 +180,15 @@ def trailing_days(df: DataFrame, days: int = 7, value: str = "passengers") -> Da
 
 
 def trailing_bounds(df: DataFrame, days: int, date_col: str = "date") -> tuple[Column, Column]:
-    """First and last day of the window, each a scalar subquery on its own:
-    a bound with arithmetic around the subquery would not reach the scan."""
-    last = F.max(F.col(date_col)).cast("date")
-    return df.select(F.date_sub(last, days - 1)).scalar(), df.select(last).scalar()
+    """First and last day of the window as literals, from one scan of the date
+    column: known days prune partitions and row groups when the plan is made.
+    A table stored by month has them without that scan (:mod:`railyard.sources.months`)."""
+    last = df.agg(F.max(F.col(date_col)).cast("date")).first()[0]
+    return _days((last - dt.timedelta(days=days - 1), last) if last is not None else (None, None))
+
+
+def _days(bounds: tuple) -> tuple[Column, Column]:
+    return F.lit(bounds[0]).cast("date"), F.lit(bounds[1]).cast("date")
 
 
 def in_days(df: DataFrame, start: Column, end: Column, date_col: str = "date") -> DataFrame:

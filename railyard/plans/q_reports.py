@@ -77,11 +77,12 @@ def weekly_summary_text(spark, sf_dir):
 
 @query("weekly_summary_job", f"SELECT report FROM ({_WEEKLY_SQL})")
 def weekly_summary_job(spark, sf_dir):
-    """The summary written from a ridership Parquet and a headway CSV export, read back as text."""
+    """The summary written from a ridership table stored by month and a headway CSV export, read back as text."""
     from ..operators.jobs import weekly_summary_from_files
+    from ..sources.months import write_by_month
     from ..sources.sinks import write_table
     run = shared_path(spark, "exports", uuid.uuid4().hex)
-    view(spark, sf_dir, "ridership").write.parquet(f"{run}/ridership.parquet")
+    write_by_month(view(spark, sf_dir, "ridership"), f"{run}/ridership.parquet")
     write_table(hw_ops.headway_etl(view(spark, sf_dir, "dispatch_monthly"), None), f"{run}/headway.csv", "csv")
     out = weekly_summary_from_files(spark, f"{run}/ridership.parquet", f"{run}/headway.csv", f"{run}/summary.md")
     return spark.read.text(out, wholetext=True).where("value <> ''").select(F.regexp_replace("value", "\\n$", "").alias("report"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.coerce import parse_day_first
 from ..functions.lines import canonical_line_ah, canonical_line_az, normalize_line
 from ..operators import headway as hw_ops
 from ..operators import ridership as r
+from ..session import shared_path
 from ..sources.testviews import view
 from . import duck
 from .common_sql import HW_PAGE, HW_PAGE_RANGED, PAX
@@ -134,15 +137,28 @@ def latest_wow(spark, sf_dir):
     return rounded(r.latest(w, "week", "wow"))
 
 
-@query("trailing_week", sql(["ridership"], [("b", "SELECT max(date) AS e FROM ridership")],
+_TRAILING = sql(["ridership"], [("b", "SELECT max(date) AS e FROM ridership")],
        """SELECT line, CAST(sum(passengers) AS DOUBLE) AS passengers,
                  CAST(e - INTERVAL 6 DAY AS DATE) AS period_start, e AS period_end
           FROM ridership, b WHERE date >= e - INTERVAL 6 DAY AND date <= e AND line IS NOT NULL
-          GROUP BY line, e"""))
+          GROUP BY line, e""")
+
+
+@query("trailing_week", _TRAILING)
 def trailing_week(spark, sf_dir):
     return _dbl(r.trailing_days(view(spark, sf_dir, "ridership"), 7), "passengers")
 
 
+@query("trailing_week_by_month", _TRAILING)
+def trailing_week_by_month(spark, sf_dir):
+    """Ridership stored by month; the week is read from the newest months alone."""
+    from ..sources.months import last_days, write_by_month
+    path = shared_path(spark, "exports", uuid.uuid4().hex, "ridership.parquet")
+    write_by_month(view(spark, sf_dir, "ridership"), path)
+    rows, bounds = last_days(spark, path, 7)
+    return _dbl(r.trailing_days(rows, 7, bounds=bounds), "passengers")
+
+
 @query("system_summary", sql(["turnstiles"], [],
        """SELECT count(*) AS total_records, count(DISTINCT estacion) AS n_stations,
                  CAST(min(fecha) AS DATE) AS first_date, CAST(max(fecha) AS DATE) AS last_date

@@ -1,5 +1,6 @@
 """WARC, URL filter, top-k search, quality classifier and the pipeline."""
 import base64
+import datetime as dt
 import gzip
 import hashlib
 import math
@@ -45,17 +46,60 @@ def test_warc_files(spark, stored_docs, tmp_path):
     rows = [(1, "http://a/", "same", "k", 1), (2, "http://b/", "same", "k", 1), (3, "http://c/", "other", "k", 1)]
     path = str(tmp_path / "out")
     warc.deduplicated_archive(stored_docs(rows, PAGES), path=path).count()
-    records = [r for f in os.listdir(path) if f.endswith(".gz") for r in warc.parse(gzip.open(f"{path}/{f}").read())]
+    files = [f for f in os.listdir(path) if f.endswith(".warc.gz")]
+    records = [r for f in files for r in warc.parse(gzip.open(f"{path}/{f}").read())]
+    infos = [h for h, _ in records if h["warc-type"] == "warcinfo"]
+    assert len(infos) == len(files) and not any(f.endswith(".txt") for f in os.listdir(path))
+    records = [(h, b) for h, b in records if h["warc-type"] != "warcinfo"]
     by = {h["x-record-key"]: (h, b) for h, b in records}
+    assert all(abs(dt.datetime.now(dt.timezone.utc) - dt.datetime.fromisoformat(h["warc-date"])) < dt.timedelta(hours=1) for h, _ in records)
     assert len(records) == 3 and by["1"][0]["warc-type"] == "revisit" and by["1"][0]["warc-refers-to"] == by["2"][0]["warc-record-id"]
     assert by["2"][1].endswith(b"\r\n\r\nsame") and by["1"][1].endswith(b"\r\n\r\n") and by["1"][0]["warc-refers-to-target-uri"] == "http://b/"
     full = warc.read_archive(spark, path, payload=True)
-    assert {zlib.decompress(r.payload) for r in full.collect()} == {b"same", b"other", b""}
+    assert {bytes(r.payload) for r in full.collect()} == {b"same", b"other", b""}
 
 
-def test_warc_files_are_not_unpacked_whole():
-    record = warc._record([("WARC-Type", "response")], "x" * 1_000_000) + warc.END
-    content = pa.py_buffer(gzip.compress(record.encode(), 1) * 40 + gzip.compress(record.encode() * 40, 1))
+def members(data):
+    """Unpacked members of a gzip file, one by one, with nothing between or after them."""
+    out = []
+    while data:
+        one = zlib.decompressobj(31)
+        out.append(one.decompress(data))
+        assert one.eof
+        data = one.unused_data
+    return out
+
+
+def test_warc_members_are_records(spark, stored_docs, tmp_path, monkeypatch):
+    """A member per record, a warcinfo first in each file; files by records and bytes; one record over 16 MiB."""
+    rows = [(i, "http://a/", f"<p>{i % 5}</p>", "k", 1) for i in range(25)] + [(99, "http://b/", "long " * 4_000_000, "k", 1)]
+    docs = stored_docs(rows, PAGES, files=1)
+    assert warc.records_per_file(docs) == 13
+    monkeypatch.setattr(warc, "FILE_BYTES", 100_000_000)
+    path = str(tmp_path / "members")
+    got = warc.deduplicated_archive(docs, path=path).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=repr) == brute_warc(rows)
+    count = 0
+    for f in os.listdir(path):
+        if f.endswith(".warc.gz"):
+            own = [m for m in members(open(f"{path}/{f}", "rb").read()) if m]
+            kinds = [h["warc-type"] for m in own for h, _ in warc.parse(m)]
+            assert len(kinds) == len(own) <= 6 and kinds[0] == "warcinfo" and "warcinfo" not in kinds[1:]
+            count += len(kinds) - 1
+    assert count == 26
+
+
+def test_revisits_meet_their_files_by_shuffle_as_well(stored_docs, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_REVISITS", 0)
+    rows = [(i, "http://a/", f"<p>{i % 7}</p>", "k", 1) for i in range(60)]
+    got = warc.deduplicated_archive(stored_docs(rows, PAGES, files=3)).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=repr) == brute_warc(rows)
+
+
+def test_warc_files_are_not_unpacked_whole(monkeypatch):
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 2_000_000)
+    record = warc._record([("WARC-Type", "response")], b"x" * 1_000_000)
+    content = pa.py_buffer(gzip.compress(record, 1) * 40 + gzip.compress(record * 40, 1))
     tracemalloc.start()
     try:
         sizes = [len(block) for _, block in warc.unpacked(content)]
@@ -72,7 +116,7 @@ def test_warc_payloads_over_batches(spark, stored_docs, tmp_path):
     path = str(tmp_path / "large")
     warc.write_archive(stored_docs(rows, PAGES, files=1), path)
     got = warc.read_archive(spark, path, payload=True).collect()
-    assert sorted((int(r.key), zlib.decompress(r.payload).decode()) for r in got) == [(i, h) for i, _, h, *_ in rows]
+    assert sorted((int(r.key), bytes(r.payload).decode()) for r in got) == [(i, h) for i, _, h, *_ in rows]
 
 
 def test_warc_odd_rows(stored_docs):

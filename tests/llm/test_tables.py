@@ -188,18 +188,14 @@ def test_links_and_domains_spread_distrust(stored_docs):
 
 
 def brute_top(rows, queries, k=20):
-    vectors = {}
-    good = []
+    most, good = 2 ** 63 - 1, []
     for i, v in rows:
         if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
-            good.append((i, np.floor(64 * np.array(v, float)).astype(np.int64)))
-    dim = max((len(v) for _, v in good), default=0)
-    good = [(i, np.pad(v, (0, dim - len(v)))) for i, v in good]
-    del vectors
+            good.append((i, [max(-most, min(most, math.floor(64 * x))) if math.isfinite(64 * x) else math.copysign(1, x) * most for x in v]))
     out = []
     for q, v in good:
         if queries(q):
-            best = sorted((-int(v @ w), i) for i, w in good if i != q)[:k]
+            best = sorted((-max(-most, min(most, sum(int(x) * int(y) for x, y in zip(v, w)))), i) for i, w in good if i != q)[:k]
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     return sorted(out)
 
@@ -217,6 +213,32 @@ def test_top_k_against_brute_force(stored_docs, monkeypatch, block):
     assert sorted(tuple(r) for r in got) == brute_top(exact, lambda q: q % 20 == 0)
 
 
+@pytest.mark.parametrize("size", [3e6, 1e9, 1e17, 1e300])
+def test_top_k_of_large_components(stored_docs, monkeypatch, size):
+    """Scores beyond what doubles, and longs, hold exactly; repeated ids and clashing columns."""
+    monkeypatch.setattr(topk, "BLOCK", 8)
+    rng = np.random.RandomState(7)
+    rows = [(int(i) // 2 * 2 if i % 9 == 0 and i != 81 else int(i), [float(x) for x in rng.normal(size=16) * size * rng.choice([1, 1, 0.01, 1e-6])], 1, 2, b"") for i in range(120)]
+    rows += [(500, [size] * 16, 1, 2, b""), (520, [size, *[0.0] * 15], 1, 2, b""), (540, [-size] * 16, 1, 2, b"")]
+    docs = stored_docs(rows, "vec_id long, embedding array<double>, block long, score int, ids binary", files=2)
+    got = topk.top_k(docs, docs.where("vec_id % 20 = 0"), 7).collect()
+    assert sorted(tuple(r) for r in got) == brute_top([r[:2] for r in rows], lambda q: q % 20 == 0, 7)
+
+
+def test_top_k_joins_blocks_by_number(spark, monkeypatch):
+    from railyard.llm import common
+    plans = []
+
+    def noted(df, tag):
+        out = common.stored(df, tag)
+        plans.append(df._jdf.queryExecution().toString())
+        return out
+
+    monkeypatch.setattr(topk, "stored", noted)
+    QUERIES["op3_top_k"](spark, SMALL).collect()
+    assert plans and not any("NestedLoopJoin" in p or "Cartesian" in p for p in plans)
+
+
 def test_top_k_few_rows(stored_docs):
     docs = stored_docs([(20, [1.0]), (21, [2.0]), (40, [-1.0])], "vec_id long, embedding array<float>")
     assert sorted(tuple(r) for r in topk.top_k(docs, docs.where("vec_id % 20 = 0"), 20).collect()) == [(20, 1, 21, 8192), (20, 2, 40, -4096), (40, 1, 20, -4096), (40, 2, 21, -8192)]

@@ -11,7 +11,8 @@ hosts before anything else, and the step from a host to its parent domain and
 back (``domains``), as hosts of one domain are run together. Both ranks run in
 the same joins (a ``kind`` column). All tables after the first pass have one
 row per host or host pair; ranks are written to the shared folder every few
-rounds, and only one number per check comes to the driver.
+rounds until they have settled (each round leaves at most ``DAMPING`` of the
+distance, so they do), and only one number per check comes to the driver.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from .common import ascii_lower, stored
 # The rules of the contract.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 DAMPING = 0.85
-ROUNDS, ROUNDS_PER_WRITE, SETTLED = 20, 5, 1e-6
+#: Rounds between two looks, and the sum of all changes between them at which ranks have settled.
+ROUNDS_PER_WRITE, SETTLED = 10, 1e-6
 LINK = r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
 
 
@@ -66,10 +68,11 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html", d
     return links.unionByName(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, settled: float = SETTLED) -> DataFrame:
     """kind, host, score: personalised PageRank of each kind ('trust' along the
-    edges, 'distrust' against them) from ``seeds`` (kind, host, weight). Mass
-    of hosts without an edge leaves the walk."""
+    edges, 'distrust' against them) from ``seeds`` (kind, host, weight), until
+    ``ROUNDS_PER_WRITE`` rounds change less than ``settled`` in all. Mass of
+    hosts without an edge leaves the walk; repeated edges and seeds add up."""
     directed = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "weight").unionByName(
         edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), "weight"))
     total = directed.groupBy("kind", "host").agg(F.sum("weight").alias("total"))
@@ -79,17 +82,16 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
                    .groupBy("kind", "host").agg((F.sum("weight") / F.first("total")).alias("score")), "seeds")
     base = start.withColumn("score", F.col("score") * (1 - damping))
     ranks = start
-    for lo in range(0, rounds, ROUNDS_PER_WRITE):
+    while True:
         before = ranks
-        for _ in range(min(ROUNDS_PER_WRITE, rounds - lo)):
+        for _ in range(ROUNDS_PER_WRITE):
             flow = ranks.join(moves, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
             ranks = flow.unionByName(base).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         ranks = stored(ranks, "ranks")
         moved = ranks.join(before.withColumnRenamed("score", "old"), ["kind", "host"], "full").agg(
             F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
-        if not moved or moved < SETTLED:
-            break
-    return ranks
+        if not moved or moved < settled:
+            return ranks
 
 
 def judge(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, threshold: float = 0.0) -> DataFrame:

@@ -157,7 +157,7 @@ def test_propagation_against_dense_iteration(spark):
     hosts = [f"h{i}" for i in range(12)]
     edges = [(a, b, float(rng.randint(1, 3))) for a in hosts for b in hosts if a != b and rng.random() < 0.2]
     seeds = [("trust", "h0", 3.0), ("trust", "h1", 1.0), ("distrust", "h7", 2.0)]
-    got = url_filter.propagate(spark.createDataFrame(edges, "src string, dst string, weight double"), spark.createDataFrame(seeds, "kind string, host string, weight double"), rounds=12)
+    got = url_filter.propagate(spark.createDataFrame(edges, "src string, dst string, weight double"), spark.createDataFrame(seeds, "kind string, host string, weight double"), settled=1e-9)
     got = {(r.kind, r.host): r.score for r in got.collect()}
     for kind in ("trust", "distrust"):
         m = np.zeros((12, 12))
@@ -171,9 +171,49 @@ def test_propagation_against_dense_iteration(spark):
             s[hosts.index(h)] += w * (k == kind)
         s /= s.sum()
         x = s
-        for _ in range(12):
+        for _ in range(1000):
             x = 0.15 * s + 0.85 * x @ m
-        assert all(abs(x[i] - got.get((kind, h), 0.0)) < 1e-9 for i, h in enumerate(hosts))
+        assert all(abs(x[i] - got.get((kind, h), 0.0)) < 1e-8 for i, h in enumerate(hosts))
+
+
+def test_ranks_have_settled(spark):
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "src string, dst string, weight double")
+    got = url_filter.propagate(edges, spark.createDataFrame([("trust", "a", 1.0)], "kind string, host string, weight double"))
+    got = {r.host: r.score for r in got.collect()}
+    assert abs(got["a"] - 0.15 / (1 - 0.85 ** 2)) < 1e-6 and abs(got["b"] - 0.85 * 0.15 / (1 - 0.85 ** 2)) < 1e-6
+
+
+def test_verdicts_of_the_whole_small_table(spark):
+    """Rules and propagated verdicts against a dense walk over the table's host edges."""
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    rows = pages.select("page_id", "url").collect()
+    edges = [(r.src, r.dst, r.weight) for r in url_filter.host_edges(pages).collect()]
+    judged = {r.page_id: brute_url(r.url) for r in rows}
+    hosts = sorted({h for h, *_ in judged.values() if h} | {x for e in edges for x in e[:2]})
+    place = {h: i for i, h in enumerate(hosts)}
+    score = {}
+    for kind, act in (("trust", "allow"), ("distrust", "block")):
+        m, s = np.zeros((len(hosts), len(hosts))), np.zeros(len(hosts))
+        for a, b, w in edges:
+            m[(place[a], place[b]) if kind == "trust" else (place[b], place[a])] += w
+        for h, _, _, verdict in judged.values():
+            s[place[h]] += bool(h) and verdict == act
+        m = np.divide(m, m.sum(1, keepdims=True), out=np.zeros_like(m), where=m.sum(1, keepdims=True) > 0)
+        x = s = s / max(s.sum(), 1)
+        for _ in range(500):
+            x = 0.15 * s + 0.85 * x @ m
+        score[kind] = x
+    for r in QUERIES["op4_url_filter"](spark, SMALL).collect():
+        h, p, rule, verdict = judged[r.page_id]
+        far = score["distrust"][place[h]] - score["trust"][place[h]] if h else 0.0
+        assert (r.host, r.path, r.rule) == (h, p, rule)
+        assert r.verdict == (verdict or ("block" if far > 0 else "allow")) or abs(far) < 1e-6
+
+
+def test_url_rows_repeated_and_without_keys(stored_docs):
+    rows = [(1, "http://a.com/x", None, "k", 1)] * 3 + [(None, "http://b.net/es/1", "<a href=//a.com>", "k", 1)] * 2 + [(None, None, None, None, None)]
+    got = url_filter.judge(stored_docs(rows, PAGES)).collect()
+    assert sorted((r.page_id or 0, r.host, r.verdict) for r in got) == [(0, "", "allow"), (0, "b.net", "block"), (0, "b.net", "block"), *[(1, "a.com", "allow")] * 3]
 
 
 def test_links_and_domains_spread_distrust(stored_docs):

@@ -6,12 +6,19 @@ each position the pieces that end there (its output links) relax the best
 score so far -- a single-pass Viterbi. A character no piece covers costs
 ``unknown`` and is spelled out as byte pieces.
 
-The text is prefixed with one space and spaces become U+2581. In a vocabulary
+Scores are log-probabilities. A unigram model has them. The scores of a BPE
+model are minus the rank of a merge, and adding ranks would favour many early
+pieces; merges are made in the order of their frequency, so a piece of rank r
+gets the Zipf-Mandelbrot estimate -ln(``ZIPF`` + r) (nothing is trained).
+
+The text is normalised as the model says. Without a character map or white
+space rules that is: one space in front (``add_dummy_prefix``), and spaces
+become U+2581; else the library's normaliser does it. In a vocabulary
 whose pieces hold U+2581 only in front (or consist of it), no piece crosses
 the border before a run of U+2581, so the best segmentation is that of the
 words, and words are remembered in a bounded table: each distinct word runs
-through the automaton once per worker. Scores are integers (scaled where the
-model's are not), so the sums are exact and the same for a word as for a whole
+through the automaton once per worker. Scores are scaled to integers, so the
+sums are exact and the same for a word as for a whole
 text; ties go to the longer last piece, at every position.
 
 The model file is read on the driver (its path is a parameter) and its pieces
@@ -21,6 +28,7 @@ are sent to the tasks: a vocabulary is some 10^5 pieces, whatever the corpus.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -35,16 +43,21 @@ SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words that a worker remembers, and the longest of them in characters.
 REMEMBERED, LONGEST = 400_000, 64
+#: Offset of the ranks, and the scale of scores as integers.
+ZIPF, SCALE = 1000, 1 << 20
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
 @dataclass
 class Vocabulary:
-    """``scores``: piece -> (id, score); ``byte_ids``: id of each byte piece; ``unknown``: score of a character without a piece."""
+    """``scores``: piece -> (id, score); ``byte_ids``: id of each byte piece; ``unknown``: score of a
+    character without a piece; ``prefix``: whether a space is put in front; ``normalizer``: the library's processor, where the model has rules of its own."""
     scores: dict[str, tuple[int, int]]
     byte_ids: list[int]
     unknown: int
     unk_id: int = 0
+    prefix: bool = True
+    normalizer: object = None
     _machine: object = field(default=None, repr=False)
     _words: dict = field(default_factory=dict, repr=False)
 
@@ -53,24 +66,48 @@ class Vocabulary:
 
     @staticmethod
     def load(path: str = MODEL) -> Vocabulary:
-        """From a SentencePiece model file. Normal and user-defined pieces take
-        part; control, unknown, unused and byte pieces are no text."""
-        import sentencepiece
+        """From a SentencePiece model file, unigram or BPE. Normal and
+        user-defined pieces take part; control, unknown, unused and byte pieces
+        are no text. Models of other kinds raise ValueError."""
+        with open(path, "rb") as f:
+            return Vocabulary.parse(f.read())
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        ids = range(model.get_piece_size())
-        raw = {model.id_to_piece(i): (i, model.get_score(i)) for i in ids
-               if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i))}
-        scale = 1 if all(float(s).is_integer() for _, s in raw.values()) else 1 << 20
-        scores = {p: (i, round(s * scale)) for p, (i, s) in raw.items()}
-        byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        if not all(model.is_byte(i) for i in byte_ids):
-            byte_ids = []
-        least = min((s for _, s in scores.values()), default=0)
-        return Vocabulary(scores, byte_ids, least - 10 * scale, model.unk_id())
+    @staticmethod
+    def parse(raw: bytes) -> Vocabulary:
+        import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2 as proto
+
+        model = proto.ModelProto.FromString(raw)
+        kinds, piece, rules = proto.TrainerSpec, proto.ModelProto.SentencePiece, model.normalizer_spec
+        kind = model.trainer_spec.model_type
+        if kind not in (kinds.UNIGRAM, kinds.BPE) or model.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("only unigram and BPE models with white space in front of pieces are supported")
+        score = (lambda s: s) if kind == kinds.UNIGRAM else (lambda s: -math.log(ZIPF - min(s, 0.0)))
+        normal = [score(p.score) for p in model.pieces if p.type == piece.NORMAL]
+        least, most = min(normal, default=0.0), max(normal, default=0.0)
+        scores = {p.piece: (i, round((score(p.score) if p.type == piece.NORMAL else len(p.piece) * most - 0.1) * SCALE))
+                  for i, p in enumerate(model.pieces) if p.type in (piece.NORMAL, piece.USER_DEFINED)}
+        places = {p.piece: i for i, p in enumerate(model.pieces) if p.type == piece.BYTE}
+        byte_ids = [places[f"<0x{b:02X}>"] for b in range(256)] if len(places) == 256 else []
+        own_rules = rules.precompiled_charsmap or rules.remove_extra_whitespaces or not rules.escape_whitespaces
+        return Vocabulary(scores, byte_ids, round((least - 10) * SCALE), next((i for i, p in enumerate(model.pieces) if p.type == piece.UNKNOWN), 0),
+                          rules.add_dummy_prefix, sentencepiece.SentencePieceProcessor(model_proto=raw) if own_rules else None)
+
+    def normalized(self, text: str) -> str:
+        """The text that is cut into pieces, spaces as U+2581."""
+        if self.normalizer is not None:
+            return self.normalizer.normalize(text)
+        return SPACE * self.prefix + text.replace(" ", SPACE) if text else ""
+
+    def plain(self, text: str) -> str:
+        """The text that decoding its ids gives back: itself, unless the model's normaliser changes it."""
+        if self.normalizer is None:
+            return text
+        text = self.normalized(text).replace(SPACE, " ")
+        return text[1:] if self.prefix and text.startswith(" ") else text
 
     def splits_at_spaces(self) -> bool:
-        return all(SPACE not in p.lstrip(SPACE) for p in self.scores)
+        return SPACE in self.scores and all(SPACE not in p.lstrip(SPACE) for p in self.scores)
 
     def machine(self):
         if self._machine is None:
@@ -116,7 +153,7 @@ class Vocabulary:
                 out.append(i)
             elif self.byte_ids:
                 out.extend(self.byte_ids[b] for b in reversed(text[n - 1].encode("utf-8", "replace")))
-            else:
+            elif not (out and out[-1] == self.unk_id):  # unknown characters in a row are one piece
                 out.append(self.unk_id)
             n -= size
         out.reverse()
@@ -125,7 +162,7 @@ class Vocabulary:
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        text = SPACE + text.replace(" ", SPACE)
+        text = self.normalized(text)
         if not self.splits_at_spaces_once:
             return self.segment(text)
         out: list[int] = []
@@ -158,10 +195,10 @@ class Vocabulary:
         return table
 
 
-def decode(ids: list[int], table: list[bytes]) -> str:
-    """Text of the ids without the space that encoding put in front; bytes that are no UTF-8 become U+FFFD."""
+def decode(ids: list[int], table: list[bytes], prefix: bool = True) -> str:
+    """Text of the ids without the space that encoding put in front (``prefix``); bytes that are no UTF-8 become U+FFFD."""
     raw = b"".join([table[i] for i in ids])
-    return raw[raw.startswith(b" "):].decode("utf-8", "replace")
+    return raw[prefix and raw.startswith(b" "):].decode("utf-8", "replace")
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
@@ -182,13 +219,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
 def decoded(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str = MODEL) -> DataFrame:
     """One row per row of ``encoded``: id and text. Null ids give a null text."""
-    table = Vocabulary.load(model).decoder()
+    vocabulary = Vocabulary.load(model)
+    table, prefix = vocabulary.decoder(), vocabulary.prefix
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                texts = [None if x is None else decode(x, table) for x in part.column("ids").to_pylist()]
+                texts = [None if x is None else decode(x, table, prefix) for x in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(texts, pa.string())], names=["id", "text"])
 
     rows = encoded.select(encoded[id_col].alias("id"), encoded[ids_col].alias("ids"))
@@ -202,7 +240,7 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     and, if asked for, ids array<int>.
 
     Null and empty texts have no tokens and come back as the empty text. A
-    text that holds U+2581 itself comes back with spaces there (round_trip is
+    model that normalises texts gives back the normalised one. A text that holds U+2581 itself comes back with spaces there (round_trip is
     false), as the format cannot tell them apart. Repeated rows and null ids
     keep a row each; other columns are not read.
     """
@@ -223,7 +261,7 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
                     every.append(numbers)
                     n_bytes.append(int(is_byte[numbers].sum()))
                     digest.append(hashlib.sha256(numbers.tobytes()).hexdigest())
-                    same.append(decode(ids, table) == t)
+                    same.append(decode(ids, table, vocabulary.prefix) == vocabulary.plain(t))
                 columns = [part.column("id"), pa.array(n, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(digest, pa.string()), pa.array(same, pa.bool_())]
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate(every))))

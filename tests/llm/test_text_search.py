@@ -174,18 +174,84 @@ def test_viterbi_against_brute_force(vocabulary, spark):
         assert pieces.decode(ids, table) == t
 
 
-def test_viterbi_against_the_unigram_encoder(vocabulary):
-    """The library's own unigram search over the same pieces reaches no better score."""
+def unigram_model(texts_pieces, byte_fallback=False, **rules):
+    """A model file put together by hand: (piece, score) pairs, no training."""
+    from sentencepiece import sentencepiece_model_pb2 as proto
+    m, kinds = proto.ModelProto(), proto.ModelProto.SentencePiece
+    m.pieces.add(piece="<unk>", score=0, type=kinds.UNKNOWN)
+    m.pieces.add(piece="<s>", score=0, type=kinds.CONTROL)
+    if byte_fallback:
+        for b in range(256):
+            m.pieces.add(piece=f"<0x{b:02X}>", score=0, type=kinds.BYTE)
+    for p, x in texts_pieces:
+        m.pieces.add(piece=p, score=x, type=kinds.NORMAL)
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback = proto.TrainerSpec.UNIGRAM, byte_fallback
+    m.normalizer_spec.name = "identity"
+    m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces, m.normalizer_spec.escape_whitespaces = True, False, True
+    for k, v in rules.items():
+        setattr(m.normalizer_spec, k, v)
+    return m.SerializeToString()
+
+
+@pytest.mark.parametrize("byte_fallback", [False, True])
+@pytest.mark.parametrize("rules", [{}, {"add_dummy_prefix": False}, {"remove_extra_whitespaces": True}, {"add_dummy_prefix": False, "remove_extra_whitespaces": True}])
+def test_ids_of_a_unigram_model_are_the_librarys(stored_docs, tmp_path, byte_fallback, rules):
     import sentencepiece
-    pb2 = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
-    m = pb2.ModelProto()
+    rng = random.Random(11)
+    some = {"".join(rng.choice("abcé▁") for _ in range(rng.choice([1, 2, 3, 5]))) for _ in range(150)} | {"▁"}
+    raw = unigram_model([(p, -rng.random() * 12) for p in sorted(some)], byte_fallback, **rules)
+    own, lib = Vocabulary.parse(raw), sentencepiece.SentencePieceProcessor(model_proto=raw)
+    texts = ["".join(rng.choice("aabbcéx✓ ") for _ in range(rng.randrange(60))) for _ in range(400)] + ["", " ", "   ", "xx", " ✓✓ ✓", "a  b", "ab ", "\t a"]
+    score = {i: x for i, x in own.scores.values()}
+    total = lambda ids: sum(score.get(i, 0) for i in ids)
+    same = {t: own.encode(t) == lib.encode(t) for t in texts}
+    # the library adds up in single precision: of segmentations with equal scores it may give either
+    assert all(ok or total(own.encode(t)) == total(lib.encode(t)) for t, ok in same.items()) and sum(same.values()) > 0.98 * len(same)
+    path = str(tmp_path / "m.model")
+    with open(path, "wb") as f:
+        f.write(raw)
+    rows = pieces.tokenized(stored_docs(list(enumerate(texts))), model=path, with_ids=True).collect()
+    assert {r.doc_id: r.ids for r in rows} == {i: own.encode(t) for i, t in enumerate(texts)}
+    if byte_fallback:
+        assert all(r.round_trip for r in rows)
+
+
+def test_given_pieces_against_the_librarys_unigram_search(vocabulary, spark):
+    """The library's unigram search over the same pieces and scores gives the same ids, word by word (ties aside)."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as proto
     with open(pieces.MODEL, "rb") as f:
-        m.ParseFromString(f.read())
-    m.trainer_spec.model_type = 1
-    own = sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString())
-    score = {i: s for i, s in vocabulary.scores.values()}
-    for t in ["the quick brown fox", "une petite maison", "token streams", "a b c"]:
-        assert sum(score[i] for i in vocabulary.encode(t)) >= sum(score.get(i, vocabulary.unknown) for i in own.encode(t))
+        m = proto.ModelProto.FromString(f.read())
+    m.trainer_spec.model_type = proto.TrainerSpec.UNIGRAM
+    for p in m.pieces:
+        if p.type == proto.ModelProto.SentencePiece.NORMAL:
+            p.score = vocabulary.scores[p.piece][1] / pieces.SCALE
+    lib = sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString())
+    words = sorted({w for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect() for w in (r.text or "").split(" ") if len(w) < 60})
+    assert len(words) > 1000
+    score = {i: x for i, x in vocabulary.scores.values()}
+    other = [(vocabulary.encode(w), lib.encode(w)) for w in words if vocabulary.encode(w) != lib.encode(w)]
+    # of segmentations with equal scores the library may give either
+    assert all(sum(score.get(i, 0) for i in a) == sum(score.get(i, 0) for i in b) for a, b in other) and len(other) < 0.02 * len(words)
+
+
+def test_about_as_many_tokens_as_the_librarys_merges(spark):
+    import sentencepiece
+    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rows = {r.doc_id: r.n_tokens for r in QUERIES["op1_sentencepiece"](spark, SMALL).collect()}
+    texts = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    assert sum(rows.values()) <= 1.05 * sum(len(lib.encode(r.text or "")) for r in texts)
+
+
+def test_models_of_other_kinds_are_refused():
+    from sentencepiece import sentencepiece_model_pb2 as proto
+    m = proto.ModelProto.FromString(unigram_model([("a", -1.0)]))
+    m.trainer_spec.model_type = proto.TrainerSpec.WORD
+    with pytest.raises(ValueError):
+        Vocabulary.parse(m.SerializeToString())
+    m.trainer_spec.model_type, m.trainer_spec.treat_whitespace_as_suffix = proto.TrainerSpec.UNIGRAM, True
+    with pytest.raises(ValueError):
+        Vocabulary.parse(m.SerializeToString())
 
 
 def test_tokens_of_odd_rows(odd_docs, stored_docs):

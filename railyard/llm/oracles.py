@@ -42,9 +42,13 @@ def _shingles(table: str, key: str, k: int, word: str) -> str:
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _NOT_SPACE = r"[^ \t\n\x0B\f\r]+"
 
+# an item with fewer words than a shingle stands where all its words stand in a row
 DECONTAMINATE = f"""
-WITH d AS ({_shingles('documents', 'doc_id', 5, _ALNUM)}),
+WITH w AS (SELECT doc_id AS id, regexp_extract_all({_LOWER.format('text')}, '{_ALNUM}') AS w FROM documents),
 b AS ({_shingles('benchmark', 'item_id', 5, _ALNUM)}),
+few AS (SELECT DISTINCT len(string_split(gram, ' ')) - 1 AS m FROM b WHERE gram LIKE 'short %'),
+d AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS gram FROM w
+      UNION SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - m + 2), lambda i: 'short ' || array_to_string(w[i:i + m - 1], ' '))) FROM w, few),
 n AS (SELECT id, count(*) AS n FROM b GROUP BY id),
 x AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS k FROM d JOIN b ON d.gram = b.gram GROUP BY ALL)
 SELECT doc_id, item_id, n AS n_item, k AS n_shared, k / n AS containment

@@ -84,11 +84,16 @@ def grams(text, k=5):
     return {tuple(w[i:i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
 
 
+def runs(t, n):
+    w = words(t)
+    return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)}
+
+
 def contained(docs, items, percent=80):
     sets = {i: grams(t) for i, t in items}
     out = []
     for d, t in docs:
-        own = grams(t)
+        own = grams(t) | {g for n in range(1, 5) for g in runs(t, n)}
         for i, s in sets.items():
             if s and 100 * len(s & own) >= percent * len(s):
                 out.append((d, i, len(s), len(s & own)))
@@ -116,6 +121,39 @@ def test_containment_against_brute_force(stored_docs):
     assert sorted((r.doc_id, r.item_id, r.n_item, r.n_shared) for r in got) == want and len(want) > 100
 
 
+def test_items_of_one_to_four_words_inside_texts(stored_docs):
+    items = [(1, "the answer is forty"), (2, "Forty two!"), (3, "is"), (4, "answer, the"), (5, "a b c d e")]
+    docs = [(1, "what is said before the answer is forty two is said"), (2, "forty-two"), (3, "the answer was: forty"), (4, "this answer"), (5, "is"), (6, "a b c d"), (7, "the"), (8, None)]
+    got = decontaminate.contained_items(stored_docs(docs), stored_docs(items, "item_id long, text string", files=1)).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (1, 2), (1, 3), (2, 2), (5, 3)]
+    assert sorted((r.doc_id, r.item_id, r.n_item, r.n_shared) for r in got) == contained(docs, items)
+
+
+def test_short_items_in_sql(spark, stored_docs):
+    import duckdb
+    from railyard.llm import oracles
+    con = duckdb.connect()
+    docs = [(1, "what is said before the answer is forty two is said"), (2, "forty-two"), (3, "one two three four five six"), (4, None), (5, "is")]
+    items = [(1, "the answer is forty"), (2, "Forty two!"), (3, "is"), (4, "one two three four five"), (5, "")]
+    for name, key, rows in (("documents", "doc_id", docs), ("benchmark", "item_id", items)):
+        con.execute(f"CREATE TABLE {name} ({key} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    want = sorted(r[:4] for r in con.execute(oracles.DECONTAMINATE).fetchall())
+    got = decontaminate.contained_items(stored_docs(docs), stored_docs(items, "item_id long, text string", files=1)).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_item, r.n_shared) for r in got) == want == contained(docs, items) and len(want) == 6
+
+
+def test_bitmaps_follow_the_items(spark):
+    grams = spark.createDataFrame([(g,) for g in (0, 1, 63, 64, -1, 1 << 40, 12345678901)], "gram long")
+    for bits in (7, 20, 24):
+        import numpy as np
+        have = decontaminate._bitmap(grams, bits)
+        probe = np.array([0, 1, 2, 63, 64, 65, 1 << 40, 12345678901, (1 << 64) - 1], np.uint64)
+        mask = (1 << bits) - 1
+        want = [int(p) & mask in {g & mask for g in (0, 1, 63, 64, -1, 1 << 40, 12345678901)} for p in probe]
+        assert decontaminate._holds(have, probe).tolist() == want
+
+
 def test_containment_of_odd_rows(odd_docs, stored_docs):
     items = stored_docs([(1, "beta gamma delta epsilon zeta eta")], "item_id long, text string")
     got = decontaminate.contained_items(odd_docs, items).collect()

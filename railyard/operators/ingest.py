@@ -62,9 +62,10 @@ def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     those whose ``md5(key:seed)`` is smallest. ``key`` is a unique column, so
     copies of a value are drawn independently; the call refuses to run without.
 
-    One pass counts the rows of each bucket (the hash's first four digits).
-    Buckets wholly before the n-th row are kept as they are; only the bucket
-    that holds it is ordered, so no task merges n rows."""
+    Two scans: one counts the rows of each bucket (the hash's first four digits),
+    the other keeps whole buckets before the n-th row and the first rows of the
+    bucket that holds it. What is kept is ordered bucket by bucket, so no task
+    merges n rows."""
     if key not in df.columns:
         raise ValueError(f"sampling needs a unique key column; {key!r} is none of {df.columns}")
     h = F.md5(F.concat(F.col(f"`{key}`").cast("string"), F.lit(f":{seed}")).cast("binary"))
@@ -75,9 +76,9 @@ def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     edge = upto.where((F.col("s") >= n) & (F.col("s") - F.col("c") < n)).select("b", (F.col("s") - F.col("c")).alias("before")).first()
     if edge is None:  # fewer than n rows
         return df
-    whole = hashed.where(bucket < edge.b)
-    last = hashed.where(bucket == edge.b).orderBy("_h", f"`{key}`").limit(n - edge.before)
-    return whole.unionByName(last).drop("_h")
+    kept = hashed.withColumn("_b", bucket).where(F.col("_b") <= edge.b)
+    place = F.row_number().over(Window.partitionBy("_b").orderBy("_h", f"`{key}`"))
+    return kept.withColumn("_i", place).where((F.col("_b") < edge.b) | (F.col("_i") <= n - edge.before)).drop("_h", "_b", "_i")
 
 
 def run_id(run_date: str, run_ts: dt.datetime) -> str:

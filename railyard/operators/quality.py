@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.coerce import snake_case_names, to_number, trim_strings
+from ..session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -33,16 +34,39 @@ class DataQualityConfig:
     min_rows: int = 1
 
 
-def basic_cleaning(df: DataFrame) -> DataFrame:
-    """Snake-case names, drop full duplicate rows, then strip text columns.
+#: Digests of repeated rows (16 bytes each) are broadcast up to so many.
+BROADCAST_DIGESTS = 1_000_000
+
+
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """``df`` without full duplicates (nulls equal each other), for stored tables
+    of wide rows: 128-bit digests are shuffled, and rows only if their digest
+    occurs more than once; these are compared in full, so no row goes by a
+    digest alone. With more repeated digests than can be broadcast, all rows
+    are shuffled. ``df`` is read three times."""
+    cols = [_col(c) for c in df.columns]
+    one = F.xxhash64(*cols)
+    two = F.xxhash64(F.lit(1), *cols, *[c.isNull() for c in cols])  # nulls do not count in a hash by themselves
+    rows = df.select(one.alias("__one"), two.alias("__two"), "*")
+    repeated = cut_lineage(rows.groupBy("__one", "__two").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
+    if repeated.count() > BROADCAST_DIGESTS:
+        return df.dropDuplicates()
+    single, more = (rows.join(F.broadcast(repeated), ["__one", "__two"], kind).select(*cols) for kind in ("left_anti", "left_semi"))
+    return single.unionByName(more.dropDuplicates())
+
+
+def basic_cleaning(df: DataFrame, by_digest: bool = False) -> DataFrame:
+    """Snake-case names, drop full duplicate rows (:func:`distinct_rows` with
+    ``by_digest``), then strip text columns.
 
     The order matters: rows that differ only by surrounding spaces are still
     distinct when duplicates are dropped, as in the rule this follows."""
-    return trim_strings(snake_case_names(df).dropDuplicates())
+    named = snake_case_names(df)
+    return trim_strings(distinct_rows(named) if by_digest else named.dropDuplicates())
 
 
 def _col(name: str) -> F.Column:
-    return F.col(f"`{name}`")
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def _is_missing(df: DataFrame, name: str) -> F.Column:

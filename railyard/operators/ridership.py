@@ -14,9 +14,11 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.coerce import hour_of, month_start, nan_to_null, parse_day_first, py_round, sum0, to_number
 from ..functions.lines import ALL_LINES, canonical_line_az, in_lines
+from ..session import cut_lineage
 
 
 def sort_small(df: DataFrame, *cols) -> DataFrame:
@@ -287,38 +289,28 @@ def find_role_column(columns, role: str) -> str | None:
 def dataset_summary(df: DataFrame, n_top: int = 5, n_hours: int = 10) -> DataFrame:
     """Top stations, top lines and busiest hours by row count, in long form
     (section, key, n, rank). Columns are found by name (first name containing
-    a station, line or time word)."""
-    parts = []
-
-    def first_containing(*words: str) -> str | None:
-        return next((c for c in df.columns if any(wd in c.lower() for wd in words)), None)
-
-    station = first_containing("estacion", "station")
-    line = first_containing("linea", "line")
-    time_col = first_containing("hora", "time")
-
-    def top(col: F.Column, section: str, k: int) -> DataFrame:
-        g = df.where(col.isNotNull()).groupBy(col.alias("key")).count()
-        ranked = g.orderBy(F.desc("count"), F.asc("key")).limit(k)
-        # the window runs over the k rows left by the top-k, not over the groups
-        rank = F.row_number().over(Window.orderBy(F.desc("count"), F.asc("key")))
-        return ranked.select(
-            F.lit(section).alias("section"), F.col("key").cast("string").alias("key"),
-            F.col("count").alias("n"), rank.cast("long").alias("rank"),
-        )
-
-    if station:
-        parts.append(top(F.col(station), "top_stations", n_top))
-    if line:
-        parts.append(top(F.col(line), "top_lines", n_top))
-    if time_col:
-        parts.append(top(hour_of(F.col(time_col)), "hour_peaks", n_hours))
-    if not parts:
+    a station, line or time word). One scan: a row counts in each section, and
+    counts are combined in the tasks; a section's first keys are picked in the
+    tasks too. Ties go to the smaller key (by number where keys are numbers)."""
+    def first_containing(*words: str) -> F.Column | None:
+        name = next((c for c in df.columns if any(wd in c.lower() for wd in words)), None)
+        return None if name is None else F.col(name)
+
+    time = first_containing("hora", "time")
+    sections = [("top_stations", first_containing("estacion", "station"), n_top), ("top_lines", first_containing("linea", "line"), n_top),
+                ("hour_peaks", None if time is None else hour_of(time), n_hours)]
+    sections = [s for s in sections if s[1] is not None]
+    if not sections:
         raise ValueError("no station, line or time column found")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    numbers = [isinstance(f.dataType, T.NumericType) for f in df.select(*[c for _, c, _ in sections]).schema.fields]
+    keys = F.array(*[F.struct(F.lit(name).alias("section"), c.cast("string").alias("key"),
+                              (c.try_cast("decimal(38,10)") if number else F.lit(None).cast("decimal(38,10)")).alias("number"))
+                     for (name, c, _), number in zip(sections, numbers)])
+    counts = df.select(F.inline(keys)).where(F.col("key").isNotNull()).groupBy("section", "key", "number").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("n"), "number", "key")).cast("long")
+    ranked = counts.withColumn("rank", rank).where(F.col("rank") <= max(k for *_, k in sections))
+    kept = F.create_map(*[F.lit(x) for name, _, k in sections for x in (name, k)])[F.col("section")]
+    return ranked.where(F.col("rank") <= kept).select("section", "key", "n", "rank")
 
 
 def summary_maps(summary: DataFrame) -> DataFrame:
@@ -346,7 +338,9 @@ def lines_union(*frames: DataFrame, line: str = "line") -> DataFrame:
 def densify_monthly(monthly_df: DataFrame, value: str = "passengers") -> DataFrame:
     """Fill every month between the first and the last month of the data, for
     every line, with 0 where a line has no rows. The calendar is generated per
-    line from the global range, so no pair of data rows is ever formed."""
+    line from the global range, so no pair of data rows is ever formed. The
+    monthly sums (a row per month and line) are written once."""
+    monthly_df = cut_lineage(monthly_df)
     bounds = monthly_df.select(F.to_date(F.concat("month", F.lit("-01"))).alias("m"))
     lo = bounds.select(F.min("m")).scalar()
     hi = bounds.select(F.max("m")).scalar()

@@ -76,7 +76,7 @@ _RAW_COLS = {"fecha": '" Fecha"', "hora": '"Hora"', "linea": '"LINEA"', "estacio
 @query("dedup_trim", sql(["turnstiles_raw"], [], "SELECT " + ", ".join(
     f"{duck.strip(src)} AS {dst}" for dst, src in _RAW_COLS.items()) + " FROM (SELECT DISTINCT * FROM turnstiles_raw)"))
 def dedup_trim(spark, sf_dir):
-    return q.basic_cleaning(view(spark, sf_dir, "turnstiles_raw"))
+    return q.basic_cleaning(view(spark, sf_dir, "turnstiles_raw"), by_digest=True)
 
 
 _ISSUES_SQL = """

@@ -95,3 +95,11 @@ def test_incident_log_loses_nothing(spark, tmpdir_path):
     ing.append_log(rows(("b", None, "no time either"), ("m", day + dt.timedelta(days=1), "moved")), tmpdir_path, "incidents", "two")
     got = sorted(r.description for r in ing.read_log(spark, tmpdir_path, "incidents").collect())
     assert got == ["moved", "no id", "no id too", "no time", "no time either"]
+
+
+def test_sampling_and_summary_scan_their_input_once_more(spark):
+    """The plans of what is returned: one scan each (sampling has counted its buckets in another)."""
+    from railyard.plans import QUERIES
+    for name in ("sample_n", "dataset_summary"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 1, name

@@ -1,3 +1,5 @@
+import pytest
+
 from railyard.operators import quality as q
 
 
@@ -142,3 +144,26 @@ def test_bounds_tell_which_columns_have_far_values(spark):
     assert set(res.anomaly_columns) == far == {"low", "high"} and res.is_acceptable
     seen = q.observed_save(df, lambda d: d.write.format("noop").mode("overwrite").save(), q.Measures(df, cfg, cfg.numeric_columns).plain)
     assert q.quality_result(61, df, cfg, observed=seen).first() == res
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_distinct_rows_by_digest(spark, monkeypatch, most):
+    monkeypatch.setattr(q, "BROADCAST_DIGESTS", most)
+    rows = [("a", None, 1.0), (None, "a", 1.0), ("a", None, 1.0), ("b", "b", float("nan")), ("b", "b", float("nan")), ("c", "c", 0.0), ("c", "c", -0.0), (None, None, None), (None, None, None), ("d", "d", 2.0)]
+    df = spark.createDataFrame(rows, "x string, `y z` string, v double").repartition(4)
+    assert sorted(map(repr, q.distinct_rows(df).collect())) == sorted(map(repr, df.dropDuplicates().collect()))
+    assert q.distinct_rows(df).count() == 6 and q.distinct_rows(df.limit(0)).count() == 0
+
+
+def test_equal_digests_of_different_rows_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(q.F, "xxhash64", lambda *c: q.F.lit(7).cast("long"))
+    df = spark.createDataFrame([(i % 3, "x") for i in range(9)], "a long, b string")
+    assert sorted(map(tuple, q.distinct_rows(df).collect())) == [(0, "x"), (1, "x"), (2, "x")]
+
+
+def test_rows_with_digests_of_their_own_are_not_shuffled(spark):
+    from railyard.plans import QUERIES
+    out = QUERIES["dedup_trim"](spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    single, more = plan.split("\n   +- ", 1)  # the two sides of the union
+    assert "LeftAnti" in single and "Exchange hashpartitioning" not in single and "LeftSemi" in more

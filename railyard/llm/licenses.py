@@ -6,15 +6,22 @@ the texts hashes all k-grams and keeps those whose hash falls into a bitmap of
 the template hashes (a semi-join of fixed size), and a Spark join with the
 template positions turns each survivor into votes for a diagonal, the
 document's word position minus the template's. Votes are gathered per document,
-template and diagonal, and a place counts if the share of the template's
-k-grams that voted (each counted once) reaches the template's threshold. A
+template and diagonal, and a place is a candidate if the share of the template's
+k-grams that voted (each counted once) reaches what the template's threshold
+leaves of them (:func:`votes_needed`). A
 diagonal that reaches it alone is a place. Of the others, votes of neighbouring
 diagonals within twice the template's length count together (words were
 inserted or left out). More votes never take a place away. Base phrases need
 every k-gram on one diagonal, which is the phrase standing there word for word.
 
-The templates are a fixed part of the library (a few hundred k-grams), which
-bounds the joined side.
+Votes say where to look. Every other place is then verified on the words: the
+document's words there (and ``NEIGHBOURS`` on either side) are aligned with the
+template's, and the share of the template in their longest common subsequence
+is the place's score, which must reach the threshold too.
+
+Templates are the caller's (:func:`templates_from` takes a table) or the
+library's own; their k-grams and words are sent to every task, so their number
+is bounded (``MOST_WORDS``).
 """
 
 from __future__ import annotations
@@ -27,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import license_texts
 from .common import row_ids, stored
 from .textblocks import ALNUM, blocks, mix, rolling, word_hashes, word_spans
 
@@ -34,6 +42,10 @@ from .textblocks import ALNUM, blocks, mix, rolling, word_hashes, word_spans
 GRAM = 4
 #: Diagonals so near each other vote together.
 NEIGHBOURS = 8
+#: Words of all templates at most, and bits of the bitmap of their k-grams as a power of two.
+MOST_WORDS, BITMAP_BITS = 200_000, 20
+#: Documents with places to verify are picked by a broadcast list up to so many, else by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -64,7 +76,25 @@ TEXTS = (
     Template("cc_by_4", "cc-by-4.0", "Licensed under CC BY 4.0", 0.9),
     Template("reserved_notice", "reserved", "Unauthorized copying or reproduction of this material without permission is prohibited", 0.6),
 )
-TEMPLATES = BASE + TEXTS
+# The same licenses as a whole.
+WHOLE = (
+    Template("mit_whole", "mit", license_texts.MIT), Template("isc_whole", "isc", license_texts.ISC), Template("bsd_2_whole", "bsd", license_texts.BSD_2),
+    Template("bsd_3_whole", "bsd", license_texts.BSD_3, 0.8), Template("zlib_whole", "zlib", license_texts.ZLIB), Template("apache_whole", "apache-2.0", license_texts.APACHE_NOTICE),
+    Template("mpl_whole", "mpl-2.0", license_texts.MPL_NOTICE), Template("gpl_whole", "gpl", license_texts.GPL_NOTICE), Template("lgpl_whole", "lgpl", license_texts.LGPL_NOTICE, 0.8),
+    Template("unlicense_whole", "unlicense", license_texts.UNLICENSE), Template("cc_by_deed", "cc", license_texts.CC_BY_DEED),
+)
+TEMPLATES = BASE + TEXTS + WHOLE
+
+
+def templates_from(rows: DataFrame, base: tuple[Template, ...] = BASE) -> tuple[Template, ...]:
+    """Templates of a table (name, label, text, share: null is 0.5) after the
+    base phrases. Rows without a label or a word are left out; texts of more
+    than ``MOST_WORDS`` words in all raise ValueError."""
+    found = rows.select("name", "label", "text", "share").where("label is not null and text is not null").orderBy("label", "name", "text").limit(MOST_WORDS + 1).collect()
+    given = tuple(Template(r.name or r.label, r.label, r.text, 0.5 if r.share is None else float(r.share)) for r in found if len(_words(r.text)))
+    if sum(len(_words(t.text)) for t in given) > MOST_WORDS:
+        raise ValueError(f"the templates have more than {MOST_WORDS} words")
+    return base + given
 
 
 def _words(text: str) -> np.ndarray:
@@ -93,9 +123,10 @@ def template_votes(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
     """(uid, id, n_words and the surviving k-grams of each row; the template positions table)."""
     grams = template_grams(templates)
     sizes = sorted({g[2] for g in grams})
-    bitmap = {k: np.zeros(1 << 16, bool) for k in sizes}
+    mask = (1 << BITMAP_BITS) - 1
+    bitmap = {k: np.zeros(1 << BITMAP_BITS, bool) for k in sizes}
     for _, _, k, _, g in grams:
-        bitmap[k][g & 0xFFFF] = True
+        bitmap[k][g & mask] = True
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,7 +136,7 @@ def template_votes(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
                 place, value = [], []
                 for k in sizes:
                     own = _sized(rolling(words, k), k)
-                    p = np.flatnonzero(bitmap[k][(own & np.uint64(0xFFFF)).astype(np.int64)])
+                    p = np.flatnonzero(bitmap[k][(own & np.uint64(mask)).astype(np.int64)])
                     row = np.searchsorted(at, p, "right") - 1
                     p = p[p + k <= at[row + 1]]
                     place.append(p)
@@ -128,15 +159,21 @@ def template_votes(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
     return scanned, table
 
 
+def votes_needed(share: float) -> float:
+    """The share of k-grams that makes a place a candidate: a changed word takes
+    ``GRAM`` k-grams away, but with less than three in ten no place is looked at."""
+    return min(share, max(0.3, 1 - GRAM * (1 - share)))
+
+
 def license_places(scanned: DataFrame, table: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
-    """Verified places: uid, template, start, stop (words), share of the template's k-grams that voted."""
+    """Places by votes: uid, template, start, stop (words), share of the template's k-grams that voted."""
     votes = (scanned.where(F.size("hits") > 0).select("uid", F.explode("hits").alias("h")).select("uid", "h.at", "h.gram")
-             .join(F.broadcast(table), "gram")  # a few hundred rows, fixed by the library
+             .join(F.broadcast(table), "gram")  # a row per word of the templates, at most MOST_WORDS
              .groupBy("uid", "template", (F.col("at") - F.col("pos")).alias("diagonal"))
              .agg(F.collect_set("pos").alias("voted"), F.min("at").alias("first"), F.max(F.col("at") + F.col("k")).alias("last"),
                   F.first("k").alias("k"), F.first(F.col("length") - F.col("k") + 1).alias("grams"), F.first("length").alias("length"))
              .withColumn("share", F.size("voted") / F.col("grams")))
-    enough = F.col("share") >= spark_map({i: t.share for i, t in enumerate(templates)})[F.col("template")]
+    enough = F.col("share") >= spark_map({i: votes_needed(t.share) for i, t in enumerate(templates)})[F.col("template")]
     base = F.col("template").isin([i for i, t in enumerate(templates) if t.base])
     exact = votes.where(base & (F.size("voted") == F.col("grams"))).select(
         "uid", "template", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("length")).alias("stop"), F.lit(1.0).alias("share"))
@@ -165,6 +202,55 @@ def license_places(scanned: DataFrame, table: DataFrame, templates: tuple[Templa
     return exact.unionByName(alone).unionByName(merged)
 
 
+def common_words(words: list[int], template: dict[int, int], size: int) -> int:
+    """Length of the longest common subsequence of the words and a template of
+    ``size`` words, given as the bit set of each word's places (bit-parallel)."""
+    every = (1 << size) - 1
+    row = every
+    for w in words:
+        met = row & template.get(w, 0)
+        row = ((row + met) | (row - met)) & every
+    return size - row.bit_count()
+
+
+def verified(docs: DataFrame, places: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text_col: str = "text") -> DataFrame:
+    """``places`` of base phrases as they are, of the others those whose words
+    align with enough of the template; share is then the aligned share."""
+    base = F.col("template").isin([i for i, t in enumerate(templates) if t.base])
+    places = stored(places, "places")
+    asked = stored(places.where(~base).groupBy("uid").agg(F.collect_set(F.struct("template", "start", "stop")).alias("places")), "to_verify")
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked
+    sets: dict[int, tuple[dict[int, int], int]] = {}
+    for i, t in enumerate(templates):
+        if not t.base:
+            at: dict[int, int] = {}
+            words = _words(t.text).tolist()
+            for p, w in enumerate(words):
+                at[w] = at.get(w, 0) | 1 << p
+            sets[i] = (at, len(words))
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, border in blocks(batch, "text"):
+                starts, ends, at = word_spans(data, border, ALNUM)
+                words = word_hashes(data, starts, ends)
+                out = []
+                for row, (uid, own) in enumerate(zip(part.column("uid").to_pylist(), part.column("places").to_pylist())):
+                    text = words[at[row]:at[row + 1]]
+                    for p in own:
+                        near = text[max(0, p["start"] - NEIGHBOURS):p["stop"] + NEIGHBOURS].tolist()
+                        share = common_words(near, *sets[p["template"]]) / sets[p["template"]][1]
+                        if share >= templates[p["template"]].share:
+                            out.append((uid, p["template"], p["start"], p["stop"], share))
+                if out:
+                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["uid", "template", "start", "stop", "share"])
+
+    rows = docs.select(row_ids(docs), docs[text_col].alias("text")).join(asked, "uid")
+    found = rows.select("uid", "text", "places").mapInArrow(align, "uid bigint, template int, start bigint, stop bigint, share double")
+    return places.where(base).select("uid", "template", "start", "stop", "share").unionByName(found)
+
+
 def spark_map(values: dict):
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
@@ -173,15 +259,15 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: id, n_words, n_base (places of base phrases),
     first_word and last_word (their smallest and largest start, else null),
     base_labels and labels (distinct, sorted, comma-joined; labels holds the
-    base ones too) and score: the largest share of a template's k-grams found
-    at one place (0 without any).
+    base ones too) and score: the largest share of a template's words that a
+    place has in their order (0 without any place).
 
     Words are lower-cased (A-Z). Null or empty texts have no words and no
-    places; equal rows and equal or null ids keep a row each; other columns
-    are not read; an empty table gives an empty result.
+    places; texts are taken whole; equal rows and equal or null ids keep a row
+    each; other columns are not read; an empty table gives an empty result.
     """
     scanned, table = template_votes(docs, templates, text_col, id_col)
-    places = license_places(scanned, table, templates)
+    places = verified(docs, license_places(scanned, table, templates), templates, text_col)
     base = F.col("template").isin([i for i, t in enumerate(templates) if t.base])
     label = spark_map({i: t.label for i, t in enumerate(templates)})[F.col("template")]
     found = places.groupBy("uid").agg(

@@ -61,6 +61,58 @@ def test_licenses_of_repeated_and_dual_notices(stored_docs):
     assert all(got[i].score == 1 for i in range(7)) and all(0.5 <= got[i].score < 1 for i in range(7, 11)) and got[11].score == 0
 
 
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_aligned_words_against_plain_alignment():
+    rng = random.Random(8)
+    for _ in range(300):
+        a, b = ([rng.randrange(6) for _ in range(rng.randrange(1, 40))] for _ in range(2))
+        places = {w: sum(1 << i for i, x in enumerate(b) if x == w) for w in b}
+        assert licenses.common_words(a, places, len(b)) == lcs(a, b)
+
+
+def test_places_are_verified_on_the_words(stored_docs):
+    """Whole licenses, with changed words, and their sentences in another order, which votes alone take for them."""
+    from railyard.llm import license_texts
+    mit = words(license_texts.MIT)
+    runs_of_six = [mit[i:i + 6] for i in range(0, len(mit), 6)]
+    shuffled = [w for i in (*range(1, len(runs_of_six), 2), *range(0, len(runs_of_six), 2)) for w in runs_of_six[i]]
+    changed = ["other" if i % 9 == 0 else w for i, w in enumerate(mit)]
+    whole = [t for t in licenses.WHOLE if t.name == "mit_whole"]
+    docs = [(1, "x " * 30 + license_texts.MIT), (2, " ".join(changed)), (3, " ".join(shuffled)), (4, " ".join(reversed(mit))), (5, license_texts.BSD_3), (6, license_texts.ZLIB.upper())]
+    table = licenses.BASE + tuple(licenses.Template(t.name, t.label, t.text, 0.8) for t in whole)
+    got = {r.doc_id: r for r in licenses.license_scan(stored_docs(docs), templates=table).collect()}
+    assert {i: r.labels for i, r in got.items()} == {1: "mit", 2: "mit", 3: "", 4: "", 5: "", 6: ""}
+    assert got[1].score == 1 and got[2].score == lcs(changed, mit) / len(mit)
+    every = {r.doc_id: set(r.labels.split(",")) for r in licenses.license_scan(stored_docs(docs)).collect()}
+    assert every[1] == {"mit"} and every[5] == {"bsd"} and every[6] == {"zlib"}
+
+
+def test_templates_of_a_table(spark, stored_docs):
+    rows = [("own", "house", "this text belongs to the house and to nobody else at all", None), (None, "none", None, 1.0), ("empty", "none", " .", 1.0), ("strict", "exact", "take it or leave it as it is", 1.0)]
+    table = licenses.templates_from(spark.createDataFrame(rows, "name string, label string, text string, share double"))
+    assert [t.label for t in table] == ["cc-by", "gpl", "reserved", "exact", "house"]
+    got = licenses.license_scan(stored_docs([(1, "note: this text belongs to the house and to nobody, all rights reserved"), (2, "take it or leave it, as it was")]), templates=table).collect()
+    assert {r.doc_id: r.labels for r in got} == {1: "house,reserved", 2: ""}
+
+
+def test_license_scan_of_odd_rows(odd_docs, stored_docs):
+    text = licenses.TEXTS[0].text
+    rows = [(1, text, "a", 1, 2)] * 3 + [(None, text, None, None, None), (None, None, None, None, None), (2, "", "b", 0, 0), (3, "cc by " + "word " * 50000 + text, "c", 0, 0)]
+    docs = stored_docs(rows, "doc_id long, text string, id string, uid int, n_words int")
+    got = licenses.license_scan(docs).collect()
+    assert sorted((r.doc_id or 0, r.labels, r.n_base) for r in got) == [(0, "", 0), (0, "mit", 0), *[(1, "mit", 0)] * 3, (2, "", 0), (3, "cc-by,mit", 1)]
+    assert licenses.license_scan(odd_docs).count() == odd_docs.count() and licenses.license_scan(stored_docs([], files=1)).collect() == []
+
+
 def test_license_places_are_split_not_dropped(stored_docs):
     mit = licenses.TEXTS[0].text + ". "
     torn = mit.replace("obtaining", "who gets").replace("software", "whole software")

@@ -26,7 +26,7 @@ from .common import ascii_lower, stored
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 DAMPING = 0.85
 #: Rounds between two looks, and the sum of all changes between them at which ranks have settled.
-ROUNDS_PER_WRITE, SETTLED = 10, 1e-6
+ROUNDS_PER_WRITE, SETTLED = 3, 1e-6
 LINK = r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
 
 

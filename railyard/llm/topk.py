@@ -141,32 +141,39 @@ def _blocks(vectors: DataFrame, dim: int, size: int, by_norm: bool) -> DataFrame
     return packed.join(F.broadcast(offsets), "part").select("ids", "vecs", "longest", (F.col("before") + F.col("at")).alias("block"))
 
 
-def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Inner products of one integer vector with rows of others, exact; beyond 63 bits the largest number with their sign."""
+def _exact(q: np.ndarray, c: np.ndarray):
+    """A function of a row of q and rows of c (integer matrices): their inner
+    products, exact; beyond 63 bits the largest number with their sign."""
     # by Cauchy-Schwarz no partial sum is larger than the product of the lengths
-    most = np.sqrt((q.astype(float) ** 2).sum()) * np.sqrt((c.astype(float) ** 2).sum(1).max(initial=0)) * (1 + 1e-9) + 1
+    longest = [np.sqrt((m.astype(float) ** 2).sum(1).max(initial=0)) for m in (q, c)]
+    most = longest[0] * longest[1] * (1 + 1e-9) + 1
     if most < 2.0 ** 53:
-        return (c.astype(float) @ q.astype(float)).astype(np.int64)
+        qf, cf = q.astype(float), c.astype(float)
+        return lambda i, live: (cf[live] @ qf[i]).astype(np.int64)
     if most < 2.0 ** 62:
-        return c @ q
-    exact = [sum(x * y for x, y in zip(row, q.tolist())) for row in c.tolist()]
-    return np.array([max(-LARGEST, min(LARGEST, x)) for x in exact], np.int64)
+        return lambda i, live: c[live] @ q[i]
 
+    def large(i, live):
+        exact = [sum(x * y for x, y in zip(row, q[i].tolist())) for row in c[live].tolist()]
+        return np.array([max(-LARGEST, min(LARGEST, x)) for x in exact], np.int64)
 
-def _best(ids_q, q, ids_c, c, cr, turn, k, floor):
+    return large
+
+
+def _best(ids_q, qr, ids_c, cr, scores, k, floor):
     """(query row, candidate row, score) of the k best candidates of each query
-    among one block, ties to the smaller id. ``cr``: the rotated candidates."""
-    lead = min(LEAD, turn.shape[1])
-    qr = q.astype(float) @ turn
+    among one block, ties to the smaller id. ``qr`` and ``cr``: rotated vectors;
+    ``scores``: of :func:`_exact`."""
+    lead = min(LEAD, qr.shape[1])
     rest_q, rest_c = (np.sqrt(np.maximum((x[:, lead:] ** 2).sum(1), 0)) for x in (qr, cr))
     bound = qr[:, :lead] @ cr[:, :lead].T + np.outer(rest_q, rest_c)
-    slack = 1e-6 * (1 + np.abs(qr).max(initial=0) * np.abs(cr).max(initial=0) * q.shape[1])
+    slack = 1e-6 * (1 + np.abs(qr).max(initial=0) * np.abs(cr).max(initial=0) * qr.shape[1])
     out = []
-    for i in range(len(q)):
+    for i in range(len(qr)):
         live = np.flatnonzero((bound[i] + slack >= floor[i]) & (ids_c != ids_q[i]))
         if not len(live):
             continue
-        score = _scores(q[i], c[live])
+        score = scores(i, live)
         if len(live) > k:
             least = np.partition(score, len(live) - k)[len(live) - k]
             pick = np.flatnonzero(score >= least)
@@ -186,11 +193,12 @@ def _pairs(joined: DataFrame, dim: int, turn: np.ndarray, k: int) -> DataFrame:
             for r in batch.to_pylist():
                 ids_q, ids_c = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
                 q, c = (np.frombuffer(r[n], np.int64).reshape(-1, dim) for n in ("q_vecs", "vecs"))
-                cr = c.astype(float) @ turn
+                qr, cr = q.astype(float) @ turn, c.astype(float) @ turn
+                scores = _exact(q, c)
                 floor = np.frombuffer(r["floors"], float) if r["floors"] is not None else np.full(len(q), -np.inf)
                 for lo in range(0, len(q), 256):  # bounds the size of the score matrix
                     part = slice(lo, lo + 256)
-                    a, b, s = _best(ids_q[part], q[part], ids_c, c, cr, turn, k, floor[part])
+                    a, b, s = _best(ids_q[part], qr[part], ids_c, cr, lambda i, live, lo=lo: scores(lo + i, live), k, floor[part])
                     yield pa.RecordBatch.from_arrays([pa.array(ids_q[part][a]), pa.array(ids_c[b]), pa.array(s)], names=["query_id", "vec_id", "score"])
 
     return joined.select("ids", "vecs", "q_ids", "q_vecs", "floors").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")

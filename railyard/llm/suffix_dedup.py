@@ -39,8 +39,10 @@ from .common import row_ids, stored
 from .textblocks import BYTE_VALUE, blocks, mix, powers
 
 LENGTH, GRAM = 50, 24
-#: Rows of a chunk (a power of two), and buckets of a partition that are sorted one after the other.
+#: Rows of a chunk at most (a power of two), and buckets of a partition that are sorted one after the other.
 CHUNK_BITS, BUCKETS_PER_PARTITION = 8, 16
+#: Bytes of a chunk of texts that are all as long as the longest.
+CHUNK_BYTES = 64 << 20
 #: An anchor in more chunks than this is split into single windows.
 SHARED_BY = 2_000
 #: Row ids are broadcast up to so many (8 bytes each), else joined by a shuffle.
@@ -466,18 +468,23 @@ def removed_stretches(rows: DataFrame, length: int = LENGTH, shared_by: int = SH
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-                   shared_by: int = SHARED_BY, chunk_bits: int = CHUNK_BITS) -> DataFrame:
+                   shared_by: int = SHARED_BY, chunk_bits: int | None = None) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans (maximal removed
     runs) and kept_sha256 (of the remaining bytes).
 
     Texts are UTF-8 bytes; null is empty. Rows with one id never repeat each
     other; a row without an id neither loses bytes nor counts as smaller than
     any. Texts shorter than ``length`` stay. Other columns are not read; an
-    empty table gives an empty result. ``length`` is at least 8.
+    empty table gives an empty result. ``length`` is at least 8. A task holds a
+    chunk of 2 ** ``chunk_bits`` texts at once, by default so many (``CHUNK_BITS``
+    at most) that the longest text so often is no more than ``CHUNK_BYTES``.
     """
     rows = docs.select(row_ids(docs), docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     facts = stored(rows.select("uid", "id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("digest")), "facts")
     long = facts.where((F.col("n_bytes") >= length) & F.col("id").isNotNull())
+    if chunk_bits is None:
+        longest = long.agg(F.max("n_bytes")).first()[0] or 1
+        chunk_bits = max(0, min(CHUNK_BITS, (CHUNK_BYTES // longest).bit_length() - 1))
     classes = long.groupBy("digest", "n_bytes").agg(F.min(F.struct("id", "uid")).alias("best"))
     ranked = stored(long.join(classes, ["digest", "n_bytes"]).select("uid", "id", F.col("best.id").alias("least"), F.col("best.uid").alias("first")), "classes")
     others = ranked.where("uid <> first").select("uid")

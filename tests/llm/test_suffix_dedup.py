@@ -91,3 +91,16 @@ def test_anchors_do_not_depend_on_pieces(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 97)
     assert windows(suffix_dedup.anchors(data, border)) == whole
     assert [w for _, w in whole] == [*range(30, 1451), *range(1500, 3951)]
+
+
+def test_chunks_follow_the_longest_text(stored_docs, monkeypatch):
+    """Fewer texts a chunk where one is long; the same result."""
+    rng = random.Random(12)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(90))
+    rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(60)) + shared * (i % 3)) for i in range(40)] + [(99, shared * 40)]
+    used, plain = [], suffix_dedup.removed_stretches
+    monkeypatch.setattr(suffix_dedup, "removed_stretches", lambda rows, length, shared_by, bits: used.append(bits) or plain(rows, length, shared_by, bits))
+    for most, bits in ((64 << 20, 8), (9_000, 1), (1_000, 0)):
+        monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", most)
+        assert result(suffix_dedup.repeated_bytes(stored_docs(rows, files=3))) == brute(rows, 50)
+        assert used.pop() == bits

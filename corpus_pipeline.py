@@ -4,6 +4,14 @@ decontamination, secrets, tokens.
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir)
 and returns a DataFrame that is written as Parquet and read again as the next
 one's ``docs``. All but the last return the columns of ``documents``.
+
+Rows stay as they are but for the secrets stage, which changes texts and their
+n_chars. A null text counts as an empty one: the classifier scores it like any
+other; it is near nothing, contains no item and no secret, and has no tokens.
+Of equal rows the near-duplicate stage keeps one (but for those without words,
+which are linked with nothing), the other stages treat each alike. A row
+without doc_id goes through all stages and is the last that its component would
+keep. Texts are taken whole, of any length. An empty table gives an empty one.
 """
 
 from __future__ import annotations

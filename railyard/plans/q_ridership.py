@@ -137,6 +137,20 @@ def latest_wow(spark, sf_dir):
     return rounded(r.latest(w, "week", "wow"))
 
 
+@query("changes_written", sql(["ridership"], PAX + [_WK, _change_sql("wk", "week", "wow"), _MO, _change_sql("mo", "month", "mom")],
+       "SELECT 'week_changes' AS table_name, line, round(passengers, 4) AS passengers, round(wow, 4) AS change FROM wk_chg WHERE week = (SELECT max(week) FROM wk_chg) "
+       "UNION ALL SELECT 'month_changes', line, round(passengers, 4), round(mom, 4) FROM mo_chg WHERE month = (SELECT max(month) FROM mo_chg)"))
+def changes_written(spark, sf_dir):
+    """The page's two change tables written as CSV and read back by the library's reader."""
+    from ..operators.jobs import insights_page, write_changes
+    from ..sources.files import load_csv
+    page = insights_page(view(spark, sf_dir, "ridership"), None)
+    paths = write_changes(page, shared_path(spark, "exports", uuid.uuid4().hex))
+    parts = [load_csv(spark, paths[name]).select(F.lit(name).alias("table_name"), "line", F.col("passengers").cast("double"), F.col(change).cast("double").alias("change"))
+             for name, change in (("week_changes", "wow"), ("month_changes", "mom"))]
+    return rounded(parts[0].unionByName(parts[1]))
+
+
 _TRAILING = sql(["ridership"], [("b", "SELECT max(date) AS e FROM ridership")],
        """SELECT line, CAST(sum(passengers) AS DOUBLE) AS passengers,
                  CAST(e - INTERVAL 6 DAY AS DATE) AS period_start, e AS period_end

@@ -27,6 +27,14 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_stored(spark: SparkSession) -> bool:
+    """Deletes all that :func:`stored` and :func:`fresh_folder` have left under
+    the shared checkpoint location, of every run: to be called when no frame of
+    these operators is read any more. Whether there was anything."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_path(spark, "llm"))
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def row_ids(docs: DataFrame):
     """A number for every row of a stored table, the same in each scan.
 

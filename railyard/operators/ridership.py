@@ -240,7 +240,8 @@ def top_stations(df: DataFrame, station: str, pax: str | None, k: int = 10) -> D
     is absent, has no numeric value, or sums to zero or less.
 
     One grouped pass computes both measures; the choice is a scalar over the
-    grouped result; the ranking is a TakeOrdered of k rows."""
+    grouped result; the ranking is a TakeOrdered of k rows. Both name all
+    measures, so that they share one shuffle and the table is scanned once."""
     base = df.where(F.col(station).isNotNull())
     if pax is not None and pax in df.columns:
         num = to_number(base, pax).cast("double")
@@ -248,7 +249,7 @@ def top_stations(df: DataFrame, station: str, pax: str | None, k: int = 10) -> D
             F.coalesce(F.sum(num), F.lit(0.0)).alias("s"), F.count(num).alias("nn"),
             F.count(F.lit(1)).alias("n"),
         )
-        use = g.select((F.sum("nn") > 0) & (F.sum("s") > 0)).scalar()
+        use = g.select((F.sum("nn") > 0) & (F.sum("s") > 0) & (F.sum("n") >= 0)).scalar() & (F.col("nn") >= 0)
     else:
         g = base.groupBy(F.col(station).alias("station")).agg(
             F.lit(None).cast("double").alias("s"), F.count(F.lit(1)).alias("n")

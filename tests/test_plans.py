@@ -120,3 +120,11 @@ def test_trailing_window_is_pruned(spark, tmp_path):
     first_day, last_day = last - dt.timedelta(days=6), last
     formatted = _plan(out)
     assert f"GreaterThanOrEqual(date,{first_day})" in formatted and f"LessThanOrEqual(date,{last_day})" in formatted, scan
+
+
+def test_top_stations_scan_once(spark):
+    """The choice of the measure reads the shuffle of the sums, not the table."""
+    out = QUERIES["top_stations"](spark, SF_SMOKE)
+    out.collect()
+    final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final

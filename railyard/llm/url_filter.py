@@ -26,7 +26,9 @@ from .common import ascii_lower, stored
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 DAMPING = 0.85
 #: Rounds between two looks, and the sum of all changes between them at which ranks have settled.
-ROUNDS_PER_WRITE, SETTLED = 3, 1e-6
+ROUNDS_PER_WRITE, SETTLED = 5, 1e-6
+#: Moves that a task of a round deals with; a graph of fewer is not spread over all shuffle partitions, round by round.
+MOVES_A_TASK = 200_000
 LINK = r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
 
 
@@ -77,16 +79,17 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, sett
         edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), "weight"))
     total = directed.groupBy("kind", "host").agg(F.sum("weight").alias("total"))
     moves = stored(directed.join(total, ["kind", "host"]).select("kind", "host", "to", (F.col("weight") / F.col("total")).alias("share")), "moves")
+    tasks = -(-moves.count() // MOVES_A_TASK) or 1
     sums = seeds.groupBy("kind").agg(F.sum("weight").alias("total"))
     start = stored(seeds.join(F.broadcast(sums), "kind")  # two rows
-                   .groupBy("kind", "host").agg((F.sum("weight") / F.first("total")).alias("score")), "seeds")
+                   .groupBy("kind", "host").agg((F.sum("weight") / F.first("total")).alias("score")).coalesce(tasks), "seeds")
     base = start.withColumn("score", F.col("score") * (1 - damping))
     ranks = start
     while True:
         before = ranks
         for _ in range(ROUNDS_PER_WRITE):
             flow = ranks.join(moves, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
-            ranks = flow.unionByName(base).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+            ranks = flow.unionByName(base).coalesce(tasks).groupBy("kind", "host").agg(F.sum("score").alias("score")).coalesce(tasks)
         ranks = stored(ranks, "ranks")
         moved = ranks.join(before.withColumnRenamed("score", "old"), ["kind", "host"], "full").agg(
             F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]

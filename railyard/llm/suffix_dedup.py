@@ -39,8 +39,10 @@ from .common import row_ids, stored
 from .textblocks import BYTE_VALUE, blocks, mix, powers
 
 LENGTH, GRAM = 50, 24
-#: Rows of a chunk at most (a power of two), and buckets of a partition that are sorted one after the other.
-CHUNK_BITS, BUCKETS_PER_PARTITION = 8, 16
+#: Rows of a chunk at most (a power of two), and buckets of a partition (numbered by a byte).
+CHUNK_BITS, BUCKETS_PER_PARTITION = 8, 256
+#: Buckets are sorted together up to so many bytes of segments; sorting takes about 100 times as much memory.
+SORT_BYTES = 1 << 19
 #: Bytes of a chunk of texts that are all as long as the longest.
 CHUNK_BYTES = 64 << 20
 #: An anchor in more chunks than this is split into single windows.
@@ -399,26 +401,51 @@ class Suffixes:
 def _settle(batches: Iterator[pa.RecordBatch], length: int, chunk_bits: int) -> Iterator[pa.RecordBatch]:
     """uid, start, stop of what a bucket's segments have in common with smaller ids."""
     for table in _groups(batches, "bucket"):
-        read = lambda row, c, kind: np.frombuffer(row[c], kind).astype(np.int64)
-        parts, texts = [], []
-        for row in table.to_pylist():
-            uids = (row["chunk"] << chunk_bits) + read(row, "rows", "<u2")
-            if row["kind"]:
-                start = read(row, "starts", "<u4")
-                yield pa.RecordBatch.from_arrays([pa.array(uids), pa.array(start), pa.array(start + read(row, "sizes", "<u4"))], names=["uid", "start", "stop"])
-            else:
-                parts.append((read(row, "subs", np.uint8), read(row, "ids", "<i8"), uids, read(row, "starts", "<u4"), read(row, "sizes", "<u2") + length))
-                texts.append(row["bytes"])
-        if not parts:
-            continue
-        subs, *columns = (np.concatenate(x) for x in zip(*parts))
-        text = np.frombuffer(b"".join(texts), np.uint8)
-        place = np.cumsum(columns[3]) - columns[3]
-        del parts, texts
-        for sub in np.unique(subs):
-            own = np.flatnonzero(subs == sub)
-            ids, uids, starts, sizes = (c[own] for c in columns)
-            yield from _settled(ids, uids, starts, sizes, text[_spread(place[own], sizes)].tobytes(), length)
+        kinds = table.column("kind").to_numpy()
+        edge = int(np.searchsorted(kinds, 1))  # sorted by kind too
+        stretches = table.slice(edge)
+        if stretches.num_rows:
+            start, size = _column(stretches, "starts", "<u4").astype(np.int64), _column(stretches, "sizes", "<u4").astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(_uids(stretches, chunk_bits)), pa.array(start), pa.array(start + size)], names=["uid", "start", "stop"])
+        table = table.slice(0, edge)
+        subs, sizes = _column(table, "subs", np.uint8), _column(table, "sizes", "<u2").astype(np.int64) + length
+        columns = _column(table, "ids", "<i8").astype(np.int64), _uids(table, chunk_bits), _column(table, "starts", "<u4"), sizes
+        text = _column(table, "bytes", np.uint8)
+        place = np.cumsum(sizes) - sizes
+        order = np.argsort(subs, kind="stable")
+        for x, y in _runs(np.bincount(subs, sizes, BUCKETS_PER_PARTITION), np.bincount(subs, minlength=BUCKETS_PER_PARTITION)):
+            own = order[x:y]
+            ids, uids, starts, size = (c[own] for c in columns)
+            yield from _settled(ids, uids, starts.astype(np.int64), size, text[_spread(place[own], size)].tobytes(), length)
+
+
+def _column(table: pa.Table, name: str, kind) -> np.ndarray:
+    """The numbers packed in a binary column, those of all rows behind each other."""
+    parts = []
+    for chunk in table.column(name).cast(pa.large_binary()).chunks:
+        _, at, raw = chunk.buffers()
+        border = np.frombuffer(at, np.int64)[chunk.offset:chunk.offset + len(chunk) + 1] if len(chunk) else ()
+        if len(border) and border[-1] > border[0]:
+            parts.append(np.frombuffer(raw, np.uint8)[border[0]:border[-1]].view(kind))
+    return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def _uids(table: pa.Table, chunk_bits: int) -> np.ndarray:
+    """uid of each segment or stretch of the rows."""
+    each = pc.binary_length(table.column("rows")).to_numpy() // 2
+    return (np.repeat(table.column("chunk").to_numpy(), each) << chunk_bits) + _column(table, "rows", "<u2")
+
+
+def _runs(weight: np.ndarray, count: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and last place of the segments that are sorted together: those of consecutive buckets, up to SORT_BYTES or a single one."""
+    x = y = total = 0
+    for w, n in zip(weight.tolist(), count.tolist()):
+        if y > x and total + w > SORT_BYTES:
+            yield x, y
+            x, total = y, 0
+        y, total = y + n, total + w
+    if y > x:
+        yield x, y
 
 
 def _settled(ids, uids, starts, sizes, raw: bytes, length: int) -> Iterator[pa.RecordBatch]:
@@ -463,7 +490,7 @@ def removed_stretches(rows: DataFrame, length: int = LENGTH, shared_by: int = SH
         for table in _groups(batches, "chunk"):
             yield from _cut_chunk(table, buckets, length, chunk_bits)
 
-    segments = together.mapInArrow(cut, CUT).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    segments = together.mapInArrow(cut, CUT).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
     return segments.mapInArrow(lambda b: _settle(b, length, chunk_bits), "uid bigint, start bigint, stop bigint")
 
 

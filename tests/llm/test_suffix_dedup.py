@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from .support import SMALL
@@ -104,3 +105,30 @@ def test_chunks_follow_the_longest_text(stored_docs, monkeypatch):
         monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", most)
         assert result(suffix_dedup.repeated_bytes(stored_docs(rows, files=3))) == brute(rows, 50)
         assert used.pop() == bits
+
+
+def test_a_bucket_is_sorted_in_small_parts(monkeypatch):
+    """A task sorts its segments a few at a time however many they are; nothing is lost."""
+    rng = random.Random(4)
+    own = [rng.randbytes(50 + i % 60).translate(bytes(32 + x % 95 for x in range(256))) for i in range(1500)]
+    texts = [b"".join(own[i:i + 10]).decode() for i in range(0, 1500, 10)]
+    texts += [texts[i][:300] + texts[i + 1][-300:] for i in range(149)]
+    rows = pa.table({"uid": pa.array(range(len(texts)), pa.int64()), "id": pa.array(range(len(texts)), pa.int64()), "text": texts, "chunk": pa.array([i // 256 for i in range(len(texts))], pa.int64())})
+    sent = pa.Table.from_batches(suffix_dedup._send(iter(rows.to_batches()), 1, 50))
+    answers = pa.Table.from_batches(suffix_dedup._answer(iter(sent.to_batches()), 2000)).append_column("kind", pa.array([0] * 2, pa.int32()))
+    together = pa.concat_tables([answers, rows.append_column("kind", pa.array([1] * len(texts), pa.int32()))], promote_options="default").sort_by([("chunk", "ascending"), ("kind", "ascending")])
+    monkeypatch.setattr(suffix_dedup, "SORT_BYTES", 4096, raising=False)
+    sizes, plain = [], suffix_dedup._settled
+    monkeypatch.setattr(suffix_dedup, "_settled", lambda *a: sizes.append(len(a[4])) or plain(*a))
+    cut = [b for table in suffix_dedup._groups(iter(together.to_batches()), "chunk") for b in suffix_dedup._cut_chunk(table, 1, 50, 8)]
+    gone = pa.Table.from_batches(suffix_dedup._settle(iter(pa.Table.from_batches(cut).sort_by("kind").combine_chunks().to_batches()), 50, 8)).to_pylist()
+    assert sum(sizes) > 60_000 and max(sizes) <= 2 * 4096
+    held = {}
+    for i, text in enumerate(texts):
+        for p in range(len(text) - 49):
+            held.setdefault(text[p:p + 50], i)
+    want = [{p + k for p in range(len(text) - 49) if held[text[p:p + 50]] < i for k in range(50)} for i, text in enumerate(texts)]
+    have = [set() for _ in texts]
+    for r in gone:
+        have[r["uid"]] |= set(range(r["start"], r["stop"]))
+    assert have == want

@@ -127,14 +127,32 @@ def read_log(spark: SparkSession, log_dir: str, table: str) -> DataFrame:
     return newest(Folders(spark, path, stored_schema(schema)).rows(), table)
 
 
+#: Bytes of rows that a task orders at most, those of a row beside its texts, and groups of keys they are added up for.
+TASK_BYTES, ROW_BYTES, KEY_GROUPS = 128 << 20, 300, 4096
+
+
 def newest(rows: DataFrame, table: str) -> DataFrame:
     """The newest row of each key (by its own time, then by append, then by
-    batch id and value); rows without a key are all kept."""
+    batch id and value); rows without a key are all kept.
+
+    One scan adds up the bytes of the rows, so that each task orders
+    ``TASK_BYTES`` of them, however large the files are. Keys with more rows
+    than that are first spread over all tasks."""
     schema, key = LOG_TABLES[table]
     names = schema.fieldNames()
     order = F.struct(F.coalesce(F.col(TIME_OF[table]), F.lit(dt.datetime(1, 1, 1)).cast("timestamp_ntz")), "_appended", "_batch", F.xxhash64(*names))
-    keyed = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*names), order).alias("r")).select("r.*")
-    return keyed.unionByName(rows.where(F.col(key).isNull()).select(*names))
+    keyed = rows.where(F.col(key).isNotNull())
+    group = F.pmod(F.xxhash64(key), F.lit(KEY_GROUPS))
+    width = sum((F.coalesce(F.octet_length(n), F.lit(0)) for n, kind in rows.dtypes if kind == "string"), F.lit(ROW_BYTES)).cast("long")
+    sizes = keyed.groupBy(group.alias("g")).agg(F.sum(width).alias("n")).collect()  # at most KEY_GROUPS rows
+    parts = max(1, -(-sum(r.n for r in sizes) // TASK_BYTES))
+    large = [r.g for r in sizes if r.n > TASK_BYTES]
+    if large:
+        spread = keyed.where(group.isin(large)).withColumn("_part", F.floor(F.rand(42) * parts)).repartition(parts, key, "_part")
+        best = spread.groupBy(key, "_part").agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
+        keyed = keyed.where(~group.isin(large)).unionByName(best)
+    best = keyed.repartition(parts, key).groupBy(key).agg(F.max_by(F.struct(*names), order).alias("r")).select("r.*")
+    return best.unionByName(rows.where(F.col(key).isNull()).select(*names))
 
 
 def ingest_daily_batch(source: DataFrame, cfg: PipelineConfig, log_dir: str, source_file: str,

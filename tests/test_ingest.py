@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from railyard.operators import ingest as ing
 
@@ -103,3 +104,32 @@ def test_sampling_and_summary_scan_their_input_once_more(spark):
     for name in ("sample_n", "dataset_summary"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FileScan parquet") == 1, name
+
+
+def test_newest_rows_of_large_logs_in_tasks_of_bounded_size(spark, tmpdir_path, monkeypatch):
+    """However few files and whichever keys the rows have: many small tasks, the same rows."""
+    monkeypatch.setattr(ing, "TASK_BYTES", 40_000, raising=False)
+    monkeypatch.setattr(ing, "KEY_GROUPS", 64, raising=False)
+    day = dt.datetime(2025, 1, 1)
+    key = F.when(F.col("id") % 3 == 0, "INC-hot").when(F.col("id") % 100 == 1, None).otherwise(F.concat(F.lit("INC-"), (F.col("id") % 1500).cast("string")))
+    time = F.when(F.col("id") % 7 > 0, F.lit(day) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("id") * 37 % 2000).cast("decimal(18,6)")))
+    rows = spark.range(4000).select(*[{"incident_id": key, "reported_at": time.cast("timestamp_ntz"), "description": F.col("id").cast("string")}.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name)
+                                      for f in ing.INCIDENT_SCHEMA.fields])
+    for name in ("a", "b"):
+        ing.write_batch(rows.coalesce(1), f"{tmpdir_path}/incidents", ing.INCIDENT_SCHEMA, name, day)
+    got = ing.read_log(spark, tmpdir_path, "incidents")
+    made = [len(p) for p in got.where("incident_id IS NOT NULL").rdd.glom().collect()]
+    assert len(made) > 20 and max(made) < 300
+    best, without = {}, []
+    for r in rows.collect():
+        if r.incident_id is None:
+            without += [r.description] * 2
+        elif r.incident_id not in best or (r.reported_at or dt.datetime.min) > best[r.incident_id][0]:
+            best[r.incident_id] = (r.reported_at or dt.datetime.min, {r.description})
+        elif (r.reported_at or dt.datetime.min) == best[r.incident_id][0]:
+            best[r.incident_id][1].add(r.description)
+    have = [(r.incident_id, r.reported_at, r.description) for r in got.collect()]
+    assert sorted(d for i, _, d in have if i is None) == sorted(without)
+    keyed = {i: (t or dt.datetime.min, d) for i, t, d in have if i is not None}
+    assert len([1 for i, _, _ in have if i is not None]) == len(keyed) and keyed.keys() == best.keys()
+    assert all(keyed[i][0] == t and keyed[i][1] in d for i, (t, d) in best.items())
